@@ -89,6 +89,27 @@ class Parts:
         return self.boxes[i, j]
 
 
+def spanning(on):
+    """(row, column) links that connect what the marked places of a table connect: at most a link for each row and column."""
+    import numpy as np
+
+    if np.count_nonzero(on) <= 512:
+        yield from zip(*(z.tolist() for z in np.nonzero(on)))
+        return
+    rows_left, cols_left = on.any(1), np.ones(on.shape[1], bool)
+    while rows_left.any():
+        rows = np.array([rows_left.argmax()])
+        rows_left[rows] = False
+        while len(rows):
+            cols = np.flatnonzero(on[rows].any(0) & cols_left)
+            cols_left[cols] = False
+            yield from zip(rows[on[np.ix_(rows, cols)].argmax(0)].tolist(), cols.tolist())
+            new = np.flatnonzero(on[:, cols].any(1) & rows_left)
+            rows_left[new] = False
+            yield from zip(new.tolist(), cols[on[np.ix_(new, cols)].argmax(1)].tolist())
+            rows = new
+
+
 def order_join(a: Parts, b: Parts, same: bool, cosine: float, eps: float):
     """(links of each vector of a, of b, weighted by counts; spanning links between ids)."""
     import numpy as np
@@ -126,7 +147,7 @@ def order_join(a: Parts, b: Parts, same: bool, cosine: float, eps: float):
         na[i:j] += on @ b.counts[k:m]
         if not diagonal:
             nb[k:m] += a.counts[i:j] @ on
-        for u, v in zip(*(z.tolist() for z in np.nonzero(np.triu(on) if diagonal else on))) if on.any() else ():
+        for u, v in spanning(np.triu(on) if diagonal else on):
             p, q = top(int(a.ids[i + u])), top(int(b.ids[k + v]))
             if p != q:
                 root[p] = q
