@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Floors of the insert size levels.
 LEVELS = [35, 40, 45, 50, 55, 60, 65, 70, 75, 80, 90, 100, 120, 140, 160, 180, 200, 225, 250, 300]
 
+#: Positions of a sequence in one piece.
+PIECE = 200
+
 
 def keep_flags(flag: Column, mapq: Column, exclude: int = 1804, min_mapq: int = 30) -> Column:
     """P1."""
@@ -61,9 +64,12 @@ def above_line(x: Column, y: Column, p1: tuple, p2: tuple) -> Column:
 
 def kmer_sites(sequences: DataFrame, seq: str = "seq", by: list[str] = ("doc_id",), span: int = 13) -> DataFrame:
     """The discontiguous 9-mer at every position of each sequence, without those that hold other letters."""
-    at = sequences.where(F.length(seq) >= span).select(*by, seq, F.explode(F.sequence(F.lit(1), F.length(seq) - (span - 1))).alias("pos"))
-    mer = F.concat(F.substr(seq, F.col("pos"), F.lit(3)), F.substr(seq, F.col("pos") + 5, F.lit(3)), F.substr(seq, F.col("pos") + 10, F.lit(3)))
-    return at.select(*by, "pos", mer.alias("nonamer")).where(F.col("nonamer").rlike("^[ACGT]{9}$"))
+    # Short pieces first: a place in a long text costs as many steps as lie before it.
+    pieces = sequences.where(F.length(seq) >= span).select(*by, seq, F.explode(F.sequence(F.lit(0), F.length(seq) - span, F.lit(PIECE))).alias("offset"))
+    pieces = pieces.select(*by, "offset", F.substr(seq, F.col("offset") + 1, F.lit(PIECE + span - 1)).alias("piece"))
+    at = pieces.select(*by, "offset", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - (span - 1))).alias("at"))
+    mer = F.concat(F.substr("piece", F.col("at"), F.lit(3)), F.substr("piece", F.col("at") + 5, F.lit(3)), F.substr("piece", F.col("at") + 10, F.lit(3)))
+    return at.select(*by, (F.col("offset") + F.col("at")).alias("pos"), mer.alias("nonamer")).where(F.col("nonamer").rlike("^[ACGT]{9}$"))
 
 
 def gc_fraction(seq: Column) -> Column:

@@ -42,7 +42,7 @@ def g4(inserts):
     return inserts.groupBy("sample", "genome", SIZE.alias("insert_size"), (F.col("start0") % 101).cast("int").alias("gc_pct")).agg(F.count("*").alias("n"), F.round(F.sum("wgt"), 4).alias("w"))
 
 
-MERS = "k AS (SELECT lang, nonamer, COUNT(*) AS n FROM (SELECT lang, SUBSTR(seq, p, 3) || SUBSTR(seq, p + 5, 3) || SUBSTR(seq, p + 10, 3) AS nonamer FROM (SELECT lang, seq, UNNEST(range(1, LENGTH(seq) - 11)) AS p FROM f_seq)) WHERE regexp_full_match(nonamer, '[ACGT]{9}') GROUP BY 1, 2)"
+MERS = "k AS (SELECT lang, nonamer, COUNT(*) AS n FROM (SELECT lang, SUBSTR(c, p, 3) || SUBSTR(c, p + 5, 3) || SUBSTR(c, p + 10, 3) AS nonamer FROM (SELECT lang, c, UNNEST(range(1, LENGTH(c) - 11)) AS p FROM (SELECT lang, SUBSTR(seq, o + 1, 212) AS c FROM (SELECT lang, seq, UNNEST(range(0, LENGTH(seq) - 12, 200)) AS o FROM f_seq)))) WHERE regexp_full_match(nonamer, '[ACGT]{9}') GROUP BY 1, 2)"
 
 
 def mers(seq):
@@ -79,7 +79,7 @@ def g11(inserts):
     return inserts.groupBy("sample", F.round(F.log10("wgt") * 10).cast("long").alias("slot")).agg(F.count("*").alias("n"))
 
 
-@query("g12_bin_mappability_gc", "SELECT b.chrom, b.start0, ROUND(COALESCE(SUM(LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0)), 0) / 1000, 4) AS map, ROUND(COALESCE(SUM((LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0)) * (r.start0 % 100)) / SUM(LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0)), 0), 4) AS gc FROM f_bins b LEFT JOIN f_regions r ON b.chrom = r.chrom AND b.start0 < r.end1 AND r.start0 < b.end1 GROUP BY 1, 2")
+@query("g12_bin_mappability_gc", "SELECT b.chrom, b.start0, ROUND(COALESCE(SUM(CASE WHEN r.start0 IS NOT NULL THEN LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0) END), 0) / 1000, 4) AS map, ROUND(COALESCE(SUM((LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0)) * (r.start0 % 100)) / SUM(LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0)), 0), 4) AS gc FROM f_bins b LEFT JOIN f_regions r ON b.chrom = r.chrom AND b.start0 < r.end1 AND r.start0 < b.end1 GROUP BY 1, 2")
 def g12(bins, regions):
     pairs = iv.overlap_left(bins, regions, ["chrom", "start0"])
     bp = F.sum("overlap_bp")
@@ -115,9 +115,9 @@ def g16(regions, inserts, samples):
     return c.select("name", "stage", F.round(F.log2(F.col("n") / F.avg("n").over(Window.partitionBy("name"))), 6).alias("fold"))
 
 
-@query("g17_score_distribution", f"WITH {DENSE_SQL} SELECT sample, MODE(n_obs) FILTER (WHERE n_obs > 1000) AS none, CAST(MEDIAN(n_obs) AS DOUBLE) AS median, ROUND(AVG(n_obs), 6) AS mean, ROUND(STDDEV_SAMP(n_obs), 6) AS sd FROM d GROUP BY 1")
+@query("g17_score_distribution", f"WITH {DENSE_SQL} SELECT sample, CAST(MEDIAN(n_obs) AS DOUBLE) AS median, ROUND(AVG(n_obs), 6) AS mean, ROUND(STDDEV_SAMP(n_obs), 6) AS sd FROM d GROUP BY 1")
 def g17(inserts, bins):
-    return dense(inserts, bins).groupBy("sample").agg(F.lit(None).cast("long").alias("none"), F.median("n_obs").alias("median"), F.round(F.avg("n_obs"), 6).alias("mean"), F.round(F.stddev_samp("n_obs"), 6).alias("sd"))
+    return dense(inserts, bins).groupBy("sample").agg(F.median("n_obs").alias("median"), F.round(F.avg("n_obs"), 6).alias("mean"), F.round(F.stddev_samp("n_obs"), 6).alias("sd"))
 
 
 @query("g18_aggregate_series", f"WITH {DENSE_SQL} SELECT s.stage_type, d.chrom, d.start0, ROUND(AVG(d.n_obs), 6) AS mean, CAST(SUM(d.n_obs) AS BIGINT) AS total FROM d JOIN f_samples s ON s.sample = d.sample WHERE s.stage_type IS NOT NULL GROUP BY 1, 2, 3")
@@ -156,7 +156,7 @@ def g21(inserts, samples, bins):
     return bins.select("chrom", "start0").join(per, ["chrom", "start0"], "left")
 
 
-@query("g22_region_mean_log10", "SELECT name, CASE WHEN v < 0.001 THEN -3.0 ELSE CAST(TRUNC(LOG10(v) * 100 + 0.5) AS DOUBLE) / 100 END AS v FROM (SELECT g.name, AVG(b.start0 // 1000 % 17 / 16.0) AS v FROM f_genes g JOIN f_bins b ON g.chrom = b.chrom AND g.start0 < b.end1 AND b.start0 < g.end1 GROUP BY 1)")
+@query("g22_region_mean_log10", "SELECT name, CASE WHEN v < 0.001 THEN -3.0 ELSE CAST(TRUNC(LOG10(v) * 100 + 0.5) AS BIGINT) / 100 END AS v FROM (SELECT g.name, AVG(b.start0 // 1000 % 17 / 16.0) AS v FROM f_genes g JOIN f_bins b ON g.chrom = b.chrom AND g.start0 < b.end1 AND b.start0 < g.end1 GROUP BY 1)")
 def g22(genes, bins):
     signal = bins.withColumn("v", F.floor(F.col("start0") / 1000) % 17 / 16.0)
     per = iv.overlap_pairs(genes, signal).groupBy("name").agg(F.avg("b_v").alias("v"))
@@ -228,7 +228,7 @@ def g35(inserts):
     return per.select("sample", "z", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("sample")), 6).alias("share"), F.round("gc", 6).alias("gc"))
 
 
-@query("g37_v_plot_histogram", "SELECT CAST(FLOOR((i.start0 + i.end1) / 2.0 - (g.start0 + 500)) // 50 * 50 AS BIGINT) AS x, (i.end1 - i.start0) // 10 * 10 AS y, COUNT(*) AS n FROM f_inserts i JOIN (SELECT chrom, start0, start0 + 1000 AS end1 FROM f_genes) g ON i.chrom = g.chrom AND i.start0 < g.end1 AND g.start0 < i.end1 GROUP BY 1, 2")
+@query("g37_v_plot_histogram", "SELECT CAST(FLOOR(FLOOR((i.start0 + i.end1) / 2.0 - (g.start0 + 500)) / 50) * 50 AS BIGINT) AS x, (i.end1 - i.start0) // 10 * 10 AS y, COUNT(*) AS n FROM f_inserts i JOIN (SELECT chrom, start0, start0 + 1000 AS end1 FROM f_genes) g ON i.chrom = g.chrom AND i.start0 < g.end1 AND g.start0 < i.end1 GROUP BY 1, 2")
 def g37(inserts, genes):
     anchors = genes.select("chrom", "start0", (F.col("start0") + 1000).alias("end1"))
     pairs = iv.overlap_pairs(inserts.select("chrom", "start0", "end1"), anchors)

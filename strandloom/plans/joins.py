@@ -14,7 +14,7 @@ def j1(regions, genes):
     return iv.overlap_pairs(regions, genes).select("name", "b_name", "overlap_bp")
 
 
-@query("j2_overlap_left", f"SELECT a.name, b.name AS b_name, COALESCE({BP}, 0) AS overlap_bp FROM f_regions a LEFT JOIN f_genes b ON {HIT}")
+@query("j2_overlap_left", f"WITH p AS (SELECT a.name, b.name AS b_name, {BP} AS bp FROM f_regions a JOIN f_genes b ON {HIT}) SELECT r.name, p.b_name, COALESCE(p.bp, 0) AS overlap_bp FROM f_regions r LEFT JOIN p ON p.name = r.name")
 def j2(regions, genes):
     return iv.overlap_left(regions, genes, ["name"]).select("name", "b_name", "overlap_bp")
 

@@ -101,7 +101,7 @@ def p16(inserts):
     return inserts.where(size <= 500).groupBy("sample").agg(F.sum(F.col("start0") + 1 + size / 2).alias("mid"), F.sum(size).alias("size"))
 
 
-@query("p17_flooring_log10", "SELECT name, CASE WHEN x < 0.001 THEN -3.0 ELSE CAST(TRUNC(LOG10(x) * 100 + 0.5) AS DOUBLE) / 100 END AS v FROM (SELECT name, CAST(start0 % 5000 AS DOUBLE) / 1000000 AS x FROM f_regions)")
+@query("p17_flooring_log10", "SELECT name, CASE WHEN x < 0.001 THEN -3.0 ELSE CAST(TRUNC(LOG10(x) * 100 + 0.5) AS BIGINT) / 100 END AS v FROM (SELECT name, CAST(start0 % 5000 AS DOUBLE) / 1000000 AS x FROM f_regions)")
 def p17(regions):
     return regions.select("name", sc.floored_log10((F.col("start0") % 5000).cast("double") / 1000000).alias("v"))
 
