@@ -79,7 +79,7 @@ def _pieces(vocabulary: str, capacity: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, key, end = tokens.Encoder(vocabulary), TaskContext.get().partitionId() << 40, np.array([END_ID], "<u4")
+        encoder, key, end = tokens.encoder(vocabulary), TaskContext.get().partitionId() << 40, np.array([END_ID], "<u4")
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             names, rows = batch.column("doc_id").to_pylist(), batch.column("text")

@@ -51,7 +51,7 @@ def _chunks(vocabulary: str, block: int, chunk: int, unit: str, level: int):
         import zstandard
         from pyspark import TaskContext
 
-        encoder, press = tokens.Encoder(vocabulary), zstandard.ZstdCompressor(level=level)
+        encoder, press = tokens.encoder(vocabulary), zstandard.ZstdCompressor(level=level)
         part, end = TaskContext.get().partitionId(), np.array([END_ID], "<u4")
         state = {"k": 0, "first": 0}
         held: list = []

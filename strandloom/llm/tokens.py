@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
@@ -73,3 +75,11 @@ class Encoder:
             get = self.known.__getitem__
             out += [self.whole(t) if p is None else np.frombuffer(b"".join(map(get, p)), dtype="<u4") for t, p in zip(part, pieces)]
         return out
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which later tasks of the same worker find with its pieces known."""
+    held = sys.modules.setdefault("strandloom_worker_state", types.ModuleType("strandloom_worker_state")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
