@@ -119,6 +119,7 @@ class Tree:
         width = min(len(m) for m in maps)
         flat = np.stack([fold(m, width) for m in maps])
         order = np.lexsort((flat[:, 0], sizes))
+        self.order = order
         self.ids, self.sizes, self.classes = ids[order], sizes[order], classes[order]
         self.maps = flat[order]
         self.slack = self.sizes - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
@@ -196,7 +197,10 @@ def tree_pairs(a: Tree, b: Tree, percent: int, same: bool):
 
 
 def _bucket_pairs(percent: int):
-    """From rows of one (hash, block pair) after the other to candidate pairs; a row's side is 0 or 1."""
+    """From rows of one (hash, block pair) after the other to candidate pairs; a row's side is 0 or 1.
+
+    A pair that shares several buckets comes from the first of them alone: `before` holds a set's earlier buckets.
+    """
 
     def run(batches):
         import numpy as np
@@ -213,10 +217,14 @@ def _bucket_pairs(percent: int):
             left = tree(t.filter(pa.array(side == 0)) if both else t)
             right = tree(t.filter(pa.array(side == 1))) if both else left
             x, y = tree_pairs(left, right, percent, not both)
-            p, q = left.ids[x], right.ids[y]
-            differ = (left.classes[x] != right.classes[y])
-            out_a.append(np.minimum(p, q)[differ])
-            out_b.append(np.maximum(p, q)[differ])
+            differ = left.classes[x] != right.classes[y]
+            x, y = x[differ], y[differ]
+            before = [frozenset(b) for b in t["before"].to_pylist()]
+            one, two = ([b for b, s in zip(before, side) if s == 0], [b for b, s in zip(before, side) if s == 1]) if both else (before, before)
+            new = np.fromiter((one[i].isdisjoint(two[j]) for i, j in zip(left.order[x].tolist(), right.order[y].tolist())), bool, len(x))
+            p, q = left.ids[x][new], right.ids[y][new]
+            out_a.append(np.minimum(p, q))
+            out_b.append(np.maximum(p, q))
             if sum(map(len, out_a[-64:])) > 50_000 or len(out_a) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
                 out_a, out_b = [], []
@@ -311,8 +319,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     # A block meets itself and every other block of its bucket once.
     dealt = placed.withColumn("own", block).select("doc_id", "h", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("doc_id", F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    rows = dealt.join(held.select("doc_id", "n_shingles", "bits", "class"), "doc_id")
+    dealt = dealt.select("doc_id", "h", F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    earlier = F.expr("slice(buckets.h, 1, cast(array_position(buckets.h, h) AS int) - 1)").alias("before")
+    rows = dealt.join(held, "doc_id").select("doc_id", "bucket", "side", "n_shingles", "bits", "class", earlier)
     found = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(percent), "a long, b long").distinct()
     more = common.stash(verified(common.stash(found, "candidates"), texts_of, words, percent), "links")
 
