@@ -1,0 +1,188 @@
+"""Each operator on small tables with the awkward cases, against brute force where the result is exact."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandloom.llm import embedding_join, license_scan, mixing, ngram_join, packing, pii, quality, secret_scan, token_output, tokens, toxicity
+
+R = random.Random(5)
+VOCAB = ["".join(R.choice("abcdefghijklm") for _ in range(5)) for _ in range(400)]
+BODY = [" ".join(R.choice(VOCAB) for _ in range(R.randrange(60, 160))) for _ in range(12)]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, n_words string, class string, words string"
+
+
+def table():
+    texts = list(BODY) + [BODY[0], BODY[0] + " tail", None, "", " \n\t ", "Two Words", "x " * 30_000, "token = \"" + "ab12" * 10 + "\" mail a.b@mail.example.com AKIA" + "Q" * 16, "under the MIT License. licensed under the Apache License, Version 2.0 and cc-by-nc 4.0", BODY[3]]
+    rows = [(i, t, "en", ["a", "b", None][i % 3], 1, "s", "n", "c", "w") for i, t in enumerate(texts)]
+    return rows + [rows[1], (None, "null id " + BODY[4], None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(table(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_join_equals_brute_force(docs, none):
+    sets, word = {}, re.compile("[^\x20\x09-\x0d]+")
+    for d, t, *_ in table():
+        w = word.findall((t or "").lower())
+        if d is not None:
+            sets[d] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    root = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if a != b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = ngram_join.near_duplicates(docs).collect()
+    assert len(got) == len(table())
+    assert all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root[r.doc_id]) for r in got if r.doc_id is not None)
+    assert ngram_join.near_duplicates(none).count() == 0
+
+
+def test_tree_keeps_every_pair_over_the_threshold():
+    r = np.random.default_rng(3)
+    fresh = lambda n: r.integers(0, 2**64, n, dtype=np.uint64)
+    base = [fresh(300) for _ in range(6)]
+    sets = [np.unique(np.concatenate([b[: 300 - k], fresh(k)])) for b in base for k in (0, 20, 40, 90)]
+    tree = ngram_join.Tree(np.arange(len(sets)), np.array(list(map(len, sets))), [ngram_join.bitmap(s) for s in sets], np.arange(len(sets)))
+    x, y = ngram_join.tree_pairs(tree, tree, 75, True)
+    kept = {tuple(sorted(p)) for p in zip(tree.ids[x].tolist(), tree.ids[y].tolist())}
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                assert (j, i) in kept
+    assert len(kept) < len(sets) * 6
+
+
+def test_encoder_equals_the_library():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokens.Encoder(tokens.vocabulary(name), most=50)
+        for t in [*BODY[:3], "", " a\n\n b \t", "don't a1b2.3 x,y wo***!! é́ ΑΣ b", "<|endoftext|> a", "a b\x0bc"]:
+            assert np.array_equal(e.whole(t), e.encode([t])[0]), t
+
+
+def test_token_output_round_trip(docs, none, spark):
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    for unit in ("byte", "bit"):
+        ids = np.arange(1000, dtype="<u4") * 77
+        assert np.array_equal(token_output.from_planes(token_output.to_planes(ids, unit), 1000, unit), ids)
+    from strandloom.llm import common
+
+    where = common.shared_dir(spark) + "/out-test"
+    token_output.write_ids(docs, where, path, block=100, chunk=500)
+    got = sorted(token_output.read_ids(spark, where).collect(), key=lambda r: r.start)
+    e, at = tokens.Encoder(path), 0
+    order = sorted(table(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    for r, row in zip(got, order, strict=True):
+        raw = np.append(e.whole(row[1] or ""), 0).astype("<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (row[0], at, len(raw), zlib.crc32(raw.tobytes()))
+        at += len(raw)
+    token_output.write_ids(none, where + "0", path)
+    assert token_output.read_ids(spark, where + "0").count() == 0
+
+
+def test_packing(docs, none):
+    path = tokens.vocabulary("word_bpe_49k.json")
+    rows = packing.pack_documents(docs, path).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    sizes = [r.length for r in rows]
+    assert len(bins) <= packing.lower_bound(sizes, 2048) + 1
+    assert packing.lower_bound([1025] * 5, 2048) == 5
+    assert packing.pack_documents(none, path).count() == 0
+
+
+def test_mixing(docs, none):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(table())
+    total = sum(r.size for r in rows)
+    by = {}
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r.size
+        by.setdefault(r.source, []).append(r)
+    assert abs(sum(v[0].target for v in by.values()) - total) < 1e-6 * total
+    assert all(v[0].target <= 3 * v[0].source_size + 1e-6 for v in by.values())
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == sorted(map(tuple, rows), key=str)
+    assert mixing.mix(none).count() == 0
+
+
+def test_embeddings_equal_brute_force(spark):
+    r = np.random.default_rng(1)
+    base = r.normal(size=(20, 8))
+    x = np.concatenate([base, base[:8] + 0.1 * r.normal(size=(8, 8)), base[:3]])
+    rows = [(i, [float(z) for z in v], 0) for i, v in enumerate(x)] + [(90, None, 0), (91, [0.0] * 8, 0), (92, [float("nan")] * 8, 0), (93, [None] * 8, 0)]
+    got = {q.vec_id: q for q in embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    on = u @ u.T >= 0.95
+    root = list(range(len(x)))
+    for _ in x:
+        root = [min(root[j] for j in np.flatnonzero(on[i])) for i in range(len(x))]
+    for i in range(len(x)):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (on[i].sum() - 1, root[i], root[i] == i)
+    assert all(got[k].n_links == 0 and got[k].kept for k in (90, 91, 92, 93))
+    assert embedding_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_scans(docs, none):
+    s = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    assert (s[17 + 2].n_assign, s[19].n_access, s[19].n_hex) == (1, 1, 1) and s[14].base_sha256.startswith("e3b0c442")
+    lic = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert lic[20].base_labels == "apache-2,cc-by-nc,mit" and lic[20].first_word == 0 and lic[20].n_base == 3 and lic[14].n_words == 0
+    p = {r.doc_id: r for r in pii.scan(docs).collect()}
+    assert p[19].n_email == 1 and p[0].n_card == 0
+    assert all(f(none).count() == 0 for f in (secret_scan.scan, license_scan.scan, pii.scan))
+    assert len(license_scan.rules()) > 300
+
+
+def test_pii_base_spans():
+    kinds = [k for k, _, _ in pii.base_spans("x.@a.b.co @b. 1.2.3.4 300.1.1.1 x 4111 1111-1111 1111 +44 (20) 1234-5678")]
+    assert sorted(kinds) == ["card", "email", "ip", "phone"]
+
+
+def test_automata_tell_formats_apart():
+    good = secret_scan.Automaton([secret_scan.symbols("ghp" + "%06d" % k + "abcd") for k in range(80)]).merge().table()
+    assert secret_scan.log_likelihood(good, secret_scan.symbols("ghp123456abcd")) > secret_scan.log_likelihood(good, secret_scan.symbols("hello-world-x"))
+
+
+def test_quality(docs, none, spark):
+    from strandloom.llm import common
+
+    plain = common.texts(docs)
+    for trusted in ([(0,), (1,), (1,)], []):
+        ids = spark.createDataFrame(trusted, "doc_id long").distinct()
+        rows = quality.scored(plain, common.stash(quality.ratios(plain, ids), "r")).collect()
+        got = {r.doc_id: r for r in rows}
+        assert len(rows) == len(table()) and got[14].base_failed and got[14].n_words == 0
+        assert got[18].n_words == 30_000 and got[18].n_repeat_words == 30_000 and not got[18].kept
+        assert got[0].n_words == len(BODY[0].split()) and got[0].word_chars == len(BODY[0].replace(" ", ""))
+    assert quality.scored(common.texts(none), common.stash(quality.ratios(common.texts(none), ids), "r")).count() == 0
+
+
+def test_toxicity(docs, none, spark):
+    labels = "doc_id long, quality int, toxic int"
+    assert all(r.score == 0.0 for r in toxicity.score(docs, spark.createDataFrame([], labels)).collect())
+    rows = [(i, ("you stupid idiot " if i % 3 == 0 else "") + BODY[i % 12]) for i in range(600)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(600)], labels))
+    held = got.where("held_out").select((F.col("predicted") == (F.col("doc_id") % 3 == 0).cast("int")).alias("ok")).collect()
+    assert np.mean([r.ok for r in held]) > 0.95
+    assert toxicity.score(none, spark.createDataFrame([], labels)).count() == 0
