@@ -102,6 +102,8 @@ def spanning(on):
         rows_left[rows] = False
         while len(rows):
             cols = np.flatnonzero(on[rows].any(0) & cols_left)
+            if not len(cols):
+                break
             cols_left[cols] = False
             yield from zip(rows[on[np.ix_(rows, cols)].argmax(0)].tolist(), cols.tolist())
             new = np.flatnonzero(on[:, cols].any(1) & rows_left)

@@ -186,3 +186,26 @@ def test_toxicity(docs, none, spark):
     held = got.where("held_out").select((F.col("predicted") == (F.col("doc_id") % 3 == 0).cast("int")).alias("ok")).collect()
     assert np.mean([r.ok for r in held]) > 0.95
     assert toxicity.score(none, spark.createDataFrame([], labels)).count() == 0
+
+
+def test_spanning_links_connect_the_same():
+    r = np.random.default_rng(2)
+    for share in (0.02, 0.2, 1.0):
+        on = r.random((120, 110)) < share
+        on[:40, 50:] = on[40:, :50] = False
+
+        def parts(links):
+            root = list(range(230))
+
+            def top(k):
+                while root[k] != k:
+                    k = root[k]
+                return k
+
+            for u, v in links:
+                a, b = top(u), top(120 + v)
+                root[max(a, b)] = min(a, b)
+            return [top(k) for k in range(230)]
+
+        got = list(embedding_join.spanning(on))
+        assert parts(got) == parts(zip(*(z.tolist() for z in np.nonzero(on)))) and all(on[u, v] for u, v in got)
