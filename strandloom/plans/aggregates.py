@@ -6,7 +6,10 @@ from ..operators import intervals as iv, scalars as sc
 from .registry import query
 from .scalars import COUNTS, LEVEL_SQL, stage_counts
 
-SIZE = F.col("end1") - F.col("start0")
+def size():
+    return F.col("end1") - F.col("start0")
+
+
 GC = "CAST(start0 % 101 AS INTEGER)"
 
 
@@ -33,13 +36,13 @@ def g2(inserts, bins):
 
 @query("g3_isl_distribution", f"SELECT sample, genome, isl, ROUND(n / SUM(n) OVER (PARTITION BY sample, genome), 6) AS share FROM (SELECT sample, genome, CAST({LEVEL_SQL} AS INTEGER) AS isl, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2, 3)")
 def g3(inserts):
-    n = inserts.groupBy("sample", "genome", sc.insert_size_level(SIZE).alias("isl")).agg(F.count("*").alias("n"))
+    n = inserts.groupBy("sample", "genome", sc.insert_size_level(size()).alias("isl")).agg(F.count("*").alias("n"))
     return n.select("sample", "genome", "isl", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("sample", "genome")), 6).alias("share"))
 
 
 @query("g4_size_by_gc_histogram", f"SELECT sample, genome, end1 - start0 AS insert_size, {GC} AS gc_pct, COUNT(*) AS n, ROUND(SUM(wgt), 4) AS w FROM f_inserts GROUP BY 1, 2, 3, 4")
 def g4(inserts):
-    return inserts.groupBy("sample", "genome", SIZE.alias("insert_size"), (F.col("start0") % 101).cast("int").alias("gc_pct")).agg(F.count("*").alias("n"), F.round(F.sum("wgt"), 4).alias("w"))
+    return inserts.groupBy("sample", "genome", size().alias("insert_size"), (F.col("start0") % 101).cast("int").alias("gc_pct")).agg(F.count("*").alias("n"), F.round(F.sum("wgt"), 4).alias("w"))
 
 
 MERS = "k AS (SELECT lang, nonamer, COUNT(*) AS n FROM (SELECT lang, SUBSTR(c, p, 3) || SUBSTR(c, p + 5, 3) || SUBSTR(c, p + 10, 3) AS nonamer FROM (SELECT lang, c, UNNEST(range(1, LENGTH(c) - 11)) AS p FROM (SELECT lang, SUBSTR(seq, o + 1, 212) AS c FROM (SELECT lang, seq, UNNEST(range(0, LENGTH(seq) - 12, 200)) AS o FROM f_seq)))) WHERE regexp_full_match(nonamer, '[ACGT]{9}') GROUP BY 1, 2)"
@@ -137,7 +140,7 @@ EMIT = f"e AS (SELECT stage, isl, LN(GREATEST(f, 1e-5) / SUM(GREATEST(f, 1e-5))
 
 
 def emissions(inserts, samples):
-    n = inserts.join(F.broadcast(samples.select("sample", "stage")), "sample").groupBy("stage", sc.insert_size_level(SIZE).alias("isl")).agg(F.count("*").alias("n"))
+    n = inserts.join(F.broadcast(samples.select("sample", "stage")), "sample").groupBy("stage", sc.insert_size_level(size()).alias("isl")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("stage")
     f = n.withColumn("f", F.greatest(F.col("n") / F.sum("n").over(w), F.lit(1e-5)))
     return f.select("stage", "isl", F.log(F.col("f") / F.sum("f").over(w)).alias("ll"))
@@ -152,7 +155,7 @@ def g20(inserts, samples):
 def g21(inserts, samples, bins):
     e = emissions(inserts, samples)
     p = e.where("stage = 'late_ES'").select("isl", F.col("ll").alias("x")).join(e.where("stage = 'early_RS'").select("isl", F.col("ll").alias("y")), "isl").select("isl", (F.col("x") - F.col("y")).alias("d"))
-    per = inserts.select("chrom", sc.bin_start(F.col("start0")).alias("start0"), sc.insert_size_level(SIZE).alias("isl")).join(F.broadcast(p), "isl", "left").groupBy("chrom", "start0").agg(F.round(F.avg("d"), 5).alias("nrll"))
+    per = inserts.select("chrom", sc.bin_start(F.col("start0")).alias("start0"), sc.insert_size_level(size()).alias("isl")).join(F.broadcast(p), "isl", "left").groupBy("chrom", "start0").agg(F.round(F.avg("d"), 5).alias("nrll"))
     return bins.select("chrom", "start0").join(per, ["chrom", "start0"], "left")
 
 
@@ -186,7 +189,7 @@ def g24(regions, inserts, samples):
 
 @query("g25_lag_bins", "SELECT CAST(ROUND(LOG10(d) * 10) AS BIGINT) AS lag, COUNT(*) AS n, ROUND(SUM(x * x) / COUNT(*) / 2, 6) AS semivariance, ROUND(AVG(ABS(x)), 6) AS mean_abs FROM (SELECT b.start0 - a.start0 AS d, (b.end1 - b.start0 - a.end1 + a.start0) / 100.0 AS x FROM f_genes a JOIN f_genes b ON a.chrom = b.chrom AND b.start0 > a.start0 AND b.start0 - a.start0 < 50000) GROUP BY 1 HAVING COUNT(*) >= 100")
 def g25(genes):
-    own = genes.select("name", "chrom", "start0", SIZE.alias("size"))
+    own = genes.select("name", "chrom", "start0", size().alias("size"))
     x = (F.col("b_size") - F.col("size")) / 100.0
     per = iv.pairs_within_distance(own, "start0", 50000).groupBy(F.round(F.log10("distance") * 10).cast("long").alias("lag")).agg(F.count("*").alias("n"), F.sum(x * x).alias("s"), F.avg(F.abs(x)).alias("m"))
     return per.where("n >= 100").select("lag", "n", F.round(F.col("s") / F.col("n") / 2, 6).alias("semivariance"), F.round("m", 6).alias("mean_abs"))
@@ -224,7 +227,7 @@ def g34(inserts):
 
 @query("g35_size_distribution", f"SELECT sample, z, ROUND(n / SUM(n) OVER (PARTITION BY sample), 6) AS share, ROUND(gc, 6) AS gc FROM (SELECT sample, end1 - start0 AS z, COUNT(*) AS n, SUM(wgt * {GC}) / SUM(wgt) AS gc FROM f_inserts GROUP BY 1, 2)")
 def g35(inserts):
-    per = inserts.groupBy("sample", SIZE.alias("z")).agg(F.count("*").alias("n"), (F.sum(F.col("wgt") * (F.col("start0") % 101)) / F.sum("wgt")).alias("gc"))
+    per = inserts.groupBy("sample", size().alias("z")).agg(F.count("*").alias("n"), (F.sum(F.col("wgt") * (F.col("start0") % 101)) / F.sum("wgt")).alias("gc"))
     return per.select("sample", "z", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("sample")), 6).alias("share"), F.round("gc", 6).alias("gc"))
 
 
@@ -233,12 +236,12 @@ def g37(inserts, genes):
     anchors = genes.select("chrom", "start0", (F.col("start0") + 1000).alias("end1"))
     pairs = iv.overlap_pairs(inserts.select("chrom", "start0", "end1"), anchors)
     x = F.floor(F.floor((F.col("start0") + F.col("end1")) / 2 - (F.col("b_start0") + 500)) / 50) * 50
-    return pairs.groupBy(x.alias("x"), (F.floor(SIZE / 10) * 10).alias("y")).agg(F.count("*").alias("n"))
+    return pairs.groupBy(x.alias("x"), (F.floor(size() / 10) * 10).alias("y")).agg(F.count("*").alias("n"))
 
 
 @query("g40_positioned_median", "SELECT name, COUNT(*) AS n, CAST(MEDIAN(i.start0 - g.start0) AS DOUBLE) AS median FROM f_genes g JOIN f_inserts i ON i.chrom = g.chrom AND i.start0 < g.end1 AND g.start0 < i.end1 WHERE i.end1 - i.start0 <= 400 GROUP BY 1 HAVING COUNT(*) >= 25")
 def g40(genes, inserts):
-    pairs = iv.overlap_pairs(inserts.where(SIZE <= 400).select("chrom", "start0", "end1"), genes)
+    pairs = iv.overlap_pairs(inserts.where(size() <= 400).select("chrom", "start0", "end1"), genes)
     return pairs.groupBy(F.col("b_name").alias("name")).agg(F.count("*").alias("n"), F.median(F.col("start0") - F.col("b_start0")).alias("median")).where("n >= 25")
 
 
@@ -272,7 +275,7 @@ def g49(seq):
 
 @query("g53_group_mean_ci", "SELECT chrom, peak_set, COUNT(*) AS n, ROUND(AVG(z), 6) AS mean, ROUND(STDDEV_SAMP(z) / SQRT(COUNT(*)), 6) AS se FROM (SELECT chrom, peak_set, end1 - start0 AS z FROM f_regions) GROUP BY 1, 2")
 def g53(regions):
-    return regions.groupBy("chrom", "peak_set").agg(F.count("*").alias("n"), F.round(F.avg(SIZE), 6).alias("mean"), F.round(F.stddev_samp(SIZE) / F.sqrt(F.count("*")), 6).alias("se"))
+    return regions.groupBy("chrom", "peak_set").agg(F.count("*").alias("n"), F.round(F.avg(size()), 6).alias("mean"), F.round(F.stddev_samp(size()) / F.sqrt(F.count("*")), 6).alias("se"))
 
 
 @query("w1_quantile_bins", "WITH q AS (SELECT chrom, QUANTILE_CONT(CAST(score AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS b FROM f_regions GROUP BY 1) SELECT r.name, CAST(1 + len(list_filter(q.b, lambda x: x < CAST(r.score AS DOUBLE))) AS INTEGER) AS quantile FROM f_regions r JOIN q ON q.chrom = r.chrom")
