@@ -6,6 +6,7 @@ import os
 import re
 import sys
 import types
+from itertools import filterfalse
 
 import numpy as np
 
@@ -66,12 +67,14 @@ class Encoder:
         for i in range(0, len(texts), 64):
             part = texts[i : i + 64]
             pieces = [None if ODD_SPACE.search(t) else PIECE.findall(t) for t in part]
-            new = set().union(*(p for p in pieces if p is not None)) - self.known.keys()
+            all_pieces = set().union(*(p for p in pieces if p is not None))
+            # A set less a dict's keys would walk all known pieces.
+            new = list(filterfalse(self.known.__contains__, all_pieces))
             if len(self.known) + len(new) > self.most:
                 self.known.clear()
-                new = set().union(*(p for p in pieces if p is not None))
+                new = list(all_pieces)
             if new:
-                self.learn(list(new))
+                self.learn(new)
             get = self.known.__getitem__
             out += [self.whole(t) if p is None else np.frombuffer(b"".join(map(get, p)), dtype="<u4") for t, p in zip(part, pieces)]
         return out
