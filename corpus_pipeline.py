@@ -20,9 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the base rules or the log-likelihood ratio reject go."""
     plain = common.texts(docs)
     table = common.stash(quality.ratios(plain, quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))), "ratios")
+    figures = common.stash(quality.measured(plain, table).select("key", "base_failed", "score", "trusted"), "figures")
+    gone = common.stash(figures.where(~quality.kept(quality.threshold(figures))).select("key").distinct(), "gone")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    given = docs.select(row.alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return quality.scored(given, table).where("kept").select("row.*")
+    given = docs.select(row.alias("row"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return common.small_join(given.select("row", quality.key().alias("key")), gone, "key", "left_anti").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

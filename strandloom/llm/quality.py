@@ -1,8 +1,10 @@
-"""Quality rules: a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus, by DataFrame functions alone.
+"""Quality rules: an n-gram log-likelihood ratio between a trusted target and the raw corpus, by DataFrame functions alone.
 
-Words and word pairs are hashed to BUCKETS; their counts over the trusted documents (labelled quality 1) and over all
-documents give two smoothed multinomials. A document's score is the mean over its n-grams of log(target / raw). A
-document is kept if the base rules pass and its score is at least THRESHOLD.
+Words and word pairs are counted over the trusted documents (labelled quality 1) and over all documents, each by its own
+64-bit hash. A document is scored by the counts of the other documents: the score is the mean over its n-grams of
+log((target + SMOOTH) / (expected + SMOOTH)), where expected is the raw count times the trusted share of all n-grams.
+So n-grams that no other document holds say nothing, and trusted documents don't vouch for themselves. A document is
+kept if the base rules pass and its score is at least that which KEPT of the trusted documents that pass them reach.
 
 Cases: a null or empty text has no words and fails the base rules; repeated rows count and return as often as they
 occur; labels may repeat a doc_id (the best label holds) or be empty (then scores are 0 and the base rules decide);
@@ -11,49 +13,87 @@ an empty table gives no row; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 
-#: A power of two.
-BUCKETS = 4096
-#: Added to each bucket's count.
+#: Added to the counts in the target and to those expected.
 SMOOTH = 1.0
-#: Documents whose mean log ratio is lower are rejected: their n-grams are that much rarer in the target.
-THRESHOLD = -0.05
+#: The share of the trusted documents that the threshold lets pass, and the width of the histogram it is read from.
+KEPT, STEP = 0.99, 1e-4
+#: The n-grams are joined in so many turns, by hash, so that the disk holds one turn's shuffle at a time.
+SLICES = 6
+#: N-grams with at least this share of a sample of one document in SAMPLE are dealt over all tasks; results don't depend on it.
+HOT, SAMPLE = 1 / 65536, 256
 MIN_WORDS = 50
 
 SPACE = "\\x20\\x09-\\x0D"
 
 
+def words() -> F.Column:
+    bare = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
+
+
 def with_hashes(docs: DataFrame) -> DataFrame:
     """Adds words, the hashes of the words (h1), of the word pairs (h2) and of the runs of three words (h3)."""
-    bare = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
-    x = docs.withColumn("words", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+")))
+    x = docs.withColumn("words", words())
     x = x.withColumn("h1", F.expr("transform(words, w -> xxhash64(w))"))
     return x.withColumn("h2", F.expr("CASE WHEN size(h1) > 1 THEN zip_with(slice(h1, 1, size(h1) - 1), slice(h1, 2, size(h1)), (x, y) -> xxhash64(x, y)) ELSE cast(array() AS array<bigint>) END"))
 
 
-def bucket(h: str) -> str:
-    return f"cast({h} & {BUCKETS - 1} AS int)"
+def key() -> F.Column:
+    """What stands for a document while its n-grams are apart: rows with the same doc_id and text are one."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
-def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """One row: the array `ratio` of log(target / raw) by bucket. docs: doc_id, text. trusted: distinct doc_ids."""
-    marked = common.small_join(docs, trusted.select("doc_id", F.lit(1).alias("target")), "doc_id", "left")
-    counts = with_hashes(marked).select(F.coalesce("target", F.lit(0)).alias("t"), F.explode(F.concat("h1", "h2")).alias("h")).select("t", F.expr(bucket("h")).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-    spark = docs.sparkSession
-    # BUCKETS rows, whatever the input.
-    full = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
-    total = full.agg(F.sum("raw").alias("n"), F.sum("target").alias("m"))
-    ratio = F.when(F.col("m") == 0, F.lit(0.0)).otherwise(F.log((F.col("target") + SMOOTH) / (F.col("m") + SMOOTH * BUCKETS)) - F.log((F.col("raw") + SMOOTH) / (F.col("n") + SMOOTH * BUCKETS)))
-    return full.crossJoin(F.broadcast(total)).select("b", ratio.alias("r")).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "r"))), lambda x: x["r"]).alias("ratio"))
+def ngrams(docs: DataFrame) -> DataFrame:
+    """(key, t, h): a row for each word and word pair. docs: doc_id, text, t."""
+    return with_hashes(docs.withColumn("key", key())).select("key", "t", F.explode(F.concat("h1", "h2")).alias("h"))
 
 
-def scored(docs: DataFrame, table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the base figures, score, base_failed and kept; docs needs the column text without nulls."""
-    x = with_hashes(docs).crossJoin(F.broadcast(table))
+def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(key, score, trusted) of each document with words. docs: doc_id, text. trusted: distinct doc_ids."""
+    spark = docs.sparkSession
+    marked = common.small_join(docs.select("doc_id", "text"), trusted.select("doc_id", F.lit(1).alias("target")), "doc_id", "left").withColumn("t", F.coalesce("target", F.lit(0))).drop("target")
+    size = F.greatest(2 * F.size(words()) - 1, F.lit(0)).cast("long")
+    n, m = marked.select("t", size.alias("n")).agg(F.sum("n"), F.sum(F.col("t") * F.col("n"))).first()
+    share = (m or 0) / (n or 1)
+    every = ngrams(marked)
+    sample = ngrams(marked.where(F.pmod(key(), F.lit(SAMPLE)) == 0)).groupBy("h").count()
+    least = (sample.agg(F.sum("count")).first()[0] or 0) * HOT
+    # At most 1 / HOT rows.
+    hot = common.stash(sample.where(F.col("count") >= max(least, 8)).select("h"), "hot")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    done = None
+    for k in range(SLICES):
+        own = every.where(F.pmod("h", F.lit(SLICES)) == k).join(F.broadcast(hot.withColumn("is_hot", F.lit(1))), "h", "left")
+        # A hot n-gram's rows go by document, the others' by n-gram. No h is null: the optimizer is told so, lest its filters make the exchange twice.
+        dealt = own.select("key", "t", F.coalesce("h", F.lit(0)).alias("h"), F.when(F.col("is_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod("key", F.lit(parts))).cast("int").alias("salt")).repartition(parts, "h", "salt")
+        counted = dealt.groupBy("h", "salt", "key", "t").agg(F.count("*").alias("c"))
+        totals = counted.groupBy("h", "salt").agg(F.sum("c").alias("raw"), F.sum(F.col("c") * F.col("t")).alias("target"))
+        # least(): a filter on salt alone would go below the exchange, which is to be made once.
+        whole = totals.where(F.least("salt", "raw") > 0).groupBy("h").agg(F.sum("raw").alias("hot_raw"), F.sum("target").alias("hot_target"))
+        both = counted.join(totals.hint("shuffle_hash"), ["h", "salt"]).join(F.broadcast(whole), "h", "left")
+        others = F.coalesce("hot_target", "target") - F.col("c") * F.col("t")
+        expected = (F.coalesce("hot_raw", "raw") - F.col("c")) * F.lit(float(share))
+        ratio = F.log((others + SMOOTH) / (expected + SMOOTH))
+        part = common.stash(both.select("key", "t", "c", (ratio * F.col("c")).alias("r")).groupBy("key").agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.max("t").alias("t")), "slice")
+        done = part if done is None else done.union(part)
+        # Shuffle files go when the driver collects its garbage.
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
+    return done.groupBy("key").agg(F.round(F.sum("r") / F.sum("c"), 9).alias("score"), (F.max("t") == 1).alias("trusted"))
+
+
+def measured(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """docs with key, the base figures, base_failed, score and trusted; docs needs doc_id, and text without nulls."""
+    x = with_hashes(docs).withColumn("key", key())
     x = x.withColumn("n_words", F.size("words").cast("long"))
     x = x.withColumn("word_chars", F.char_length(F.array_join("words", "")).cast("long"))
     x = x.withColumn("n_symbols", (F.size(F.split("text", "[#*$%&|<>]", -1)) - 1).cast("long"))
@@ -64,10 +104,30 @@ def scored(docs: DataFrame, table: DataFrame, threshold: float = THRESHOLD) -> D
     x = x.withColumn("windows", F.expr("CASE WHEN size(array_distinct(h3)) < size(h3) THEN sort_array(transform(h3, (h, i) -> struct(h, i))) END"))
     again = "filter(zip_with(windows, slice(windows, 2, size(windows)), (a, b) -> CASE WHEN a.h = b.h THEN array(a.i, a.i + 1, a.i + 2, b.i, b.i + 1, b.i + 2) END), p -> p IS NOT NULL)"
     x = x.withColumn("n_repeat_words", F.expr(f"CASE WHEN windows IS NULL THEN 0L ELSE cast(size(array_distinct(flatten({again}))) AS bigint) END"))
-    total = " + ".join(f"aggregate({h}, 0D, (s, h) -> s + ratio[{bucket('h')}])" for h in ("h1", "h2"))
-    x = x.withColumn("score", F.expr(f"CASE WHEN size(words) = 0 THEN 0D ELSE ({total}) / (size(h1) + size(h2)) END"))
     x = x.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return x.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    x = common.small_join(x.drop("words", "h1", "h2", "h3", "lines", "windows"), table, "key", "left")
+    return x.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+
+
+def threshold(figures: DataFrame) -> float:
+    """The score that KEPT of the trusted documents reach, of those that pass the base rules; without any, the least of all."""
+    bars = figures.where("trusted AND NOT base_failed").groupBy(F.floor(F.col("score") / STEP).alias("bar")).count().collect()
+    left = sum(b["count"] for b in bars) * (1 - KEPT)
+    for bar, n in sorted(map(tuple, bars)):
+        left -= n
+        if left < 0:
+            return bar * STEP
+    return float("-inf")
+
+
+def kept(least: float) -> F.Column:
+    return ~F.col("base_failed") & (F.col("score") >= least)
+
+
+def scored(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """docs with the base figures, score, base_failed and kept."""
+    x = measured(docs, table)
+    return x.withColumn("kept", kept(threshold(x)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -77,4 +137,5 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.texts(common.documents(spark, sf_dir))
     table = common.stash(ratios(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))), "ratios")
-    return scored(docs, table).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    x = common.stash(measured(docs, table).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "trusted"), "figures")
+    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept(threshold(x)).alias("kept"), "score")

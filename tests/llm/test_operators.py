@@ -178,6 +178,34 @@ def test_quality(docs, none, spark):
     assert quality.scored(common.texts(none), common.stash(quality.ratios(common.texts(none), ids), "r")).count() == 0
 
 
+def test_quality_counts_each_ngram_by_itself(spark):
+    """Against brute force over more n-grams than 4096; bad documents, labelled or not, go however many n-grams there are."""
+    from collections import Counter
+    from math import log
+
+    from strandloom.llm import common
+
+    r = random.Random(9)
+    good, bad = ([f"{k}{i}" for i in range(700)] for k in "gb")
+    rows = [(i, " ".join(r.choice(bad if i % 8 == 0 else good) for _ in range(80))) for i in range(240)]
+    trusted = {i for i, _ in rows if i % 8 and i % 2}
+    plain = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    got = {q.doc_id: q for q in quality.scored(plain, common.stash(quality.ratios(plain, spark.createDataFrame([(i,) for i in trusted], "doc_id long")), "r")).collect()}
+    own = {i: Counter(w + list(zip(w, w[1:]))) for i, w in ((i, t.split()) for i, t in rows)}
+    own[0] = Counter({h: 2 * c for h, c in own[0].items()})
+    raw, target = Counter(), Counter()
+    for i, c in own.items():
+        raw.update(c)
+        target.update(c if i in trusted else {})
+    assert len(raw) > 4096
+    share = target.total() / raw.total()
+    for i, c in own.items():
+        want = sum(n * log((target[h] - n * (i in trusted) + 1) / ((raw[h] - n) * share + 1)) for h, n in c.items()) / c.total()
+        assert abs(got[i].score - want) < 1e-6
+        assert got[i].kept == (i % 8 > 0) or i in trusted
+    assert sum(got[i].kept for i in trusted) >= 0.98 * len(trusted)
+
+
 def test_toxicity(docs, none, spark):
     labels = "doc_id long, quality int, toxic int"
     assert all(r.score == 0.0 for r in toxicity.score(docs, spark.createDataFrame([], labels)).collect())
