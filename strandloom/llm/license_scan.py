@@ -23,54 +23,54 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 #: The base phrases and their labels.
 PHRASES = ((("under", "the", "mit", "license"), "mit"), (("apache", "license", "version", "2"), "apache-2"), (("cc", "by", "nc"), "cc-by-nc"))
 
-#: Families: keyword, label, names (patterns over words that single spaces part), versions.
+#: Families: keywords that cover all names, label, names (patterns over words that single spaces part), versions.
 FAMILIES = (
-    ("apache", "apache", "apache(?: software)? licen[sc]e|apache", "1 0|1 1|2(?: 0)?"),
-    ("mit", "mit", "mit(?: x11)?", ""),
-    ("expat", "mit", "expat", ""),
-    ("bsd", "bsd", "(?:new |simplified |revised |modified )?bsd(?: [0234] clause)?|[0234] clause bsd", ""),
-    ("lesser", "lgpl", "(?:gnu )?(?:lesser|library) general public", "2(?: [01])?|3(?: 0)?"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", "2(?: [01])?|3(?: 0)?|v2 1|v3"),
-    ("affero", "agpl", "(?:gnu )?affero general public", "1(?: 0)?|3(?: 0)?"),
-    ("agpl", "agpl", "(?:gnu )?agpl", "3(?: 0)?|v3"),
-    ("general public", "gpl", "(?:gnu )?general public", "1(?: 0)?|2(?: 0)?|3(?: 0)?"),
-    ("gpl", "gpl", "(?:gnu )?gpl", "1(?: 0)?|2(?: 0)?|3(?: 0)?|v1|v2|v3"),
-    ("mozilla", "mpl", "mozilla public", "1 0|1 1|2(?: 0)?"),
-    ("mpl", "mpl", "mpl", "1 0|1 1|2(?: 0)?"),
-    ("eclipse", "epl", "eclipse public|eclipse distribution", "1 0|2(?: 0)?"),
-    ("common development", "cddl", "common development and distribution", "1 0|1 1"),
-    ("cddl", "cddl", "cddl", "1 0|1 1"),
-    ("isc", "isc", "isc", ""),
-    ("zlib", "zlib", "zlib(?: libpng)?", ""),
-    ("boost", "bsl", "boost software", "1 0"),
-    ("unlicense", "unlicense", "the unlicense|unlicense", ""),
-    ("wtfpl", "wtfpl", "wtfpl", "1|2"),
-    ("artistic", "artistic", "(?:perl )?artistic", "1 0|2(?: 0)?"),
-    ("python software", "psf", "python software foundation", "2"),
-    ("postgresql", "postgresql", "postgresql", ""),
-    ("openssl", "openssl", "openssl", ""),
-    ("ruby", "ruby", "ruby", ""),
-    ("php", "php", "php", "3 0|3 01"),
-    ("w3c", "w3c", "w3c(?: software)?(?: notice and)?", ""),
-    ("european union", "eupl", "european union public", "1 [012]"),
-    ("eupl", "eupl", "eupl", "1 [012]"),
-    ("cecill", "cecill", "cecill(?: [bc])?", "1 [01]|2 [01]"),
-    ("microsoft", "ms", "microsoft (?:public|reciprocal)", ""),
-    ("academic free", "afl", "academic free", "1 [12]|2 [01]|3 0"),
-    ("open software", "osl", "open software", "1 [01]|2 [01]|3 0"),
-    ("creative commons", "cc", "creative commons(?: attribution)?(?: non ?commercial)?(?: share ?alike| no ?derivatives?)?", "1 0|2 [05]|3 0|4 0"),
-    ("cc by", "cc-by", "cc by(?: nc)?(?: sa| nd)?", "1 0|2 [05]|3 0|4 0"),
-    ("cc0", "cc0", "cc0|cc zero", "1 0"),
-    ("open data commons", "odc", "open data commons(?: attribution| open database)?", "1 0"),
-    ("odbl", "odbl", "odbl|open database", "1 0"),
-    ("free documentation", "gfdl", "(?:gnu )?free documentation", "1 [123]"),
-    ("gfdl", "gfdl", "gfdl", "1 [123]"),
-    ("open font", "ofl", "(?:sil )?open font", "1 [01]"),
-    ("public domain", "public-domain", "public domain", ""),
-    ("beerware", "beerware", "beerware|beer ware", ""),
-    ("server side", "sspl", "server side public", "1"),
-    ("business source", "busl", "business source", "1 [01]"),
-    ("elastic", "elastic", "elastic", "2(?: 0)?"),
+    (("apache",), "apache", "apache(?: software)? licen[sc]e|apache", "1 0|1 1|2(?: 0)?"),
+    (("mit",), "mit", "mit(?: x11)?", ""),
+    (("expat",), "mit", "expat", ""),
+    (("bsd",), "bsd", "(?:new |simplified |revised |modified )?bsd(?: [0234] clause)?|[0234] clause bsd", ""),
+    (("lesser", "library"), "lgpl", "(?:gnu )?(?:lesser|library) general public", "2(?: [01])?|3(?: 0)?"),
+    (("lgpl",), "lgpl", "(?:gnu )?lgpl", "2(?: [01])?|3(?: 0)?|v2 1|v3"),
+    (("affero",), "agpl", "(?:gnu )?affero general public", "1(?: 0)?|3(?: 0)?"),
+    (("agpl",), "agpl", "(?:gnu )?agpl", "3(?: 0)?|v3"),
+    (("general public",), "gpl", "(?:gnu )?general public", "1(?: 0)?|2(?: 0)?|3(?: 0)?"),
+    (("gpl",), "gpl", "(?:gnu )?gpl", "1(?: 0)?|2(?: 0)?|3(?: 0)?|v1|v2|v3"),
+    (("mozilla",), "mpl", "mozilla public", "1 0|1 1|2(?: 0)?"),
+    (("mpl",), "mpl", "mpl", "1 0|1 1|2(?: 0)?"),
+    (("eclipse",), "epl", "eclipse public|eclipse distribution", "1 0|2(?: 0)?"),
+    (("common development",), "cddl", "common development and distribution", "1 0|1 1"),
+    (("cddl",), "cddl", "cddl", "1 0|1 1"),
+    (("isc",), "isc", "isc", ""),
+    (("zlib",), "zlib", "zlib(?: libpng)?", ""),
+    (("boost",), "bsl", "boost software", "1 0"),
+    (("unlicense",), "unlicense", "the unlicense|unlicense", ""),
+    (("wtfpl",), "wtfpl", "wtfpl", "1|2"),
+    (("artistic",), "artistic", "(?:perl )?artistic", "1 0|2(?: 0)?"),
+    (("python software",), "psf", "python software foundation", "2"),
+    (("postgresql",), "postgresql", "postgresql", ""),
+    (("openssl",), "openssl", "openssl", ""),
+    (("ruby",), "ruby", "ruby", ""),
+    (("php",), "php", "php", "3 0|3 01"),
+    (("w3c",), "w3c", "w3c(?: software)?(?: notice and)?", ""),
+    (("european union",), "eupl", "european union public", "1 [012]"),
+    (("eupl",), "eupl", "eupl", "1 [012]"),
+    (("cecill",), "cecill", "cecill(?: [bc])?", "1 [01]|2 [01]"),
+    (("microsoft",), "ms", "microsoft (?:public|reciprocal)", ""),
+    (("academic free",), "afl", "academic free", "1 [12]|2 [01]|3 0"),
+    (("open software",), "osl", "open software", "1 [01]|2 [01]|3 0"),
+    (("creative commons",), "cc", "creative commons(?: attribution)?(?: non ?commercial)?(?: share ?alike| no ?derivatives?)?", "1 0|2 [05]|3 0|4 0"),
+    (("cc by",), "cc-by", "cc by(?: nc)?(?: sa| nd)?", "1 0|2 [05]|3 0|4 0"),
+    (("cc0", "cc zero"), "cc0", "cc0|cc zero", "1 0"),
+    (("open data commons",), "odc", "open data commons(?: attribution| open database)?", "1 0"),
+    (("odbl", "open database"), "odbl", "odbl|open database", "1 0"),
+    (("free documentation",), "gfdl", "(?:gnu )?free documentation", "1 [123]"),
+    (("gfdl",), "gfdl", "gfdl", "1 [123]"),
+    (("open font",), "ofl", "(?:sil )?open font", "1 [01]"),
+    (("public domain",), "public-domain", "public domain", ""),
+    (("beerware", "beer ware"), "beerware", "beerware|beer ware", ""),
+    (("server side",), "sspl", "server side public", "1"),
+    (("business source",), "busl", "business source", "1 [01]"),
+    (("elastic",), "elastic", "elastic", "2(?: 0)?"),
 )
 #: Ways of naming a license: pattern (N: a name, V: a version), priority, confidence; lower priorities come first.
 WAYS = (
@@ -86,16 +86,16 @@ WAYS = (
 )
 
 
-def rules() -> list[tuple[str, str, re.Pattern, int, float]]:
-    """(keyword, label, pattern, priority, confidence) of each rule; hundreds, in order of priority."""
+def rules() -> list[tuple[tuple[str, ...], str, re.Pattern, int, float]]:
+    """(keywords, label, pattern, priority, confidence) of each rule; hundreds, in order of priority."""
     out = []
-    for keyword, label, names, versions in FAMILIES:
+    for keywords, label, names, versions in FAMILIES:
         for way, priority, sure, versioned in WAYS:
             if versioned and not versions:
                 continue
             pattern = way.replace("N", names)
             pattern = pattern.replace("(?:V)", f"(?P<v>{versions})") if versions else pattern.replace("(?: (?:V))?", "")
-            out.append((keyword, label, re.compile(rf"(?<![^ ]){pattern}(?![^ ])"), priority, sure))
+            out.append((keywords, label, re.compile(rf"(?<![^ ]){pattern}(?![^ ])"), priority, sure))
     return sorted(out, key=lambda r: r[3])
 
 
@@ -122,12 +122,12 @@ def base_places(words: list[str]) -> list[tuple[int, str]]:
 
 def detections(line: str, known: list) -> list[tuple[int, int, str, float]]:
     """(start, end, label, confidence) in the single-spaced words, after suppression."""
-    held: dict[str, bool] = {}
+    held: dict[tuple[str, ...], bool] = {}
     found = []
-    for keyword, label, pattern, priority, sure in known:
-        if keyword not in held:
-            held[keyword] = keyword in line
-        if held[keyword]:
+    for keywords, label, pattern, priority, sure in known:
+        if keywords not in held:
+            held[keywords] = any(k in line for k in keywords)
+        if held[keywords]:
             for m in pattern.finditer(line):
                 v = m.groupdict().get("v")
                 found.append((priority, m.start() - m.end(), m.start(), m.end(), f"{label}-{v.lstrip('v').split(' 0')[0].replace(' ', '.')}" if v else label, sure))
@@ -142,7 +142,7 @@ def _scan(batches):
     import pyarrow as pa
 
     known = rules()
-    gate = {r[0].split()[0] for r in known}
+    gate = {k.split()[0] for r in known for k in r[0]}
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
     for batch in batches:
         names, rows = batch.column("doc_id"), batch.column("text")

@@ -154,6 +154,35 @@ def test_scans(docs, none):
     assert len(license_scan.rules()) > 300
 
 
+def spelled(pattern):
+    """The texts of a pattern without unbounded repeats; of a class of characters the first."""
+
+    def of(parts):
+        if not parts:
+            return [""]
+        (op, arg), rest = parts[0], of(parts[1:])
+        if str(op) == "LITERAL":
+            own = [chr(arg)]
+        elif str(op) == "IN":
+            own = of([arg[0]])
+        elif str(op) == "BRANCH":
+            own = [x for way in arg[1] for x in of(list(way))]
+        elif str(op) == "SUBPATTERN":
+            own = of(list(arg[3]))
+        else:
+            own = ["", *of(list(arg[2]))] if arg[0] == 0 else of(list(arg[2]))
+        return [x + y for x in own for y in rest]
+
+    return of(list(re._parser.parse(pattern)))
+
+
+def test_every_license_name_alone_is_found(spark):
+    cases = [(f"{name} license", label) for _, label, names, _ in license_scan.FAMILIES for name in spelled(names)]
+    cases.append(("GNU Library General Public License version 2", "lgpl-2"))
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [(t, label, got[i]) for i, (t, label) in enumerate(cases) if label not in got[i].split(",")] == []
+
+
 def test_pii_base_spans():
     kinds = [k for k, _, _ in pii.base_spans("x.@a.b.co @b. 1.2.3.4 300.1.1.1 x 4111 1111-1111 1111 +44 (20) 1234-5678")]
     assert sorted(kinds) == ["card", "email", "ip", "phone"]
