@@ -1,14 +1,18 @@
 """Secret scan: base patterns, and probabilistic automata inferred from the credentials that they label.
 
 The base patterns find labelled credentials: their values with their kind. From a bounded sample of the distinct
-values of each kind, and of ordinary long tokens for contrast, a prefix tree of character classes is built in a task
-of its own, and its states are merged where their outgoing frequencies are statistically compatible (Hoeffding bounds,
-blue states against red ones). Every candidate token of every text is then scored by its mean log-likelihood under the
-best credential automaton less that under the contrast; a token that scores at least THRESHOLD is a span of kind
-`format`.
-
-Cases: null and empty texts have no spans; repeated rows return as often as they occur; a table without credentials
-trains nothing and adds nothing; other columns are ignored.
+values of each kind a prefix tree of character classes is built in a task of its own, and its states are merged where
+their outgoing frequencies are statistically compatible (Hoeffding bounds, blue states against red ones). A contrast
+automaton is fitted in the same way on a bounded sample of the other candidates, less those that a credential automaton
+likes as well as its own values. Every candidate token of every text, whole, is then scored by its mean log-likelihood
+under the best credential automaton less that under the contrast; a token that scores at least THRESHOLD is a span of
+kind `format`. A token with = or / in it that does not is scored part by part.
+
+Both passes read the texts and keep no more than their batch; nothing but the samples is shuffled.
+
+Cases: null and empty texts have no spans; a very long text is read whole, in time linear in its length and hits; of
+spans that tie at one start the order of KINDS decides; repeated rows return as often as they occur; a table without
+credentials trains nothing and adds nothing; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +31,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 KINDS = ("assign", "access", "hex", "format")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-#: Distinct values of each kind that an automaton is fitted on: the ones with the smallest hashes.
-SAMPLE = 400
-#: Symbols of a token that are read; format shows at the start.
-DEPTH = 48
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
+PART = re.compile(r"[^=/]{12,}")
+#: Distinct values of each kind that an automaton is fitted on: the ones with the smallest hashes, of at most FIT_LENGTH characters.
+SAMPLE, FIT_LENGTH = 400, 256
+#: Of a kind's own values, the share that fit it less well than what the contrast may not learn from.
+DOUBT = 0.1
 ALPHA = 0.05
 #: Mean log-likelihood ratio for each symbol.
 THRESHOLD = 0.5
@@ -56,9 +61,25 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, s
     return found, values
 
 
+def _classes() -> dict[int, str]:
+    """0 digits, f letters a-f, g other small ones, F and G capitals alike; marks stay themselves."""
+    own = {ord(c): "0" for c in "0123456789"}
+    for k in range(26):
+        own[97 + k], own[65 + k] = ("f", "F") if k < 6 else ("g", "G")
+    return own
+
+
+CLASSES = _classes()
+
+
 def symbols(token: str) -> str:
-    """Character classes: 0 digits, f letters a-f, g other small ones, F and G capitals alike, and each mark itself."""
-    return "".join("0" if c.isdigit() else "f" if "a" <= c <= "f" else "F" if "A" <= c <= "F" else "g" if "a" <= c <= "z" else "G" if "A" <= c <= "Z" else c for c in token[:DEPTH])
+    """The character classes of a token."""
+    return token.translate(CLASSES)
+
+
+def candidates(text: str, found: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The tokens that may be secrets, by start, outside of the spans found."""
+    return spans.outside(found, [m.span() for m in CANDIDATE.finditer(text)])
 
 
 class Automaton:
@@ -163,21 +184,30 @@ def log_likelihood(table: dict, word: str) -> float:
     return (total + table["ends"][s]) / (len(word) + 1)
 
 
-def _scan(batches):
-    import pyarrow as pa
+def _samples(sample: int):
+    """(kind, token, h) of the `sample` distinct values of each kind with the smallest hashes in a task."""
+
+    def run(batches):
+        import heapq
+
+        import pyarrow as pa
+        import xxhash
+
+        least: dict[str, dict[int, str]] = {k: {} for k in (*KINDS[:3], "plain")}
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                for text in batch.column("text").slice(i, 1024).to_pylist():
+                    found, values = base_spans(text)
+                    for kind, token in [*values, *(("plain", text[s:e]) for s, e in candidates(text, found))]:
+                        if len(token) <= FIT_LENGTH:
+                            least[kind][xxhash.xxh64_intdigest(token) >> 1] = token
+                for kind, own in least.items():
+                    if len(own) > 4 * sample:
+                        least[kind] = {h: own[h] for h in heapq.nsmallest(sample, own)}
+        rows = [(k, own[h], h) for k, own in least.items() for h in heapq.nsmallest(sample, own)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "token", "h"])
 
-    value = pa.struct([("kind", pa.string()), ("token", pa.string())])
-    place = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("token", pa.string())])
-    for batch in batches:
-        names, rows = batch.column("doc_id"), batch.column("text")
-        for i in range(0, len(rows), 1024):
-            base, values, places = [], [], []
-            for text in rows.slice(i, 1024).to_pylist():
-                found, own = base_spans(text)
-                base.append(spans.joined(found, KINDS))
-                values.append([{"kind": k, "token": t} for k, t in own])
-                places.append([{"start": m.start(), "end": m.end(), "token": m[0]} for m in CANDIDATE.finditer(text) if spans.free(found, m.start(), m.end())])
-            yield pa.RecordBatch.from_arrays([names.slice(i, 1024), pa.array(base, pa.string()), pa.array(values, pa.list_(value)), pa.array(places, pa.list_(place))], ["doc_id", "base", "creds", "cands"])
+    return run
 
 
 def _fit(pdf):
@@ -186,51 +216,84 @@ def _fit(pdf):
     import pandas as pd
 
     words = sorted(symbols(t) for t in pdf["token"])
-    return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "automaton": [json.dumps(Automaton(words).merge().table())]})
+    table = Automaton(words).merge().table()
+    own = sorted(log_likelihood(table, w) for w in words)
+    return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "automaton": [json.dumps(table)], "doubt": [own[int(DOUBT * len(own))]]})
+
+
+def _fit_plain(known: dict[str, tuple[dict, float]]):
+    def run(pdf):
+        unlike = pdf["token"].map(lambda t: all(log_likelihood(a, symbols(t)) < doubt for a, doubt in known.values()))
+        return _fit(pdf[unlike] if unlike.any() else pdf)
+
+    return run
 
 
-def automata(scanned: DataFrame, sample: int = SAMPLE) -> dict[str, dict]:
-    """One automaton for each kind with labelled values, and `plain` for the other candidates."""
+FITTED = "kind string, automaton string, doubt double"
+
+
+def automata(docs: DataFrame, sample: int = SAMPLE) -> dict[str, dict]:
+    """One automaton for each kind with labelled values, and `plain` for the other candidates. docs: text."""
     import json
 
-    values = scanned.select(F.explode("creds").alias("c")).select("c.kind", "c.token").union(scanned.select(F.explode("cands").alias("c")).select(F.lit("plain"), "c.token"))
+    # At most `sample` values of a kind and task, and of those as many of a kind in all.
+    drawn = docs.select("text").mapInArrow(_samples(sample), "kind string, token string, h long").distinct()
     first = None
     for kind in (*KINDS[:3], "plain"):
-        own = values.where(F.col("kind") == kind).groupBy("kind", "token").agg(F.xxhash64("token").alias("h")).orderBy("h").limit(sample).select("kind", "token")
+        own = drawn.where(F.col("kind") == kind).orderBy("h", "token").limit(sample).select("kind", "token")
         first = own if first is None else first.union(own)
-    return {r[0]: json.loads(r[1]) for r in first.groupBy("kind").applyInPandas(_fit, "kind string, automaton string").collect()}
+    first = common.stash(first, "sample")
+    good = {r[0]: (json.loads(r[1]), r[2]) for r in first.where("kind <> 'plain'").groupBy("kind").applyInPandas(_fit, FITTED).collect()}
+    plain = first.where("kind = 'plain'").groupBy("kind").applyInPandas(_fit_plain(good), FITTED).collect() if good else []
+    return {k: a for k, (a, _) in good.items()} | {r[0]: json.loads(r[1]) for r in plain}
+
 
+def formats(text: str, found: list[tuple[str, int, int]], score, threshold: float) -> list[tuple[str, int, int]]:
+    """Spans of kind `format`: candidates whose score reaches the threshold, or else parts of them that do."""
+    out = []
+    for s, e in candidates(text, found):
+        if score(text[s:e]) >= threshold:
+            out.append(("format", s, e))
+        elif "=" in text[s:e] or "/" in text[s:e]:
+            out += [("format", s + m.start(), s + m.end()) for m in PART.finditer(text[s:e]) if score(m[0]) >= threshold]
+    return out
 
-def _score(known: dict[str, dict], threshold: float):
+
+def _score(known: dict[str, dict], threshold: float, keep: list[str]):
     def run(batches):
         import pyarrow as pa
 
-        good = [t for k, t in known.items() if k != "plain"]
-        plain = known.get("plain")
-        for batch in batches:
-            out = []
-            for base, cands in zip(batch.column("base").to_pylist(), batch.column("cands").to_pylist()):
-                own = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in base.split(",") if x)]
-                added = []
-                for c in cands if good else ():
-                    t = c["token"]
-                    if any(x.isdigit() for x in t) and any(x.isalpha() for x in t):
-                        w = symbols(t)
-                        if max(log_likelihood(a, w) for a in good) - (log_likelihood(plain, w) if plain else -2.0) >= threshold:
-                            added.append(("format", c["start"], c["end"]))
-                n = [sum(k == kind for k, _, _ in own) for kind in KINDS[:3]]
-                out.append((*n, spans.digest(base), spans.joined(own + added, KINDS)))
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        good, plain = [t for k, t in known.items() if k != "plain"], known.get("plain")
+        seen: dict[str, float] = {}
+
+        def score(token: str) -> float:
+            w = symbols(token)
+            if w not in seen:
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen[w] = max(log_likelihood(a, w) for a in good) - (log_likelihood(plain, w) if plain else -2.0)
+            return seen[w]
+
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch, out = whole.slice(i, 1024), []
+                for text in batch.column("text").to_pylist():
+                    own, _ = base_spans(text)
+                    base = spans.joined(own, KINDS)
+                    every = spans.joined(own + formats(text, own, score, threshold), KINDS) if good else base
+                    out.append((*(sum(k == kind for k, _, _ in own) for kind in KINDS[:3]), spans.digest(base), every))
+                cols = list(zip(*out)) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], [*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return run
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row."""
-    scanned = common.stash(common.texts(docs).mapInArrow(_scan, "doc_id long, base string, creds array<struct<kind:string,token:string>>, cands array<struct<start:long,end:long,token:string>>"), "scanned")
-    return scanned.select("doc_id", "base", "cands").mapInArrow(_score(automata(scanned), threshold), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+def scan(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` and n_assign, n_access, n_hex, base_sha256, spans of each row. docs: text, and what is kept."""
+    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+    return rows.mapInArrow(_score(automata(rows), threshold, list(keep)), f"{kinds}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(common.documents(spark, sf_dir))
+    return scan(common.texts(common.documents(spark, sf_dir)))

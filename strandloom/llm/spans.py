@@ -15,6 +15,14 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def free(spans: list[tuple[str, int, int]], start: int, end: int) -> bool:
-    """Whether start..end meets none of the spans."""
-    return all(end <= s or e <= start for _, s, e in spans)
+def outside(spans: list[tuple[str, int, int]], places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places, given by start, that meet none of the spans: one pass over both."""
+    out, taken, i, reach = [], sorted((s, e) for _, s, e in spans), 0, 0
+    for start, end in places:
+        # reach: the largest end of the spans that start before this place ends; places by start need no step back.
+        while i < len(taken) and taken[i][0] < end:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach <= start:
+            out.append((start, end))
+    return out
