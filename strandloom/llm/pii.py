@@ -1,19 +1,21 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of further identifiers.
 
-The base patterns give seed entities. Every seed, and every other token that holds a digit or an @ and so may be an
-identifier, is an instance with two lexical patterns: the word pair before it, and the word before it with the word
-after it. Spark scores the pattern-instance graph in turns: a pattern's confidence is the smoothed share of its
-occurrences whose instance is a seed or was taken in an earlier turn; an instance's belief is the noisy-or over its
-patterns; instances with a belief of at least BELIEF are taken. After TURNS turns every occurrence of a candidate next
-to a pattern that is confident and has enough support is a span of kind `id`.
-
-Cases: null and empty texts have no spans; repeated rows return as often as they occur; a table without seeds takes
-nothing; an empty table gives no row; other columns are ignored.
+The base patterns give seed entities. Every seed, and every other token that may be an identifier (it holds a digit or
+an @, or follows a colon or an equals sign), is an instance with two lexical patterns: the two words or marks before it,
+and the one before it with the one after it. Spark scores the pattern-instance graph in turns: a pattern's confidence is
+the smoothed share of its occurrences whose instance is a seed or was taken in an earlier turn; an instance's belief is
+the noisy-or over its patterns; instances with a belief of at least BELIEF are taken. After TURNS turns every occurrence
+of a candidate next to a pattern that is confident and has enough support is a span of kind `id`.
+
+Cases: null and empty texts have no spans; a very long text is read whole, in time linear in its length and hits; of
+spans that tie at one start the order of KINDS decides; repeated rows return as often as they occur; a table without
+seeds takes nothing; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,9 +30,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){11,}")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
-CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0d\"'(<])[A-Za-z0-9@._%+/#-]*[0-9@][A-Za-z0-9@._%+/#-]{3,}")
-#: Code points of context that are read on either side.
-CONTEXT = 60
+#: What may be an identifier, unless it has neither a digit nor an @ and follows no colon or equals sign.
+TOKEN = re.compile(r"[A-Za-z0-9@._%+/#-]*[A-Za-z0-9@][A-Za-z0-9@._%+/#-]*")
+SIGN = re.compile("[0-9@]")
+#: Words and marks of a context.
+LEXICAL = re.compile(r"\w+|[^\w\s]")
 TURNS = 3
 BELIEF = 0.8
 #: A pattern needs so much confidence and so many different taken instances to yield spans.
@@ -75,11 +79,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around start..end: the two words before, and the word before with the word after."""
-    before = re.findall("[^\x20\x09-\x0d]+", text[max(0, start - CONTEXT) : start].lower())[-2:]
-    after = re.findall("[^\x20\x09-\x0d]+", text[end : end + CONTEXT].lower())[:1]
-    return [" ".join(["", "", *before][-2:]) + " _", f"{([''] + before)[-1]} _ {(after or [''])[0]}"]
+def candidates(text: str, found: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The tokens that may be identifiers, by start, outside of the spans found."""
+    places = []
+    labels = ":" in text or "=" in text
+    if labels or SIGN.search(text):
+        for m in TOKEN.finditer(text):
+            s, e = m.span()
+            named = labels and (text[s - 1 : s] in (":", "=") if s and text[s - 1] != " " else s > 1 and text[s - 2] in ":=")
+            if named or SIGN.search(m[0]):
+                while e > s and text[e - 1] in ".-/":
+                    e -= 1
+                if e > s:
+                    places.append((s, e))
+    return spans.outside(found, places)
+
+
+def contexts(text: str):
+    """A function from (start, end) to the lexical patterns around it: the two before, and the one before with the one after."""
+    words = [m.span() for m in LEXICAL.finditer(text)]
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+
+    def of(start: int, end: int) -> list[str]:
+        i, j = bisect_right(ends, start), bisect_left(starts, end)
+        word = lambda k: text[starts[k] : ends[k]].lower() if 0 <= k < len(words) else ""
+        return [f"{word(i - 2)} {word(i - 1)} _", f"{word(i - 1)} _ {word(j)}"]
+
+    return of
 
 
 def _scan(batches):
@@ -94,12 +120,9 @@ def _scan(batches):
                 found = base_spans(text)
                 base.append(spans.joined(found, KINDS))
                 counts.append([sum(k == kind for k, _, _ in found) for kind in KINDS[:4]])
-                own = [{"start": s, "end": e, "seed": True, "token": text[s:e], "patterns": patterns(text, s, e)} for _, s, e in found]
-                for m in CANDIDATE.finditer(text) if "@" in text or DIGIT.search(text) else ():
-                    s, e = m.start(), m.end() - (m[0][-1] in ".-")
-                    if spans.free(found, s, e):
-                        own.append({"start": s, "end": e, "seed": False, "token": text[s:e], "patterns": patterns(text, s, e)})
-                cands.append(own)
+                own = [(s, e, True) for _, s, e in found] + [(s, e, False) for s, e in candidates(text, found)]
+                of = contexts(text) if own else None
+                cands.append([{"start": s, "end": e, "seed": seed, "token": text[s:e], "patterns": of(s, e)} for s, e, seed in own])
             yield pa.RecordBatch.from_arrays([names.slice(i, 1024), pa.array(base, pa.string()), pa.array(counts, pa.list_(pa.int64())), pa.array(cands, pa.list_(place))], ["doc_id", "base", "counts", "cands"])
 
 
@@ -138,9 +161,12 @@ def scan(docs: DataFrame) -> DataFrame:
     edges = scanned.select(F.explode("cands").alias("c")).select(F.explode("c.patterns").alias("pattern"), F.xxhash64("c.token").alias("instance"), "c.seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     good = confident(common.stash(edges, "edges"))
     open_ = scanned.select("row", F.explode("cands").alias("c")).where("NOT c.seed").select("row", "c.start", "c.end", F.explode("c.patterns").alias("pattern"))
-    added = common.stash(common.small_join(open_, good, "pattern").groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("own")), "added")
+    hits = common.stash(common.small_join(open_, good, "pattern").select("row", "start", "end").distinct(), "hits")
+    added = hits.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("own"))
     rows = scanned.select("row", "doc_id", "base", "counts")
-    return common.small_join(rows, added, "row", "left").select("doc_id", "base", "counts", "own").mapInArrow(_finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    # The hits are counted, not their rows: each is three numbers.
+    side = F.broadcast(added) if hits.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS else added
+    return rows.join(side, "row", "left").select("doc_id", "base", "counts", "own").mapInArrow(_finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
