@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import embedding_join, license_scan, mixing, ngram_join, packing, pii, quality, secret_scan, token_output, tokens, toxicity
+from strandloom.llm import common, embedding_join, license_scan, mixing, ngram_join, packing, pii, quality, secret_scan, token_output, tokens, toxicity
 
 R = random.Random(5)
 VOCAB = ["".join(R.choice("abcdefghijklm") for _ in range(5)) for _ in range(400)]
@@ -79,8 +79,6 @@ def test_token_output_round_trip(docs, none, spark):
     for unit in ("byte", "bit"):
         ids = np.arange(1000, dtype="<u4") * 77
         assert np.array_equal(token_output.from_planes(token_output.to_planes(ids, unit), 1000, unit), ids)
-    from strandloom.llm import common
-
     where = common.shared_dir(spark) + "/out-test"
     token_output.write_ids(docs, where, path, block=100, chunk=500)
     got = sorted(token_output.read_ids(spark, where).collect(), key=lambda r: r.start)
@@ -193,46 +191,71 @@ def test_automata_tell_formats_apart():
     assert secret_scan.log_likelihood(good, secret_scan.symbols("ghp123456abcd")) > secret_scan.log_likelihood(good, secret_scan.symbols("hello-world-x"))
 
 
-def test_quality(docs, none, spark):
-    from strandloom.llm import common
-
-    plain = common.texts(docs)
-    for trusted in ([(0,), (1,), (1,)], []):
-        ids = spark.createDataFrame(trusted, "doc_id long").distinct()
-        rows = quality.scored(plain, common.stash(quality.ratios(plain, ids), "r")).collect()
-        got = {r.doc_id: r for r in rows}
-        assert len(rows) == len(table()) and got[14].base_failed and got[14].n_words == 0
-        assert got[18].n_words == 30_000 and got[18].n_repeat_words == 30_000 and not got[18].kept
-        assert got[0].n_words == len(BODY[0].split()) and got[0].word_chars == len(BODY[0].replace(" ", ""))
-    assert quality.scored(common.texts(none), common.stash(quality.ratios(common.texts(none), ids), "r")).count() == 0
-
-
-def test_quality_counts_each_ngram_by_itself(spark):
-    """Against brute force over more n-grams than 4096; bad documents, labelled or not, go however many n-grams there are."""
+def quality_by_hand(rows, trusted, cells):
+    """(base figures, score) of each row (doc_id, text), by loops."""
+    import math
     from collections import Counter
-    from math import log
-
-    from strandloom.llm import common
 
+    import xxhash
+
+    word, fold = re.compile("[^\x20\x09-\x0d]+"), lambda h: h % cells
+    grams = []
+    for _, t in rows:
+        w = [x.encode() for x in word.findall(t or "")]
+        h = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        grams.append([("w", fold(x)) for x in h] + [("p", fold(xxhash.xxh64_intdigest(y, x))) for x, y in zip(h, w[1:])])
+    raw, target, total, good = Counter(), Counter(), Counter(), Counter()
+    for (d, _), g in zip(rows, grams):
+        raw.update(g)
+        target.update(g if d in trusted else ())
+        total.update(k for k, _ in g)
+        good.update(k for k, _ in (g if d in trusted else ()))
+    out = []
+    for (d, t), g in zip(rows, grams):
+        t = t or ""
+        w = word.findall(t)
+        own = [math.log((max(0, target[x] - (d in trusted)) + 1) / ((raw[x] - 1) * good[x[0]] / total[x[0]] + 1)) if good else 0.0 for x in g]
+        runs = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        often = Counter(runs)
+        again = {i + k for i, r in enumerate(runs) if often[r] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if word.search(x)]
+        base = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again))
+        out.append((base, len(w) < 50 or 100 * len(again) > 50 * len(w), sum(own) / len(own) if own else 0.0))
+    return out
+
+
+def test_quality_equals_brute_force(docs, none, spark, monkeypatch):
+    extra = [(100, "a # b\nline one\nline one\n \n \n" + BODY[2] + " " + BODY[2][:90]), (101, "é*ß " * 30 + BODY[5]), (102, "a b c a b c a b c d")]
+    rows = [(r[0], r[1]) for r in table()] + extra
+    given = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    for turn in (1024, quality.TURN_CELLS):
+        monkeypatch.setattr(quality, "TURN_CELLS", turn)
+        for trusted in ({0, 1, 14, 18, 100}, set()):
+            plain = common.texts(given)
+            ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+            got = quality.keyed(plain).join(quality.judged(plain, ids), ["k1", "k2"]).select("doc_id", "text", *quality.FIGURES, "kept").collect()
+            want = quality_by_hand(rows, trusted, quality.table_cells(plain))
+            by = {(d, t or ""): x for (d, t), x in zip(rows, want)}
+            assert len(got) == len(rows)
+            for r in got:
+                base, failed, score = by[r.doc_id, r.text]
+                assert tuple(r[2:7]) == base and r.base_failed == failed and abs(r.score - score) < 1e-5
+                assert r.trusted == (r.doc_id in trusted) and not (r.kept and failed)
+                if not trusted:
+                    assert r.kept != failed
+    assert quality.judged(common.texts(none), ids).count() == 0
+
+
+def test_quality_tells_bad_documents_at_any_size(spark):
     r = random.Random(9)
     good, bad = ([f"{k}{i}" for i in range(700)] for k in "gb")
-    rows = [(i, " ".join(r.choice(bad if i % 8 == 0 else good) for _ in range(80))) for i in range(240)]
-    trusted = {i for i, _ in rows if i % 8 and i % 2}
-    plain = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
-    got = {q.doc_id: q for q in quality.scored(plain, common.stash(quality.ratios(plain, spark.createDataFrame([(i,) for i in trusted], "doc_id long")), "r")).collect()}
-    own = {i: Counter(w + list(zip(w, w[1:]))) for i, w in ((i, t.split()) for i, t in rows)}
-    own[0] = Counter({h: 2 * c for h, c in own[0].items()})
-    raw, target = Counter(), Counter()
-    for i, c in own.items():
-        raw.update(c)
-        target.update(c if i in trusted else {})
-    assert len(raw) > 4096
-    share = target.total() / raw.total()
-    for i, c in own.items():
-        want = sum(n * log((target[h] - n * (i in trusted) + 1) / ((raw[h] - n) * share + 1)) for h, n in c.items()) / c.total()
-        assert abs(got[i].score - want) < 1e-6
-        assert got[i].kept == (i % 8 > 0) or i in trusted
-    assert sum(got[i].kept for i in trusted) >= 0.98 * len(trusted)
+    for many in (240, 1200):
+        rows = [(i, " ".join(r.choice(bad if i % 8 == 0 else good) for _ in range(80))) for i in range(many)]
+        trusted = {i for i, _ in rows if i % 8 and i % 2}
+        plain = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {q.k1: q.kept for q in quality.judged(plain, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()}
+        assert not any(got[i] for i in range(0, many, 8))
+        assert sum(got[i] for i in range(many) if i % 8) >= 0.97 * many * 7 / 8
 
 
 def test_toxicity(docs, none, spark):
