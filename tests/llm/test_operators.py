@@ -68,10 +68,27 @@ def test_tree_keeps_every_pair_over_the_threshold():
 
 
 def test_encoder_equals_the_library():
+    """Letters of all of Unicode, marks and white space in any order, under both vocabularies."""
+    import unicodedata
+
+    r = random.Random(8)
+    letters = [c for c in map(chr, range(0x20, 0x30000)) if unicodedata.category(c) not in ("Cs", "Cn")]
+    marks = [*"İıſKßŉǅ\u0301\u0307\u0300 Ω'@.,- \t\n\r\xa0\u3000  '!0129abcIi'stmdrevl", "'s", "'ll", "  ", "\x00", "\x01", "\x0b", "\x1c", "\x85", "\u2028", "</w>", "<|endoftext|>", "Ġ", "e\u0301", "a.b "]
+    pools = (letters, marks, [chr(c) for c in range(32, 0x250)])
+    texts = ["".join(r.choice(marks if r.random() < 0.4 else r.choice(pools)) for _ in range(r.randrange(24))) for _ in range(20_000)]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        e = tokens.Encoder(tokens.vocabulary(name), most=50)
-        for t in [*BODY[:3], "", " a\n\n b \t", "don't a1b2.3 x,y wo***!! é́ ΑΣ b", "<|endoftext|> a", "a b\x0bc"]:
-            assert np.array_equal(e.whole(t), e.encode([t])[0]), t
+        e = tokens.Encoder(tokens.vocabulary(name), most=500)
+        for t, got in zip([*BODY, *texts], e.encode([*BODY, *texts])):
+            assert np.array_equal(e.whole(t), got), t
+
+
+def test_packing_equals_the_library(docs):
+    path = tokens.vocabulary("word_bpe_49k.json")
+    e, want = tokens.Encoder(path), []
+    for r in table():
+        ids = np.append(e.whole(r[1] or ""), 0).astype("<u4")
+        want += [(r[0], k, i, len(ids[i : i + 2048]), zlib.crc32(ids[i : i + 2048].tobytes())) for k, i in enumerate(range(0, len(ids), 2048))]
+    assert sorted((tuple(r)[:5] for r in packing.pack_documents(docs, path).collect()), key=str) == sorted(want, key=str)
 
 
 def test_token_output_round_trip(docs, none, spark):
