@@ -2,6 +2,7 @@
 
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -96,7 +97,7 @@ def test_token_output_round_trip(docs, none, spark):
     for unit in ("byte", "bit"):
         ids = np.arange(1000, dtype="<u4") * 77
         assert np.array_equal(token_output.from_planes(token_output.to_planes(ids, unit), 1000, unit), ids)
-    where = common.shared_dir(spark) + "/out-test"
+    where = f"{common.shared_dir(spark)}/out-{uuid.uuid4().hex}"
     token_output.write_ids(docs, where, path, block=100, chunk=500)
     got = sorted(token_output.read_ids(spark, where).collect(), key=lambda r: r.start)
     e, at = tokens.Encoder(path), 0
