@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def at_sites(points: DataFrame, seq: DataFrame, at: str, length: int, chunk: int = 1000) -> DataFrame:
-    """Points with `site`, the `length` letters from `at`, of the chunk (doc_id, seq) that holds it.
+def at_sites(points: DataFrame, seq: DataFrame, at: str, length: int, key: str = "doc_id", chunk: int = 1000) -> DataFrame:
+    """Points with `site`, the `length` letters from `at` (0-based) of the sequence `key`; whole sequences are addressed.
 
-    Each chunk carries the letters that its last sites need past its end. A hot chunk is split by Spark's skew join.
+    Sequences (key, seq) are cut into chunks that carry the letters which their last sites need past their end, so a
+    point meets one chunk, however long its sequence. A hot chunk is split by Spark's skew join.
     """
-    pieces = seq.select(F.col("doc_id").alias("_chunk"), "seq")
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(chunk))
+    pieces = seq.select(F.col(key), F.col("seq").alias("_seq"), F.explode(starts).alias("_from")).select(key, (F.col("_from") / chunk).cast("long").alias("_chunk"), F.substr("_seq", F.col("_from") + 1, F.lit(chunk + length - 1)).alias("_piece"))
     placed = points.withColumn("_chunk", F.floor(F.col(at) / chunk))
-    site = F.substr("seq", (F.col(at) % chunk + 1).cast("int"), F.lit(length))
-    return placed.join(pieces, "_chunk").withColumn("site", site).drop("_chunk", "seq")
+    site = F.substr("_piece", (F.col(at) % chunk + 1).cast("int"), F.lit(length))
+    return placed.join(pieces, [key, "_chunk"]).withColumn("site", site).drop("_chunk", "_piece")
 
 
 def nonamers(points: DataFrame, seq: DataFrame, at: str) -> DataFrame:
@@ -37,18 +39,13 @@ def tss_class(up: Column, down: Column, active: tuple = (0.5, 10), inactive: tup
     return F.when(on, "active").when(off, "inactive").otherwise("other")
 
 
-def standardised(v: Column) -> Column:
-    """The array minus its mean, scaled to length 1; null if it is constant."""
-    n = F.size(v)
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
-    centred = F.transform(v, lambda x: x - mean)
-    norm = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(F.array_min(v) < F.array_max(v), F.transform(centred, lambda x: x / norm))
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Of two standardised arrays, their correlation."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def pearson(a: Column, b: Column) -> Column:
+    """The correlation of two arrays of counts, from whole-number sums, so that no rounding but the last occurs."""
+    total = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x)
+    dot = lambda u, v: total(F.zip_with(u, v, lambda x, y: x * y))
+    n, sa, sb = F.size(a), total(a), total(b)
+    spread = (n * dot(a, a) - sa * sa) * (n * dot(b, b) - sb * sb)
+    return (n * dot(a, b) - sa * sb).cast("double") / F.sqrt(F.when(spread > 0, spread).cast("double"))
 
 
 def sliding(events: DataFrame, at: str, width: int, step: int) -> DataFrame:

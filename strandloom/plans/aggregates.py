@@ -89,11 +89,10 @@ def g12(bins, regions):
     return pairs.groupBy("chrom", "start0").agg(F.round(bp / 1000, 4).alias("map"), F.round(F.when(bp > 0, F.sum(F.col("overlap_bp") * (F.col("b_start0") % 100)) / F.when(bp > 0, bp)).otherwise(0.0), 4).alias("gc"))
 
 
-@query("g13_rounded_value_histogram", "SELECT slot, COUNT(*) FILTER (WHERE isl = 35) AS isl_35, COUNT(*) FILTER (WHERE isl = 40) AS isl_40 FROM (SELECT 35 AS isl, FLOOR((start0 // 1000 % 97 / 97.0) * 20 + 0.5) / 20 AS slot FROM f_bins UNION ALL SELECT 40, FLOOR((start0 // 1000 % 89 / 89.0) * 20 + 0.5) / 20 FROM f_bins) GROUP BY 1")
-def g13(bins):
-    k = F.floor(F.col("start0") / 1000)
-    slot = lambda m: F.floor((k % m / float(m)) * 20 + 0.5) / 20
-    both = bins.select(F.lit(35).alias("isl"), slot(97).alias("slot")).union(bins.select(F.lit(40), slot(89)))
+@query("g13_rounded_value_histogram", "SELECT slot, COUNT(*) FILTER (WHERE isl = 35) AS isl_35, COUNT(*) FILTER (WHERE isl = 40) AS isl_40 FROM (SELECT 35 AS isl, FLOOR((n % 97 / 97.0) * 20 + 0.5) / 20 AS slot FROM f_track UNION ALL SELECT 40, FLOOR((bp % 89 / 89.0) * 20 + 0.5) / 20 FROM f_track) GROUP BY 1")
+def g13(track):
+    slot = lambda c, m: F.floor((F.col(c) % m / float(m)) * 20 + 0.5) / 20
+    both = track.select(F.explode(F.array(F.struct(F.lit(35).alias("isl"), slot("n", 97).alias("slot")), F.struct(F.lit(40).alias("isl"), slot("bp", 89).alias("slot")))).alias("s")).select("s.*")
     return both.groupBy("slot").agg(F.count_if(F.col("isl") == 35).alias("isl_35"), F.count_if(F.col("isl") == 40).alias("isl_40"))
 
 
@@ -256,10 +255,9 @@ def g43(inserts):
     return ends.groupBy("chrom", sc.bin_start(F.col("p")).alias("bs0")).agg((F.count("*") * F.lit(0.5)).alias("n"))
 
 
-@query("g44_chrom_correlation", "SELECT chrom, ROUND(CORR(x, y), 6) AS r FROM (SELECT chrom, start0 // 1000 % 11 - 5 AS x, start0 // 1000 % 7 - 3 AS y FROM f_bins) GROUP BY 1")
-def g44(bins):
-    k = F.floor(F.col("start0") / 1000)
-    return bins.groupBy("chrom").agg(F.round(F.corr((k % 11 - 5).cast("double"), (k % 7 - 3).cast("double")), 6).alias("r"))
+@query("g44_chrom_correlation", "SELECT chrom, ROUND(CORR(x, y), 6) AS r FROM (SELECT chrom, n % 11 - 5 AS x, bp % 7 - 3 AS y FROM f_track) GROUP BY 1")
+def g44(track):
+    return track.groupBy("chrom").agg(F.round(F.corr((F.col("n") % 11 - 5).cast("double"), (F.col("bp") % 7 - 3).cast("double")), 6).alias("r"))
 
 
 @query("g46_peak_counts_by_chrom", "SELECT c.chrom, COUNT(r.name) AS n FROM (VALUES ('chr1'),('chr2'),('chr9')) AS c(chrom) LEFT JOIN f_regions r ON r.chrom = c.chrom GROUP BY 1")

@@ -54,9 +54,10 @@ def i7(regions, genes):
     return iv.jaccard(regions, genes).withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query("i8_run_length_group", "WITH v AS (SELECT *, start0 // 5000 % 3 AS v FROM f_bins), c AS (SELECT *, CASE WHEN LAG(v) OVER (PARTITION BY chrom ORDER BY start0) = v THEN 0 ELSE 1 END AS c FROM v), k AS (SELECT *, SUM(c) OVER (PARTITION BY chrom ORDER BY start0 ROWS UNBOUNDED PRECEDING) AS k FROM c) SELECT chrom, v, MIN(start0) AS start0, MAX(end1) AS end1, COUNT(*) AS n FROM k GROUP BY chrom, v, k")
-def i8(bins):
-    return iv.run_length_group(bins.withColumn("v", F.floor(F.col("start0") / 5000) % 3), "v", [F.count("*").alias("n")])
+@query("i8_run_length_group", "WITH v AS (SELECT *, n // 5 % 3 AS v FROM f_track), c AS (SELECT *, CASE WHEN LAG(v) OVER (PARTITION BY chrom ORDER BY start0) = v THEN 0 ELSE 1 END AS c FROM v), k AS (SELECT *, SUM(c) OVER (PARTITION BY chrom ORDER BY start0 ROWS UNBOUNDED PRECEDING) AS k FROM c) SELECT chrom, v, MIN(start0) AS start0, MAX(end1) AS end1, COUNT(*) AS n FROM k GROUP BY chrom, v, k")
+def i8(track):
+    own = track.select("chrom", "start0", "end1", (F.floor(F.col("n") / 5) % 3).alias("v"))
+    return iv.run_length_group(own, "v", [F.count("*").alias("n")])
 
 
 @query("i9_overlap_groups", f"WITH {merged('f_regions', 'm', -1)} SELECT chrom, start0, end1, n FROM m")

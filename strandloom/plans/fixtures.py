@@ -15,6 +15,9 @@ VIEWS = {
     "f_samples": """SELECT * FROM (VALUES ('s1','early_RS',1,'round'),('s2','int_RS',2,'round'),('s3','late_RS',3,'round'),('s4','earliest_ES',4,NULL),('s5','early_ES',5,'elong'),('s6','int_ES',6,'elong'),('s7','late_ES',7,NULL)) AS v(sample, stage, staging_order, stage_type)""",
 }
 
+#: Each bin with the number of inserts that start in it and their bases.
+VIEWS["f_track"] = f"SELECT b.chrom AS chrom, b.start0 AS start0, b.end1 AS end1, COALESCE(i.n, 0) AS n, COALESCE(i.bp, 0) AS bp FROM ({VIEWS['f_bins']}) b LEFT JOIN (SELECT chrom, start0 - start0 % 1000 AS bs0, COUNT(*) AS n, CAST(SUM(end1 - start0) AS BIGINT) AS bp FROM ({VIEWS['f_inserts']}) x GROUP BY 1, 2) i ON i.chrom = b.chrom AND i.bs0 = b.start0"
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view `name` over the tables of sf_dir."""

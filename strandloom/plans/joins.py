@@ -92,11 +92,10 @@ def j16(regions, genes):
     return iv.liftover_points(regions.select("name", "chrom", F.col("start0").alias("pos")), blocks).select("name", "t_chrom", "t_pos")
 
 
-@query("j17_track_inner_merge", "SELECT chrom, start0, start0 // 1000 % 11 - 5 AS one, start0 // 1000 % 7 - 3 AS two FROM f_bins WHERE chrom <> 'chrX' AND start0 % 3000 <> 0")
-def j17(bins):
-    k = F.floor(F.col("start0") / 1000)
-    one = bins.where("chrom <> 'chrX'").select("chrom", "start0", "end1", (k % 11 - 5).alias("one"))
-    two = bins.where("start0 % 3000 <> 0").select("chrom", "start0", "end1", (k % 7 - 3).alias("two"))
+@query("j17_track_inner_merge", "SELECT chrom, start0, n % 11 - 5 AS one, bp % 7 - 3 AS two FROM f_track WHERE chrom <> 'chrX' AND n % 3 <> 0")
+def j17(track):
+    one = track.where("chrom <> 'chrX'").select("chrom", "start0", "end1", (F.col("n") % 11 - 5).alias("one"))
+    two = track.where("n % 3 <> 0").select("chrom", "start0", "end1", (F.col("bp") % 7 - 3).alias("two"))
     return one.join(two, ["chrom", "start0", "end1"]).drop("end1")
 
 
@@ -107,13 +106,13 @@ def j18(inserts, regions):
     return iv.overlap_semi(points, runs, ["sample", "chrom", "start0", "stop"], ("chrom", "isl")).groupBy("sample").agg(F.count("*").alias("n"))
 
 
-@query("j19_isl_weighted_bin_values", "WITH s AS (SELECT sample, end1 % 5 AS isl, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2), f AS (SELECT sample, isl, n / SUM(n) OVER (PARTITION BY sample) AS f FROM s) SELECT f.sample, b.chrom, b.start0, ROUND(SUM(f.f * ((b.start0 // 1000 + f.isl) % 10)), 6) AS mpp FROM f_bins b JOIN f ON b.start0 % 5000 = 0 GROUP BY 1, 2, 3")
+@query("j19_isl_weighted_bin_values", "WITH s AS (SELECT sample, end1 % 5 AS isl, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2), f AS (SELECT sample, isl, n / SUM(n) OVER (PARTITION BY sample) AS f FROM s) SELECT f.sample, b.chrom, b.start0, ROUND(SUM(f.f * ((b.start0 // 1000 + f.isl) % 10)), 6) AS mpp FROM f_bins b CROSS JOIN f GROUP BY 1, 2, 3")
 def j19(inserts, bins):
     from pyspark.sql import Window
 
     n = inserts.groupBy("sample", (F.col("end1") % 5).alias("isl")).agg(F.count("*").alias("n"))
     f = n.withColumn("f", F.col("n") / F.sum("n").over(Window.partitionBy("sample")))
-    levels = bins.where("start0 % 5000 = 0").withColumn("isl", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    levels = bins.withColumn("isl", F.explode(F.sequence(F.lit(0), F.lit(4))))
     # 5 levels for each of some samples: a small table.
     return levels.join(F.broadcast(f), "isl").groupBy("sample", "chrom", "start0").agg(F.round(F.sum(F.col("f") * ((F.floor(F.col("start0") / 1000) + F.col("isl")) % 10)), 6).alias("mpp"))
 

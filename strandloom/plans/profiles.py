@@ -10,8 +10,9 @@ from .scalars import COUNTS, LEVEL_SQL, stage_counts
 STAGES = 7
 #: Stage counts of every region, zeros included.
 VECTORS = f"{COUNTS}, v AS (SELECT r.name, r.chrom, r.start0, r.peak_set, s.staging_order AS k, COALESCE(c.n, 0) AS n FROM f_regions r CROSS JOIN f_samples s LEFT JOIN c ON c.name = r.name AND c.k = s.staging_order)"
-#: The documents stand for the genome's pieces of 1000 bases.
-SITES = "s AS (SELECT i.sample, i.genome, i.start0, i.end1, i.chrom, i.isl, SUBSTR(SUBSTR(d.seq, CAST(i.p % 1000 + 1 AS INTEGER), 13), 1, 3) || SUBSTR(SUBSTR(d.seq, CAST(i.p % 1000 + 1 AS INTEGER), 13), 6, 3) || SUBSTR(SUBSTR(d.seq, CAST(i.p % 1000 + 1 AS INTEGER), 13), 11, 3) AS nonamer, i.side FROM (SELECT *, CASE WHEN side = 0 THEN start0 ELSE end1 - 13 END AS p FROM (SELECT *, CAST(" + LEVEL_SQL + " AS INTEGER) AS isl, UNNEST([0, 1]) AS side FROM f_inserts)) i JOIN f_seq d ON d.doc_id = i.p // 1000), t AS (SELECT * FROM s WHERE regexp_full_match(nonamer, '[ACGT]{9}'))"
+#: The documents stand for chromosomes: an insert lies on one of them, its ends anywhere on it.
+AT = "CAST(i.p % (LENGTH(d.seq) - 18) AS INTEGER)"
+SITES = f"s AS (SELECT i.sample, i.genome, i.start0, i.end1, i.chrom, i.isl, SUBSTR(d.seq, {AT} + 1, 3) || SUBSTR(d.seq, {AT} + 6, 3) || SUBSTR(d.seq, {AT} + 11, 3) AS nonamer, i.side FROM (SELECT *, CASE WHEN side = 0 THEN start0 ELSE end1 - 13 END AS p FROM (SELECT *, CAST({LEVEL_SQL} AS INTEGER) AS isl, UNNEST([0, 1]) AS side FROM f_inserts)) i JOIN f_seq d ON d.doc_id = (i.start0 * 31 + i.end1) % (SELECT MAX(doc_id) + 1 FROM f_seq) AND LENGTH(d.seq) >= 19), t AS (SELECT * FROM s WHERE regexp_full_match(nonamer, '[ACGT]{{9}}'))"
 
 
 def vectors(regions, inserts, samples):
@@ -26,9 +27,17 @@ def long_vectors(regions, inserts, samples):
     return vectors(regions, inserts, samples).select("name", "peak_set", F.posexplode("counts").alias("p", "n")).withColumn("k", F.col("p") + 1).drop("p")
 
 
+def placed(ends, seq):
+    """Ends with the document (doc_id) that their insert lies on, and `at`, their place on its whole text."""
+    lengths = seq.select("doc_id", F.length("seq").alias("length")).where("length >= 19")
+    last = seq.agg((F.max("doc_id") + 1).alias("docs"))
+    chosen = ends.join(F.broadcast(last)).withColumn("doc_id", (F.col("start0") * 31 + F.col("end1")) % F.col("docs"))
+    return chosen.join(lengths, "doc_id").withColumn("at", F.col("p") % (F.col("length") - 18)).drop("docs", "length")
+
+
 def site_mers(inserts, seq):
     ends = inserts.withColumn("isl", sc.insert_size_level(size())).select("*", F.posexplode(F.array(F.col("start0"), F.col("end1") - 13)).alias("side", "p"))
-    return pr.nonamers(ends, seq, "p").where(F.col("nonamer").rlike("^[ACGT]{9}$"))
+    return pr.nonamers(placed(ends, seq), seq, "at").where(F.col("nonamer").rlike("^[ACGT]{9}$"))
 
 
 @query("g5_kmer_site_counts", f"WITH {SITES} SELECT genome, isl, nonamer, sample, COUNT(*) AS n FROM t GROUP BY 1, 2, 3, 4")
@@ -59,11 +68,11 @@ def p11(genes, inserts):
     return sides.select("name", pr.tss_class(F.col("up"), F.col("down"), active=(0.5, 2), inactive=(100, 0.9)).alias("class"))
 
 
-@query("g26_rowwise_pearson", f"WITH {VECTORS} SELECT a.name AS a, b.name AS b, ROUND(CORR(a.n, b.n), 5) AS r FROM v a JOIN v b ON a.chrom = b.chrom AND a.k = b.k AND b.start0 > a.start0 AND b.start0 - a.start0 < 500 GROUP BY 1, 2 HAVING STDDEV_POP(a.n) > 0 AND STDDEV_POP(b.n) > 0")
+@query("g26_rowwise_pearson", f"WITH {VECTORS} SELECT a.name AS a, b.name AS b, ROUND(CAST(7 * SUM(a.n * b.n) - SUM(a.n) * SUM(b.n) AS DOUBLE) / SQRT(CAST((7 * SUM(a.n * a.n) - SUM(a.n) * SUM(a.n)) * (7 * SUM(b.n * b.n) - SUM(b.n) * SUM(b.n)) AS DOUBLE)), 5) AS r FROM v a JOIN v b ON a.chrom = b.chrom AND a.k = b.k AND b.start0 > a.start0 AND b.start0 - a.start0 < 500 GROUP BY 1, 2 HAVING STDDEV_POP(a.n) > 0 AND STDDEV_POP(b.n) > 0")
 def g26(regions, inserts, samples):
-    own = vectors(regions, inserts, samples).select("name", "chrom", "start0", pr.standardised(F.col("counts")).alias("z")).where("z IS NOT NULL")
+    own = vectors(regions, inserts, samples).select("name", "chrom", "start0", "counts").where(F.array_min("counts") < F.array_max("counts"))
     pairs = iv.pairs_within_distance(own, "start0", 500)
-    return pairs.select(F.col("name").alias("a"), F.col("b_name").alias("b"), F.round(pr.dot(F.col("z"), F.col("b_z")), 5).alias("r"))
+    return pairs.select(F.col("name").alias("a"), F.col("b_name").alias("b"), F.round(pr.pearson(F.col("counts"), F.col("b_counts")), 5).alias("r"))
 
 
 @query("g28_quantiled_overlap", "WITH q AS (SELECT QUANTILE_CONT(CAST(score AS DOUBLE), [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS b FROM f_regions), r AS (SELECT f.*, CAST(1 + len(list_filter(q.b, lambda x: x < CAST(f.score AS DOUBLE))) AS INTEGER) AS quantile FROM f_regions f, q) SELECT quantile, COUNT(*) AS n, ROUND(AVG(CASE WHEN EXISTS (SELECT 1 FROM f_genes g WHERE g.chrom = r.chrom AND g.start0 < r.end1 AND r.start0 < g.end1) THEN 1.0 ELSE 0.0 END), 6) AS share, ROUND(AVG(CAST(score AS DOUBLE)), 3) AS score FROM r GROUP BY 1")
@@ -113,12 +122,12 @@ def g38(spark, genes, inserts):
     return grid.join(c, ["side", "x"], "left").fillna(0, ["n", "w"]).select("side", "x", *(F.round(F.col(v) / F.sum(v).over(all_of), 6).alias(v) for v in ("n", "w")))
 
 
-@query("g39_pixel_resample", "SELECT chrom, px, ROUND(LOG10(SUM(POW(10, v) * w) / SUM(w)), 6) AS v FROM (SELECT chrom, start0 // 1000 % 17 / 16.0 AS v, px, CASE WHEN start0 % 7000 = 0 THEN 0 ELSE LEAST(end1, px * 3300 + 3300) - GREATEST(start0, px * 3300) END AS w FROM (SELECT *, UNNEST(range(start0 // 3300, (end1 - 1) // 3300 + 1)) AS px FROM f_bins)) GROUP BY 1, 2 HAVING SUM(w) > 0")
-def g39(bins):
+@query("g39_pixel_resample", "SELECT chrom, px, ROUND(LOG10(SUM(POW(10, v) * w) / SUM(w)), 6) AS v FROM (SELECT chrom, n % 17 / 16.0 AS v, px, CASE WHEN n % 7 = 0 THEN 0 ELSE LEAST(end1, px * 3300 + 3300) - GREATEST(start0, px * 3300) END AS w FROM (SELECT *, UNNEST(range(start0 // 3300, (end1 - 1) // 3300 + 1)) AS px FROM f_track)) GROUP BY 1, 2 HAVING SUM(w) > 0")
+def g39(track):
     """Log values, averaged in linear space; excluded bins have no weight."""
-    track = bins.withColumn("v", F.floor(F.col("start0") / 1000) % 17 / 16.0)
-    included = (F.col("start0") % 7000 != 0).cast("long")
-    px = pr.resampled(track, 3300, F.pow(F.lit(10.0), F.col("v")), included)
+    own = track.withColumn("v", F.col("n") % 17 / 16.0)
+    included = (F.col("n") % 7 != 0).cast("long")
+    px = pr.resampled(own, 3300, F.pow(F.lit(10.0), F.col("v")), included)
     return px.select("chrom", "px", F.round(F.log10("mean"), 6).alias("v"))
 
 
@@ -167,12 +176,12 @@ def g50(regions, inserts, samples):
     return rows.groupBy("stratum", (F.col("p") + 1).alias("k")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("n") - F.col("base")), 6).alias("delta"))
 
 
-@query("g51_end_site_sequences", "SELECT site, COUNT(*) AS n FROM (SELECT SUBSTR(translate(d.seq, 'acgt ', 'ACGT'), CAST(p % 1000 + 1 AS INTEGER), 19) AS site FROM (SELECT start0 - 5 AS p FROM f_inserts WHERE start0 >= 5) i JOIN f_seq d ON d.doc_id = i.p // 1000) WHERE regexp_full_match(site, '[ACGT]{19}') GROUP BY 1")
+@query("g51_end_site_sequences", "SELECT site, COUNT(*) AS n FROM (SELECT SUBSTR(translate(d.seq, 'acgt ', 'ACGT'), CAST(i.p % (LENGTH(translate(d.seq, 'acgt ', 'ACGT')) - 18) + 1 AS INTEGER), 19) AS site FROM (SELECT start0, end1, start0 - 5 AS p FROM f_inserts WHERE start0 >= 5) i JOIN f_seq d ON d.doc_id = (i.start0 * 31 + i.end1) % (SELECT MAX(doc_id) + 1 FROM f_seq) AND LENGTH(translate(d.seq, 'acgt ', 'ACGT')) >= 19) WHERE regexp_full_match(site, '[ACGT]{19}') GROUP BY 1")
 def g51(inserts, seq):
     """19 bases from 5 before the start; not deduplicated, here counted."""
-    starts = inserts.where("start0 >= 5").select((F.col("start0") - 5).alias("p"))
+    starts = inserts.where("start0 >= 5").select("start0", "end1", (F.col("start0") - 5).alias("p"))
     upper = seq.withColumn("seq", F.translate("seq", "acgt ", "ACGT"))
-    return pr.at_sites(starts, upper, "p", 19).where(F.col("site").rlike("^[ACGT]{19}$")).groupBy("site").agg(F.count("*").alias("n"))
+    return pr.at_sites(placed(starts, upper), upper, "at", 19).where(F.col("site").rlike("^[ACGT]{19}$")).groupBy("site").agg(F.count("*").alias("n"))
 
 
 @query("g52_cluster_profiles", f"WITH {VECTORS} SELECT peak_set, CAST(k AS INTEGER) AS k, COUNT(*) AS n, ROUND(AVG(CASE WHEN n > 0 THEN LOG2(n) END), 6) AS mean FROM v GROUP BY 1, 2")
@@ -193,10 +202,9 @@ def w6(regions):
     return regions.select("name", F.row_number().over(Window.partitionBy("chrom", "peak_set").orderBy("start0", "name")).cast("long").alias("i"))
 
 
-@query("w9_run_blocks", "WITH f AS (SELECT chrom, start0, start0 // 1000 % 17 < 12 AS flag, start0 // 1000 % 11 / 10.0 AS v FROM f_bins), c AS (SELECT *, CASE WHEN flag = LAG(flag) OVER (PARTITION BY chrom ORDER BY start0) THEN 0 ELSE 1 END AS new FROM f), r AS (SELECT *, SUM(new) OVER (PARTITION BY chrom ORDER BY start0) AS run FROM c), b AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY chrom, run ORDER BY start0) - 1) // 5 AS block FROM r) SELECT chrom, CAST(run AS BIGINT) AS run, CAST(block AS BIGINT) AS block, flag, ROUND(LOG10(AVG(POW(10, v))), 6) AS mean FROM b GROUP BY 1, 2, 3, 4 HAVING COUNT(*) = 5")
-def w9(bins):
-    k = F.floor(F.col("start0") / 1000)
-    own = bins.select("chrom", "start0", (k % 17 < 12).alias("flag"), (k % 11 / 10.0).alias("v"))
+@query("w9_run_blocks", "WITH f AS (SELECT chrom, start0, n % 17 < 14 AS flag, bp % 11 / 10.0 AS v FROM f_track), c AS (SELECT *, CASE WHEN flag = LAG(flag) OVER (PARTITION BY chrom ORDER BY start0) THEN 0 ELSE 1 END AS new FROM f), r AS (SELECT *, SUM(new) OVER (PARTITION BY chrom ORDER BY start0) AS run FROM c), b AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY chrom, run ORDER BY start0) - 1) // 5 AS block FROM r) SELECT chrom, CAST(run AS BIGINT) AS run, CAST(block AS BIGINT) AS block, flag, ROUND(LOG10(AVG(POW(10, v))), 6) AS mean FROM b GROUP BY 1, 2, 3, 4 HAVING COUNT(*) = 5")
+def w9(track):
+    own = track.select("chrom", "start0", (F.col("n") % 17 < 14).alias("flag"), (F.col("bp") % 11 / 10.0).alias("v"))
     blocks = pr.run_blocks(own, "flag", 5)
     per = blocks.groupBy("chrom", "run", "block", "flag").agg(F.round(F.log10(F.avg(F.pow(F.lit(10.0), F.col("v")))), 6).alias("mean"), F.count("*").alias("_n"))
     return per.where("_n = 5").drop("_n")

@@ -59,11 +59,11 @@ def p9(regions):
     return regions.where("start0 >= 500").select("name", "chrom", (F.col("start0") - 500).alias("start0"), (F.col("end1") + 300).alias("end1"))
 
 
-@query("p10_bin_eligibility", "SELECT chrom, COUNT(*) AS n, CAST(SUM(CASE WHEN chrom IN ('chrX','chrY') THEN 1 ELSE 2 END) AS BIGINT) AS alleles, CAST(SUM(CASE WHEN chrom NOT IN ('chrX','chrY') AND start0 % 7000 <> 0 AND (start0 // 1000 % 100) / 100.0 BETWEEN 0.3 AND 0.6 THEN 1 ELSE 0 END) AS BIGINT) AS eligible FROM f_bins GROUP BY 1")
-def p10(bins):
-    gc = (F.floor(F.col("start0") / 1000) % 100) / 100.0
-    ok = ~F.col("chrom").isin("chrX", "chrY") & (F.col("start0") % 7000 != 0) & gc.between(0.3, 0.6)
-    return bins.groupBy("chrom").agg(F.count("*").alias("n"), F.sum(F.when(F.col("chrom").isin("chrX", "chrY"), 1).otherwise(2)).alias("alleles"), F.sum(ok.cast("long")).alias("eligible"))
+@query("p10_bin_eligibility", "SELECT chrom, COUNT(*) AS n, CAST(SUM(CASE WHEN chrom IN ('chrX','chrY') THEN 1 ELSE 2 END) AS BIGINT) AS alleles, CAST(SUM(CASE WHEN chrom NOT IN ('chrX','chrY') AND n > 0 AND (bp % 100) / 100.0 BETWEEN 0.3 AND 0.6 THEN 1 ELSE 0 END) AS BIGINT) AS eligible FROM f_track GROUP BY 1")
+def p10(track):
+    gc = (F.col("bp") % 100) / 100.0
+    ok = ~F.col("chrom").isin("chrX", "chrY") & (F.col("n") > 0) & gc.between(0.3, 0.6)
+    return track.groupBy("chrom").agg(F.count("*").alias("n"), F.sum(F.when(F.col("chrom").isin("chrX", "chrY"), 1).otherwise(2)).alias("alleles"), F.sum(ok.cast("long")).alias("eligible"))
 
 
 @query("p12_above_line", "SELECT sample, COUNT(*) AS n FROM f_inserts WHERE end1 - start0 > 100 + (start0 % 1000 - 0) * (500 - 100) / 1000.0 GROUP BY 1")
@@ -71,10 +71,10 @@ def p12(inserts):
     return inserts.where(sc.above_line(F.col("start0") % 1000, F.col("end1") - F.col("start0"), (0, 100), (1000, 500))).groupBy("sample").agg(F.count("*").alias("n"))
 
 
-@query("p13_compartment_label", "SELECT chrom, CASE WHEN v > 0 THEN 'A' WHEN v < 0 THEN 'B' END AS compartment, COUNT(*) AS n FROM (SELECT chrom, start0 // 1000 % 7 - 3 AS v FROM f_bins) GROUP BY 1, 2")
-def p13(bins):
-    v = F.floor(F.col("start0") / 1000) % 7 - 3
-    return bins.groupBy("chrom", F.when(v > 0, "A").when(v < 0, "B").alias("compartment")).agg(F.count("*").alias("n"))
+@query("p13_compartment_label", "SELECT chrom, CASE WHEN v > 0 THEN 'A' WHEN v < 0 THEN 'B' END AS compartment, COUNT(*) AS n FROM (SELECT chrom, n % 7 - 3 AS v FROM f_track) GROUP BY 1, 2")
+def p13(track):
+    v = F.col("n") % 7 - 3
+    return track.groupBy("chrom", F.when(v > 0, "A").when(v < 0, "B").alias("compartment")).agg(F.count("*").alias("n"))
 
 
 def stage_counts(regions, inserts, samples):
