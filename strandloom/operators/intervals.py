@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .running import previous, running, stretch
+
 BUCKET = 8192
 
 
@@ -47,10 +49,23 @@ def overlap_left(a: DataFrame, b: DataFrame, by: list[str], keys: tuple = ("chro
     return a.join(pairs.select(*by, *extra), by, "left").withColumn("overlap_bp", F.coalesce("overlap_bp", F.lit(0)))
 
 
-def overlap_count(a: DataFrame, b: DataFrame, by: list[str], keys: tuple = ("chrom",), name: str = "n") -> DataFrame:
-    """A with the number of rows of b that each row overlaps."""
-    counts = overlap_pairs(a.select(*dict.fromkeys([*by, *keys, "start0", "end1"])), b, keys).groupBy(*by).agg(F.count("*").alias(name))
-    return a.join(counts, by, "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+def overlap_count(a: DataFrame, b: DataFrame, by: list[str] | None = None, keys: tuple = ("chrom",), name: str = "n") -> DataFrame:
+    """A with the number of rows of b that each row overlaps; every row of a returns once, whatever repeats.
+
+    No pair is made: the rows of b that start before a row's end, less those that end at its start or before, are what
+    it overlaps. Both numbers are running sums over the positions of both sides. Rows of both sides are not empty.
+    """
+    rows = a.withColumn("_id", F.monotonically_increasing_id())
+    kinds = [*(F.col(k) for k in keys), F.col("_id")]
+    event = lambda at, rank, sign: F.struct(F.col(at).cast("long").alias("at"), F.lit(rank).alias("rank"), F.lit(sign).alias("sign"))
+    asked = rows.select(*kinds, F.struct(*(F.col(f"`{c}`") for c in a.columns)).alias("_row"), F.explode(F.array(event("start0", 1, -1), event("end1", 1, 1))).alias("_e"))
+    told = b.select(*keys, F.explode(F.array(event("end1", 0, -1), event("start0", 2, 1))).alias("_e"))
+    both = stretch(asked.unionByName(told, allowMissingColumns=True).select(*keys, "_id", "_row", "_e.*"), F.col("at"))
+    of = lambda sign: F.when(F.col("_id").isNull() & (F.col("sign") == sign), 1).otherwise(0)
+    sums = running(both, keys, ["at", "rank"], {"_starts": ("sum", of(1)), "_ends": ("sum", of(-1))})
+    signed = F.when(F.col("sign") == 1, F.col("_starts")).otherwise(-F.col("_ends"))
+    # A row without keys overlaps nothing.
+    return sums.where("_id IS NOT NULL").groupBy("_id").agg(F.first("_row").alias("_row"), F.sum(signed).cast("long").alias(name)).select("_row.*", F.coalesce(name, F.lit(0)).cast("long").alias(name))
 
 
 def overlap_first(a: DataFrame, b: DataFrame, by: list[str], order: list[str], keys: tuple = ("chrom",)) -> DataFrame:
@@ -70,14 +85,17 @@ def overlap_clip(a: DataFrame, b: DataFrame, keys: tuple = ("chrom",)) -> DataFr
 
 
 def asof_backward(a: DataFrame, b: DataFrame, value: list[str], keys: tuple = ("chrom",), at: str = "start0", b_at: str = "start0", strict: bool = False) -> DataFrame:
-    """Each row of a with the columns `value` of the latest row of b at or before it (before it: strict)."""
-    side = F.struct(*(F.col(c) for c in value))
-    left = a.withColumn("_at", F.col(at)).withColumn("_rank", F.lit(0 if strict else 1)).withColumn("_v", F.lit(None).cast(b.select(side).schema[0].dataType)).withColumn("_row", F.lit(True))
-    right = b.select(*keys, F.col(b_at).alias("_at"), F.lit(1 if strict else 0).alias("_rank"), side.alias("_v"), F.lit(False).alias("_row"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    # Of rows of b at one place the one with the largest value holds.
-    last = F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_at", "_rank", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return both.withColumn("_last", last).where("_row").select(*a.columns, *(F.col(f"_last.{c}").alias(f"b_{c}") for c in value))
+    """Each row of a with the columns `value` of the latest row of b at or before it (before it: strict).
+
+    Of rows of b at one place the one with the largest value holds, so the latest is the running maximum of (place, value).
+    """
+    side = F.struct(F.col(b_at).cast("long").alias("_at"), F.struct(*(F.col(c) for c in value)).alias("v"))
+    kind = b.select(side).schema[0].dataType
+    left = a.withColumn("_at", F.col(at).cast("long")).withColumn("_rank", F.lit(0 if strict else 1)).withColumn("_v", F.lit(None).cast(kind)).withColumn("_row", F.lit(True))
+    right = b.select(*keys, F.col(b_at).cast("long").alias("_at"), F.lit(1 if strict else 0).alias("_rank"), side.alias("_v"), F.lit(False).alias("_row"))
+    both = stretch(left.unionByName(right, allowMissingColumns=True), F.col("_at"))
+    last = running(both, keys, ["_at", "_rank"], {"_last": ("max", F.col("_v"))})
+    return last.where("_row").select(*a.columns, *(F.col(f"_last.v.{c}").alias(f"b_{c}") for c in value))
 
 
 def pairs_within_distance(a: DataFrame, at: str, most: int, keys: tuple = ("chrom",)) -> DataFrame:
@@ -110,10 +128,10 @@ def make_windows(sizes: DataFrame, width: int) -> DataFrame:
 
 def islands(df: DataFrame, gap: int = 0, keys: tuple = ("chrom",)) -> DataFrame:
     """df with `island`, counted within keys: rows join while start0 <= the largest end so far + gap (gap -1: overlap only)."""
-    order = Window.partitionBy(*keys).orderBy("start0", "end1")
-    reach = F.max("end1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.withColumn("_new", F.when(reach.isNull() | (F.col("start0") > reach + gap), 1).otherwise(0))
-    return flagged.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+    order = ["start0", "end1"]
+    reach = running(stretch(df, F.col("start0")), keys, order, {"_reach": ("max", F.col("end1"))}, inclusive=False)
+    new = F.when(F.col("_reach").isNull() | (F.col("start0") > F.col("_reach") + gap), 1).otherwise(0)
+    return running(reach.withColumn("_new", new), keys, order, {"island": ("sum", F.col("_new"))}).drop("_new", "_reach", "_stretch")
 
 
 def merge_intervals(df: DataFrame, gap: int = 0, aggs: list[Column] = (), keys: tuple = ("chrom",)) -> DataFrame:
@@ -122,12 +140,15 @@ def merge_intervals(df: DataFrame, gap: int = 0, aggs: list[Column] = (), keys:
 
 
 def complement(df: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The gaps between merged regions, both ends of each chromosome and whole chromosomes without a region."""
-    merged = merge_intervals(df.join(sizes, "chrom", "left_semi").select("chrom", "start0", "end1"))
-    order = Window.partitionBy("chrom").orderBy("start0")
-    inner = merged.select("chrom", F.col("end1").alias("start0"), F.lead("start0").over(order).alias("end1")).join(sizes, "chrom").select("chrom", "start0", F.coalesce("end1", "length").alias("end1"))
-    head = sizes.join(merged.groupBy("chrom").agg(F.min("start0").alias("first")), "chrom", "left").select("chrom", F.lit(0).cast("long").alias("start0"), F.coalesce("first", "length").alias("end1"))
-    return inner.union(head).where("start0 < end1")
+    """The gaps between merged regions, both ends of each chromosome and whole chromosomes without a region.
+
+    The ends are empty regions of their own; before each region lies a gap from the largest end so far.
+    """
+    ends = sizes.select("chrom", F.explode(F.array(F.lit(0).cast("long"), F.col("length").cast("long"))).alias("start0")).withColumn("end1", F.col("start0"))
+    both = df.join(sizes, "chrom", "left_semi").select("chrom", "start0", "end1").union(ends.select("chrom", "start0", "end1"))
+    reach = running(stretch(both, F.col("start0")), ("chrom",), ["start0", "end1"], {"_reach": ("max", F.col("end1"))}, inclusive=False)
+    inside = reach.join(sizes, "chrom").select("chrom", F.col("_reach").alias("start0"), F.least("start0", "length").alias("end1"))
+    return inside.where("start0 < end1")
 
 
 def split_at_bins(df: DataFrame, width: int, extend: Column | int = 0) -> DataFrame:
@@ -154,9 +175,9 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def run_length_group(df: DataFrame, value: str, aggs: list[Column], keys: tuple = ("chrom",), order: str = "start0") -> DataFrame:
     """I8: consecutive rows with one value collapse to their range."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    change = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs = df.withColumn("_c", change).withColumn("_run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    known = previous(stretch(df, F.col(order)), keys, [order], "_prev", F.col(value))
+    change = F.when(F.col("_prev").isNotNull() & F.col("_prev.v").eqNullSafe(F.col(value)), 0).otherwise(1)
+    runs = running(known.withColumn("_c", change), keys, [order], {"_run": ("sum", F.col("_c"))})
     return runs.groupBy(*keys, "_run", value).agg(F.min("start0").alias("start0"), F.max("end1").alias("end1"), *aggs).drop("_run")
 
 

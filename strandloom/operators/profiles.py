@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .running import previous, running, stretch
 
 
 def at_sites(points: DataFrame, seq: DataFrame, at: str, length: int, key: str = "doc_id", chunk: int = 1000) -> DataFrame:
@@ -69,8 +71,8 @@ def unscaled(score: Column, scale: float, n_reads: int) -> Column:
 
 def run_blocks(df: DataFrame, flag: str, length: int, keys: tuple = ("chrom",), order: str = "start0") -> DataFrame:
     """Df with `run`, counted from 1 within keys, and `block` of `length` rows in its run; the last may be shorter."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    new = F.when(F.col(flag).eqNullSafe(F.lag(flag).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs = df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
-    at = F.row_number().over(Window.partitionBy(*keys, "run").orderBy(order)) - 1
-    return runs.withColumn("block", F.floor(at / length))
+    known = previous(stretch(df, F.col(order)), keys, [order], "_prev", F.col(flag))
+    new = F.when(F.col("_prev").isNotNull() & F.col("_prev.v").eqNullSafe(F.col(flag)), 0).otherwise(1)
+    told = running(known.withColumn("_new", new), keys, [order], {"run": ("sum", F.col("_new")), "_at": ("sum", F.lit(1))})
+    first = told.where("_new = 1").select(*keys, "run", F.col("_at").alias("_first"))
+    return told.join(first, [*keys, "run"]).withColumn("block", F.floor((F.col("_at") - F.col("_first")) / length)).drop("_prev", "_new", "_at", "_first", "_stretch")

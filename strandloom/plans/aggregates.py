@@ -99,15 +99,17 @@ def g13(track):
 @query("g14_cpm_rpkm", f"WITH {DENSE_SQL} SELECT sample, chrom, start0, ROUND(n_obs * 1e6 / SUM(n_obs) OVER (PARTITION BY sample), 6) AS cpm FROM d")
 def g14(inserts, bins):
     d = dense(inserts, bins)
-    # The total is joined, so that no window gathers a sample in one task.
-    total = d.groupBy("sample").agg(F.sum("n_obs").alias("t"))
+    # Each insert lies in one bin of the grid; the total is joined, so that no window gathers a sample in one task.
+    total = inserts.groupBy("sample").agg(F.count("*").alias("t"))
     return d.join(F.broadcast(total), "sample").select("sample", "chrom", "start0", F.round(F.col("n_obs") * 1e6 / F.col("t"), 6).alias("cpm"))
 
 
 @query("g15_tss_rpkm", "WITH w AS (SELECT name, chrom, side, CASE WHEN (strand = '+') = (side = 'up') THEN p - 1000 ELSE p END AS start0, CASE WHEN (strand = '+') = (side = 'up') THEN p ELSE p + 1000 END AS end1 FROM (SELECT *, CASE WHEN strand = '+' THEN start0 ELSE end1 END AS p FROM f_genes) CROSS JOIN (VALUES ('up'), ('down')) AS s(side)), c AS (SELECT w.name, COUNT(*) FILTER (WHERE side = 'up') AS up, COUNT(*) FILTER (WHERE side = 'down') AS down FROM w JOIN f_inserts i ON i.chrom = w.chrom AND i.start0 < w.end1 AND w.start0 < i.end1 GROUP BY 1) SELECT name, up, down, CASE WHEN up = 0 THEN CAST('inf' AS DOUBLE) ELSE ROUND(down / up, 6) END AS fold FROM c")
 def g15(genes, inserts):
-    pairs = iv.overlap_pairs(inserts.select("chrom", "start0", "end1"), iv.tss_flanks(genes))
-    c = pairs.groupBy(F.col("b_name").alias("name")).agg(F.count_if(F.col("b_side") == "up").alias("up"), F.count_if(F.col("b_side") == "down").alias("down"))
+    """Genes without an insert on either side are left out."""
+    windows = iv.overlap_count(iv.tss_flanks(genes), inserts.select("chrom", "start0", "end1"))
+    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
+    c = windows.groupBy("name").agg(of("up").alias("up"), of("down").alias("down")).where("up + down > 0")
     return c.withColumn("fold", F.round(sc.divided(F.col("down").cast("double"), F.col("up").cast("double")), 6))
 
 

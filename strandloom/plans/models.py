@@ -29,10 +29,10 @@ def m15(genes):
     return models.bh_fdr(p, "p").select("name", F.round("q", 6).alias("q"))
 
 
-@query("m17_ks_two_sample", "WITH v AS (SELECT end1 - start0 AS z, chrom = 'chr1' AS one FROM f_regions WHERE chrom IN ('chr1', 'chr2')), c AS (SELECT z, COUNT(*) FILTER (WHERE one) AS a, COUNT(*) FILTER (WHERE NOT one) AS b FROM v GROUP BY 1), s AS (SELECT z, SUM(a) OVER (ORDER BY z) / SUM(a) OVER () AS fa, SUM(b) OVER (ORDER BY z) / SUM(b) OVER () AS fb FROM c) SELECT ROUND(MAX(ABS(fa - fb)), 6) AS d FROM s")
+@query("m17_ks_two_sample", "WITH v AS (SELECT end1 - start0 AS z, chrom = 'chr1' AS one FROM f_regions WHERE chrom IN ('chr1', 'chr2')), c AS (SELECT z, COUNT(*) FILTER (WHERE one) AS a, COUNT(*) FILTER (WHERE NOT one) AS b FROM v GROUP BY 1), s AS (SELECT z, SUM(a) OVER (ORDER BY z) / SUM(a) OVER () AS fa, SUM(b) OVER (ORDER BY z) / SUM(b) OVER () AS fb FROM c) SELECT ROUND(MAX(ABS(fa - fb)), 6) AS d, ARG_MIN(z, (-ROUND(ABS(fa - fb), 12), z)) AS location FROM s")
 def m17(regions):
     own = regions.where("chrom IN ('chr1', 'chr2')").select((F.col("end1") - F.col("start0")).alias("z"), (F.col("chrom") == "chr1").alias("one"))
-    return models.ks_two_sample(own, "z", "one").select(F.round("d", 6).alias("d"))
+    return models.ks_two_sample(own, "z", "one").select(F.round("d", 6).alias("d"), "location")
 
 
 @query("m20_poisson_expectation", f"WITH {DENSE_SQL}, h AS (SELECT sample, n_obs AS k, COUNT(*) AS n FROM d GROUP BY 1, 2), l AS (SELECT sample, SUM(k * n) / SUM(n) AS lam, SUM(n) AS t FROM h GROUP BY 1) SELECT h.sample, h.k, h.n, ROUND(l.t * EXP(h.k * LN(l.lam) - l.lam - LGAMMA(h.k + 1)), 5) AS expected FROM h JOIN l ON l.sample = h.sample")
