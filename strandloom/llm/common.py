@@ -50,19 +50,50 @@ def small_join(df: DataFrame, side: DataFrame, on: list[str] | str, how: str = "
     return df.join(F.broadcast(side) if side.limit(limit + 1).count() <= limit else side, on, how)
 
 
+#: A key with more rows than this is hot: its rows are not dealt by key.
+HOT_ROWS = 512
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: str, rows: str) -> DataFrame:
+    """Inner join of big with small, which has one row for each key and says in `rows` how many rows of big the key has.
+
+    Hot keys, of which there are at most one in HOT_ROWS rows of big, are broadcast and their rows stay where they are; the
+    others are shuffled. If even the hot keys are too many to broadcast, their rows are dealt by salts.
+    """
+    hot = stash(small.where(F.col(rows) > HOT_ROWS), "hot")
+    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        near = big.join(F.broadcast(hot), on)
+        rest = big.join(F.broadcast(hot.select(on)), on, "left_anti")
+        return near.unionByName(rest.join(small.where(F.col(rows) <= HOT_ROWS), on))
+    salt = F.pmod(F.xxhash64(*big.columns), F.lit(64))
+    return big.withColumn("_salt", salt).join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))), [on, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) of every id in edges (src, dst): the smallest id reachable.
 
-    Labels spread over edges and then jump to their label's label, so that long chains need few rounds; each
-    round is written to the shared folder. Group minima are combined before the shuffle, so a hub is no hot key.
+    Labels spread over edges and then jump to their label's label, so that long chains need few rounds; each round is
+    written to the shared folder. Group minima are combined before the shuffle, and neither a hub nor the label of a
+    large class is a hot key: labels are broadcast if a count shows that they are few, else hot keys go by hot_join.
     """
-    both = stash(edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")).distinct(), "edges")
-    labels = stash(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    own = edges.where("src <> dst")
+    both = stash(own.select("src", "dst").union(own.select("dst", "src")).distinct(), "edges")
+    degree = stash(both.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("rows"), F.min("src").alias("m")), "degree")
+    labels = degree.select("id", F.least("id", "m").alias("label"))
+    few = degree.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     while True:
-        near = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
-        hop = labels.join(near, "id").select("id", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        via = hop.select(F.col("id").alias("new"), F.col("new").alias("next"))
-        step = stash(hop.join(via, "new", "left").select("id", F.least("new", F.coalesce("next", "new")).alias("label"), "old"), "labels")
+        if few:
+            near = both.join(F.broadcast(labels.select(F.col("id").alias("dst"), "label")), "dst")
+        else:
+            near = hot_join(both, labels.join(degree, "id").select(F.col("id").alias("dst"), "label", "rows"), "dst", "rows")
+        near = near.groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
+        hop = stash(labels.join(near, "id").select("id", F.least("label", "near").alias("new"), F.col("label").alias("old")), "hop")
+        # What a label's own label is; one row for each label that has moved on.
+        used = hop.groupBy("new").agg(F.count("*").alias("rows"))
+        via = stash(used.join(hop.select(F.col("id").alias("new"), F.col("new").alias("next")), "new").where("next <> new"), "via")
+        moved = hot_join(hop, via, "new", "rows").select("id", F.col("next").alias("label"), "old")
+        stay = small_join(hop, via.select("new"), "new", "left_anti").select("id", F.col("new").alias("label"), "old")
+        step = stash(moved.unionByName(stay), "labels")
         changed = step.where("label <> old").limit(1).count()
         labels = step.select("id", "label")
         if not changed:

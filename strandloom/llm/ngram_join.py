@@ -1,22 +1,22 @@
 """Near-duplicate classes by exact Jaccard similarity of word shingles, found with signature trees.
 
-Shingle sets stand for hashes of 64 bits. Copies with equal sets collapse to their smallest doc_id first. Each
-remaining set shows its SKETCH smallest hashes. Two sets with similarity 0.75 or more have at least COMMON of the
-union's SKETCH smallest hashes in common (the chance of fewer, by the binomial tail, is below 1e-10 for a pair on the
-threshold, far lower above it; sets with at most SKETCH shingles show all of them and lose nothing). Such a pair
-shares one of its (SKETCH - COMMON + 1) rarest sketch hashes. So sets meet in buckets by those hashes, and a passage
-that very many texts share makes a bucket only for texts that mostly consist of it.
+Shingle sets stand for hashes of 64 bits. Copies with equal sets collapse to their smallest doc_id first. All shingles
+have one order: by hash, with those that a sample shows to be frequent last, the most frequent at the very end. A set of n
+shingles shows the first n - ceil(0.75 n) + 1 of them. Two sets that link have at least ceil(0.75 n) shingles in common
+for either n, so they show one in common, whatever the order is: the order decides only how much work there is. So sets
+meet in buckets by the shingles that they show, no link is lost, and a passage that very many texts share makes a bucket
+only for texts that mostly consist of it.
 
 Within a bucket each set is a leaf with its size and a bitmap of its shingles (a power of two of bits, at least twice
 the shingles, folded to the smaller of two when compared). Nodes hold the size range, the OR of the bitmaps and the
 largest number of shingles that share a bit; two nodes are walked down only if the largest possible overlap can reach
-the threshold. Buckets of more than BLOCK sets are dealt to tasks as pairs of blocks. Classes are built in two turns:
-first each set is compared with the most central set of its buckets, then all pairs that the trees leave and that are
-not yet in one class. Every link is verified on the whole texts.
+the threshold. Classes are built in two turns of such walks: first the tree of a bucket's most central set against trees
+of the sets that choose it; then, of buckets that still hold several classes, all trees, where buckets of more than BLOCK
+sets are dealt to tasks as pairs of blocks. Every link is verified on the whole texts.
 
-Cases: null and empty texts have no shingles and link with nothing; rows that share a doc_id are one node of the
-links, and each row is returned; a null doc_id gets a null class; an empty table gives no row; other columns are
-ignored.
+Cases: null and empty texts have no shingles and link with nothing; a very long text is read whole; rows that share a
+doc_id are one node of the links, and each row is returned; of sets that tie as the most central the smallest doc_id
+leads; a null doc_id gets a null class; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from . import common
 WORDS = 5
 #: Similarity times 100.
 PERCENT = 75
-SKETCH = 64
-COMMON = 24
+#: One text in SAMPLE tells which shingles are frequent: those in OFTEN of them, at most MOST_FREQUENT; links don't depend on it.
+SAMPLE, OFTEN, MOST_FREQUENT = 64, 4, 1_000_000
 #: Sets of a bucket that one task takes as one block.
 BLOCK = 1024
 #: Members of a bundle that one task verifies against one set.
@@ -71,31 +71,63 @@ def bitmap(hashes) -> bytes:
     return np.packbits(on).tobytes()
 
 
-def _signatures(words: int, sketch: int):
+def _sampled(words: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                sets = [shingles(t, words) for t in batch.column("text").slice(i, 512).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    return run
+
+
+def frequent(docs: DataFrame, words: int):
+    """The shingles that many texts of a sample hold, the rarest first; texts are drawn by a hash of what they say, once each."""
+    import numpy as np
+
+    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    counts = drawn.mapInArrow(_sampled(words), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    rows = counts.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).select("h").collect()
+    return np.array([r[0] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def _signatures(words: int, percent: int, hot):
     def run(batches):
         import hashlib
 
         import numpy as np
         import pyarrow as pa
 
+        order = np.argsort(hot)
+        ordered = hot[order]
         for batch in batches:
             rows = batch.column("text")
             names = batch.column("doc_id")
             for i in range(0, len(rows), 512):
-                n, keys, small, maps = [], [], [], []
+                n, keys, shown, maps = [], [], [], []
                 for text in rows.slice(i, 512).to_pylist():
                     h = shingles(text, words)
                     n.append(len(h))
                     keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                    small.append(h[:sketch].view(np.int64))
+                    take = len(h) + (-percent * len(h) // 100) + 1 if len(h) else 0
+                    if len(hot) and len(h):
+                        at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
+                        often = ordered[at] == h
+                        h2 = np.concatenate([h[~often], h[often][np.argsort(order[at[often]])]])
+                    else:
+                        h2 = h
+                    shown.append(h2[:take].view(np.int64))
                     maps.append(bitmap(h) if len(h) else b"")
-                ends = np.cumsum([0, *map(len, small)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([names.slice(i, 512), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(small))), pa.array(maps, pa.binary())], ["doc_id", "n_shingles", "key", "sketch", "bits"])
+                ends = np.cumsum([0, *map(len, shown)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([names.slice(i, 512), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(shown))), pa.array(maps, pa.binary())], ["doc_id", "n_shingles", "key", "shown", "bits"])
 
     return run
 
 
-SIGNED = "doc_id long, n_shingles long, key binary, sketch array<long>, bits binary"
+SIGNED = "doc_id long, n_shingles long, key binary, shown array<long>, bits binary"
 
 
 def fold(raw: bytes, size: int):
@@ -196,9 +228,11 @@ def tree_pairs(a: Tree, b: Tree, percent: int, same: bool):
             x, y = x[y < n], y[y < n]
 
 
-def _bucket_pairs(percent: int):
+def _bucket_pairs(percent: int, led: bool = False):
     """From rows of one (hash, block pair) after the other to candidate pairs; a row's side is 0 or 1.
 
+    The smaller id of a pair comes first, or, if the buckets are led by side 0, the id of that side.
+
     A pair that shares several buckets comes from the first of them alone: `before` holds a set's earlier buckets.
     """
 
@@ -223,8 +257,8 @@ def _bucket_pairs(percent: int):
             one, two = ([b for b, s in zip(before, side) if s == 0], [b for b, s in zip(before, side) if s == 1]) if both else (before, before)
             new = np.fromiter((one[i].isdisjoint(two[j]) for i, j in zip(left.order[x].tolist(), right.order[y].tolist())), bool, len(x))
             p, q = left.ids[x][new], right.ids[y][new]
-            out_a.append(np.minimum(p, q))
-            out_b.append(np.maximum(p, q))
+            out_a.append(p if led else np.minimum(p, q))
+            out_b.append(q if led else np.maximum(p, q))
             if sum(map(len, out_a[-64:])) > 50_000 or len(out_a) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
                 out_a, out_b = [], []
@@ -266,7 +300,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
     spark = docs.sparkSession
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(BUNDLE)))
     size = dealt.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = dealt.join(size, "a").select("a", "b", F.pmod("salt", F.ceil(F.col("n") / BUNDLE)).alias("part"))
+    dealt = common.hot_join(dealt, size, "a", "n").select("a", "b", F.pmod("salt", F.ceil(F.col("n") / BUNDLE)).alias("part"))
     members = dealt.select("a", "part", F.col("b").alias("doc_id"))
     want = common.stash(members.union(dealt.select("a", "part", F.col("a").alias("doc_id")).distinct()), "wanted")
     own = common.small_join(docs, want.select("doc_id").distinct(), "doc_id")
@@ -280,34 +314,30 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = common.texts(docs)
-    signed = common.stash(source.mapInArrow(_signatures(words, SKETCH), SIGNED), "signatures")
+    signed = common.stash(source.mapInArrow(_signatures(words, percent, frequent(source, words)), SIGNED), "signatures")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
     # Equal sets: the smallest doc_id stands for all of them.
-    reps = common.stash(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "representatives")
-    copies = named.join(reps, "key").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    reps = common.stash(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "representatives")
+    copies = common.hot_join(named.select("doc_id", "key"), reps.where("rows > 1"), "key", "rows").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     # A doc_id may stand for several sets (rows that share it); then it has several signatures.
-    first = named.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "bits")).alias("s")).select("key", "s.*")
+    first = named.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "shown", "bits")).alias("s")).select("key", "s.*")
     first = common.stash(first, "sets")
 
-    # Buckets by the rarest hashes of each sketch that more than one set shows.
-    shown = first.select("key", F.explode("sketch").alias("h"))
-    many = shown.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    need = F.least(F.lit(COMMON), F.ceil(F.col("n_shingles") * percent / 100)).cast("int")
-    ranked = first.select("key", F.explode("sketch").alias("h")).join(many, "h").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
-    #: Hashes that only this set shows are the rarest; they use up the first places and make no bucket.
-    prefix = F.size("sketch") - need + 1
-    alone = F.size("sketch") - F.size("common")
-    kept = first.join(ranked, "key").withColumn("take", F.greatest(F.lit(0), prefix - alone)).where("take > 0")
-    kept = common.stash(kept.select("key", "doc_id", "n_shingles", "bits", F.expr("slice(common, 1, take)").alias("buckets"), F.expr("aggregate(common, 0D, (s, x) -> s + log2(x.df))").alias("central")), "prefixes")
+    # Buckets by the shown shingles that more than one set shows, the rarest first.
+    shown = first.select("key", F.explode("shown").alias("h"))
+    many = common.stash(shown.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    ranked = common.hot_join(shown, many, "h", "df").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    kept = first.join(ranked, "key")
+    kept = common.stash(kept.select("key", "doc_id", "n_shingles", "bits", F.col("common").alias("buckets"), F.expr("aggregate(common, 0D, (s, x) -> s + log2(x.df))").alias("central")), "prefixes")
 
     # First turn: the most central set of a bucket against the others; each set names one such lead.
-    spots = kept.select("doc_id", "n_shingles", "central", F.explode("buckets").alias("x")).select("doc_id", "n_shingles", "central", F.col("x.h").alias("h"))
-    leads = spots.groupBy("h").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("m"))).alias("best")).select("h", F.col("best.central").alias("lead_central"), (-F.col("best.m")).alias("lead"))
-    votes = spots.join(leads, "h").where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.count("*").alias("votes"), F.max("lead_central").alias("lead_central"))
-    chosen = votes.groupBy("doc_id").agg(F.max(F.struct("votes", "lead_central", (-F.col("lead")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), F.col("doc_id").alias("b"))
+    spots = kept.select("doc_id", "central", F.explode("buckets").alias("x")).select("doc_id", "central", "x.h")
+    leads = spots.groupBy("h").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("m"))).alias("best"), F.count("*").alias("rows")).select("h", F.col("best.central").alias("lead_central"), (-F.col("best.m")).alias("lead"), "rows")
+    votes = common.hot_join(spots, leads, "h", "rows").where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.count("*").alias("votes"), F.max("lead_central").alias("lead_central"))
+    chosen = common.stash(votes.groupBy("doc_id").agg(F.max(F.struct("votes", "lead_central", (-F.col("lead")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), F.col("doc_id").alias("b")), "chosen")
     texts_of = source.where("doc_id IS NOT NULL")
-    links = common.stash(verified(chosen, texts_of, words, percent), "links")
+    links = common.stash(verified(common.stash(led_pairs(chosen, kept, percent), "led"), texts_of, words, percent), "links")
     classes = common.components(links)
 
     # Second turn: whatever the trees leave between different classes.
@@ -315,7 +345,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     held = common.stash(held, "held")
     spots = held.select("doc_id", "class", F.explode("buckets.h").alias("h"))
     mixed = spots.groupBy("h").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("h", "n")
-    placed = common.stash(spots.join(mixed, "h").select("doc_id", "h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "placed")
+    placed = common.stash(common.hot_join(spots, mixed, "h", "n").select("doc_id", "h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "placed")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     # A block meets itself and every other block of its bucket once.
     dealt = placed.withColumn("own", block).select("doc_id", "h", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
@@ -326,7 +356,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     more = common.stash(verified(common.stash(found, "candidates"), texts_of, words, percent), "links")
 
     linked = common.components(common.stash(links.union(more).union(copies), "all_links"))
-    return signed.join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signed.select("doc_id", "n_shingles").join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def led_pairs(chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of chosen that the trees leave: that of the lead a against those of up to some BUNDLE sets b."""
+    n = int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = chosen.groupBy("a").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / BUNDLE)
+    dealt = common.hot_join(chosen, size, "a", "n").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
+    leads = size.select("a", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    sides = dealt.select("a", "part", F.col("b").alias("doc_id"), F.lit(1).alias("side")).union(leads.select("a", "part", F.col("a").alias("doc_id"), F.lit(0).alias("side")))
+    rows = sides.join(sets, "doc_id").select("doc_id", F.xxhash64("a", "part").alias("bucket"), "side", "n_shingles", "bits", F.col("doc_id").alias("class"), F.array().cast("array<long>").alias("before"))
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pairs(percent, led=True), "a long, b long").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
