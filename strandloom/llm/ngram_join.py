@@ -1,11 +1,16 @@
 """Near-duplicate classes by exact Jaccard similarity of word shingles, found with signature trees.
 
-Shingle sets stand for hashes of 64 bits. Copies with equal sets collapse to their smallest doc_id first. All shingles
-have one order: by hash, with those that a sample shows to be frequent last, the most frequent at the very end. A set of n
-shingles shows the first n - ceil(0.75 n) + 1 of them. Two sets that link have at least ceil(0.75 n) shingles in common
-for either n, so they show one in common, whatever the order is: the order decides only how much work there is. So sets
-meet in buckets by the shingles that they show, no link is lost, and a passage that very many texts share makes a bucket
-only for texts that mostly consist of it.
+Shingle sets stand for hashes of 64 bits. Copies with equal sets collapse to their smallest doc_id first. Each
+remaining set shows some of its hashes, and sets meet in buckets by the hashes that they show:
+
+* By default it shows its SKETCH smallest hashes, and meets others by the (SKETCH - COMMON + 1) rarest of them. Two sets
+  with similarity 0.75 or more have at least COMMON of the union's SKETCH smallest hashes in common: the chance of fewer,
+  by the binomial tail, is below 1e-10 for a pair on the threshold and far lower above it; sets with at most SKETCH
+  shingles show all of them and lose nothing. A passage that very many texts share makes a bucket only for texts that
+  mostly consist of it.
+* With exact=True it shows the first n - ceil(0.75 n) + 1 of its n shingles in one order of all shingles (by hash, those
+  that a sample shows to be frequent last). Linked sets have ceil(0.75 n) shingles in common for either n, so they show
+  one in common whatever the order is, and no link can be lost; there are several times as many candidates.
 
 Within a bucket each set is a leaf with its size and a bitmap of its shingles (a power of two of bits, at least twice
 the shingles, folded to the smaller of two when compared). Nodes hold the size range, the OR of the bitmaps and the
@@ -30,7 +35,9 @@ from . import common
 WORDS = 5
 #: Similarity times 100.
 PERCENT = 75
-#: One text in SAMPLE tells which shingles are frequent: those in OFTEN of them, at most MOST_FREQUENT; links don't depend on it.
+SKETCH = 64
+COMMON = 24
+#: For exact buckets, one text in SAMPLE tells which shingles are frequent: those in OFTEN of them, at most MOST_FREQUENT; links don't depend on it.
 SAMPLE, OFTEN, MOST_FREQUENT = 64, 4, 1_000_000
 #: Sets of a bucket that one task takes as one block.
 BLOCK = 1024
@@ -95,14 +102,16 @@ def frequent(docs: DataFrame, words: int):
 
 
 def _signatures(words: int, percent: int, hot):
+    """The shown hashes are the SKETCH smallest if hot is None, else the first in the order that has hot last."""
+
     def run(batches):
         import hashlib
 
         import numpy as np
         import pyarrow as pa
 
-        order = np.argsort(hot)
-        ordered = hot[order]
+        order = None if hot is None else np.argsort(hot)
+        ordered = None if hot is None else hot[order]
         for batch in batches:
             rows = batch.column("text")
             names = batch.column("doc_id")
@@ -112,8 +121,8 @@ def _signatures(words: int, percent: int, hot):
                     h = shingles(text, words)
                     n.append(len(h))
                     keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                    take = len(h) + (-percent * len(h) // 100) + 1 if len(h) else 0
-                    if len(hot) and len(h):
+                    take = SKETCH if hot is None else len(h) + (-percent * len(h) // 100) + 1 if len(h) else 0
+                    if hot is not None and len(hot) and len(h):
                         at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
                         often = ordered[at] == h
                         h2 = np.concatenate([h[~often], h[often][np.argsort(order[at[often]])]])
@@ -309,12 +318,12 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
     return rows.repartition(n, "bundle").sortWithinPartitions("bundle").mapInArrow(_verify(words, percent), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs."""
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, exact: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs; exact: buckets that cannot lose a link (see above)."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = common.texts(docs)
-    signed = common.stash(source.mapInArrow(_signatures(words, percent, frequent(source, words)), SIGNED), "signatures")
+    signed = common.stash(source.mapInArrow(_signatures(words, percent, frequent(source, words) if exact else None), SIGNED), "signatures")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
     # Equal sets: the smallest doc_id stands for all of them.
@@ -328,8 +337,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     shown = first.select("key", F.explode("shown").alias("h"))
     many = common.stash(shown.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     ranked = common.hot_join(shown, many, "h", "df").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
-    kept = first.join(ranked, "key")
-    kept = common.stash(kept.select("key", "doc_id", "n_shingles", "bits", F.col("common").alias("buckets"), F.expr("aggregate(common, 0D, (s, x) -> s + log2(x.df))").alias("central")), "prefixes")
+    # Hashes that only this set shows are the rarest; they use up the first places and make no bucket.
+    need = F.least(F.lit(COMMON), F.ceil(F.col("n_shingles") * percent / 100)).cast("int")
+    take = F.size("common") if exact else F.size("common") - need + 1
+    kept = first.join(ranked, "key").withColumn("take", F.least(F.size("common"), F.greatest(F.lit(0), take))).where("take > 0")
+    kept = common.stash(kept.select("key", "doc_id", "n_shingles", "bits", F.expr("slice(common, 1, take)").alias("buckets"), F.expr("aggregate(common, 0D, (s, x) -> s + log2(x.df))").alias("central")), "prefixes")
 
     # First turn: the most central set of a bucket against the others; each set names one such lead.
     spots = kept.select("doc_id", "central", F.explode("buckets").alias("x")).select("doc_id", "central", "x.h")

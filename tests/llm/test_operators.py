@@ -46,9 +46,10 @@ def test_join_equals_brute_force(docs, none):
                 both = len(sets[a] & sets[b])
                 if a != b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
-    got = ngram_join.near_duplicates(docs).collect()
-    assert len(got) == len(table())
-    assert all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root[r.doc_id]) for r in got if r.doc_id is not None)
+    for exact in (False, True):
+        got = ngram_join.near_duplicates(docs, exact=exact).collect()
+        assert len(got) == len(table())
+        assert all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root[r.doc_id]) for r in got if r.doc_id is not None)
     assert ngram_join.near_duplicates(none).count() == 0
 
 
