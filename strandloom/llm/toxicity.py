@@ -1,14 +1,15 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Labelled rows whose crc32(doc_id) modulo 5 is 1 or 2 give the lexicon: words whose log-odds of occurring in toxic texts
-are high and significant. Those with 3 fit the trees, and those with 4 the calibration, so that no stage learns from
+are high, and significant by a likelihood-ratio test at a false-discovery rate. Those with 3 fit the trees, and those with 4 the calibration, so that no stage learns from
 rows that an earlier one has seen; those with 0 are held out. Each fit takes a sample of at most SAMPLE rows, the ones
 with the smallest hashes. Every text is then scored whole.
 
-Features: densities of lexicon words (weighted and not, lexical and stem forms, with and without obfuscation undone),
+Features: densities of lexicon words (weighted and not, with and without obfuscation undone),
 lexicon hits near second-person words, second-person density, capitals, punctuation, obfuscation, lengths.
 
-Cases: null and empty texts have all-zero features and get the score of such; repeated rows return as often as they
+Cases: null and empty texts have all-zero features and get the score of such; a very long text is scored whole; equal
+texts tie in score, and so do all texts in one step of the calibration; repeated rows return as often as they
 occur; a doc_id with several labels counts as toxic if one of them is; without labels of both classes every score is
 the share of toxic labels, or 0; an empty table gives no row; other columns, lang and source are ignored.
 """
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 
 SAMPLE = 40_000
-#: A lexicon word needs so many texts, and so large a log-odds ratio and z.
-LEXICON_TEXTS, LEXICON_ODDS, LEXICON_Z = 5, 1.5, 4.5
+#: A lexicon word needs so many texts, so large a log-odds ratio, and a place under this false-discovery rate.
+LEXICON_TEXTS, LEXICON_ODDS, LEXICON_FDR = 3, 1.0, 0.05
+#: The lexicon's bound: like the samples of labelled rows that it is learnt from, it does not grow with the corpus.
 LEXICON_WORDS = 20_000
 NEAR = 4
 TREES, DEPTH = 30, 4
@@ -81,9 +83,23 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
     counts = rows.select("toxic", "text").mapInArrow(_words, "toxic int, words array<string>").select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g"))
     b, g = F.col("b") + 0.5, F.col("g") + 0.5
     odds = F.log(b / (bad - F.col("b") + 0.5)) - F.log(g / (good - F.col("g") + 0.5))
-    z = odds / F.sqrt(1 / b + 1 / g)
-    kept = counts.where(F.col("b") + F.col("g") >= LEXICON_TEXTS).select("w", odds.alias("odds"), z.alias("z")).where((F.col("odds") >= LEXICON_ODDS) & (F.col("z") >= LEXICON_Z))
-    return {r[0]: r[1] for r in kept.orderBy(F.desc("z"), "w").limit(LEXICON_WORDS).select("w", "odds").collect()}
+    # G² of the table word x toxic; it is finite and high for words that no clean text holds.
+    seen = F.col("b") + F.col("g")
+    part = lambda o, e: F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0)
+    n = bad + good
+    g2 = part(F.col("b"), seen * bad / n) + part(F.col("g"), seen * good / n) + part(bad - F.col("b"), (n - seen) * bad / n) + part(good - F.col("g"), (n - seen) * good / n)
+    tested = common.stash(counts.where(seen >= LEXICON_TEXTS).select("w", odds.alias("odds"), g2.alias("g2")), "tested")
+    # Benjamini-Hochberg over slots of G²; the number of slots is bounded by the size of the sample.
+    slots = sorted(tuple(r) for r in tested.groupBy(F.floor(F.col("g2") * 4), (F.col("odds") > 0).cast("int")).count().collect())
+    total, above, cut = sum(r[2] for r in slots), 0, None
+    for slot, high, k in reversed(slots):
+        above += k * high
+        if slot and above and total * math.erfc(math.sqrt(slot / 8)) <= LEXICON_FDR * above:
+            cut = slot / 4
+    if cut is None:
+        return {}
+    kept = tested.where((F.col("odds") >= LEXICON_ODDS) & (F.col("g2") >= cut))
+    return {r[0]: r[1] for r in kept.orderBy(F.desc("g2"), "w").limit(LEXICON_WORDS).select("w", "odds").collect()}
 
 
 def _features(known: dict[str, float]):
@@ -134,7 +150,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         base = shares[1] / shares[0] if shares[0] else 0.0
         plain = every.withColumn("score", F.lit(float(base)))
     else:
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.15, minInstancesPerNode=10, seed=7, maxBins=32).fit(fitted.where("fold = 3").coalesce(4).cache())
+        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.15, minInstancesPerNode=10, seed=7, maxBins=32).fit(fitted.where("fold = 3").coalesce(4))
         raw = lambda df: trees.transform(df).withColumn("p", vector_to_array("probability")[1])
         tuned = common.stash(raw(fitted.where("fold = 4")).select("p", "label"), "tuned")
         if tuned.limit(1).count():
