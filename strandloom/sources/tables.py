@@ -93,6 +93,11 @@ def export_scores(scores: DataFrame, bins: DataFrame, on: list[str] = ("chrom",
     return bins.join(scores, list(on), "left")
 
 
+def write_scores(df: DataFrame, path: str, header: bool = False) -> None:
+    """Tab-separated, compressed; without a header the first columns make it a BED-like track."""
+    df.write.csv(path, sep="\t", header=header, compression="gzip")
+
+
 class RegionLibrary:
     """Region sets by name, each a function that makes (chrom, start0, end1, name, score)."""
 
@@ -107,6 +112,6 @@ class RegionLibrary:
         for name in names:
             df = self.made[name]()
             spark, path = df.sparkSession, f"{folder}/{name}"
-            df.select("chrom", "start0", "end1", "name", "score").write.mode("overwrite" if force else "ignore").parquet(path)
+            df.select("chrom", "start0", "end1", "name", "score").write.mode("overwrite" if force else "ignore").parquet(path)  # what is there stays
             out[name] = spark.read.parquet(path)
         return out
