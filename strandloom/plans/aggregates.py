@@ -77,9 +77,12 @@ def g9(seq):
     return a.join(b, "nonamer").select("nonamer", F.round(F.col("x") - F.col("y"), 6).alias("m"), F.round((F.col("x") + F.col("y")) / 2, 6).alias("a"), rich.alias("rich"))
 
 
-@query("g11_weight_histogram", "SELECT sample, CAST(ROUND(LOG10(wgt) * 10) AS BIGINT) AS slot, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2")
+@query("g11_weight_histogram", "WITH h AS (SELECT sample, CAST(ROUND(LOG10(wgt) * 10) AS BIGINT) AS slot, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2), q AS (SELECT sample, QUANTILE_CONT(CAST(ROUND(LOG10(wgt) * 10) AS DOUBLE) / 10, [0.01, 0.5, 0.99]) AS q FROM f_inserts GROUP BY 1) SELECT h.sample, h.slot, h.n, ROUND(q.q[1], 6) AS q01, ROUND(q.q[2], 6) AS q50, ROUND(q.q[3], 6) AS q99 FROM h JOIN q ON q.sample = h.sample")
 def g11(inserts):
-    return inserts.groupBy("sample", F.round(F.log10("wgt") * 10).cast("long").alias("slot")).agg(F.count("*").alias("n"))
+    """The quantiles are those of the histogram with each slot repeated by its count."""
+    h = inserts.groupBy("sample", F.round(F.log10("wgt") * 10).cast("long").alias("slot")).agg(F.count("*").alias("n"))
+    q = h.groupBy("sample").agg(F.percentile(F.col("slot") / 10, F.array(*map(F.lit, (0.01, 0.5, 0.99))), F.col("n")).alias("q"))
+    return h.join(q, "sample").select("sample", "slot", "n", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("q01", "q50", "q99"))))
 
 
 @query("g12_bin_mappability_gc", "SELECT b.chrom, b.start0, ROUND(COALESCE(SUM(CASE WHEN r.start0 IS NOT NULL THEN LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0) END), 0) / 1000, 4) AS map, ROUND(COALESCE(SUM((LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0)) * (r.start0 % 100)) / SUM(LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0)), 0), 4) AS gc FROM f_bins b LEFT JOIN f_regions r ON b.chrom = r.chrom AND b.start0 < r.end1 AND r.start0 < b.end1 GROUP BY 1, 2")
@@ -96,21 +99,27 @@ def g13(track):
     return both.groupBy("slot").agg(F.count_if(F.col("isl") == 35).alias("isl_35"), F.count_if(F.col("isl") == 40).alias("isl_40"))
 
 
-@query("g14_cpm_rpkm", f"WITH {DENSE_SQL} SELECT sample, chrom, start0, ROUND(n_obs * 1e6 / SUM(n_obs) OVER (PARTITION BY sample), 6) AS cpm FROM d")
+@query("g14_cpm_rpkm", f"WITH {DENSE_SQL} SELECT sample, chrom, start0, ROUND(n_obs * 1e6 / SUM(n_obs) OVER (PARTITION BY sample), 6) AS cpm, ROUND(n_obs * 1e6 / SUM(n_obs) OVER (PARTITION BY sample) / 2, 6) AS rpkm FROM d")
 def g14(inserts, bins):
     d = dense(inserts, bins)
     # Each insert lies in one bin of the grid; the total is joined, so that no window gathers a sample in one task.
     total = inserts.groupBy("sample").agg(F.count("*").alias("t"))
-    return d.join(F.broadcast(total), "sample").select("sample", "chrom", "start0", F.round(F.col("n_obs") * 1e6 / F.col("t"), 6).alias("cpm"))
+    cpm = F.col("n_obs") * 1e6 / F.col("t")
+    # Two ends make one insert, and a bin is one kilobase.
+    return d.join(F.broadcast(total), "sample").select("sample", "chrom", "start0", F.round(cpm, 6).alias("cpm"), F.round(cpm / 2, 6).alias("rpkm"))
 
 
-@query("g15_tss_rpkm", "WITH w AS (SELECT name, chrom, side, CASE WHEN (strand = '+') = (side = 'up') THEN p - 1000 ELSE p END AS start0, CASE WHEN (strand = '+') = (side = 'up') THEN p ELSE p + 1000 END AS end1 FROM (SELECT *, CASE WHEN strand = '+' THEN start0 ELSE end1 END AS p FROM f_genes) CROSS JOIN (VALUES ('up'), ('down')) AS s(side)), c AS (SELECT w.name, COUNT(*) FILTER (WHERE side = 'up') AS up, COUNT(*) FILTER (WHERE side = 'down') AS down FROM w JOIN f_inserts i ON i.chrom = w.chrom AND i.start0 < w.end1 AND w.start0 < i.end1 GROUP BY 1) SELECT name, up, down, CASE WHEN up = 0 THEN CAST('inf' AS DOUBLE) ELSE ROUND(down / up, 6) END AS fold FROM c")
+@query("g15_tss_rpkm", "WITH i AS (SELECT chrom, start0, end1, CASE WHEN start0 % 2 = 0 THEN '+' ELSE '-' END AS strand FROM f_inserts), w AS (SELECT name, chrom, strand, side, CASE WHEN (strand = '+') = (side = 'up') THEN p - 1000 ELSE p END AS start0, CASE WHEN (strand = '+') = (side = 'up') THEN p ELSE p + 1000 END AS end1 FROM (SELECT *, CASE WHEN strand = '+' THEN start0 ELSE end1 END AS p FROM f_genes) CROSS JOIN (VALUES ('up'), ('down')) AS s(side)), c AS (SELECT w.name, COUNT(*) FILTER (WHERE side = 'up') AS up, COUNT(*) FILTER (WHERE side = 'down') AS down FROM w JOIN i ON i.chrom = w.chrom AND i.strand = w.strand AND i.start0 < w.end1 AND w.start0 < i.end1 GROUP BY 1), t AS (SELECT COUNT(*) AS t FROM f_inserts) SELECT name, up, down, ROUND(up * 1e6 / t, 6) AS up_rpkm, ROUND(down * 1e6 / t, 6) AS down_rpkm, ROUND((down - up) * 1e6 / t, 6) AS difference, CASE WHEN up = 0 THEN CAST('inf' AS DOUBLE) ELSE ROUND(down / up, 6) END AS fold FROM c, t")
 def g15(genes, inserts):
-    """Genes without an insert on either side are left out."""
-    windows = iv.overlap_count(iv.tss_flanks(genes), inserts.select("chrom", "start0", "end1"))
+    """Inserts of the gene's strand in one kilobase on either side; genes without any are left out."""
+    own = inserts.select("chrom", "start0", "end1", F.when(F.col("start0") % 2 == 0, "+").otherwise("-").alias("strand"))
+    windows = iv.overlap_count(iv.tss_flanks(genes), own, keys=("chrom", "strand"))
     of = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
     c = windows.groupBy("name").agg(of("up").alias("up"), of("down").alias("down")).where("up + down > 0")
-    return c.withColumn("fold", F.round(sc.divided(F.col("down").cast("double"), F.col("up").cast("double")), 6))
+    rpkm = lambda n: F.round(n * 1e6 / F.col("t"), 6)
+    up, down = F.col("up"), F.col("down")
+    scaled = c.crossJoin(F.broadcast(own.agg(F.count("*").alias("t"))))
+    return scaled.select("name", "up", "down", rpkm(up).alias("up_rpkm"), rpkm(down).alias("down_rpkm"), rpkm(down - up).alias("difference"), F.round(sc.divided(down.cast("double"), up.cast("double")), 6).alias("fold"))
 
 
 @query("g16_fold_from_mean", f"WITH {COUNTS} SELECT name, stage, ROUND(LOG2(n / AVG(n) OVER (PARTITION BY name)), 6) AS fold FROM c")
@@ -119,9 +128,15 @@ def g16(regions, inserts, samples):
     return c.select("name", "stage", F.round(F.log2(F.col("n") / F.avg("n").over(Window.partitionBy("name"))), 6).alias("fold"))
 
 
-@query("g17_score_distribution", f"WITH {DENSE_SQL} SELECT sample, CAST(MEDIAN(n_obs) AS DOUBLE) AS median, ROUND(AVG(n_obs), 6) AS mean, ROUND(STDDEV_SAMP(n_obs), 6) AS sd FROM d GROUP BY 1")
+@query("g17_score_distribution", f"WITH {DENSE_SQL}, e AS (SELECT sample, n_obs FROM d WHERE chrom <> 'chrX'), h AS (SELECT sample, CAST(ROUND(n_obs / 5) * 5 AS BIGINT) AS x, COUNT(*) AS k FROM e GROUP BY 1, 2), p AS (SELECT sample, x AS peak_x FROM h QUALIFY ROW_NUMBER() OVER (PARTITION BY sample ORDER BY k DESC, x) = 1), m AS (SELECT sample, CAST(MEDIAN(n_obs) AS DOUBLE) AS median, ROUND(AVG(n_obs), 6) AS mean, ROUND(STDDEV_SAMP(n_obs), 6) AS sd FROM e GROUP BY 1) SELECT h.sample, h.x, ROUND(h.k / SUM(h.k) OVER (PARTITION BY h.sample), 6) AS share, p.peak_x, m.median, m.mean, m.sd FROM h JOIN p ON p.sample = h.sample JOIN m ON m.sample = h.sample")
 def g17(inserts, bins):
-    return dense(inserts, bins).groupBy("sample").agg(F.median("n_obs").alias("median"), F.round(F.avg("n_obs"), 6).alias("mean"), F.round(F.stddev_samp("n_obs"), 6).alias("sd"))
+    """Of the bins outside of chrX: the histogram in units of 5, and the sample's peak and moments in each of its rows."""
+    values = dense(inserts, bins).where("chrom <> 'chrX'").groupBy("sample", "n_obs").agg(F.count("*").alias("c"))
+    h = values.groupBy("sample", (F.round(F.col("n_obs") / 5) * 5).cast("long").alias("x")).agg(F.sum("c").alias("k"))
+    peak = h.groupBy("sample").agg(F.max_by("x", F.struct("k", (-F.col("x")).alias("m"))).alias("peak_x"), F.sum("k").alias("t"))
+    n, s1, s2 = F.sum("c"), F.sum(F.col("c") * F.col("n_obs")), F.sum(F.col("c") * F.col("n_obs") * F.col("n_obs"))
+    moments = values.groupBy("sample").agg(F.percentile("n_obs", 0.5, F.col("c")).alias("median"), F.round(s1 / n, 6).alias("mean"), F.round(F.sqrt((n * s2 - s1 * s1) / (n * (n - 1))), 6).alias("sd"))
+    return h.join(peak, "sample").join(moments, "sample").select("sample", "x", F.round(F.col("k") / F.col("t"), 6).alias("share"), "peak_x", "median", "mean", "sd")
 
 
 @query("g18_aggregate_series", f"WITH {DENSE_SQL} SELECT s.stage_type, d.chrom, d.start0, ROUND(AVG(d.n_obs), 6) AS mean, CAST(SUM(d.n_obs) AS BIGINT) AS total FROM d JOIN f_samples s ON s.sample = d.sample WHERE s.stage_type IS NOT NULL GROUP BY 1, 2, 3")
@@ -167,25 +182,28 @@ def g22(genes, bins):
     return per.select("name", sc.floored_log10(F.col("v")).alias("v"))
 
 
-@query("g23_weighted_median_index", f"WITH {COUNTS}, r AS (SELECT name, k, n, SUM(n) OVER (PARTITION BY name ORDER BY k) AS cum, SUM(n) OVER (PARTITION BY name) AS t FROM c), h AS (SELECT name, k, (cum - n / 2) / t AS q FROM r), b AS (SELECT name, MAX(k) FILTER (WHERE q <= 0.5) AS k0, MAX(q) FILTER (WHERE q <= 0.5) AS q0, MIN(k) FILTER (WHERE q > 0.5) AS k1, MIN(q) FILTER (WHERE q > 0.5) AS q1 FROM h GROUP BY 1) SELECT name, ROUND(CASE WHEN k0 IS NULL THEN k1 WHEN k1 IS NULL THEN k0 ELSE k0 + (k1 - k0) * (0.5 - q0) / (q1 - q0) END, 6) AS idx FROM b")
+@query("g23_weighted_median_index", f"WITH {COUNTS}, r AS (SELECT name, k, n, SUM(n) OVER (PARTITION BY name ORDER BY k) AS cum, SUM(n) OVER (PARTITION BY name) AS t FROM c), h AS (SELECT name, k, n, (cum - n / 2) / t AS q FROM r), b AS (SELECT name, MAX(k) FILTER (WHERE q <= 0.5) AS k0, MAX(q) FILTER (WHERE q <= 0.5) AS q0, MIN(k) FILTER (WHERE q > 0.5) AS k1, MIN(q) FILTER (WHERE q > 0.5) AS q1, FIRST(k ORDER BY n DESC, k) AS top FROM h GROUP BY 1) SELECT name, ROUND(CASE WHEN k0 IS NULL THEN k1 WHEN k1 IS NULL THEN k0 ELSE k0 + (k1 - k0) * (0.5 - q0) / (q1 - q0) END, 6) AS idx, CAST(ROUND(CASE WHEN k0 IS NULL THEN k1 WHEN k1 IS NULL THEN k0 ELSE k0 + (k1 - k0) * (0.5 - q0) / (q1 - q0) END) AS INTEGER) AS nearest, top FROM b")
 def g23(regions, inserts, samples):
-    """The stage index at half of the signal, between the middles of the stages' shares of it."""
+    """The stage index at half of the signal, between the middles of the stages' shares of it; the stage nearest to it; the strongest."""
     c = stage_counts(regions, inserts, samples)
     w = Window.partitionBy("name")
     q = (F.sum("n").over(w.orderBy("k")) - F.col("n") / 2) / F.sum("n").over(w)
     low, high = F.col("q") <= 0.5, F.col("q") > 0.5
-    b = c.withColumn("q", q).groupBy("name").agg(F.max(F.when(low, F.col("k"))).alias("k0"), F.max(F.when(low, F.col("q"))).alias("q0"), F.min(F.when(high, F.col("k"))).alias("k1"), F.min(F.when(high, F.col("q"))).alias("q1"))
+    b = c.withColumn("q", q).groupBy("name").agg(F.max(F.when(low, F.col("k"))).alias("k0"), F.max(F.when(low, F.col("q"))).alias("q0"), F.min(F.when(high, F.col("k"))).alias("k1"), F.min(F.when(high, F.col("q"))).alias("q1"), F.max_by("k", F.struct("n", (-F.col("k")).alias("m"))).alias("top"))
     between = F.col("k0") + (F.col("k1") - F.col("k0")) * (0.5 - F.col("q0")) / (F.col("q1") - F.col("q0"))
-    return b.select("name", F.round(F.when(F.col("k0").isNull(), F.col("k1")).when(F.col("k1").isNull(), F.col("k0")).otherwise(between), 6).alias("idx"))
+    idx = F.when(F.col("k0").isNull(), F.col("k1")).when(F.col("k1").isNull(), F.col("k0")).otherwise(between)
+    return b.select("name", F.round(idx, 6).alias("idx"), F.round(idx).cast("int").alias("nearest"), "top")
 
 
-@query("g24_centered_centroid", f"WITH {COUNTS}, m AS (SELECT name, k, n - AVG(n) OVER (PARTITION BY k) AS v FROM c) SELECT name, ROUND(SUM(k * GREATEST(v, 0)) / SUM(GREATEST(v, 0)), 6) AS centroid FROM m GROUP BY 1 HAVING SUM(GREATEST(v, 0)) > 0")
+@query("g24_centered_centroid", f"WITH {COUNTS}, m AS (SELECT name, k, n - AVG(n) OVER (PARTITION BY k) AS v FROM c) SELECT name, ROUND(SUM(k * GREATEST(v, 0)) / SUM(GREATEST(v, 0)), 6) AS centroid, MAX(v) - MIN(v) > 1 AS dynamic FROM m GROUP BY 1 HAVING SUM(GREATEST(v, 0)) > 0")
 def g24(regions, inserts, samples):
+    """Regions without a stage above its mean go; dynamic ones vary by more than 1 about the stages' means."""
     c = stage_counts(regions, inserts, samples)
     mean = c.groupBy("k").agg(F.avg("n").alias("m"))
-    v = F.greatest(F.col("n") - F.col("m"), F.lit(0.0))
-    per = c.join(F.broadcast(mean), "k").groupBy("name").agg(F.sum(F.col("k") * v).alias("x"), F.sum(v).alias("w")).where("w > 0")
-    return per.select("name", F.round(F.col("x") / F.col("w"), 6).alias("centroid"))
+    v = F.col("n") - F.col("m")
+    up = F.greatest(v, F.lit(0.0))
+    per = c.join(F.broadcast(mean), "k").groupBy("name").agg(F.sum(F.col("k") * up).alias("x"), F.sum(up).alias("w"), (F.max(v) - F.min(v) > 1).alias("dynamic")).where("w > 0")
+    return per.select("name", F.round(F.col("x") / F.col("w"), 6).alias("centroid"), "dynamic")
 
 
 @query("g25_lag_bins", "SELECT CAST(ROUND(LOG10(d) * 10) AS BIGINT) AS lag, COUNT(*) AS n, ROUND(SUM(x * x) / COUNT(*) / 2, 6) AS semivariance, ROUND(AVG(ABS(x)), 6) AS mean_abs FROM (SELECT b.start0 - a.start0 AS d, (b.end1 - b.start0 - a.end1 + a.start0) / 100.0 AS x FROM f_genes a JOIN f_genes b ON a.chrom = b.chrom AND b.start0 > a.start0 AND b.start0 - a.start0 < 50000) GROUP BY 1 HAVING COUNT(*) >= 100")
@@ -196,14 +214,18 @@ def g25(genes):
     return per.where("n >= 100").select("lag", "n", F.round(F.col("s") / F.col("n") / 2, 6).alias("semivariance"), F.round("m", 6).alias("mean_abs"))
 
 
-@query("g27_cluster_overlap_fraction", "SELECT peak_set, COUNT(*) AS n, ROUND(AVG(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM (SELECT a.peak_set, EXISTS (SELECT 1 FROM f_genes b WHERE a.chrom = b.chrom AND a.start0 < b.end1 AND b.start0 < a.end1) AS hit FROM f_regions a) GROUP BY 1")
-def g27(regions, genes):
-    return iv.overlap_count(regions, genes, ["name"]).groupBy("peak_set").agg(F.count("*").alias("n"), F.round(F.avg((F.col("n") > 0).cast("double")), 6).alias("fraction"))
+@query("g27_cluster_overlap_fraction", "WITH h AS (SELECT a.peak_set, score, end1 - start0 AS z, EXISTS (SELECT 1 FROM f_genes b WHERE a.chrom = b.chrom AND a.start0 < b.end1 AND b.start0 < a.end1) AS hit FROM f_regions a), t AS (SELECT ROUND(AVG(CASE WHEN EXISTS (SELECT 1 FROM f_genes g WHERE g.chrom = b.chrom AND g.start0 < b.end1 AND b.start0 < g.end1) THEN 1.0 ELSE 0.0 END), 6) AS genome_fraction FROM f_bins b) SELECT peak_set, COUNT(*) AS n, ROUND(AVG(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS fraction, ROUND(AVG(score), 3) AS mean_score, CAST(MEDIAN(z) AS DOUBLE) AS median_size, MAX(genome_fraction) AS genome_fraction FROM h, t GROUP BY 1")
+def g27(regions, genes, bins):
+    """By set: the share of its regions that overlap a gene, beside the share of the genome's bins that do."""
+    hit = lambda df: iv.overlap_count(df, genes).withColumn("hit", (F.col("n") > 0).cast("double"))
+    genome = hit(bins).agg(F.round(F.avg("hit"), 6).alias("genome_fraction"))
+    per = hit(regions).groupBy("peak_set").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("fraction"), F.round(F.avg("score"), 3).alias("mean_score"), F.percentile(size(), 0.5).alias("median_size"))
+    return per.crossJoin(F.broadcast(genome))
 
 
-@query("g29_interval_max_score", "SELECT g.name, MAX(CAST(r.score AS DOUBLE)) AS top, COUNT(r.name) > 0 AS hit FROM f_genes g LEFT JOIN f_regions r ON g.chrom = r.chrom AND g.start0 < r.end1 AND r.start0 < g.end1 GROUP BY 1")
+@query("g29_interval_max_score", "SELECT g.name, MAX(g.strand) AS cluster, MAX(CAST(r.score AS DOUBLE)) AS top, COUNT(r.name) > 0 AS hit FROM f_genes g LEFT JOIN f_regions r ON g.chrom = r.chrom AND g.start0 < r.end1 AND r.start0 < g.end1 GROUP BY 1")
 def g29(genes, regions):
-    return iv.overlap_left(genes, regions, ["name"]).groupBy("name").agg(F.max(F.col("b_score").cast("double")).alias("top"), (F.count("b_name") > 0).alias("hit"))
+    return iv.overlap_left(genes, regions, ["name"]).groupBy("name").agg(F.max("strand").alias("cluster"), F.max(F.col("b_score").cast("double")).alias("top"), (F.count("b_name") > 0).alias("hit"))
 
 
 @query("g30_in_out_summary", f"WITH {DENSE_SQL}, h AS (SELECT b.chrom, b.start0, EXISTS (SELECT 1 FROM f_genes g WHERE g.chrom = b.chrom AND g.start0 < b.end1 AND b.start0 < g.end1) AS inside FROM f_bins b) SELECT d.sample, h.inside, COUNT(*) AS n, CAST(MEDIAN(d.n_obs) AS DOUBLE) AS median, ROUND(QUANTILE_CONT(d.n_obs, 0.9), 6) AS p90 FROM d JOIN h ON h.chrom = d.chrom AND h.start0 = d.start0 GROUP BY 1, 2")
@@ -212,18 +234,28 @@ def g30(inserts, bins, genes):
     return dense(inserts, bins).join(flags, ["chrom", "start0"]).groupBy("sample", "inside").agg(F.count("*").alias("n"), F.median("n_obs").alias("median"), F.round(F.percentile("n_obs", 0.9), 6).alias("p90"))
 
 
-@query("g32_presence_flows", "SELECT s2, s3, COUNT(*) AS n FROM (SELECT EXISTS (SELECT 1 FROM f_regions b WHERE b.peak_set = '2-HIGH' AND a.chrom = b.chrom AND a.start0 < b.end1 AND b.start0 < a.end1) AS s2, EXISTS (SELECT 1 FROM f_regions b WHERE b.peak_set = '3-MEDIUM' AND a.chrom = b.chrom AND a.start0 < b.end1 AND b.start0 < a.end1) AS s3 FROM f_regions a WHERE a.peak_set = '1-URGENT') GROUP BY 1, 2")
+LATER = (("s2", "2-HIGH"), ("s3", "3-MEDIUM"), ("s4", "5-LOW"))
+LATER_SQL = ", ".join(f"EXISTS (SELECT 1 FROM f_regions b WHERE b.peak_set = '{other}' AND a.chrom = b.chrom AND a.start0 < b.end1 AND b.start0 < a.end1) AS {name}" for name, other in LATER)
+
+
+@query("g32_presence_flows", f"SELECT s2, s3, s4, CASE WHEN s2 AND s3 AND s4 THEN 'kept' WHEN NOT s4 THEN 'lost' ELSE 'reappeared' END AS flow, COUNT(*) AS n FROM (SELECT {LATER_SQL} FROM f_regions a WHERE a.peak_set = '1-URGENT') GROUP BY 1, 2, 3, 4")
 def g32(regions):
+    """Kept: in all three later sets; lost: not in the last; reappeared: in the last after a set without it."""
     own = regions.where("peak_set = '1-URGENT'")
-    for name, other in (("s2", "2-HIGH"), ("s3", "3-MEDIUM")):
-        own = iv.overlap_count(own, regions.where(F.col("peak_set") == other), ["name"], name=name).withColumn(name, F.col(name) > 0)
-    return own.groupBy("s2", "s3").agg(F.count("*").alias("n"))
+    for name, other in LATER:
+        own = iv.overlap_count(own, regions.where(F.col("peak_set") == other), name=name).withColumn(name, F.col(name) > 0)
+    flow = F.when(F.expr("s2 AND s3 AND s4"), "kept").when(~F.col("s4"), "lost").otherwise("reappeared")
+    return own.groupBy("s2", "s3", "s4", flow.alias("flow")).agg(F.count("*").alias("n"))
 
 
-@query("g34_spike_in_share", "SELECT sample, COUNT(*) FILTER (WHERE genome = 'prm') AS primary_n, COUNT(*) FILTER (WHERE genome = 'spk') AS spike_n, ROUND(COUNT(*) FILTER (WHERE genome = 'spk') / COUNT(*), 6) AS share FROM f_inserts GROUP BY 1")
+@query("g34_spike_in_share", "WITH c AS (SELECT sample, COUNT(*) FILTER (WHERE genome = 'prm') AS primary_n, COUNT(*) FILTER (WHERE genome = 'spk') AS spike_n FROM f_inserts GROUP BY 1) SELECT c.sample, c.primary_n, c.spike_n, ROUND(c.spike_n / (c.primary_n + c.spike_n), 6) AS share, ROUND(c.spike_n / r.spike_n, 6) AS factor, ROUND(c.primary_n / (c.spike_n / r.spike_n), 3) AS scaled FROM c, (SELECT spike_n FROM c WHERE sample = 's1') r")
 def g34(inserts):
-    spike = F.count_if(F.col("genome") == "spk")
-    return inserts.groupBy("sample").agg(F.count_if(F.col("genome") == "prm").alias("primary_n"), spike.alias("spike_n"), F.round(spike / F.count("*"), 6).alias("share"))
+    """factor: a sample's spike-in against that of s1; scaled: its primary inserts by that factor."""
+    count = lambda g: F.count_if(F.col("genome") == g)
+    c = inserts.groupBy("sample").agg(count("prm").alias("primary_n"), count("spk").alias("spike_n"))
+    reference = c.where("sample = 's1'").select(F.col("spike_n").alias("r"))
+    factor = F.col("spike_n") / F.col("r")
+    return c.crossJoin(F.broadcast(reference)).select("sample", "primary_n", "spike_n", F.round(F.col("spike_n") / (F.col("primary_n") + F.col("spike_n")), 6).alias("share"), F.round(factor, 6).alias("factor"), F.round(F.col("primary_n") / factor, 3).alias("scaled"))
 
 
 @query("g35_size_distribution", f"SELECT sample, z, ROUND(n / SUM(n) OVER (PARTITION BY sample), 6) AS share, ROUND(gc, 6) AS gc FROM (SELECT sample, end1 - start0 AS z, COUNT(*) AS n, SUM(wgt * {GC}) / SUM(wgt) AS gc FROM f_inserts GROUP BY 1, 2)")
@@ -246,9 +278,33 @@ def g40(genes, inserts):
     return pairs.groupBy(F.col("b_name").alias("name")).agg(F.count("*").alias("n"), F.median(F.col("start0") - F.col("b_start0")).alias("median")).where("n >= 25")
 
 
-@query("g42_multi_sample_window_counts", "SELECT chrom, start0 // 10000 * 10000 AS w, COUNT(*) FILTER (WHERE sample = 's1') AS s1, COUNT(*) FILTER (WHERE sample = 's2') AS s2, COUNT(*) FILTER (WHERE sample = 's7') AS s7 FROM f_inserts GROUP BY 1, 2")
+WINDOWS_SQL = "w AS (SELECT sample, chrom, start0 // 10000 * 10000 AS w, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2, 3)"
+
+
+def window_counts(inserts):
+    return inserts.groupBy("sample", "chrom", sc.bin_start(F.col("start0"), 10000).alias("w")).agg(F.count("*").alias("n"))
+
+
+@query("g42_multi_sample_window_counts", f"WITH {WINDOWS_SQL} SELECT sample, chrom, w, n FROM w")
 def g42(inserts):
-    return inserts.groupBy("chrom", sc.bin_start(F.col("start0"), 10000).alias("w")).agg(*(F.count_if(F.col("sample") == s).alias(s) for s in ("s1", "s2", "s7")))
+    return window_counts(inserts)
+
+
+@query("g42_sample_correlation", f"WITH {WINDOWS_SQL}, t AS (SELECT COUNT(*) AS k FROM (SELECT DISTINCT chrom, w FROM w)), s AS (SELECT sample, SUM(n) AS s, SUM(n * n) AS ss FROM w GROUP BY 1), p AS (SELECT a.sample AS a, b.sample AS b, SUM(a.n * b.n) AS xy FROM w a JOIN w b ON a.chrom = b.chrom AND a.w = b.w AND a.sample < b.sample GROUP BY 1, 2) SELECT p.a, p.b, ROUND((k * xy - x.s * y.s) / SQRT(CAST(k * x.ss - x.s * x.s AS DOUBLE) * CAST(k * y.ss - y.s * y.s AS DOUBLE)), 6) AS r FROM p JOIN s x ON x.sample = p.a JOIN s y ON y.sample = p.b, t")
+def g42_correlation(inserts):
+    """Pearson's r of every two samples over the windows that any sample has; a window without a count is 0.
+
+    The pairs of one window are those of its samples, not of its inserts; the sums are of whole numbers.
+    """
+    n = window_counts(inserts)
+    k = n.select("chrom", "w").distinct().agg(F.count("*").alias("k"))
+    s = n.groupBy("sample").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("ss"))
+    own = lambda name: n.select("chrom", "w", F.col("sample").alias(name), F.col("n").alias(f"n_{name}"))
+    pairs = own("a").join(own("b"), ["chrom", "w"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("xy"))
+    of = lambda name: s.select(F.col("sample").alias(name), F.col("s").alias(f"s_{name}"), F.col("ss").alias(f"ss_{name}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").crossJoin(F.broadcast(k))
+    spread = lambda name: (F.col("k") * F.col(f"ss_{name}") - F.col(f"s_{name}") * F.col(f"s_{name}")).cast("double")
+    return both.select("a", "b", F.round((F.col("k") * F.col("xy") - F.col("s_a") * F.col("s_b")) / F.sqrt(spread("a") * spread("b")), 6).alias("r"))
 
 
 @query("g43_fractional_end_counts", "SELECT chrom, p // 1000 * 1000 AS bs0, COUNT(*) * 0.5::DOUBLE AS n FROM (SELECT chrom, start0 AS p FROM f_inserts UNION ALL SELECT chrom, end1 - 1 FROM f_inserts) GROUP BY 1, 2")
@@ -273,9 +329,13 @@ def g49(seq):
     return seq.where(F.length("seq") > 0).select("doc_id", sc.gc_fraction(F.col("seq")).alias("gc"))
 
 
-@query("g53_group_mean_ci", "SELECT chrom, peak_set, COUNT(*) AS n, ROUND(AVG(z), 6) AS mean, ROUND(STDDEV_SAMP(z) / SQRT(COUNT(*)), 6) AS se FROM (SELECT chrom, peak_set, end1 - start0 AS z FROM f_regions) GROUP BY 1, 2")
+@query("g53_group_mean_ci", "WITH g AS (SELECT chrom, peak_set, COUNT(*) AS n, COUNT(DISTINCT name) AS names, AVG(end1 - start0) AS mean, STDDEV_SAMP(end1 - start0) / SQRT(COUNT(*)) AS se, CORR(end1 - start0, score) AS r FROM f_regions WHERE peak_set <> '1-URGENT' GROUP BY 1, 2) SELECT chrom, peak_set, n, names, ROUND(mean, 6) AS mean, ROUND(se, 6) AS se, ROUND(mean - 1.96 * se, 5) AS lo, ROUND(mean + 1.96 * se, 5) AS hi, ROUND(r, 6) AS r, ROUND(r * r, 6) AS r2 FROM g")
 def g53(regions):
-    return regions.groupBy("chrom", "peak_set").agg(F.count("*").alias("n"), F.round(F.avg(size()), 6).alias("mean"), F.round(F.stddev_samp(size()) / F.sqrt(F.count("*")), 6).alias("se"))
+    """By chromosome and set, without the baseline set: mean size with its bounds, distinct names, size against score."""
+    own = regions.where("peak_set <> '1-URGENT'")
+    g = own.groupBy("chrom", "peak_set").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"), F.avg(size()).alias("mean"), (F.stddev_samp(size()) / F.sqrt(F.count("*"))).alias("se"), F.corr(size().cast("double"), "score").alias("r"))
+    mean, se, r = F.col("mean"), F.col("se"), F.col("r")
+    return g.select("chrom", "peak_set", "n", "names", F.round(mean, 6).alias("mean"), F.round(se, 6).alias("se"), F.round(mean - 1.96 * se, 5).alias("lo"), F.round(mean + 1.96 * se, 5).alias("hi"), F.round(r, 6).alias("r"), F.round(r * r, 6).alias("r2"))
 
 
 @query("w1_quantile_bins", "WITH q AS (SELECT chrom, QUANTILE_CONT(CAST(score AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS b FROM f_regions GROUP BY 1) SELECT r.name, CAST(1 + len(list_filter(q.b, lambda x: x < CAST(r.score AS DOUBLE))) AS INTEGER) AS quantile FROM f_regions r JOIN q ON q.chrom = r.chrom")
@@ -320,10 +380,13 @@ def w8(regions, inserts, samples):
     return stage_counts(regions, inserts, samples).groupBy("name").agg(F.max_by("stage", F.struct("n", (-F.col("k")).alias("m"))).alias("top_stage"))
 
 
-@query("w10_source_priority_dedup", "SELECT chrom, peak_set, name FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY chrom, start0 // 5000 ORDER BY peak_set, name) AS k FROM f_regions) WHERE k = 1")
-def w10(regions):
-    best = regions.groupBy("chrom", F.floor(F.col("start0") / 5000).alias("slot")).agg(F.min(F.struct("peak_set", "name")).alias("s"))
-    return best.select("chrom", "s.peak_set", "s.name")
+@query("w10_source_priority_dedup", "SELECT chrom, strand, locus, source, name FROM (SELECT *, start0 // 5000 AS locus, ROW_NUMBER() OVER (PARTITION BY chrom, strand, start0 // 5000 ORDER BY CASE source WHEN 'Brand#11' THEN 0 WHEN 'Brand#12' THEN 1 ELSE 2 END, CAST(SUBSTR(name, 2) AS BIGINT)) AS k FROM f_genes) WHERE k = 1")
+def w10(genes):
+    """One record for each locus: source Brand#11 first, then Brand#12, then the others; then the lowest number of the name."""
+    rank = F.when(F.col("source") == "Brand#11", 0).when(F.col("source") == "Brand#12", 1).otherwise(2)
+    order = F.struct(rank.alias("rank"), F.substring("name", 2, 20).cast("long").alias("version"))
+    best = genes.groupBy("chrom", "strand", F.floor(F.col("start0") / 5000).alias("locus")).agg(F.min_by(F.struct("source", "name"), order).alias("s"))
+    return best.select("chrom", "strand", "locus", "s.source", "s.name")
 
 
 @query("w12_standardise_rows", f"WITH {COUNTS} SELECT name, stage, ROUND((n - AVG(n) OVER (PARTITION BY name)) / STDDEV_SAMP(n) OVER (PARTITION BY name), 6) AS z FROM c QUALIFY STDDEV_SAMP(n) OVER (PARTITION BY name) > 0")
