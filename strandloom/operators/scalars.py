@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Floors of the insert size levels.
@@ -80,3 +83,34 @@ def gc_fraction(seq: Column) -> Column:
 def hash_order(key: Column, seed: int = 0) -> Column:
     """T5: an order that SQL repeats exactly."""
     return (key * 2654435761 + seed) % 4294967296
+
+
+def select_regions(regions: DataFrame, stage: Column, rpkm: str, include_unpassed: bool = False, low: float | None = None, high: float | None = None, chrom: str | None = None) -> DataFrame:
+    """Regions of a stage by their flag `passed`, the bounds of rpkm (both inclusive) and one chromosome."""
+    wanted = [stage, *([] if include_unpassed else [F.col("passed")]), *([] if low is None else [F.col(rpkm) >= low]), *([] if high is None else [F.col(rpkm) <= high]), *([] if chrom is None else [F.col("chrom") == chrom])]
+    for one in wanted:
+        regions = regions.where(one)
+    return regions
+
+
+def user_filter(df: DataFrame, text: str, stages: tuple) -> DataFrame:
+    """P25: the rows for which an expression holds; a stage's bare name stands for its rpkm, and a faulty text gives no rows."""
+    names = "|".join(map(re.escape, stages))
+    try:
+        return df.where(F.expr(re.sub(rf"\b({names})\b(?!_)", r"\1_rpkm", text)))
+    except (AnalysisException, ParseException):
+        return df.where(F.lit(False))
+
+
+def erfc_sql(x: str) -> str:
+    """The complementary error function of x >= 0 as SQL: a Chebyshev fit with a relative error below 1.2e-7 everywhere."""
+    # The fit's coefficients, from the constant term on.
+    terms = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    t = f"(1 / (1 + ({x}) / 2))"
+    power = " + ".join(f"({c}) * POWER({t}, {k})" for k, c in enumerate(terms))
+    return f"({t} * EXP(-({x}) * ({x}) + {power}))"
+
+
+def two_sided_p_sql(z: str) -> str:
+    """The two-sided normal p-value of z as SQL, 1e-300 at least."""
+    return f"GREATEST({erfc_sql(f'ABS({z}) / SQRT(2)')}, 1e-300)"

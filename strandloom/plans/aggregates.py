@@ -85,11 +85,18 @@ def g11(inserts):
     return h.join(q, "sample").select("sample", "slot", "n", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("q01", "q50", "q99"))))
 
 
-@query("g12_bin_mappability_gc", "SELECT b.chrom, b.start0, ROUND(COALESCE(SUM(CASE WHEN r.start0 IS NOT NULL THEN LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0) END), 0) / 1000, 4) AS map, ROUND(COALESCE(SUM((LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0)) * (r.start0 % 100)) / SUM(LEAST(b.end1, r.end1) - GREATEST(b.start0, r.start0)), 0), 4) AS gc FROM f_bins b LEFT JOIN f_regions r ON b.chrom = r.chrom AND b.start0 < r.end1 AND r.start0 < b.end1 GROUP BY 1, 2")
+LEVEL_ROWS = ", ".join(f"({x})" for x in sc.LEVELS)
+
+
+@query("g12_bin_mappability_gc", f"WITH r AS (SELECT *, list_extract([{', '.join(map(str, sc.LEVELS))}], CAST(end1 % {len(sc.LEVELS)} + 1 AS INTEGER)) AS isl FROM f_regions), g AS (SELECT b.chrom, b.start0, b.end1, CAST(l.isl AS INTEGER) AS isl FROM f_bins b CROSS JOIN (VALUES {LEVEL_ROWS}) AS l(isl)) SELECT g.chrom, g.start0, g.isl, ROUND(COALESCE(SUM(CASE WHEN r.start0 IS NOT NULL THEN LEAST(g.end1, r.end1) - GREATEST(g.start0, r.start0) END), 0) / 1000, 4) AS map, ROUND(COALESCE(SUM((LEAST(g.end1, r.end1) - GREATEST(g.start0, r.start0)) * (r.start0 % 100)) / SUM(LEAST(g.end1, r.end1) - GREATEST(g.start0, r.start0)), 0), 4) AS gc FROM g LEFT JOIN r ON g.chrom = r.chrom AND g.isl = r.isl AND g.start0 < r.end1 AND r.start0 < g.end1 GROUP BY 1, 2, 3")
 def g12(bins, regions):
-    pairs = iv.overlap_left(bins, regions, ["chrom", "start0"])
+    """Every bin at each of the size levels; a region is mappable at the level that its end picks."""
+    levels = F.array(*map(F.lit, sc.LEVELS))
+    leveled = regions.select("chrom", "start0", "end1", F.element_at(levels, (F.col("end1") % len(sc.LEVELS) + 1).cast("int")).alias("isl"))
     bp = F.sum("overlap_bp")
-    return pairs.groupBy("chrom", "start0").agg(F.round(bp / 1000, 4).alias("map"), F.round(F.when(bp > 0, F.sum(F.col("overlap_bp") * (F.col("b_start0") % 100)) / F.when(bp > 0, bp)).otherwise(0.0), 4).alias("gc"))
+    per = iv.overlap_pairs(bins, leveled).groupBy("chrom", "start0", F.col("b_isl").alias("isl")).agg(F.round(bp / 1000, 4).alias("map"), F.round(F.sum(F.col("overlap_bp") * (F.col("b_start0") % 100)) / bp, 4).alias("gc"))
+    grid = bins.select("chrom", "start0", F.explode(levels).alias("isl"))
+    return grid.join(per, ["chrom", "start0", "isl"], "left").fillna(0.0, ["map", "gc"])
 
 
 @query("g13_rounded_value_histogram", "SELECT slot, COUNT(*) FILTER (WHERE isl = 35) AS isl_35, COUNT(*) FILTER (WHERE isl = 40) AS isl_40 FROM (SELECT 35 AS isl, FLOOR((n % 97 / 97.0) * 20 + 0.5) / 20 AS slot FROM f_track UNION ALL SELECT 40, FLOOR((bp % 89 / 89.0) * 20 + 0.5) / 20 FROM f_track) GROUP BY 1")
@@ -258,10 +265,20 @@ def g34(inserts):
     return c.crossJoin(F.broadcast(reference)).select("sample", "primary_n", "spike_n", F.round(F.col("spike_n") / (F.col("primary_n") + F.col("spike_n")), 6).alias("share"), F.round(factor, 6).alias("factor"), F.round(F.col("primary_n") / factor, 3).alias("scaled"))
 
 
-@query("g35_size_distribution", f"SELECT sample, z, ROUND(n / SUM(n) OVER (PARTITION BY sample), 6) AS share, ROUND(gc, 6) AS gc FROM (SELECT sample, end1 - start0 AS z, COUNT(*) AS n, SUM(wgt * {GC}) / SUM(wgt) AS gc FROM f_inserts GROUP BY 1, 2)")
-def g35(inserts):
-    per = inserts.groupBy("sample", size().alias("z")).agg(F.count("*").alias("n"), (F.sum(F.col("wgt") * (F.col("start0") % 101)) / F.sum("wgt")).alias("gc"))
-    return per.select("sample", "z", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("sample")), 6).alias("share"), F.round("gc", 6).alias("gc"))
+@query("g35_size_distribution", f"WITH i AS (SELECT sample, chrom, start0, end1, wgt, EXISTS (SELECT 1 FROM f_regions r WHERE r.chrom = i.chrom AND r.start0 < i.end1 AND i.start0 < r.end1) AS peak FROM f_inserts i) SELECT sample, peak, z, ROUND(n / SUM(n) OVER (PARTITION BY sample, peak), 6) AS share, ROUND(gc, 6) AS gc FROM (SELECT sample, peak, end1 - start0 AS z, COUNT(*) AS n, SUM(CAST(ROUND(wgt * 100) AS BIGINT) * {GC}) / SUM(CAST(ROUND(wgt * 100) AS BIGINT)) AS gc FROM i GROUP BY 1, 2, 3)")
+def g35(inserts, regions):
+    """Inserts in peaks and off them apart; weights in whole hundredths, so that sums do not depend on their order."""
+    told = iv.overlap_count(inserts.select("sample", "chrom", "start0", "end1", "wgt"), regions.select("chrom", "start0", "end1"), name="k").withColumn("peak", F.col("k") > 0)
+    w = F.round(F.col("wgt") * 100).cast("long")
+    per = told.groupBy("sample", "peak", size().alias("z")).agg(F.count("*").alias("n"), (F.sum(w * (F.col("start0") % 101)) / F.sum(w)).alias("gc"))
+    total = per.groupBy("sample", "peak").agg(F.sum("n").alias("t"))
+    return per.join(total, ["sample", "peak"]).select("sample", "peak", "z", F.round(F.col("n") / F.col("t"), 6).alias("share"), F.round("gc", 6).alias("gc"))
+
+
+@query("g35_gc_within_size", f"SELECT sample, z, gc, ROUND(n / SUM(n) OVER (PARTITION BY sample, z), 6) AS share FROM (SELECT sample, end1 - start0 AS z, {GC} AS gc, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2, 3)")
+def g35_gc(inserts):
+    per = inserts.groupBy("sample", size().alias("z"), (F.col("start0") % 101).cast("int").alias("gc")).agg(F.count("*").alias("n"))
+    return per.select("sample", "z", "gc", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("sample", "z")), 6).alias("share"))
 
 
 @query("g37_v_plot_histogram", "SELECT CAST(FLOOR(FLOOR((i.start0 + i.end1) / 2.0 - (g.start0 + 500)) / 50) * 50 AS BIGINT) AS x, (i.end1 - i.start0) // 10 * 10 AS y, COUNT(*) AS n FROM f_inserts i JOIN (SELECT chrom, start0, start0 + 1000 AS end1 FROM f_genes) g ON i.chrom = g.chrom AND i.start0 < g.end1 AND g.start0 < i.end1 GROUP BY 1, 2")

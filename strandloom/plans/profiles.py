@@ -94,11 +94,11 @@ def g31(regions):
 SEQ_LEVEL = LEVEL_SQL.replace("end1-start0", "(LENGTH(seq) // 40)")
 
 
-@query("g33_size_profile_unmapped", f"SELECT isl, COUNT(*) AS n, ROUND(COUNT(*) FILTER (WHERE k = 0) / COUNT(*), 3) AS share_0, ROUND(COUNT(*) FILTER (WHERE k = 1) / COUNT(*), 3) AS share_1, ROUND(COUNT(*) FILTER (WHERE k = 2) / COUNT(*), 3) AS share_2, ROUND(SUM(gc) / SUM(l), 3) AS gc FROM (SELECT CAST({SEQ_LEVEL} AS INTEGER) AS isl, doc_id % 3 AS k, LENGTH(seq) AS l, LENGTH(seq) - LENGTH(regexp_replace(seq, '[GCgc]', '', 'g')) AS gc FROM f_seq WHERE LENGTH(seq) > 0) GROUP BY 1")
+@query("g33_size_profile_unmapped", f"SELECT isl, COUNT(*) AS n, ROUND(COUNT(*) FILTER (WHERE k = 0) / COUNT(*), 3) AS share_0, ROUND(COUNT(*) FILTER (WHERE k = 1) / COUNT(*), 3) AS share_1, ROUND(COUNT(*) FILTER (WHERE k = 2) / COUNT(*), 3) AS share_2, ROUND(SUM(gc) / SUM(l), 3) AS gc, ROUND(SUM(gc) FILTER (WHERE k = 0) / SUM(l) FILTER (WHERE k = 0), 3) AS gc_0, ROUND(SUM(gc) FILTER (WHERE k = 1) / SUM(l) FILTER (WHERE k = 1), 3) AS gc_1, ROUND(SUM(gc) FILTER (WHERE k = 2) / SUM(l) FILTER (WHERE k = 2), 3) AS gc_2 FROM (SELECT CAST({SEQ_LEVEL} AS INTEGER) AS isl, doc_id % 3 AS k, LENGTH(seq) AS l, LENGTH(seq) - LENGTH(regexp_replace(seq, '[GCgc]', '', 'g')) AS gc FROM f_seq WHERE LENGTH(seq) > 0) GROUP BY 1")
 def g33(seq):
     """Reads are unaligned, failed or passed (0, 1, 2)."""
     own = seq.where(F.length("seq") > 0).select(sc.insert_size_level(F.floor(F.length("seq") / 40)).alias("isl"), (F.col("doc_id") % 3).alias("k"), F.length("seq").alias("l"), (F.length("seq") - F.length(F.regexp_replace("seq", "[GCgc]", ""))).alias("gc"))
-    return own.groupBy("isl").agg(F.count("*").alias("n"), *(F.round(F.count_if(F.col("k") == k) / F.count("*"), 3).alias(f"share_{k}") for k in range(3)), F.round(F.sum("gc") / F.sum("l"), 3).alias("gc"))
+    return own.groupBy("isl").agg(F.count("*").alias("n"), *(F.round(F.count_if(F.col("k") == k) / F.count("*"), 3).alias(f"share_{k}") for k in range(3)), F.round(F.sum("gc") / F.sum("l"), 3).alias("gc"), *(F.round(F.sum(F.when(F.col("k") == k, F.col("gc"))) / F.sum(F.when(F.col("k") == k, F.col("l"))), 3).alias(f"gc_{k}") for k in range(3)))
 
 
 @query("g36_nucleosome_bias", "WITH e AS (SELECT chrom, (start0 + end1) // 2 AS p, CASE WHEN end1 - start0 <= 320 THEN 1 ELSE -1 END AS s FROM f_inserts WHERE end1 - start0 > 147 AND end1 - start0 <= 485 UNION ALL SELECT chrom, UNNEST([start0, end1 - 1]), -1 FROM f_inserts), w AS (SELECT chrom, UNNEST([p // 500 * 500, p // 500 * 500 - 500]) AS w, s FROM e) SELECT chrom, w, ROUND(SUM(s) / COUNT(*), 6) AS bias FROM w GROUP BY 1, 2")
@@ -227,7 +227,10 @@ def m8(inserts, bins):
     return models.path_loglik(rows, ["chrom"]).withColumn("loglik", F.round("loglik", 4))
 
 
-@query("m14_permutation_null", "WITH c AS (SELECT chrom, peak_set, COUNT(*) AS n, DENSE_RANK() OVER (ORDER BY chrom) AS i, DENSE_RANK() OVER (ORDER BY peak_set) - 1 AS k FROM f_regions GROUP BY 1, 2), p AS (SELECT r.r AS r, SUM(c.n) AS s FROM range(0, 1000) AS r(r) JOIN c ON c.k = ((r.r * 1000003 + c.i * 7919 + 11) * 2654435761 % 4294967296) // 65536 % 5 GROUP BY 1), m AS (SELECT AVG(s) AS mean, STDDEV_POP(s) AS sd FROM p), o AS (SELECT peak_set, SUM(n) AS observed FROM c GROUP BY 1) SELECT o.peak_set, CAST(o.observed AS BIGINT) AS observed, ROUND(m.mean, 5) AS mean, ROUND((o.observed - m.mean) / m.sd, 5) AS z FROM o, m")
+P_SQL = sc.two_sided_p_sql("(o.observed - m.mean) / m.sd")
+
+
+@query("m14_permutation_null", f"WITH c AS (SELECT chrom, peak_set, COUNT(*) AS n, DENSE_RANK() OVER (ORDER BY chrom) AS i, DENSE_RANK() OVER (ORDER BY peak_set) - 1 AS k FROM f_regions GROUP BY 1, 2), p AS (SELECT r.r AS r, SUM(c.n) AS s FROM range(0, 1000) AS r(r) JOIN c ON c.k = ((r.r * 1000003 + c.i * 7919 + 11) * 2654435761 % 4294967296) // 65536 % 5 GROUP BY 1), m AS (SELECT AVG(s) AS mean, STDDEV_POP(s) AS sd FROM p), o AS (SELECT peak_set, SUM(n) AS observed FROM c GROUP BY 1) SELECT o.peak_set, CAST(o.observed AS BIGINT) AS observed, ROUND(m.mean, 5) AS mean, ROUND((o.observed - m.mean) / m.sd, 5) AS z, ROUND(LOG10({P_SQL}), 4) AS log10_p FROM o, m")
 def m14(spark, regions):
     """The null draws one of the five sets for each chromosome, 1000 times."""
     n = regions.groupBy("chrom", "peak_set").agg(F.count("*").alias("n"))
@@ -237,4 +240,5 @@ def m14(spark, regions):
     sums = ranked.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long")))).where(F.col("k") == drawn).groupBy("r").agg(F.sum("n").alias("s"))
     null = sums.agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("sd"))
     seen = n.groupBy("peak_set").agg(F.sum("n").alias("observed"))
-    return seen.crossJoin(F.broadcast(null)).select("peak_set", "observed", F.round("mean", 5).alias("mean"), F.round((F.col("observed") - F.col("mean")) / F.col("sd"), 5).alias("z"))
+    z = seen.crossJoin(F.broadcast(null)).withColumn("z", (F.col("observed") - F.col("mean")) / F.col("sd"))
+    return z.select("peak_set", "observed", F.round("mean", 5).alias("mean"), F.round("z", 5).alias("z"), F.round(F.log10(F.expr(sc.two_sided_p_sql("z"))), 4).alias("log10_p"))

@@ -1,8 +1,11 @@
 """Queries of filters, scalars, sorts and samples."""
 
-from pyspark.sql import Window, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import intervals as iv, scalars as sc
+from ..operators.running import running, stretch
 from .registry import query
 
 LEVEL_SQL = "CASE " + " ".join(f"WHEN end1-start0 >= {x} THEN {x}" for x in reversed(sc.LEVELS)) + " ELSE 0 END"
@@ -134,24 +137,34 @@ def p22(genes):
     return genes.where(F.col("chrom").isin("chr1", "chr2", "chr3", "chr4", "chrX") & (F.col("end1") - F.col("start0") >= 1000)).select("name", "chrom", (F.col("end1") - F.col("start0")).alias("size"))
 
 
-@query("p23_select_regions", "SELECT name, chrom, ROW_NUMBER() OVER (PARTITION BY chrom ORDER BY start0, name) AS region_i FROM f_regions WHERE peak_set = '1-URGENT' AND score >= 100000")
+@query("p23_select_regions", "SELECT name, chrom, ROW_NUMBER() OVER (PARTITION BY chrom ORDER BY start0, name) AS region_i FROM f_regions WHERE peak_set = '1-URGENT' AND end1 % 7 <> 0 AND score BETWEEN 50000 AND 250000")
 def p23(regions):
-    own = regions.where("peak_set = '1-URGENT' AND score >= 100000")
-    return own.select("name", "chrom", F.row_number().over(Window.partitionBy("chrom").orderBy("start0", "name")).cast("long").alias("region_i"))
+    """Regions of one stage that passed, within bounds of rpkm (end1 % 7 and score here), numbered anew by chromosome."""
+    own = sc.select_regions(regions.withColumn("passed", F.col("end1") % 7 != 0), F.col("peak_set") == "1-URGENT", "score", low=50000, high=250000)
+    told = running(stretch(own, F.col("start0")), ("chrom",), ["start0", "name"], {"region_i": ("sum", F.lit(1))})
+    return told.select("name", "chrom", F.col("region_i").cast("long").alias("region_i"))
+
 
+STAGES = ("early_RS", "int_RS", "late_RS", "earliest_ES", "early_ES", "int_ES", "late_ES")
+STAGE_COLUMNS = ", ".join(f"ROUND(COALESCE(MAX(CASE WHEN c.stage = '{s}' THEN c.n END), 0) * 1e9 / t.t / (MAX(r.end1) - MAX(r.start0)) / 2, 6) AS {s}_rpkm" for s in STAGES)
 
-@query("p24_region_display_table", "SELECT name, list_extract(['early','int','late','last','end'], CAST(start0 % 5 + 1 AS INTEGER)) AS stage, score AS score_rpkm FROM f_regions")
-def p24(regions):
-    stages = F.array(*map(F.lit, ("early", "int", "late", "last", "end")))
-    return regions.select("name", F.element_at(stages, (F.col("start0") % 5 + 1).cast("int")).alias("stage"), F.col("score").alias("score_rpkm"))
+
+@query("p24_region_display_table", f"WITH {COUNTS}, t AS (SELECT COUNT(*) AS t FROM f_inserts) SELECT r.name, list_extract([{', '.join(repr(s) for s in STAGES)}], CAST(MAX(r.start0) % 7 + 1 AS INTEGER)) AS stage, CAST(FLOOR(MAX(r.score) / 50000) AS BIGINT) AS score_class, {STAGE_COLUMNS} FROM f_regions r LEFT JOIN c ON c.name = r.name, t GROUP BY r.name, t.t")
+def p24(regions, inserts, samples):
+    """A stage index as the stage's name, the score's class, and the rpkm of each stage in a column of its own."""
+    wide = stage_counts(regions, inserts, samples).groupBy("name").pivot("stage", list(STAGES)).agg(F.max("n"))
+    total = inserts.agg(F.count("*").alias("t"))
+    shown = regions.select("name", "score", "start0", (F.col("end1") - F.col("start0")).alias("z")).join(wide, "name", "left").crossJoin(F.broadcast(total))
+    rpkm = [F.round(F.coalesce(s, F.lit(0)) * 1e9 / F.col("t") / F.col("z") / 2, 6).alias(f"{s}_rpkm") for s in STAGES]
+    return shown.select("name", F.element_at(F.array(*map(F.lit, STAGES)), (F.col("start0") % 7 + 1).cast("int")).alias("stage"), F.floor(F.col("score") / 50000).alias("score_class"), *rpkm)
 
 
 @query("p25_user_filter", "SELECT name, early_rpkm, late_rpkm FROM (SELECT name, start0 % 100 AS early_rpkm, end1 % 100 AS late_rpkm FROM f_regions) WHERE early_rpkm > 50 AND late_rpkm < early_rpkm / 2")
 def p25(regions):
-    import re
-
-    text = re.sub(r"\b(early|late)\b(?!_)", r"\1_rpkm", "early > 50 AND late < early / 2")
-    return regions.select("name", (F.col("start0") % 100).alias("early_rpkm"), (F.col("end1") % 100).alias("late_rpkm")).where(F.expr(text))
+    """One expression that holds, and two that are none and give no rows."""
+    own = regions.select("name", (F.col("start0") % 100).alias("early_rpkm"), (F.col("end1") % 100).alias("late_rpkm"))
+    given = ("early > 50 AND late < early / 2", "early > AND", "unknown_column > 1")
+    return reduce(DataFrame.unionByName, [sc.user_filter(own, text, ("early", "late")) for text in given])
 
 
 @query("t1_genomic_sort", "SELECT chrom, start0, end1, sample FROM f_inserts ORDER BY 1, 2, 3, 4")
