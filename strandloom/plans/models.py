@@ -1,8 +1,8 @@
-"""Queries of models, resampling and tests."""
+"""Queries of models, resampling and tests."""
 
 from pyspark.sql import functions as F
 
-from ..operators import models
+from ..operators import chains, models
 from .aggregates import DENSE_SQL, dense
 from .registry import query
 
@@ -42,3 +42,27 @@ def m20(inserts, bins):
     log_factorial = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("k"), F.lit(1)).cast("int")), F.lit(0.0), lambda s, x: s + F.log(x.cast("double")))
     pmf = F.exp(F.col("k") * F.log("lam") - F.col("lam") - log_factorial)
     return h.join(F.broadcast(lam), "sample").select("sample", "k", "n", F.round(F.col("t") * pmf, 5).alias("expected"))
+
+
+def closer(inserts):
+    """Inserts by sample with their starts twenty times closer together, so that masks of some 800 bases see many."""
+    start = F.floor(F.col("start0") / 20)
+    return inserts.select(F.col("sample").alias("stage"), "chrom", start.alias("start0"), (start + F.col("end1") - F.col("start0")).alias("end1"))
+
+
+@query("m11_dinuc_chains")
+def m11(inserts):
+    """Without SQL: tests/test_chains.py holds the placements against a plain version."""
+    return chains.dinuc_chains(closer(inserts))
+
+
+@query("m11_chain_scores")
+def m11_scores(inserts):
+    own = closer(inserts)
+    return chains.chain_scores(chains.dinuc_chains(own), own)
+
+
+@query("m11_chain_groups")
+def m11_groups(inserts):
+    own = closer(inserts)
+    return chains.chain_groups(chains.dinuc_chains(own), own)
