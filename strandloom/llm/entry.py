@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, license_scan, mixing, ngram_join, packing, pii, quality, secret_scan, token_output, toxicity
+from . import embedding_join, license_scan, mixing, ngram_join, packing, pii, quality, secret_scan, spelling, token_output, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.query,
         "op9_quality": quality.query,
         "op10_token_output": token_output.query,
+        "op12_spelling": spelling.query,
     }
 
 
