@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, license_scan, mixing, ngram_join, packing, pii, quality, secret_scan, spelling, token_output, toxicity
+from . import decontamination, embedding_join, license_scan, mixing, ngram_join, packing, pii, quality, secret_scan, spelling, token_output, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.query,
         "op9_quality": quality.query,
         "op10_token_output": token_output.query,
+        "op11_decontamination": decontamination.query,
         "op12_spelling": spelling.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_decontamination": decontamination.SQL}
