@@ -30,15 +30,14 @@ WINDOW = 10
 NEAR = 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The same words before letters are lower-cased.
-ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: What stands between words.
+BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 DOC = ["k1", "k2"]
 
 
 def words(text: str = "text") -> F.Column:
-    return F.regexp_extract_all(F.translate(F.col(text), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.col(text), UPPER, LOWER), BREAK, -1), "")
 
 
 def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -126,7 +125,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     held = common.small_join(matches.select(*DOC, "phrase").distinct(), found.select("phrase", "item_id"), "phrase").select(*DOC, "item_id").distinct()
     items = held.groupBy(*DOC).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("items"))
     hit = common.stash(hits.join(items, DOC), "hits")
-    counted = keyed(rows).select("doc_id", *DOC, F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words"))
+    counted = keyed(rows).select("doc_id", *DOC, F.size(words()).cast("long").alias("n_words"))
     ids = F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))).cast("binary"), 256)
     zero = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
     return common.small_join(counted, hit, DOC, "left").select("doc_id", "n_words", zero("n_hit"), zero("n_items"), ids.alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
