@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_join, license_scan, mixing, ngram_join, packing, pii, quality, secret_scan, spelling, token_output, toxicity
+from . import decontamination, embedding_join, license_scan, mixing, ngram_join, packing, pii, quality, ranked_search, secret_scan, spelling, token_output, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_output": token_output.query,
         "op11_decontamination": decontamination.query,
         "op12_spelling": spelling.query,
+        "op13_ranked_search": ranked_search.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_decontamination": decontamination.SQL}
+    return {"op11_decontamination": decontamination.SQL, "op13_ranked_search": ranked_search.SQL}
