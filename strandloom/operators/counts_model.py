@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .quantiles import quantiles
+from .shared import sized_join, written
+
 #: A model has a step for each 1/STEPS of GC.
 STEPS = 200
 ROUNDS, TOLERANCE = 60, 1e-9
@@ -20,7 +23,7 @@ def _design(g):
 
 
 def fit_nb(y, g, w):
-    """(coefficients, θ) of log μ = b0 + b1 g + b2 g² + b3 g³ for counts y that occur w times, by weighted least squares and Newton steps on log θ."""
+    """What fit_grouped does for all samples, for one sample's arrays: (coefficients, θ) of log μ = b0 + b1 g + b2 g² + b3 g³ for counts y that occur w times, by weighted least squares and Newton steps on log θ."""
     import numpy as np
 
     x, theta = _design(g), 10.0
@@ -67,45 +70,108 @@ def z_of(lower: float, upper: float) -> float | None:
     return NormalDist().inv_cdf(p) if TINY < p < 1 - 1e-16 else None
 
 
-def _fit(pdf):
-    import numpy as np
-    import pandas as pd
+FIT = "sample string, beta array<double>, theta double, gc_min double, gc_max double, rows long"
 
-    y, g, w = (pdf[c].to_numpy(float) for c in ("y", "gc", "n"))
-    keep = np.zeros(len(y), bool)
-    # Rough fit on the rows inside of the 2.5-97.5 % band of their GC step.
-    step = np.floor(g * 20 + 0.5)
-    for s in np.unique(step):
-        own = np.flatnonzero(step == s)
-        order = own[np.argsort(y[own], kind="stable")]
-        share = (np.cumsum(w[order]) - w[order] / 2) / w[order].sum()
-        low, high = y[order][np.searchsorted(share, 0.025)], y[order][min(np.searchsorted(share, 0.975), len(order) - 1)]
-        keep[own] = (y[own] >= low) & (y[own] <= high)
-    beta, theta = fit_nb(y[keep], g[keep], w[keep])
-    # Then on all rows whose z-score is within 3.
-    mu = np.exp(np.clip(_design(g) @ beta, -30, 30))
-    z = (y - mu) / np.sqrt(mu + mu * mu / theta)
-    near = np.abs(z) <= 3
-    if near.sum() > 4:
-        beta, theta = fit_nb(y[near], g[near], w[near])
-    return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "beta": [beta.tolist()], "theta": [theta], "gc_min": [g.min()], "gc_max": [g.max()], "rows": [int(w.sum())]})
 
+def digamma(x: Column, terms: int = 8) -> Column:
+    """The derivative of the log of the gamma function for x > 0: a recurrence up to x + terms, then its asymptotic series."""
+    y = x + terms
+    r = 1 / (y * y)
+    series = F.log(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    for k in range(terms):
+        series = series - 1 / (x + k)
+    return series
 
-FIT = "sample string, beta array<double>, theta double, gc_min double, gc_max double, rows long"
+
+def trigamma(x: Column, terms: int = 8) -> Column:
+    """The second derivative, likewise."""
+    y = x + terms
+    r = 1 / (y * y)
+    series = 1 / y + r / 2 + r / y * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * 5 / 66))))
+    for k in range(terms):
+        series = series + 1 / ((x + k) * (x + k))
+    return series
+
+
+def _sums(points: DataFrame, params: list[tuple]) -> dict:
+    """For each sample the sums of one step over all of its points (gc, y, n): the normal equations of the coefficients, and both derivatives for θ.
+
+    params: (sample, coefficients or None, θ). Without coefficients the means are the counts, none below half of their mean.
+    """
+    spark = points.sparkSession
+    side = spark.createDataFrame([(s, beta, theta, base) for s, beta, theta, base in params], "sample string, beta array<double>, theta double, base double")
+    # One row for each sample.
+    x = points.join(F.broadcast(side), "sample")
+    b, g, y, w, theta = F.col("beta"), F.col("gc"), F.col("y").cast("double"), F.col("n").cast("double"), F.col("theta")
+    powers = [F.lit(1.0), g, g * g, g * g * g]
+    eta = b[0] + b[1] * g + b[2] * powers[2] + b[3] * powers[3]
+    x = x.withColumn("eta", F.when(b.isNull(), F.log(F.greatest(y, F.col("base")))).otherwise(F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))))
+    eta = F.col("eta")
+    mu = F.exp(eta)
+    v = F.when(b.isNull(), w).otherwise(w * mu / (1 + mu / theta))
+    z = F.when(b.isNull(), eta).otherwise(eta + (y - mu) / mu)
+    up = lambda k: F.pow(g, F.lit(float(k))) if k > 3 else powers[k]
+    normal = [F.sum(v * up(k)).alias(f"x{k}") for k in range(7)] + [F.sum(v * z * powers[k]).alias(f"z{k}") for k in range(4)]
+    one = w * (digamma(y + theta) - digamma(theta) + F.log(theta / (theta + mu)) + 1 - (y + theta) / (mu + theta))
+    two = w * (trigamma(y + theta) - trigamma(theta) + 1 / theta - 2 / (theta + mu) + (y + theta) / ((mu + theta) * (mu + theta)))
+    return {r["sample"]: r for r in x.groupBy("sample").agg(*normal, F.sum(one).alias("d1"), F.sum(two).alias("d2")).collect()}
+
+
+def fit_grouped(points: DataFrame, rounds: int = 2 * ROUNDS, tolerance: float = TOLERANCE) -> dict[str, tuple]:
+    """sample -> (coefficients, θ), the same optimum as fit_nb's, of all samples at once. points: sample, gc, y, n.
+
+    Each round is one aggregation over the points of all samples that have not settled; a few sums of each reach the
+    driver, where four equations are solved and log θ takes one Newton step.
+    """
+    import numpy as np
+
+    base = {r["sample"]: 0.5 * r["mean"] for r in points.groupBy("sample").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
+    state: dict[str, tuple] = {s: (None, 10.0) for s in base}
+    open_ = set(base)
+    for _ in range(rounds):
+        sums = _sums(points.where(F.col("sample").isin(sorted(open_))), [(s, None if state[s][0] is None else state[s][0].tolist(), state[s][1], base[s]) for s in sorted(open_)])
+        for s, r in sums.items():
+            beta, theta = state[s]
+            square = np.array([[r[f"x{i + j}"] for j in range(4)] for i in range(4)])
+            after = np.linalg.solve(square + 1e-12 * np.eye(4), np.array([r[f"z{k}"] for k in range(4)]))
+            if beta is None:
+                state[s] = (after, theta)
+                continue
+            slope, curve = theta * r["d1"], theta * r["d1"] + theta * theta * r["d2"]
+            step = -slope / curve if curve < 0 else np.sign(slope)
+            next_theta = float(np.clip(theta * np.exp(np.clip(step, -1, 1)), 1e-3, POISSON))
+            state[s] = (after, next_theta)
+            if abs(after - beta).max() < tolerance and abs(np.log(next_theta / theta)) < tolerance:
+                open_.discard(s)
+        if not open_:
+            break
+    return state
 
 
 def nb_gc_fit(bins: DataFrame, sample: int = 200_000) -> DataFrame:
     """M1: a model of each sample. bins: sample, gc, reads (of one allele).
 
-    At most `sample` rows of a sample are fitted, those with the smallest hashes; equal rows are counted first, so that a
-    sample's task holds distinct (gc, count) pairs only.
+    A rough fit uses the rows inside of the 2.5-97.5 % band of their GC step, of which at most `sample` for each sample
+    (those with the smallest hashes); the model is then fitted to all rows whose z-score in the rough fit is within 3.
     """
     own = bins.where("gc IS NOT NULL AND reads IS NOT NULL").select("sample", F.col("gc").cast("double").alias("gc"), F.round("reads").cast("long").alias("y"), F.xxhash64(*bins.columns).alias("_h"))
+    step = F.floor(F.col("gc") * 20 + 0.5).alias("step")
+    points = written(own.groupBy("sample", "gc", "y").agg(F.count("*").alias("n")), "points")
+    band = quantiles(points.select("*", step), ["sample", "step"], F.col("y"), {"low": 0.025, "high": 0.975}, F.col("n"))
+    inside = sized_join(own.select("*", step), band, ["sample", "step"]).where("y BETWEEN low AND high").select("sample", "gc", "y", "_h")
     # The rows of the smallest hashes by a cut on the hash: the share that `sample` is of the rows.
-    n = own.groupBy("sample").agg(F.count("*").alias("_n"))
+    total = inside.groupBy("sample").agg(F.count("*").alias("_n"))
     cut = (F.col("_h").cast("double") / 2.0**64 + 0.5) <= F.lit(float(sample)) / F.col("_n")
-    counted = own.join(n, "sample").where(cut).groupBy("sample", "gc", "y").agg(F.count("*").alias("n"))
-    return counted.groupBy("sample").applyInPandas(_fit, FIT)
+    rough = written(sized_join(inside, total, "sample").where(cut).groupBy("sample", "gc", "y").agg(F.count("*").alias("n")), "rough")
+    spark = bins.sparkSession
+    first = spark.createDataFrame([(s, b.tolist(), t) for s, (b, t) in fit_grouped(rough).items()], "sample string, beta array<double>, theta double")
+    b, g = F.col("beta"), F.col("gc")
+    mu = F.exp(F.least(F.greatest(b[0] + b[1] * g + b[2] * g * g + b[3] * g * g * g, F.lit(-30.0)), F.lit(30.0)))
+    z = (F.col("y") - F.col("mu")) / F.sqrt(F.col("mu") + F.col("mu") * F.col("mu") / F.col("theta"))
+    near = points.join(F.broadcast(first), "sample").withColumn("mu", mu).where(F.abs(z) <= 3).select("sample", "gc", "y", "n")
+    models = spark.createDataFrame([(s, b.tolist(), t) for s, (b, t) in fit_grouped(written(near, "near")).items()], "sample string, beta array<double>, theta double")
+    ends = points.groupBy("sample").agg(F.min("gc").alias("gc_min"), F.max("gc").alias("gc_max"), F.sum("n").alias("rows"))
+    return ends.join(F.broadcast(models), "sample").select("sample", "beta", "theta", "gc_min", "gc_max", "rows")
 
 
 def nb_model_table(models: DataFrame) -> DataFrame:
@@ -172,11 +238,11 @@ def copy_number_viterbi(predicted: DataFrame, copies: int = 6, trans_prob: float
 
     predicted (M3): sample, chrom, start0, end1, reads, mu (of two copies), theta. No copies have mean 0.1.
     """
-    from . import intervals, models
+    from . import intervals, viterbi
 
     kinds = "sample string, chrom string, start0 long, end1 long"
     rows = predicted.select("sample", "chrom", "start0", "end1", "reads", "mu", "theta").mapInPandas(_emissions(copies), f"{kinds}, emissions array<double>")
-    path = models.viterbi_by_key(rows, ["sample", "chrom"], "start0", trans_prob).withColumn("cn", F.col("state") - 1)
+    path = viterbi.viterbi_by_key(rows, ["sample", "chrom"], "start0", trans_prob, states=copies + 1).withColumn("cn", F.col("state") - 1)
     return intervals.run_length_group(path, "cn", [F.count("*").alias("n")], ["sample", "chrom"])
 
 

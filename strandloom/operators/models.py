@@ -1,4 +1,4 @@
-"""Models and tests over grouped rows."""
+"""Models and tests over grouped rows."""
 
 from __future__ import annotations
 
@@ -7,41 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from .running import running
 
 
-def _viterbi(order: str, stay_cost: float):
-    def run(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(order)
-        e = np.array(pdf["emissions"].tolist(), dtype=float)
-        e[~np.isfinite(e)] = -1e30
-        n, k = e.shape
-        move = np.full((k, k), np.log(stay_cost / max(1, k - 1)))
-        np.fill_diagonal(move, np.log(1 - stay_cost))
-        score, back = e[0] - np.log(k), np.zeros((n, k), dtype=np.int32)
-        for i in range(1, n):
-            paths = score[:, None] + move
-            back[i] = paths.argmax(0)
-            score = paths.max(0) + e[i]
-        state = np.empty(n, dtype=np.int32)
-        state[-1] = score.argmax()
-        for i in range(n - 1, 0, -1):
-            state[i - 1] = back[i, state[i]]
-        out = pdf.drop(columns="emissions")
-        out["state"] = state + 1
-        return out
-
-    return run
-
-
-def viterbi_by_key(rows: DataFrame, keys: list[str], order: str, trans_prob: float) -> DataFrame:
-    """M6: the most likely state (from 1) of each row along `order` within keys; rows have an array of log-likelihoods.
-
-    A key is a chromosome of one sample, so its rows are bounded by the genome, not by the data.
-    """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "emissions")
-    return rows.groupBy(*keys).applyInPandas(_viterbi(order, trans_prob), f"{kinds}, state int")
-
-
 def path_loglik(rows: DataFrame, keys: list[str], state: str = "state") -> DataFrame:
     """M8: the sum of the emissions of a given path; null states are left out."""
     return rows.groupBy(*keys).agg(F.sum(F.element_at("emissions", F.col(state))).alias("loglik"))

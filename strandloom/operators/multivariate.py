@@ -34,6 +34,67 @@ def pca(rows: DataFrame, cols: list[str], k: int) -> DataFrame:
     return out.withColumn("pc", F.array(*(F.col("_a")[i] * s for i, s in enumerate(sign)))).drop("features", "z", "_pc", "_a")
 
 
+#: Samples of which the Gram matrix may have rows; it goes to the driver.
+MOST_SAMPLES = 2000
+
+
+def gram(values: DataFrame, sample: str, features: list[str], value: str, scale: bool = False) -> DataFrame:
+    """(a, b, g) for samples a <= b: sums of products of centred values over all features. Features without a row of a sample are 0 there.
+
+    Values are kept long and never made dense: centring each feature over the n samples takes from a product's sum the
+    means of its row and column and adds that of all. With scale each feature is divided by its standard deviation, and
+    constant ones are left out. Null and non-finite values count as 0; samples are those of the table.
+    """
+    x = F.col(value).cast("double")
+    own = values.select(F.col(sample).alias("a"), *features, F.when(F.abs(x) < float("inf"), x).otherwise(0.0).alias("x"))
+    own = own.groupBy("a", *features).agg(F.sum("x").alias("x"))
+    names = own.select("a").distinct()
+    n = names.count()
+    if n > MOST_SAMPLES:
+        raise ValueError(f"{n} samples: their Gram matrix is no small one; use pca over columns")
+    if scale:
+        spread = own.groupBy(*features).agg(((F.sum(F.col("x") * F.col("x")) - F.sum("x") * F.sum("x") / n) / max(1, n - 1)).alias("_var")).where("_var > 1e-12")
+        own = own.join(spread, features).withColumn("x", F.col("x") / F.sqrt("_var")).drop("_var")
+    kept = own.where("x <> 0")
+    # A feature meets itself once for each two samples; sums are combined before they are shuffled.
+    other = kept.select(*features, F.col("a").alias("b"), F.col("x").alias("y"))
+    raw = kept.join(other, features).where("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("k"))
+    grid = names.join(names.withColumnRenamed("a", "b"), F.col("a") <= F.col("b"))
+    k = grid.join(raw, ["a", "b"], "left").fillna(0.0, ["k"])
+    both = k.unionByName(k.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "k"))
+    row = both.groupBy("a").agg((F.sum("k") / n).alias("m"))
+    total = row.agg((F.sum("m") / n).alias("all"))
+    # n rows, and one.
+    means = k.join(F.broadcast(row), "a").join(F.broadcast(row.select(F.col("a").alias("b"), F.col("m").alias("m_b"))), "b").join(F.broadcast(total))
+    return means.select("a", "b", (F.col("k") - F.col("m") - F.col("m_b") + F.col("all")).alias("g"))
+
+
+def sample_pca(values: DataFrame, sample: str, features: list[str], value: str, k: int = 2, scale: bool = False) -> DataFrame:
+    """M9 of few samples over many features: (sample, pc, share): each sample's first k components and their shares of the variance.
+
+    Only the samples' Gram matrix is decomposed. Each component's largest value is positive; a component beyond the
+    rank is 0 everywhere.
+    """
+    import numpy as np
+
+    rows = gram(values, sample, features, value, scale).collect()
+    names = sorted({r["a"] for r in rows})
+    place = {s: i for i, s in enumerate(names)}
+    g = np.zeros((len(names), len(names)))
+    for r in rows:
+        g[place[r["a"]], place[r["b"]]] = g[place[r["b"]], place[r["a"]]] = r["g"]
+    found, vectors = np.linalg.eigh(g) if names else (np.zeros(0), np.zeros((0, 0)))
+    found, vectors = np.maximum(found[::-1][:k], 0), vectors[:, ::-1][:, :k]
+    if names:
+        vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(vectors.shape[1])])
+    all_of = max(float(np.trace(g)), 1e-300)
+    rank = found > 1e-9 * all_of
+    scores, share = vectors * np.sqrt(found * rank), (found * rank / all_of).tolist()
+    kind = values.schema[sample].dataType.simpleString()
+    made = [(s, scores[i].tolist(), share) for i, s in enumerate(names)]
+    return values.sparkSession.createDataFrame(made, f"`{sample}` {kind}, pc array<double>, share array<double>")
+
+
 def kmeans(rows: DataFrame, cols: list[str], k: int = 20, starts: int = 10, rounds: int = 500, scale: bool = True) -> tuple[DataFrame, float]:
     """Rows with `cluster` (1 is the largest) and the inertia of the best of `starts` starts."""
     from pyspark.ml.clustering import KMeans

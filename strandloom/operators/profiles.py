@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .running import previous, running, stretch
+from .shared import sized_join, written
 
 
 def at_sites(points: DataFrame, seq: DataFrame, at: str, length: int, key: str = "doc_id", chunk: int = 1000) -> DataFrame:
@@ -76,3 +77,82 @@ def run_blocks(df: DataFrame, flag: str, length: int, keys: tuple = ("chrom",),
     told = running(known.withColumn("_new", new), keys, [order], {"run": ("sum", F.col("_new")), "_at": ("sum", F.lit(1))})
     first = told.where("_new = 1").select(*keys, "run", F.col("_at").alias("_first"))
     return told.join(first, [*keys, "run"]).withColumn("block", F.floor((F.col("_at") - F.col("_first")) / length)).drop("_prev", "_new", "_at", "_first", "_stretch")
+
+
+LAG_SUMS = "lag long, n long, d2 double, d1 double, n_r long, r1 double, r2 double"
+
+
+def _packed(table):
+    """The rows of one block as one row of arrays."""
+    import pyarrow as pa
+
+    vectors = table["vector"].combine_chunks()
+    one = lambda values, kind: pa.array([values], pa.list_(kind))
+    return pa.table({c: table[c].slice(0, 1) for c in ("chrom", "slot", "part")} | {"at": one(table["at"].to_pylist(), pa.float64()), "x": one(table["x"].to_pylist(), pa.float64()), "vectors": one(vectors.flatten().to_pylist(), pa.float64())})
+
+
+def _standardised(flat, rows: int):
+    """Rows of mean 0 and length 1; those with an unknown, infinite or constant value are NaN."""
+    import numpy as np
+
+    v = np.asarray(flat, float).reshape(rows, -1)
+    v = np.where(np.isfinite(v).all(1, keepdims=True), v, np.nan)
+    v = v - v.mean(1, keepdims=True)
+    length = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.where(length > 1e-9, v / np.where(length > 1e-9, length, 1), np.nan)
+
+
+def _lag_sums(most: float):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = np.asarray(row["at"], float), np.asarray(row["b_at"], float)
+                d = np.abs(b[None, :] - a[:, None])
+                near = (d > 0) & (d < most)
+                if row["same"]:
+                    near &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
+                i, j = np.nonzero(near)
+                if not len(i):
+                    continue
+                slot = np.rint(np.log10(d[i, j]) * 10).astype(np.int64)
+                low = slot.min()
+                x = np.abs(np.asarray(row["b_x"], float)[j] - np.asarray(row["x"], float)[i])
+                r = (_standardised(row["vectors"], len(a)) @ _standardised(row["b_vectors"], len(b)).T)[i, j]
+                known = np.isfinite(r)
+                sums = lambda w=None, of=slice(None): np.bincount(slot[of] - low, w, slot.max() - low + 1)  # noqa: E731, B023
+                n, n_r = sums(), sums(of=known)
+                keep = np.flatnonzero(n)
+                arrays = [keep + low, n[keep], sums(x * x)[keep], sums(x)[keep], n_r[keep], sums(r[known], known)[keep], sums(r[known] ** 2, known)[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], names=[f.split()[0] for f in LAG_SUMS.split(", ")])
+
+    return run
+
+
+def lag_profiles(rows: DataFrame, most: int = 10_000_000, least: int = 100, tile: int = 1_000_000, part: int = 1024) -> DataFrame:
+    """(lag, n, mean_corr, sd_corr, semivariance, mean_abs, sd_abs) for pairs of rows of a chromosome by round(10 log10 distance).
+
+    rows: chrom, at, x, vector. Pairs are 0 < distance < most apart; x differs by what the semivariance and mean_abs
+    describe, vectors (of one length) correlate, but for those with unknown, infinite or constant values. Rows with a null
+    place or x are left out; lags with fewer than `least` pairs too.
+
+    Places are cut into tiles, full tiles into parts; a task multiplies the standardised vectors of two blocks and keeps
+    sums by lag, so no pair is ever a row and no block grows with the data.
+    """
+    own = rows.where("chrom IS NOT NULL AND at IS NOT NULL AND x IS NOT NULL").select("chrom", F.col("at").cast("double").alias("at"), F.col("x").cast("double").alias("x"), F.col("vector").cast("array<double>").alias("vector"), F.xxhash64(*rows.columns).alias("_h"))
+    own = own.withColumn("slot", F.floor(F.col("at") / tile))
+    size = own.groupBy("chrom", "slot").agg(F.ceil(F.count("*") / part).alias("parts"))
+    dealt = sized_join(own, size, ["chrom", "slot"]).select("chrom", "slot", F.pmod("_h", F.col("parts")).alias("part"), "at", "x", "vector")
+    packed = dealt.groupBy("chrom", "slot", "part").applyInArrow(_packed, "chrom string, slot long, part long, at array<double>, x array<double>, vectors array<double>")
+    blocks = written(packed, "blocks")
+    reach = -(-most // tile)
+    left = blocks.withColumn("b_slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + reach)))
+    right = blocks.select("chrom", F.col("slot").alias("b_slot"), F.col("part").alias("b_part"), F.col("at").alias("b_at"), F.col("x").alias("b_x"), F.col("vectors").alias("b_vectors"))
+    met = left.join(right, ["chrom", "b_slot"]).where("b_slot > slot OR b_part >= part")
+    sums = met.select("at", "x", "vectors", "b_at", "b_x", "b_vectors", ((F.col("b_slot") == F.col("slot")) & (F.col("b_part") == F.col("part"))).alias("same")).mapInArrow(_lag_sums(float(most)), LAG_SUMS)
+    t = sums.groupBy("lag").agg(*(F.sum(c).alias(c) for c in ("n", "d2", "d1", "n_r", "r1", "r2"))).where(F.col("n") >= least)
+    sd = lambda s2, s1, n: F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (s2 - s1 * s1 / n) / F.when(n > 1, n - 1))))
+    n, n_r = F.col("n"), F.when(F.col("n_r") > 0, F.col("n_r"))
+    return t.select("lag", "n", (F.col("r1") / n_r).alias("mean_corr"), sd(F.col("r2"), F.col("r1"), n_r).alias("sd_corr"), (F.col("d2") / n / 2).alias("semivariance"), (F.col("d1") / n).alias("mean_abs"), sd(F.col("d2"), F.col("d1"), n).alias("sd_abs"))

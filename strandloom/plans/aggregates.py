@@ -3,6 +3,8 @@
 from pyspark.sql import Window, functions as F
 
 from ..operators import intervals as iv, scalars as sc
+from ..operators.quantiles import cut_points, interval_of, medians, quantiles
+from ..operators.shared import sized_join
 from .registry import query
 from .scalars import COUNTS, LEVEL_SQL, stage_counts
 
@@ -81,8 +83,8 @@ def g9(seq):
 def g11(inserts):
     """The quantiles are those of the histogram with each slot repeated by its count."""
     h = inserts.groupBy("sample", F.round(F.log10("wgt") * 10).cast("long").alias("slot")).agg(F.count("*").alias("n"))
-    q = h.groupBy("sample").agg(F.percentile(F.col("slot") / 10, F.array(*map(F.lit, (0.01, 0.5, 0.99))), F.col("n")).alias("q"))
-    return h.join(q, "sample").select("sample", "slot", "n", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("q01", "q50", "q99"))))
+    q = quantiles(h, ["sample"], F.col("slot") / 10, {"q01": 0.01, "q50": 0.5, "q99": 0.99}, F.col("n"))
+    return h.join(q, "sample").select("sample", "slot", "n", *(F.round(c, 6).alias(c) for c in ("q01", "q50", "q99")))
 
 
 LEVEL_ROWS = ", ".join(f"({x})" for x in sc.LEVELS)
@@ -142,7 +144,8 @@ def g17(inserts, bins):
     h = values.groupBy("sample", (F.round(F.col("n_obs") / 5) * 5).cast("long").alias("x")).agg(F.sum("c").alias("k"))
     peak = h.groupBy("sample").agg(F.max_by("x", F.struct("k", (-F.col("x")).alias("m"))).alias("peak_x"), F.sum("k").alias("t"))
     n, s1, s2 = F.sum("c"), F.sum(F.col("c") * F.col("n_obs")), F.sum(F.col("c") * F.col("n_obs") * F.col("n_obs"))
-    moments = values.groupBy("sample").agg(F.percentile("n_obs", 0.5, F.col("c")).alias("median"), F.round(s1 / n, 6).alias("mean"), F.round(F.sqrt((n * s2 - s1 * s1) / (n * (n - 1))), 6).alias("sd"))
+    moments = values.groupBy("sample").agg(F.round(s1 / n, 6).alias("mean"), F.round(F.sqrt((n * s2 - s1 * s1) / (n * (n - 1))), 6).alias("sd"))
+    moments = moments.join(medians(values, ["sample"], F.col("n_obs"), weight=F.col("c")), "sample")
     return h.join(peak, "sample").join(moments, "sample").select("sample", "x", F.round(F.col("k") / F.col("t"), 6).alias("share"), "peak_x", "median", "mean", "sd")
 
 
@@ -226,8 +229,8 @@ def g27(regions, genes, bins):
     """By set: the share of its regions that overlap a gene, beside the share of the genome's bins that do."""
     hit = lambda df: iv.overlap_count(df, genes).withColumn("hit", (F.col("n") > 0).cast("double"))
     genome = hit(bins).agg(F.round(F.avg("hit"), 6).alias("genome_fraction"))
-    per = hit(regions).groupBy("peak_set").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("fraction"), F.round(F.avg("score"), 3).alias("mean_score"), F.percentile(size(), 0.5).alias("median_size"))
-    return per.crossJoin(F.broadcast(genome))
+    per = hit(regions).groupBy("peak_set").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("fraction"), F.round(F.avg("score"), 3).alias("mean_score"))
+    return per.join(medians(regions, ["peak_set"], size(), "median_size"), "peak_set").crossJoin(F.broadcast(genome))
 
 
 @query("g29_interval_max_score", "SELECT g.name, MAX(g.strand) AS cluster, MAX(CAST(r.score AS DOUBLE)) AS top, COUNT(r.name) > 0 AS hit FROM f_genes g LEFT JOIN f_regions r ON g.chrom = r.chrom AND g.start0 < r.end1 AND r.start0 < g.end1 GROUP BY 1")
@@ -238,7 +241,10 @@ def g29(genes, regions):
 @query("g30_in_out_summary", f"WITH {DENSE_SQL}, h AS (SELECT b.chrom, b.start0, EXISTS (SELECT 1 FROM f_genes g WHERE g.chrom = b.chrom AND g.start0 < b.end1 AND b.start0 < g.end1) AS inside FROM f_bins b) SELECT d.sample, h.inside, COUNT(*) AS n, CAST(MEDIAN(d.n_obs) AS DOUBLE) AS median, ROUND(QUANTILE_CONT(d.n_obs, 0.9), 6) AS p90 FROM d JOIN h ON h.chrom = d.chrom AND h.start0 = d.start0 GROUP BY 1, 2")
 def g30(inserts, bins, genes):
     flags = iv.overlap_count(bins, genes, ["chrom", "start0"], name="k").select("chrom", "start0", (F.col("k") > 0).alias("inside"))
-    return dense(inserts, bins).join(flags, ["chrom", "start0"]).groupBy("sample", "inside").agg(F.count("*").alias("n"), F.median("n_obs").alias("median"), F.round(F.percentile("n_obs", 0.9), 6).alias("p90"))
+    by = ["sample", "inside"]
+    counts = dense(inserts, bins).join(flags, ["chrom", "start0"]).groupBy(*by, "n_obs").agg(F.count("*").alias("c"))
+    q = quantiles(counts, by, F.col("n_obs"), {"median": 0.5, "p90": 0.9}, F.col("c"))
+    return counts.groupBy(*by).agg(F.sum("c").alias("n")).join(q, by).withColumn("p90", F.round("p90", 6))
 
 
 LATER = (("s2", "2-HIGH"), ("s3", "3-MEDIUM"), ("s4", "5-LOW"))
@@ -292,7 +298,9 @@ def g37(inserts, genes):
 @query("g40_positioned_median", "SELECT name, COUNT(*) AS n, CAST(MEDIAN(i.start0 - g.start0) AS DOUBLE) AS median FROM f_genes g JOIN f_inserts i ON i.chrom = g.chrom AND i.start0 < g.end1 AND g.start0 < i.end1 WHERE i.end1 - i.start0 <= 400 GROUP BY 1 HAVING COUNT(*) >= 25")
 def g40(genes, inserts):
     pairs = iv.overlap_pairs(inserts.where(size() <= 400).select("chrom", "start0", "end1"), genes)
-    return pairs.groupBy(F.col("b_name").alias("name")).agg(F.count("*").alias("n"), F.median(F.col("start0") - F.col("b_start0")).alias("median")).where("n >= 25")
+    offsets = pairs.groupBy(F.col("b_name").alias("name"), (F.col("start0") - F.col("b_start0")).alias("at")).agg(F.count("*").alias("c"))
+    n = offsets.groupBy("name").agg(F.sum("c").alias("n")).where("n >= 25")
+    return n.join(medians(offsets, ["name"], F.col("at"), weight=F.col("c")), "name")
 
 
 WINDOWS_SQL = "w AS (SELECT sample, chrom, start0 // 10000 * 10000 AS w, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2, 3)"
@@ -358,8 +366,8 @@ def g53(regions):
 @query("w1_quantile_bins", "WITH q AS (SELECT chrom, QUANTILE_CONT(CAST(score AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS b FROM f_regions GROUP BY 1) SELECT r.name, CAST(1 + len(list_filter(q.b, lambda x: x < CAST(r.score AS DOUBLE))) AS INTEGER) AS quantile FROM f_regions r JOIN q ON q.chrom = r.chrom")
 def w1(regions):
     own = regions.withColumn("v", F.col("score").cast("double"))
-    cuts = own.groupBy("chrom").agg(F.percentile("v", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("b"))
-    return own.join(F.broadcast(cuts), "chrom").select("name", (1 + F.size(F.filter("b", lambda x: x < F.col("v")))).alias("quantile"))
+    cuts = cut_points(own, ["chrom"], F.col("v"), [0.2, 0.4, 0.6, 0.8])
+    return sized_join(own, cuts, "chrom").select("name", interval_of(F.col("v"), F.col("b")).alias("quantile"))
 
 
 @query("w2_ecdf_of_reference", f"WITH {DENSE_SQL}, v AS (SELECT sample, n_obs, COUNT(*) FILTER (WHERE chrom <> 'chrX') AS e FROM d GROUP BY 1, 2) SELECT sample, n_obs, ROUND(SUM(e) OVER (PARTITION BY sample ORDER BY n_obs) / SUM(e) OVER (PARTITION BY sample), 6) AS ecdf FROM v")
@@ -373,15 +381,17 @@ def w2(inserts, bins):
 @query("w3_robust_z", f"WITH {DENSE_SQL}, s AS (SELECT sample, MEDIAN(n_obs) AS m, STDDEV_SAMP(n_obs) AS sd FROM d WHERE chrom <> 'chrX' GROUP BY 1) SELECT d.sample, d.chrom, d.start0, ROUND((d.n_obs - s.m) / s.sd, 6) AS z FROM d JOIN s ON s.sample = d.sample")
 def w3(inserts, bins):
     d = dense(inserts, bins)
-    s = d.where("chrom <> 'chrX'").groupBy("sample").agg(F.median("n_obs").alias("m"), F.stddev_samp("n_obs").alias("sd"))
-    return d.join(F.broadcast(s), "sample").select("sample", "chrom", "start0", F.round((F.col("n_obs") - F.col("m")) / F.col("sd"), 6).alias("z"))
+    counts = d.where("chrom <> 'chrX'").groupBy("sample", "n_obs").agg(F.count("*").alias("c"))
+    n, s1, s2 = F.sum("c"), F.sum(F.col("c") * F.col("n_obs")), F.sum(F.col("c") * F.col("n_obs") * F.col("n_obs"))
+    s = counts.groupBy("sample").agg(F.sqrt((n * s2 - s1 * s1) / (n * (n - 1))).alias("sd")).join(medians(counts, ["sample"], F.col("n_obs"), "m", F.col("c")), "sample")
+    return sized_join(d, s, "sample").select("sample", "chrom", "start0", F.round((F.col("n_obs") - F.col("m")) / F.col("sd"), 6).alias("z"))
 
 
 @query("w4_clamp_quantiles", "WITH q AS (SELECT sample, QUANTILE_CONT(CAST(wgt AS DOUBLE), 0.01) AS lo, QUANTILE_CONT(CAST(wgt AS DOUBLE), 0.99) AS hi FROM f_inserts GROUP BY 1) SELECT i.sample, ROUND(SUM(LEAST(GREATEST(CAST(i.wgt AS DOUBLE), q.lo), q.hi)), 3) AS w FROM f_inserts i JOIN q ON q.sample = i.sample GROUP BY 1")
 def w4(inserts):
     own = inserts.select("sample", F.col("wgt").cast("double").alias("w"))
-    q = own.groupBy("sample").agg(F.percentile("w", 0.01).alias("lo"), F.percentile("w", 0.99).alias("hi"))
-    return own.join(F.broadcast(q), "sample").groupBy("sample").agg(F.round(F.sum(F.least(F.greatest("w", "lo"), F.col("hi"))), 3).alias("w"))
+    q = quantiles(own, ["sample"], F.col("w"), {"lo": 0.01, "hi": 0.99})
+    return sized_join(own, q, "sample").groupBy("sample").agg(F.round(F.sum(F.least(F.greatest("w", "lo"), F.col("hi"))), 3).alias("w"))
 
 
 @query("w7_cumulative_share", f"WITH {MERS}, t AS (SELECT lang, nonamer, n, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY n DESC, nonamer) AS rank FROM k) SELECT lang, nonamer, rank, ROUND(SUM(n) OVER (PARTITION BY lang ORDER BY rank) / SUM(n) OVER (PARTITION BY lang), 6) AS share FROM t")

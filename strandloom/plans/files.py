@@ -3,24 +3,13 @@
 Files go to the folder that the session's executors share, a new one for each call.
 """
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import functions as F
 
+from ..operators.shared import folder
 from ..sources import tables
 from .registry import query
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; only a local session without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-files-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_files"
-    return f"{base.rstrip('/')}/strandloom/{name}-{uuid.uuid4().hex}"
-
-
 def lines(df, name, *fields, head=None):
     """The fields of each row as one tab-separated line of text files, whose path is returned; `head` is a line more."""
     spark, path = df.sparkSession, folder(df.sparkSession, name)

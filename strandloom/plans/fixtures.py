@@ -34,4 +34,6 @@ def oracle(sql: str) -> str:
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in used)
     if not used:
         return sql
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {sql[15:]}"
     return f"WITH {head}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {head} {sql}"

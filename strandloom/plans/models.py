@@ -2,19 +2,22 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import chains, models
+from ..operators import chains, models, viterbi
 from .aggregates import DENSE_SQL, dense
 from .registry import query
 
 
-@query("m6_viterbi")
+M6_SQL = f"WITH RECURSIVE {DENSE_SQL}, t AS (SELECT chrom, start0, SUM(n_obs) AS n FROM d GROUP BY 1, 2), l AS (SELECT AVG(n) AS lam, LN(0.999) AS st, LN(0.001) AS mv FROM t), e AS (SELECT chrom, start0, ROW_NUMBER() OVER (PARTITION BY chrom ORDER BY start0) AS i, n * LN(lam * 0.7) - lam * 0.7 AS a, n * LN(lam * 1.4) - lam * 1.4 AS b, st, mv FROM t, l), v AS (SELECT chrom, i, a AS s1, b AS s2, [1] AS p1, [2] AS p2 FROM e WHERE i = 1 UNION ALL SELECT e.chrom, e.i, GREATEST(s1 + st, s2 + mv) + a, GREATEST(s1 + mv, s2 + st) + b, list_append(CASE WHEN s1 + st >= s2 + mv THEN p1 ELSE p2 END, 1), list_append(CASE WHEN s1 + mv >= s2 + st THEN p1 ELSE p2 END, 2) FROM v JOIN e ON e.chrom = v.chrom AND e.i = v.i + 1), m AS (SELECT chrom, MAX(i) AS i FROM e GROUP BY 1) SELECT e.chrom, e.start0, CAST((CASE WHEN s1 >= s2 THEN p1 ELSE p2 END)[e.i] AS INTEGER) AS state FROM m JOIN v ON v.chrom = m.chrom AND v.i = m.i JOIN e ON e.chrom = m.chrom"
+
+
+@query("m6_viterbi", M6_SQL)
 def m6(inserts, bins):
-    """Two states of insert density along each chromosome; no SQL: a dynamic program, tested against brute force."""
+    """Two states of insert density along each chromosome."""
     d = dense(inserts, bins).groupBy("chrom", "start0").agg(F.sum("n_obs").alias("n"))
     lam = d.agg(F.avg("n").alias("lam"))
     rate = lambda f: F.col("n") * F.log(F.col("lam") * f) - F.col("lam") * f
     rows = d.crossJoin(F.broadcast(lam)).select("chrom", "start0", F.array(rate(0.7), rate(1.4)).alias("emissions"))
-    return models.viterbi_by_key(rows, ["chrom"], "start0", 1e-3)
+    return viterbi.viterbi_by_key(rows, ["chrom"], "start0", 1e-3, states=2)
 
 
 @query("m12_linear_fit", f"WITH {DENSE_SQL} SELECT sample, ROUND(REGR_SLOPE(n_wgt, n_obs), 6) AS slope, ROUND(REGR_INTERCEPT(n_wgt, n_obs), 6) AS intercept, ROUND(CORR(n_wgt, n_obs), 6) AS r FROM d GROUP BY 1")

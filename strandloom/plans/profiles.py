@@ -3,6 +3,8 @@
 from pyspark.sql import Window, functions as F
 
 from ..operators import intervals as iv, models, profiles as pr, scalars as sc
+from ..operators.quantiles import cut_points, interval_of, quantiles
+from ..operators.shared import sized_join
 from .aggregates import DENSE_SQL, dense, mers, size
 from .registry import query
 from .scalars import COUNTS, LEVEL_SQL, stage_counts
@@ -77,8 +79,8 @@ def g26(regions, inserts, samples):
 
 @query("g28_quantiled_overlap", "WITH q AS (SELECT QUANTILE_CONT(CAST(score AS DOUBLE), [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS b FROM f_regions), r AS (SELECT f.*, CAST(1 + len(list_filter(q.b, lambda x: x < CAST(f.score AS DOUBLE))) AS INTEGER) AS quantile FROM f_regions f, q) SELECT quantile, COUNT(*) AS n, ROUND(AVG(CASE WHEN EXISTS (SELECT 1 FROM f_genes g WHERE g.chrom = r.chrom AND g.start0 < r.end1 AND r.start0 < g.end1) THEN 1.0 ELSE 0.0 END), 6) AS share, ROUND(AVG(CAST(score AS DOUBLE)), 3) AS score FROM r GROUP BY 1")
 def g28(regions, genes):
-    cuts = regions.agg(F.percentile(F.col("score").cast("double"), F.array(*(F.lit(k / 20) for k in range(1, 20)))).alias("b"))
-    own = regions.crossJoin(F.broadcast(cuts)).withColumn("quantile", 1 + F.size(F.filter("b", lambda x: x < F.col("score").cast("double")))).drop("b")
+    cuts = cut_points(regions, [], F.col("score"), [k / 20 for k in range(1, 20)])
+    own = regions.crossJoin(F.broadcast(cuts)).withColumn("quantile", interval_of(F.col("score").cast("double"), F.col("b"))).drop("b")
     hit = iv.overlap_count(own, genes, ["name"])
     return hit.groupBy("quantile").agg(F.count("*").alias("n"), F.round(F.avg((F.col("n") > 0).cast("double")), 6).alias("share"), F.round(F.avg(F.col("score").cast("double")), 3).alias("score"))
 
@@ -169,8 +171,8 @@ def g48(inserts, bins):
 @query("g50_stratify_by_start_state", f"WITH {VECTORS}, q AS (SELECT QUANTILE_CONT(CAST(n AS DOUBLE), [0.25, 0.5, 0.95]) AS b FROM v WHERE k = 1), g AS (SELECT name, n AS base, CAST(1 + len(list_filter(q.b, lambda x: x < v.n)) AS INTEGER) AS stratum FROM v, q WHERE k = 1) SELECT g.stratum, CAST(v.k AS INTEGER) AS k, COUNT(*) AS n, ROUND(AVG(v.n - g.base), 6) AS delta FROM v JOIN g ON g.name = v.name GROUP BY 1, 2")
 def g50(regions, inserts, samples):
     v = vectors(regions, inserts, samples)
-    cuts = v.agg(F.percentile(F.col("counts")[0].cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.95))).alias("b"))
-    own = v.crossJoin(F.broadcast(cuts)).select("counts", (1 + F.size(F.filter("b", lambda x: x < F.col("counts")[0]))).alias("stratum"))
+    cuts = cut_points(v, [], F.col("counts")[0], [0.25, 0.5, 0.95])
+    own = v.crossJoin(F.broadcast(cuts)).select("counts", interval_of(F.col("counts")[0], F.col("b")).alias("stratum"))
     # The baseline is in the same row, so no join back to it.
     rows = own.select("stratum", F.posexplode("counts").alias("p", "n"), F.col("counts")[0].alias("base"))
     return rows.groupBy("stratum", (F.col("p") + 1).alias("k")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("n") - F.col("base")), 6).alias("delta"))
@@ -193,8 +195,10 @@ def g52(regions, inserts, samples):
 @query("w5_quantile_band", f"WITH {DENSE_SQL}, g AS (SELECT *, CAST(start0 // 1000 % 21 AS BIGINT) AS step FROM d), q AS (SELECT sample, step, QUANTILE_CONT(CAST(n_obs AS DOUBLE), 0.025) AS lo, QUANTILE_CONT(CAST(n_obs AS DOUBLE), 0.975) AS hi FROM g GROUP BY 1, 2) SELECT g.sample, g.step, COUNT(*) AS n, CAST(SUM(n_obs) AS BIGINT) AS total FROM g JOIN q ON q.sample = g.sample AND q.step = g.step WHERE n_obs BETWEEN lo AND hi GROUP BY 1, 2")
 def w5(inserts, bins):
     own = dense(inserts, bins).withColumn("step", F.floor(F.col("start0") / 1000) % 21)
-    band = own.groupBy("sample", "step").agg(F.percentile("n_obs", 0.025).alias("lo"), F.percentile("n_obs", 0.975).alias("hi"))
-    return own.join(band, ["sample", "step"]).where("n_obs BETWEEN lo AND hi").groupBy("sample", "step").agg(F.count("*").alias("n"), F.sum("n_obs").alias("total"))
+    counts = own.groupBy("sample", "step", "n_obs").agg(F.count("*").alias("c"))
+    band = quantiles(counts, ["sample", "step"], F.col("n_obs"), {"lo": 0.025, "hi": 0.975}, F.col("c"))
+    inside = sized_join(counts, band, ["sample", "step"]).where("n_obs BETWEEN lo AND hi")
+    return inside.groupBy("sample", "step").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("n_obs")).alias("total"))
 
 
 @query("w6_row_index", "SELECT name, ROW_NUMBER() OVER (PARTITION BY chrom, peak_set ORDER BY start0, name) AS i FROM f_regions")

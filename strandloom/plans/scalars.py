@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import intervals as iv, scalars as sc
+from ..operators.quantiles import quantiles
 from ..operators.running import running, stretch
 from .registry import query
 
@@ -123,7 +124,7 @@ def p19(spark, regions):
 @query("p20_gene_filters", "WITH m AS (SELECT source, AVG(end1 - start0) AS v FROM f_genes WHERE name <> 'g7' GROUP BY 1) SELECT source, ROUND(v, 6) AS v FROM m WHERE v > (SELECT QUANTILE_CONT(v, 0.25) FROM m)")
 def p20(genes):
     means = genes.where("name <> 'g7'").groupBy("source").agg(F.avg(F.col("end1") - F.col("start0")).alias("v"))
-    cut = means.agg(F.percentile("v", 0.25).alias("cut"))
+    cut = quantiles(means, [], F.col("v"), {"cut": 0.25})
     return means.crossJoin(F.broadcast(cut)).where("v > cut").select("source", F.round("v", 6).alias("v"))
 
 

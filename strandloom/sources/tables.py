@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.running import running
+from ..operators.shared import sized_join, written
+
 BED = ("chrom", "start0", "end1", "name", "score", "strand")
 
 
@@ -38,11 +41,37 @@ def chunked(sequences: DataFrame, chunk: int, overlap: int, name: str = "chrom",
     return sequences.select(name, seq, F.explode(F.sequence(F.lit(0), last, F.lit(chunk))).alias("offset")).select(name, "offset", F.substr(seq, F.col("offset") + 1, F.lit(chunk + overlap)).alias("seq"))
 
 
+#: Lines of a text that one stretch of running sums holds.
+STRETCH_LINES = 8192
+
+
 def read_sequence(spark: SparkSession, path: str, chunk: int = 1_000_000, overlap: int = 12) -> DataFrame:
-    """FASTA records as overlapping chunks."""
-    records = spark.read.text(path, lineSep=">").where("trim(value) <> ''")
-    lines = F.split("value", "\n")
-    return chunked(records.select(F.split(lines[0], r"\s")[0].alias("chrom"), F.concat_ws("", F.slice(lines, 2, 1_000_000_000)).alias("seq")), chunk, overlap)
+    """FASTA records as overlapping chunks (chrom, offset, seq), read line by line: no record is one value.
+
+    Lines are ordered by their file, the split they come from and their place in it. Running sums over them number the
+    records and give each line the bases before it; a line then gives its pieces to the one or two chunks that hold them.
+    Names end at white space; a record without bases is one empty chunk; text before the first record is left out.
+    """
+    value = F.rtrim(F.col("value"), F.lit("\r"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), value.alias("value"))
+    # Written once, so that ids are the same for every use of them.
+    lines = written(lines.where("value <> ''"), "lines")
+    head = F.startswith(F.col("value"), F.lit(">"))
+    dealt = lines.withColumn("_stretch", F.struct("block", F.floor(F.col("id") / STRETCH_LINES).alias("part"))).withColumn("bases", F.when(head, 0).otherwise(F.length("value")))
+    sums = running(dealt, ("file",), ["id"], {"record": ("sum", head.cast("long")), "to": ("sum", F.col("bases"))})
+    heads = sums.where(head).select("file", "record", F.split(F.substr("value", F.lit(2)), r"\s")[0].alias("chrom"), F.col("to").alias("first"))
+    rows = sized_join(sums.where(~head), heads, ["file", "record"]).withColumn("at", F.col("to") - F.col("bases") - F.col("first"))
+    length = rows.groupBy("file", "record").agg(F.max(F.col("at") + F.col("bases")).alias("length"))
+    first, last = F.greatest(F.lit(0), F.floor((F.col("at") - overlap) / chunk)), F.floor((F.col("at") + F.col("bases") - 1) / chunk)
+    pieces = rows.select("file", "record", "at", "value", F.explode(F.sequence(first, last)).alias("chunk"))
+    low = F.greatest("at", F.col("chunk") * chunk)
+    pieces = pieces.select("file", "record", "chunk", low.alias("from"), F.substr("value", low - F.col("at") + 1, F.greatest(F.lit(0), (F.col("chunk") + 1) * chunk + overlap - low)).alias("piece")).where("piece <> ''")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("from", "piece"))), lambda p: p["piece"])
+    made = pieces.groupBy("file", "record", "chunk").agg(F.concat_ws("", parts).alias("seq"))
+    # A chunk that holds no more than the overlap of the one before it is none, but for the first.
+    kept = sized_join(made, length, ["file", "record"]).where((F.col("chunk") == 0) | (F.col("chunk") * chunk <= F.col("length") - overlap - 1))
+    full = heads.select("file", "record", "chrom").join(kept, ["file", "record"], "left")
+    return full.select("chrom", F.coalesce(F.col("chunk") * chunk, F.lit(0)).cast("int").alias("offset"), F.coalesce("seq", F.lit("")).alias("seq"))
 
 
 def read_gtf_genes(spark: SparkSession, path: str) -> DataFrame:

@@ -102,6 +102,47 @@ def test_chains_equal_a_plain_run_over_whole_chromosomes(spark):
     assert sum(g.end1 - g.start0 for g in groups) == sum(len(set().union(*(range(a, b) for _, k, a, b, *_ in got if k == c))) for c in ("c1", "c2"))
 
 
+def dense(seed):
+    """Inserts all along 20,000 bases, so that candidates leave no gap between tiles."""
+    draw, out = random.Random(seed), []
+    for _ in range(1500):
+        a = draw.randrange(1500, 21_000)
+        a -= int(25 * np.sin(a / 60))
+        out.append((a, a + draw.choice((40, 60, 120, 180, 200, 330, 400, 480))))
+    return out
+
+
+def test_dense_chromosomes_in_tiles_equal_a_plain_run(spark):
+    by = {("a", "c1"): dense(4), ("b", "c1"): dense(5), ("b", "c2"): [(x, y) for x, y in dense(6) if x < 9000]}
+    rows = [(s, c, x, y) for (s, c), own in by.items() for x, y in own]
+    inserts = spark.createDataFrame(rows, "stage string, chrom string, start0 long, end1 long")
+    n = {s: sum(r[0] == s for r in rows) for s in "ab"}
+    want = sorted((s, c, *p) for (s, c), own in by.items() for p in plain_chains(own, int(42 * n[s] / min(n.values()))))
+    assert len(want) > 60
+    for tile in (1024, 5000, ch.TILE):
+        assert sorted(map(tuple, ch.placed(inserts, tile=tile).collect())) == want, tile
+
+
+def test_rounds_settle_every_choice():
+    """Tiles of a few hundred bases, one after the other in rounds, choose what one tile chooses."""
+    draw = np.random.default_rng(2)
+    at = np.unique(draw.integers(500, 9000, 1500)) * 3
+    score, gap = draw.integers(40, 90, len(at)), 51 + 4 * draw.integers(0, 76, len(at))
+    whole = ch.choose(at, score, gap, np.zeros(len(at), int), np.ones(len(at), bool), 900, 28_000)
+    assert set(whole.tolist()) == {ch.YES, ch.NO}
+    state = np.zeros(len(at), int)
+    for rounds in range(50):
+        after = state.copy()
+        for t in range(0, 30_000, 300):
+            near = np.flatnonzero((at >= t - ch.CHOICE_REACH) & (at < t + 300 + ch.CHOICE_REACH) & (state != ch.NO))
+            own = (at[near] >= t) & (at[near] < t + 300)
+            after[near[own]] = ch.choose(at[near], score[near], gap[near], state[near], own, 900, 28_000)[own]
+        state = after
+        if (state != ch.OPEN).all():
+            break
+    assert rounds > 1 and (state == whole).all()
+
+
 def test_merges_and_empty_tables(spark):
     near = list(ch.chained([(1000, 100, 51), (1150, 50, 51), (1700, 60, 51), (4000, 70, 71)]))
     assert near == [(1000 - 247, 1700 + 248, [828, int((1026 * 100 + 978 * 50) / 150), 1176, 1528, 1726], [1, 0], [100, 50, 60]), (4000 - 257, 4000 + 258, [3818, 4036], [], [90])]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import counts_model as nb, models, multivariate as mv, resampling as rs, score_types
+from strandloom.operators import counts_model as nb, multivariate as mv, quantiles as qt, resampling as rs, score_types, viterbi as vb
 
 
 def pmf(k, mu, theta):
@@ -65,15 +65,141 @@ def test_copy_numbers_of_a_gain(spark):
     assert [(r.start0, r.end1, r.cn, r.n) for r in got] == [(0, 100, 2, 10), (100, 200, 4, 10), (200, 260, 0, 6)]
 
 
+def viterbi_by_loop(e, move, forced=None, reverse=False):
+    """The definition, one row after the other: states from 1, or nulls without a path."""
+    e = [[-math.inf if x is None or math.isnan(x) else x for x in row] for row in e]
+    for t, f in enumerate(forced or []):
+        if f is not None:
+            e[t] = [0.0 if k == f - 1 else -math.inf for k in range(len(e[t]))]
+    e = [[0.0] * len(row) if max(row) == -math.inf else row for row in e]
+    if len(e) == 1:
+        return [None]
+    e = e[::-1] if reverse else e
+    states = range(len(e[0]))
+    score, back = list(e[0]), []
+    for row in e[1:]:
+        best = [max(states, key=lambda i: (score[i] + move[i][j], -i)) for j in states]
+        score, back = [score[best[j]] + move[best[j]][j] + row[j] for j in states], [*back, best]
+    if max(score) == -math.inf:
+        return [None] * len(e)
+    path = [max(states, key=lambda j: (score[j], -j))]
+    for best in back[::-1]:
+        path.append(best[path[-1]])
+    path = [j + 1 for j in path[::-1]]
+    return path[::-1] if reverse else path
+
+
+def log_moves(n, p, weights=None):
+    return [[(lambda x: math.log(x) if x else -math.inf)((1 - p * (n - 1) if i == j else p) * (weights[i][j] if weights else 1)) for j in range(n)] for i in range(n)]
+
+
+VITERBI = "sample string, chrom string, start0 long, emissions array<double>, forced int"
+
+
 def test_viterbi_equals_all_paths(spark):
     import itertools
 
     r = random.Random(2)
     e = [[r.uniform(-3, 0) for _ in range(3)] for _ in range(6)]
     e[2][1] = -math.inf
-    got = [x.state for x in models.viterbi_by_key(spark.createDataFrame([("c", i, v) for i, v in enumerate(e)], "chrom string, start0 long, emissions array<double>"), ["chrom"], "start0", 0.1).orderBy("start0").collect()]
-    score = lambda p: sum(e[i][s] for i, s in enumerate(p)) + sum(math.log(0.9) if a == b else math.log(0.05) for a, b in zip(p, p[1:]))
-    assert got == [s + 1 for s in max(itertools.product(range(3), repeat=6), key=score)]
+    rows = spark.createDataFrame([("a", "c", i, v, None) for i, v in enumerate(e)], VITERBI)
+    move = log_moves(3, 0.1)
+    score = lambda p: sum(e[i][s] for i, s in enumerate(p)) + sum(move[a][b] for a, b in zip(p, p[1:]))
+    best = [s + 1 for s in max(itertools.product(range(3), repeat=6), key=score)]
+    assert best == viterbi_by_loop(e, move)
+    for width in (1, 2, 100):
+        assert [x.state for x in vb.viterbi_by_key(rows, ["sample", "chrom"], "start0", 0.1, width=width).orderBy("start0").collect()] == best
+
+
+def test_viterbi_by_stretches_equals_the_loop(spark):
+    """Long rows with ties, masked rows, gaps between stretches, forced states, a key of one row and null keys."""
+    r = random.Random(7)
+    rows, by = [], {}
+    for key, n in (("a", 300), ("b", 1), (None, 40), ("d", 25)):
+        for i in range(n):
+            # Whole numbers, so that ties are exact.
+            e = [float(r.randrange(-4, 1)) if r.random() < 0.8 else r.choice([None, -math.inf, float("nan")]) for _ in range(3)]
+            at = i * 10 + (5000 if i > 150 else 0)
+            forced = r.randrange(1, 4) if r.random() < 0.05 else None
+            rows.append(("s", key, at, e if r.random() < 0.97 else None, forced))
+            by.setdefault(key, []).append((at, rows[-1][3] or [None] * 3, forced))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, VITERBI)
+    weights = [[1, 2, 0], [1, 1, 1], [0.5, 1, 1]]
+    given = [[0.0, -2.0, -3.0], [-1.0, -1.0, -2.0], [-math.inf, -1.0, 0.0]]
+    for options, move in (({}, log_moves(3, 0.25)), ({"forced": "forced"}, log_moves(3, 0.25)), ({"reverse": True, "weights": weights}, log_moves(3, 0.25, weights)), ({"trans_logs": given, "forced": "forced", "reverse": True}, given)):
+        got: dict = {}
+        for x in vb.viterbi_by_key(df, ["sample", "chrom"], "start0", 0.25, width=200, **options).orderBy("start0").collect():
+            got.setdefault(x.chrom, []).append((x.start0, x.forced, x.state))
+        for key, own in by.items():
+            want = viterbi_by_loop([e for _, e, _ in own], move, [f for *_, f in own] if "forced" in options else None, options.get("reverse", False))
+            assert got[key] == [(at, f, s) for (at, _, f), s in zip(own, want)], (key, options)
+    # No way from state 1 to state 2 and back: no path.
+    stuck = spark.createDataFrame([("s", "c", i, [0.0, 0.0], 1 + i % 2) for i in range(6)], VITERBI)
+    assert {x.state for x in vb.viterbi_by_key(stuck, ["chrom"], "start0", trans_logs=[[0.0, -math.inf], [-math.inf, 0.0]], forced="forced", width=2).collect()} == {None}
+    assert vb.viterbi_by_key(df.where("false"), ["chrom"], "start0", 0.1).count() == 0
+    with pytest.raises(ValueError, match="3 states"):
+        vb.viterbi_by_key(df, ["chrom"], "start0", trans_logs=[[0.0]], states=3)
+
+
+def test_quantiles_equal_numpy(spark):
+    r = np.random.default_rng(8)
+    # A hot group with a third of all rows and few values, skewed groups, ties, one row, and nothing but nulls.
+    groups = {"hot": r.integers(0, 5, 3000).astype(float), "wide": np.exp(r.normal(0, 3, 3000)), "tied": np.full(50, 7.5), "one": np.array([3.0]), "two": np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None), ("hot", None), ("wide", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ps = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = {x.g: x for x in qt.quantiles(df, ["g"], F.col("v"), ps).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert np.allclose([got[g][n] for n in ps], np.quantile(vs, list(ps.values())), rtol=1e-12)
+    # Counted rows give what repeated rows give; cuts of the whole table; where values lie between them.
+    counted = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+    assert {x.g: x.median for x in qt.medians(counted, ["g"], F.col("v"), weight=F.col("n")).collect()} == {g: got[g].c for g in groups}
+    everything = np.concatenate(list(groups.values()))
+    cuts = qt.cut_points(df, [], F.col("v"), [0.25, 0.5]).collect()
+    assert len(cuts) == 1 and np.allclose(cuts[0].b, np.quantile(everything, [0.25, 0.5]))
+    assert [x[0] for x in spark.createDataFrame([(1.0,), (2.0,), (2.5,), (9.0,)], "v double").select(qt.interval_of(F.col("v"), F.array(F.lit(2.0), F.lit(3.0)))).collect()] == [1, 1, 2, 3]
+    assert qt.quantiles(df.where("false"), ["g"], F.col("v"), ps).count() == 0
+
+
+def test_grouped_fits_equal_single_fits(spark):
+    r = np.random.default_rng(11)
+    rows, singles = [], {}
+    for s, (size, theta) in {"a": (4000, 5.0), "b": (1500, 1.2), "c": (3000, 40.0)}.items():
+        g = np.round(r.uniform(0.3, 0.6, size), 2)
+        mu = np.exp(1.5 + 3 * g - 2 * g**2)
+        y = r.negative_binomial(theta, theta / (theta + mu))
+        points, n = np.unique(np.stack([g, y], 1), axis=0, return_counts=True)
+        singles[s] = nb.fit_nb(points[:, 1], points[:, 0], n.astype(float))
+        rows += [(s, float(p[0]), int(p[1]), int(k)) for p, k in zip(points, n)]
+    got = nb.fit_grouped(spark.createDataFrame(rows, "sample string, gc double, y long, n long"))
+    for s, (beta, theta) in singles.items():
+        assert np.allclose(got[s][0], beta, atol=1e-6, rtol=1e-6) and math.isclose(got[s][1], theta, rel_tol=1e-6), s
+
+
+def test_model_leaves_outliers_out(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for _ in range(3000):
+        g = round(float(r.uniform(0.35, 0.55)), 2)
+        mu = math.exp(2 + g)
+        rows.append(("a", g, float(r.negative_binomial(8, 8 / (8 + mu)))))
+    clean = nb.nb_gc_fit(spark.createDataFrame(rows, "sample string, gc double, reads double")).first()
+    dirty = nb.nb_gc_fit(spark.createDataFrame(rows + [("a", 0.45, 500.0)] * 20 + [("a", None, 4.0), ("a", 0.4, None)], "sample string, gc double, reads double")).first()
+    mu = lambda f, g: math.exp(sum(b * g**k for k, b in enumerate(f.beta)))
+    assert dirty.rows == 3020 and all(math.isclose(mu(dirty, g), mu(clean, g), rel_tol=0.05) for g in (0.4, 0.45, 0.5))
+    assert all(math.isclose(mu(clean, g), math.exp(2 + g), rel_tol=0.15) for g in (0.4, 0.45, 0.5))
+
+
+def test_polygamma_columns(spark):
+    x = [0.001, 0.5, 1.0, 3.7, 50.0, 1e4]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", nb.digamma(F.col("x")).alias("d"), nb.trigamma(F.col("x")).alias("t")).collect()
+    # Differences of logs of the gamma function, and pi^2 / 6.
+    for row in got:
+        assert math.isclose(sum(1 / (row.x + k) for k in range(5)), spark.createDataFrame([(row.x + 5,)], "x double").select(nb.digamma(F.col("x"))).first()[0] - row.d, rel_tol=1e-9)
+    one = next(row for row in got if row.x == 1.0)
+    assert math.isclose(one.d, -0.5772156649015329, rel_tol=1e-12) and math.isclose(one.t, math.pi**2 / 6, rel_tol=1e-12)
 
 
 def test_chi_squared_tail_and_brown(spark):
