@@ -93,31 +93,30 @@ def trigamma(x: Column, terms: int = 8) -> Column:
     return series
 
 
-def _sums(points: DataFrame, params: list[tuple]) -> dict:
-    """For each sample the sums of one step over all of its points (gc, y, n): the normal equations of the coefficients, and both derivatives for θ.
+def _sums(points: DataFrame, state: dict) -> dict:
+    """For each sample of state the sums of one step over all of its points (gc, y, n): the normal equations of the coefficients, and both derivatives for θ.
 
-    params: (sample, coefficients or None, θ). Without coefficients the means are the counts, none below half of their mean.
+    GC is taken between -1 and 1 here. Without coefficients the means are the counts, none below half of their mean.
     """
     spark = points.sparkSession
-    side = spark.createDataFrame([(s, beta, theta, base) for s, beta, theta, base in params], "sample string, beta array<double>, theta double, base double")
+    side = spark.createDataFrame([(s, None if x["beta"] is None else x["beta"].tolist(), x["theta"], x["base"], x["middle"], x["half"]) for s, x in state.items()], "sample string, beta array<double>, theta double, base double, middle double, half double")
     # One row for each sample.
-    x = points.join(F.broadcast(side), "sample")
-    b, g, y, w, theta = F.col("beta"), F.col("gc"), F.col("y").cast("double"), F.col("n").cast("double"), F.col("theta")
-    powers = [F.lit(1.0), g, g * g, g * g * g]
-    eta = b[0] + b[1] * g + b[2] * powers[2] + b[3] * powers[3]
-    x = x.withColumn("eta", F.when(b.isNull(), F.log(F.greatest(y, F.col("base")))).otherwise(F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))))
+    x = points.join(F.broadcast(side), "sample").withColumn("u", (F.col("gc") - F.col("middle")) / F.col("half"))
+    b, u, y, w, theta = F.col("beta"), F.col("u"), F.col("y").cast("double"), F.col("n").cast("double"), F.col("theta")
+    powers = [F.lit(1.0), u, u * u, u * u * u, u * u * u * u, u * u * u * u * u, u * u * u * u * u * u]
+    fit = b[0] + b[1] * u + b[2] * powers[2] + b[3] * powers[3]
+    x = x.withColumn("eta", F.when(b.isNull(), F.log(F.greatest(y, F.col("base")))).otherwise(F.least(F.greatest(fit, F.lit(-30.0)), F.lit(30.0))))
     eta = F.col("eta")
     mu = F.exp(eta)
     v = F.when(b.isNull(), w).otherwise(w * mu / (1 + mu / theta))
     z = F.when(b.isNull(), eta).otherwise(eta + (y - mu) / mu)
-    up = lambda k: F.pow(g, F.lit(float(k))) if k > 3 else powers[k]
-    normal = [F.sum(v * up(k)).alias(f"x{k}") for k in range(7)] + [F.sum(v * z * powers[k]).alias(f"z{k}") for k in range(4)]
+    normal = [F.sum(v * p).alias(f"x{k}") for k, p in enumerate(powers)] + [F.sum(v * z * p).alias(f"z{k}") for k, p in enumerate(powers[:4])]
     one = w * (digamma(y + theta) - digamma(theta) + F.log(theta / (theta + mu)) + 1 - (y + theta) / (mu + theta))
     two = w * (trigamma(y + theta) - trigamma(theta) + 1 / theta - 2 / (theta + mu) + (y + theta) / ((mu + theta) * (mu + theta)))
     return {r["sample"]: r for r in x.groupBy("sample").agg(*normal, F.sum(one).alias("d1"), F.sum(two).alias("d2")).collect()}
 
 
-def fit_grouped(points: DataFrame, rounds: int = 2 * ROUNDS, tolerance: float = TOLERANCE) -> dict[str, tuple]:
+def fit_grouped(points: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-8) -> dict[str, tuple]:
     """sample -> (coefficients, θ), the same optimum as fit_nb's, of all samples at once. points: sample, gc, y, n.
 
     Each round is one aggregation over the points of all samples that have not settled; a few sums of each reach the
@@ -125,27 +124,36 @@ def fit_grouped(points: DataFrame, rounds: int = 2 * ROUNDS, tolerance: float =
     """
     import numpy as np
 
-    base = {r["sample"]: 0.5 * r["mean"] for r in points.groupBy("sample").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
-    state: dict[str, tuple] = {s: (None, 10.0) for s in base}
-    open_ = set(base)
+    state = {}
+    for r in points.groupBy("sample").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("mean"), F.min("gc").alias("low"), F.max("gc").alias("high")).collect():
+        state[r["sample"]] = {"beta": None, "theta": 10.0, "base": max(0.5 * r["mean"], 1e-9), "middle": (r["low"] + r["high"]) / 2, "half": max((r["high"] - r["low"]) / 2, 1e-6)}
+    open_ = dict(state)
     for _ in range(rounds):
-        sums = _sums(points.where(F.col("sample").isin(sorted(open_))), [(s, None if state[s][0] is None else state[s][0].tolist(), state[s][1], base[s]) for s in sorted(open_)])
-        for s, r in sums.items():
-            beta, theta = state[s]
+        if not open_:
+            break
+        for s, r in _sums(points.where(F.col("sample").isin(list(open_))), open_).items():
+            x, theta = state[s], state[s]["theta"]
             square = np.array([[r[f"x{i + j}"] for j in range(4)] for i in range(4)])
-            after = np.linalg.solve(square + 1e-12 * np.eye(4), np.array([r[f"z{k}"] for k in range(4)]))
-            if beta is None:
-                state[s] = (after, theta)
+            after = np.linalg.lstsq(square, np.array([r[f"z{k}"] for k in range(4)]), rcond=1e-13)[0]
+            before, x["beta"] = x["beta"], after
+            if before is None:
                 continue
             slope, curve = theta * r["d1"], theta * r["d1"] + theta * theta * r["d2"]
             step = -slope / curve if curve < 0 else np.sign(slope)
-            next_theta = float(np.clip(theta * np.exp(np.clip(step, -1, 1)), 1e-3, POISSON))
-            state[s] = (after, next_theta)
-            if abs(after - beta).max() < tolerance and abs(np.log(next_theta / theta)) < tolerance:
-                open_.discard(s)
-        if not open_:
-            break
-    return state
+            x["theta"] = float(np.clip(theta * np.exp(np.clip(step, -1, 1)), 1e-3, POISSON))
+            if abs(after - before).max() < tolerance and abs(np.log(x["theta"] / theta)) < tolerance:
+                del open_[s]
+
+    def in_gc(x):
+        # The polynomial in (gc - middle) / half as one in gc.
+        out, power = np.zeros(4), np.poly1d([1.0])
+        for k in range(4):
+            c = x["beta"][k] * power.coeffs[::-1]
+            out[: len(c)] += c
+            power = power * np.poly1d([1 / x["half"], -x["middle"] / x["half"]])
+        return out
+
+    return {s: (in_gc(x), x["theta"]) for s, x in state.items()}
 
 
 def nb_gc_fit(bins: DataFrame, sample: int = 200_000) -> DataFrame:
