@@ -126,7 +126,8 @@ def _lag_sums(most: float):
                 n, n_r = sums(), sums(of=known)
                 keep = np.flatnonzero(n)
                 arrays = [keep + low, n[keep], sums(x * x)[keep], sums(x)[keep], n_r[keep], sums(r[known], known)[keep], sums(r[known] ** 2, known)[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], names=[f.split()[0] for f in LAG_SUMS.split(", ")])
+                kinds = [f.split() for f in LAG_SUMS.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64 if k == "long" else float)) for v, (_, k) in zip(arrays, kinds)], names=[n for n, _ in kinds])
 
     return run
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .counts_model import normal_quantile
 from .scalars import hash_order
+from .shared import sized_join
 
 
 def drawn(rep, j, n):
@@ -13,6 +14,27 @@ def drawn(rep, j, n):
     return F.floor(hash_order(rep * 1000003 + j * 7919 + 11) / 65536) % n
 
 
+#: Slots of the hash range in which an equal sample looks for its cut.
+SLOTS = 65_536
+
+
+def equal_sample(rows: DataFrame, by: list[str], n: int, order: Column, ties: list[str]) -> DataFrame:
+    """Exactly n rows of each group (all of a smaller one): those first by `order`, a hash below 2^32, and then by ties.
+
+    Counts by slots of the hash tell in which slot a group's cut lies. Slots below it are taken whole; only that slot's
+    rows, a SLOTS-th of the group, are ranked. Rows without an order are left out.
+    """
+    own = rows.withColumn("_h", order).where("_h IS NOT NULL").withColumn("_slot", F.floor(F.col("_h") / (2**32 // SLOTS)))
+    counts = own.groupBy(*by, "_slot").agg(F.count("*").alias("_c"))
+    # A window over at most SLOTS counts of a group.
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_slot"))
+    cut = counts.withColumn("_to", upto).where(F.col("_to") >= n).groupBy(*by).agg(F.min(F.struct("_slot", (n - F.col("_to") + F.col("_c")).alias("need"))).alias("_cut"))
+    told = sized_join(own, cut, by, "left")
+    whole = told.where("_cut IS NULL OR _slot < _cut._slot")
+    last = told.where("_slot = _cut._slot").withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_h", *ties))).where("_k <= _cut.need").drop("_k")
+    return whole.unionByName(last).drop("_h", "_slot", "_cut")
+
+
 def bootstrap_median_ci(rows: DataFrame, by: str, value: str, key: str, sample: int = 1000, replicates: int = 1000) -> DataFrame:
     """(by, n, median, low, high): the median of at most `sample` rows of each group, with its 95 % percentile interval.
 

@@ -4,6 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from ..operators import intervals as iv, scalars as sc
 from ..operators.quantiles import cut_points, interval_of, medians, quantiles
+from ..operators.resampling import equal_sample
 from ..operators.shared import sized_join
 from .registry import query
 from .scalars import COUNTS, LEVEL_SQL, stage_counts
@@ -47,7 +48,8 @@ def g4(inserts):
     return inserts.groupBy("sample", "genome", size().alias("insert_size"), (F.col("start0") % 101).cast("int").alias("gc_pct")).agg(F.count("*").alias("n"), F.round(F.sum("wgt"), 4).alias("w"))
 
 
-MERS = "k AS (SELECT lang, nonamer, COUNT(*) AS n FROM (SELECT lang, SUBSTR(c, p, 3) || SUBSTR(c, p + 5, 3) || SUBSTR(c, p + 10, 3) AS nonamer FROM (SELECT lang, c, UNNEST(range(1, LENGTH(c) - 11)) AS p FROM (SELECT lang, SUBSTR(seq, o + 1, 212) AS c FROM (SELECT lang, seq, UNNEST(range(0, LENGTH(seq) - 12, 200)) AS o FROM f_seq)))) WHERE regexp_full_match(nonamer, '[ACGT]{9}') GROUP BY 1, 2)"
+MERS_SQL = "SELECT lang, nonamer, COUNT(*) AS n FROM (SELECT lang, SUBSTR(c, p, 3) || SUBSTR(c, p + 5, 3) || SUBSTR(c, p + 10, 3) AS nonamer FROM (SELECT lang, c, UNNEST(range(1, LENGTH(c) - 11)) AS p FROM (SELECT lang, SUBSTR(seq, o + 1, 212) AS c FROM (SELECT lang, seq, UNNEST(range(0, LENGTH(seq) - 12, 200)) AS o FROM f_seq)))) WHERE regexp_full_match(nonamer, '[ACGT]{9}') GROUP BY 1, 2"
+MERS = f"k AS ({MERS_SQL})"
 
 
 def mers(seq):
@@ -216,14 +218,6 @@ def g24(regions, inserts, samples):
     return per.select("name", F.round(F.col("x") / F.col("w"), 6).alias("centroid"), "dynamic")
 
 
-@query("g25_lag_bins", "SELECT CAST(ROUND(LOG10(d) * 10) AS BIGINT) AS lag, COUNT(*) AS n, ROUND(SUM(x * x) / COUNT(*) / 2, 6) AS semivariance, ROUND(AVG(ABS(x)), 6) AS mean_abs FROM (SELECT b.start0 - a.start0 AS d, (b.end1 - b.start0 - a.end1 + a.start0) / 100.0 AS x FROM f_genes a JOIN f_genes b ON a.chrom = b.chrom AND b.start0 > a.start0 AND b.start0 - a.start0 < 50000) GROUP BY 1 HAVING COUNT(*) >= 100")
-def g25(genes):
-    own = genes.select("name", "chrom", "start0", size().alias("size"))
-    x = (F.col("b_size") - F.col("size")) / 100.0
-    per = iv.pairs_within_distance(own, "start0", 50000).groupBy(F.round(F.log10("distance") * 10).cast("long").alias("lag")).agg(F.count("*").alias("n"), F.sum(x * x).alias("s"), F.avg(F.abs(x)).alias("m"))
-    return per.where("n >= 100").select("lag", "n", F.round(F.col("s") / F.col("n") / 2, 6).alias("semivariance"), F.round("m", 6).alias("mean_abs"))
-
-
 @query("g27_cluster_overlap_fraction", "WITH h AS (SELECT a.peak_set, score, end1 - start0 AS z, EXISTS (SELECT 1 FROM f_genes b WHERE a.chrom = b.chrom AND a.start0 < b.end1 AND b.start0 < a.end1) AS hit FROM f_regions a), t AS (SELECT ROUND(AVG(CASE WHEN EXISTS (SELECT 1 FROM f_genes g WHERE g.chrom = b.chrom AND g.start0 < b.end1 AND b.start0 < g.end1) THEN 1.0 ELSE 0.0 END), 6) AS genome_fraction FROM f_bins b) SELECT peak_set, COUNT(*) AS n, ROUND(AVG(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS fraction, ROUND(AVG(score), 3) AS mean_score, CAST(MEDIAN(z) AS DOUBLE) AS median_size, MAX(genome_fraction) AS genome_fraction FROM h, t GROUP BY 1")
 def g27(regions, genes, bins):
     """By set: the share of its regions that overlap a gene, beside the share of the genome's bins that do."""
@@ -295,6 +289,26 @@ def g37(inserts, genes):
     return pairs.groupBy(x.alias("x"), (F.floor(size() / 10) * 10).alias("y")).agg(F.count("*").alias("n"))
 
 
+ANCHORED = "p AS (SELECT i.sample, i.stage_type, CAST(FLOOR(FLOOR((i.start0 + i.end1) / 2.0 - (g.start0 + 500)) / 50) * 50 AS BIGINT) AS x, (i.end1 - i.start0) // 10 * 10 AS y FROM e i JOIN (SELECT chrom, start0, start0 + 1000 AS end1 FROM f_genes) g ON i.chrom = g.chrom AND i.start0 < g.end1 AND g.start0 < i.end1)"
+EQUAL_SQL = f"WITH o AS (SELECT i.*, s.stage_type, ROW_NUMBER() OVER (PARTITION BY i.sample ORDER BY ((i.start0 * 640 + i.end1 - i.start0) * 2654435761 + 11) % 4294967296, i.chrom, i.start0, i.end1) AS k FROM f_inserts i JOIN f_samples s ON s.sample = i.sample WHERE s.stage_type IS NOT NULL), e AS (SELECT * FROM o WHERE k <= (SELECT MIN(n) // 2 FROM (SELECT COUNT(*) AS n FROM o GROUP BY sample))), {ANCHORED}, h AS (SELECT stage_type, x, y, COUNT(*) AS n FROM p GROUP BY 1, 2, 3), t AS (SELECT stage_type, SUM(n) AS t FROM h GROUP BY 1), f AS (SELECT h.stage_type, x, y, n, n / t AS f FROM h JOIN t ON t.stage_type = h.stage_type) SELECT x, y, SUM(n) FILTER (WHERE stage_type = 'round') AS n_round, SUM(n) FILTER (WHERE stage_type = 'elong') AS n_elong, ROUND(COALESCE(SUM(f) FILTER (WHERE stage_type = 'elong'), 0) - COALESCE(SUM(f) FILTER (WHERE stage_type = 'round'), 0), 8) AS difference FROM f GROUP BY 1, 2"
+
+
+@query("g37_v_plot_difference", EQUAL_SQL)
+def g37_difference(inserts, genes, samples):
+    """As many inserts of each sample, half of those of the smallest one, and the shares of one set of samples less those of the other."""
+    own = sized_join(inserts, samples.where("stage_type IS NOT NULL").select("sample", "stage_type"), "sample").select("sample", "stage_type", "chrom", "start0", "end1")
+    sizes = own.groupBy("sample").agg(F.count("*").alias("n"))
+    n = sizes.agg(F.floor(F.min("n") / 2)).first()[0] or 0
+    taken = equal_sample(own, ["sample"], n, sc.hash_order(F.col("start0") * 640 + size(), 11), ["chrom", "start0", "end1"])
+    anchors = genes.select("chrom", "start0", (F.col("start0") + 1000).alias("end1"))
+    x = F.floor(F.floor((F.col("start0") + F.col("end1")) / 2 - (F.col("b_start0") + 500)) / 50) * 50
+    h = iv.overlap_pairs(taken, anchors).groupBy("stage_type", x.alias("x"), (F.floor(size() / 10) * 10).alias("y")).agg(F.count("*").alias("n"))
+    shares = sized_join(h, h.groupBy("stage_type").agg(F.sum("n").alias("t")), "stage_type").withColumn("f", F.col("n") / F.col("t"))
+    of = lambda c, t: F.sum(F.when(F.col("stage_type") == t, F.col(c)))
+    difference = F.coalesce(of("f", "elong"), F.lit(0.0)) - F.coalesce(of("f", "round"), F.lit(0.0))
+    return shares.groupBy("x", "y").agg(of("n", "round").alias("n_round"), of("n", "elong").alias("n_elong"), F.round(difference, 8).alias("difference"))
+
+
 @query("g40_positioned_median", "SELECT name, COUNT(*) AS n, CAST(MEDIAN(i.start0 - g.start0) AS DOUBLE) AS median FROM f_genes g JOIN f_inserts i ON i.chrom = g.chrom AND i.start0 < g.end1 AND g.start0 < i.end1 WHERE i.end1 - i.start0 <= 400 GROUP BY 1 HAVING COUNT(*) >= 25")
 def g40(genes, inserts):
     pairs = iv.overlap_pairs(inserts.where(size() <= 400).select("chrom", "start0", "end1"), genes)

@@ -3,7 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv, scalars as sc
+from ..operators.lookup import looked_up
+from ..operators.shared import written
+from .aggregates import DENSE_SQL, EMIT, MERS_SQL, dense, emissions, mers
+from .profiles import SITES, site_mers
 from .registry import query
+from .scalars import LEVEL_SQL
 
 HIT = "a.chrom = b.chrom AND a.start0 < b.end1 AND b.start0 < a.end1"
 BP = "LEAST(a.end1, b.end1) - GREATEST(a.start0, b.start0)"
@@ -81,6 +86,49 @@ def j14(inserts, samples):
     return inserts.join(F.broadcast(samples), "sample").groupBy("stage", "genome").agg(F.count("*").alias("n"), F.round(F.sum(F.col("wgt") * F.col("staging_order")), 4).alias("w"))
 
 
+WEIGHTS_SQL = f"WITH {SITES}, o AS (SELECT isl, nonamer, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY isl) AS f FROM t GROUP BY 1, 2), g AS (SELECT lang, nonamer, n FROM ({MERS_SQL})), k AS (SELECT nonamer, SUM(n) / (SELECT SUM(n) FROM g) AS f FROM g GROUP BY 1), b AS (SELECT o.isl, o.nonamer, k.f / o.f AS b FROM o JOIN k ON k.nonamer = o.nonamer) SELECT l.sample, l.genome, COUNT(*) AS n, ROUND(SUM(x.b * y.b), 3) AS w FROM t l JOIN t r ON l.side = 0 AND r.side = 1 AND l.sample = r.sample AND l.chrom = r.chrom AND l.start0 = r.start0 AND l.end1 = r.end1 JOIN b x ON x.nonamer = l.nonamer AND x.isl = l.isl JOIN b y ON y.nonamer = r.nonamer AND y.isl = r.isl GROUP BY 1, 2"
+
+
+@query("j14_site_weights", WEIGHTS_SQL)
+def j14_weights(inserts, seq):
+    """Weights of inserts: expected over observed frequency of the 9-mers at both ends, looked up by size level and 9-mer; without both there is none."""
+    sites = written(site_mers(inserts, seq), "sites")
+    n = sites.groupBy("isl", "nonamer").agg(F.count("*").alias("n"))
+    levels = n.groupBy("isl").agg(F.sum("n").alias("t"))
+    expected = mers(seq).groupBy("nonamer").agg(F.sum("n").alias("k"))
+    total = expected.agg(F.sum("k").alias("all"))
+    table = looked_up(looked_up(n, levels, ["isl"]), expected, ["nonamer"], "drop").crossJoin(F.broadcast(total))
+    table = written(table.select("isl", "nonamer", ((F.col("k") / F.col("all")) / (F.col("n") / F.col("t"))).alias("bias")), "weights")
+    ends = looked_up(sites, table, ["isl", "nonamer"], "drop")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("bias")))
+    both = ends.groupBy("sample", "genome", "chrom", "start0", "end1").agg(of(0).alias("l"), of(1).alias("r")).where("l IS NOT NULL AND r IS NOT NULL")
+    return both.groupBy("sample", "genome").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l") * F.col("r")), 3).alias("w"))
+
+
+@query("j14_bin_likelihoods", f"WITH {EMIT}, p AS (SELECT isl, MAX(ll) FILTER (WHERE stage = 'early_RS') AS a, MAX(ll) FILTER (WHERE stage = 'late_ES') AS b FROM e WHERE isl >= 100 GROUP BY 1) SELECT i.chrom, i.bin AS start0, SUM(i.n) AS n, ROUND(SUM(i.n * COALESCE(p.a, 0)), 4) AS ll_early, ROUND(SUM(i.n * COALESCE(p.b, 0)), 4) AS ll_late FROM (SELECT chrom, start0 // 1000 * 1000 AS bin, CAST({LEVEL_SQL} AS INTEGER) AS isl, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2, 3) i LEFT JOIN p ON p.isl = i.isl GROUP BY 1, 2")
+def j14_likelihoods(inserts, samples):
+    """Log-likelihoods of each bin in two states, from emissions by size level; levels without one add nothing. Inserts are counted by level first."""
+    of = lambda stage: F.max(F.when(F.col("stage") == stage, F.col("ll")))
+    table = emissions(inserts, samples).where("isl >= 100").groupBy("isl").agg(of("early_RS").alias("a"), of("late_ES").alias("b"))
+    n = inserts.groupBy("chrom", sc.bin_start(F.col("start0")).alias("start0"), sc.insert_size_level(F.col("end1") - F.col("start0")).alias("isl")).agg(F.count("*").alias("n"))
+    told = looked_up(n, table, ["isl"], {"a": 0.0, "b": 0.0})
+    ll = lambda c: F.round(F.sum(F.col("n") * F.coalesce(c, F.lit(0.0))), 4)
+    return told.groupBy("chrom", "start0").agg(F.sum("n").alias("n"), ll("a").alias("ll_early"), ll("b").alias("ll_late"))
+
+
+STEP = "CAST(FLOOR((0.3 + (start0 // 1000 * 37) % 300 / 1000.0) * 200 + 0.5) AS BIGINT)"
+
+
+@query("j14_gc_model", f"WITH {DENSE_SQL}, s AS (SELECT *, {STEP} AS step FROM d), m AS (SELECT sample, step, AVG(n_obs) AS mu FROM s WHERE chrom = 'chr1' AND start0 % 3000 = 0 AND start0 < 200000 GROUP BY 1, 2) SELECT s.sample, s.chrom, COUNT(*) AS n, COUNT(*) FILTER (WHERE m.mu IS NULL) AS unmatched, ROUND(SUM(m.mu), 4) AS expected FROM s LEFT JOIN m ON m.sample = s.sample AND m.step = s.step GROUP BY 1, 2")
+def j14_gc(inserts, bins):
+    """Expected counts by GC step, from a model of a few bins; steps that it lacks have none."""
+    gc = 0.3 + (F.floor(F.col("start0") / 1000) * 37) % 300 / 1000.0
+    own = dense(inserts, bins).withColumn("step", F.floor(gc * 200 + 0.5))
+    model = own.where("chrom = 'chr1' AND start0 % 3000 = 0 AND start0 < 200000").groupBy("sample", "step").agg(F.avg("n_obs").alias("mu"))
+    told = looked_up(own.select("sample", "chrom", "step"), model, ["sample", "step"])
+    return told.groupBy("sample", "chrom").agg(F.count("*").alias("n"), F.count_if(F.col("mu").isNull()).alias("unmatched"), F.round(F.sum("mu"), 4).alias("expected"))
+
+
 @query("j15_viewport_filter", "SELECT name, start0, end1 FROM f_regions WHERE chrom = 'chr2' AND start0 < 420000 AND end1 > 300000")
 def j15(regions):
     return iv.viewport(regions, "chr2", 300000, 420000).select("name", "start0", "end1")

@@ -3,6 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from ..operators import intervals as iv, models, profiles as pr, scalars as sc
+from ..operators.lookup import looked_up
 from ..operators.quantiles import cut_points, interval_of, quantiles
 from ..operators.shared import sized_join
 from .aggregates import DENSE_SQL, dense, mers, size
@@ -77,12 +78,37 @@ def g26(regions, inserts, samples):
     return pairs.select(F.col("name").alias("a"), F.col("b_name").alias("b"), F.round(pr.pearson(F.col("counts"), F.col("b_counts")), 5).alias("r"))
 
 
-@query("g28_quantiled_overlap", "WITH q AS (SELECT QUANTILE_CONT(CAST(score AS DOUBLE), [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS b FROM f_regions), r AS (SELECT f.*, CAST(1 + len(list_filter(q.b, lambda x: x < CAST(f.score AS DOUBLE))) AS INTEGER) AS quantile FROM f_regions f, q) SELECT quantile, COUNT(*) AS n, ROUND(AVG(CASE WHEN EXISTS (SELECT 1 FROM f_genes g WHERE g.chrom = r.chrom AND g.start0 < r.end1 AND r.start0 < g.end1) THEN 1.0 ELSE 0.0 END), 6) AS share, ROUND(AVG(CAST(score AS DOUBLE)), 3) AS score FROM r GROUP BY 1")
-def g28(regions, genes):
-    cuts = cut_points(regions, [], F.col("score"), [k / 20 for k in range(1, 20)])
-    own = regions.crossJoin(F.broadcast(cuts)).withColumn("quantile", interval_of(F.col("score").cast("double"), F.col("b"))).drop("b")
-    hit = iv.overlap_count(own, genes, ["name"])
-    return hit.groupBy("quantile").agg(F.count("*").alias("n"), F.round(F.avg((F.col("n") > 0).cast("double")), 6).alias("share"), F.round(F.avg(F.col("score").cast("double")), 3).alias("score"))
+G25_SQL = f"WITH {VECTORS}, p AS (SELECT chrom, (ANY_VALUE(start0) + ANY_VALUE(end1)) / 2 AS pos, SUM(k * n) / SUM(n) AS x, list(LOG2((n + 1) / m) ORDER BY k) AS v FROM (SELECT v.*, r.end1, AVG(n + 1) OVER (PARTITION BY v.name) AS m FROM v JOIN f_regions r ON r.name = v.name) GROUP BY name, chrom HAVING SUM(n) > 0), cc AS (SELECT *, list_transform(v, lambda e: e - list_avg(v)) AS u FROM p), z AS (SELECT row_number() OVER () AS i, chrom, CAST(pos AS DOUBLE) AS pos, CAST(x AS DOUBLE) AS x, CASE WHEN list_inner_product(u, u) > 1e-18 THEN list_transform(u, lambda e: e / SQRT(list_inner_product(u, u))) END AS u FROM cc), d AS (SELECT CAST(ROUND(LOG10(ABS(b.pos - a.pos)) * 10) AS BIGINT) AS lag, list_inner_product(a.u, b.u) AS r, ABS(b.x - a.x) AS d FROM z a JOIN z b ON a.chrom = b.chrom AND a.i < b.i AND a.pos <> b.pos AND ABS(b.pos - a.pos) < 10000000) SELECT lag, COUNT(*) AS n, ROUND(AVG(r), 5) AS mean_corr, ROUND(STDDEV_SAMP(r), 5) AS sd_corr, ROUND(SUM(d * d) / COUNT(*) / 2, 5) AS semivariance, ROUND(AVG(d), 5) AS mean_abs, ROUND(STDDEV_SAMP(d), 5) AS sd_abs FROM d GROUP BY 1 HAVING COUNT(*) >= 100"
+
+
+@query("g25_lag_bins", G25_SQL)
+def g25(regions, inserts, samples):
+    """Regions up to 10 Mb apart: how their profiles over the stages correlate, and how far their mean stages lie apart."""
+    own = vectors(regions, inserts, samples).join(regions.select("name", "end1"), "name")
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n)
+    mean_stage = F.aggregate(F.transform("counts", lambda n, k: n * (k + 1)), F.lit(0).cast("long"), lambda s, n: s + n) / total
+    # One is added to each count, so that no stage is empty.
+    profile = F.transform("counts", lambda n: F.log2((n + 1) / ((total + STAGES) / STAGES)))
+    rows = own.where(total > 0).select("chrom", ((F.col("start0") + F.col("end1")) / 2).alias("at"), mean_stage.alias("x"), profile.alias("vector"))
+    lags = pr.lag_profiles(rows)
+    return lags.select("lag", "n", *(F.round(c, 5).alias(c) for c in ("mean_corr", "sd_corr", "semivariance", "mean_abs", "sd_abs")))
+
+
+CUTS = [k / 20 for k in range(1, 20)]
+G28_SQL = f"WITH {COUNTS.replace('f_regions r', 'f_genes r')}, m AS (SELECT name, SUM(k * n) / SUM(n) AS stage_mean FROM c GROUP BY 1), q AS (SELECT QUANTILE_CONT(CAST(score AS DOUBLE), {CUTS}) AS b FROM f_regions), z AS (SELECT QUANTILE_CONT(CAST(end1 - start0 AS DOUBLE), {CUTS}) AS b FROM f_genes), g AS (SELECT f.chrom, f.start0, f.end1, m.stage_mean, 1 + len(list_filter(z.b, lambda x: x < f.end1 - f.start0)) AS iq FROM f_genes f LEFT JOIN m ON m.name = f.name, z), r AS (SELECT f.*, CAST(1 + len(list_filter(q.b, lambda x: x < CAST(f.score AS DOUBLE))) AS INTEGER) AS quantile FROM f_regions f, q), o AS (SELECT r.name, ANY_VALUE(r.quantile) AS quantile, ANY_VALUE(CAST(r.score AS DOUBLE)) AS score, COUNT(g.start0) > 0 AS hit, MAX(g.stage_mean) AS stage_mean, MAX(g.iq) AS iq FROM r LEFT JOIN g ON g.chrom = r.chrom AND g.start0 < r.end1 AND r.start0 < g.end1 GROUP BY 1) SELECT quantile, COUNT(*) AS n, ROUND(AVG(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS share, ROUND(AVG(score), 3) AS score, ROUND(AVG(stage_mean), 6) AS stage_mean, ROUND(AVG(iq), 6) AS interval_quantile FROM o GROUP BY 1"
+
+
+@query("g28_quantiled_overlap", G28_SQL)
+def g28(regions, genes, inserts, samples):
+    """By quantile of the regions' scores: the share that overlaps a gene, and the means of the latest stage and of the largest size quantile of those genes."""
+    own = regions.crossJoin(F.broadcast(cut_points(regions, [], F.col("score"), CUTS))).withColumn("quantile", interval_of(F.col("score").cast("double"), F.col("b"))).drop("b")
+    stages = stage_counts(genes, inserts, samples).groupBy("name").agg((F.sum(F.col("k") * F.col("n")) / F.sum("n")).alias("stage_mean"))
+    sized = genes.crossJoin(F.broadcast(cut_points(genes, [], size(), CUTS))).withColumn("iq", interval_of(size().cast("double"), F.col("b")))
+    told = looked_up(sized.select("name", "chrom", "start0", "end1", "iq"), stages, ["name"])
+    hit = iv.overlap_pairs(own.select("name", "chrom", "start0", "end1"), told).groupBy("name").agg(F.max("b_stage_mean").alias("stage_mean"), F.max("b_iq").alias("iq"))
+    both = own.select("name", "quantile", F.col("score").cast("double").alias("score")).join(hit, "name", "left")
+    mean = lambda c, d: F.round(F.avg(c), d)
+    return both.groupBy("quantile").agg(F.count("*").alias("n"), mean(F.col("iq").isNotNull().cast("double"), 6).alias("share"), mean("score", 3).alias("score"), mean("stage_mean", 6).alias("stage_mean"), mean("iq", 6).alias("interval_quantile"))
 
 
 @query("g31_persistence", "SELECT chrom, start0 // 100000 AS w, COUNT(*) AS baseline, ROUND(100.0 * AVG(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 4) AS persisting FROM (SELECT a.*, EXISTS (SELECT 1 FROM f_regions b WHERE b.peak_set = '2-HIGH' AND a.chrom = b.chrom AND a.start0 < b.end1 AND b.start0 < a.end1) AS hit FROM f_regions a WHERE a.peak_set = '1-URGENT') GROUP BY 1, 2 HAVING COUNT(*) >= 5")

@@ -68,6 +68,26 @@ def m9(regions, inserts, samples):
     return mv.pca(wide(regions, inserts, samples), STAGE_COLS, 2).select("name", F.round(F.col("pc")[0], 4).alias("pc1"), F.round(F.col("pc")[1], 4).alias("pc2"))
 
 
+GRAM_SQL = "WITH x AS (SELECT sample, chrom, start0 // 1000 AS b, CAST(COUNT(*) AS DOUBLE) AS x FROM f_inserts GROUP BY 1, 2, 3), s AS (SELECT DISTINCT sample FROM x), f AS (SELECT DISTINCT chrom, b FROM x), d AS (SELECT f.chrom, f.b, s.sample, COALESCE(x.x, 0) AS x FROM f CROSS JOIN s LEFT JOIN x ON x.chrom = f.chrom AND x.b = f.b AND x.sample = s.sample), c AS (SELECT chrom, b, sample, x - AVG(x) OVER (PARTITION BY chrom, b) AS x FROM d) SELECT p.sample AS a, q.sample AS b, ROUND(SUM(p.x * q.x), 3) AS g FROM c p JOIN c q ON p.chrom = q.chrom AND p.b = q.b AND p.sample <= q.sample GROUP BY 1, 2"
+
+
+def sample_bins(inserts):
+    return inserts.groupBy("sample", "chrom", F.floor(F.col("start0") / 1000).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("m9_gram_matrix", GRAM_SQL)
+def m9_gram(inserts):
+    """What the samples' components are found from: products of their centred bins, which are never made dense."""
+    return mv.gram(sample_bins(inserts), "sample", ["chrom", "bin"], "n").withColumn("g", F.round("g", 3))
+
+
+@query("m9_sample_pca")
+def m9_samples(inserts):
+    """No SQL: eigenvectors of the matrix above; tests/test_models.py holds them against NumPy."""
+    found = mv.sample_pca(sample_bins(inserts), "sample", ["chrom", "bin"], "n", 2)
+    return found.select("sample", *(F.round(F.col("pc")[k], 3).alias(f"pc{k + 1}") for k in range(2)), *(F.round(F.col("share")[k], 5).alias(f"share{k + 1}") for k in range(2)))
+
+
 @query("m10_kmeans")
 def m10(regions, inserts, samples):
     """Sizes and mean first stage of the clusters with the least inertia of three starts."""
@@ -97,12 +117,12 @@ def m16(regions):
 
 
 PERMUTED = 200
-M18_SQL = f"WITH o AS (SELECT strand = '+' AS a, CAST(end1 - start0 AS DOUBLE) AS v, CAST(SUBSTR(name, 2) AS BIGINT) AS k FROM f_genes WHERE chrom = 'chrX'), t AS (SELECT COUNT(*) FILTER (WHERE a) AS na, MEDIAN(v) FILTER (WHERE a) - MEDIAN(v) FILTER (WHERE NOT a) AS diff FROM o), r AS (SELECT r.r AS r, o.v, ROW_NUMBER() OVER (PARTITION BY r.r ORDER BY ((r.r * 1000003 + o.k) * 2654435761 + 11) % 4294967296, o.k) AS place FROM o, range(1, {PERMUTED + 1}) AS r(r)), d AS (SELECT r.r, MEDIAN(r.v) FILTER (WHERE place <= na) - MEDIAN(r.v) FILTER (WHERE place > na) AS d FROM r, t GROUP BY 1) SELECT MAX(t.diff) AS diff, ROUND(LEAST(1.0, 2 * (1 + LEAST(COUNT(*) FILTER (WHERE d >= diff), COUNT(*) FILTER (WHERE d <= diff))) / {PERMUTED + 1}), 6) AS p FROM d, t"
+M18_SQL = f"WITH o AS (SELECT strand = '+' AS a, CAST(end1 - start0 AS DOUBLE) AS v, CAST(SUBSTR(name, 2) AS BIGINT) AS k FROM f_genes), t AS (SELECT COUNT(*) FILTER (WHERE a) AS na, MEDIAN(v) FILTER (WHERE a) - MEDIAN(v) FILTER (WHERE NOT a) AS diff FROM o), r AS (SELECT r.r AS r, o.v, ROW_NUMBER() OVER (PARTITION BY r.r ORDER BY ((r.r * 1000003 + o.k) * 2654435761 + 11) % 4294967296, o.k) AS place FROM o, range(1, {PERMUTED + 1}) AS r(r)), d AS (SELECT r.r, MEDIAN(r.v) FILTER (WHERE place <= na) - MEDIAN(r.v) FILTER (WHERE place > na) AS d FROM r, t GROUP BY 1) SELECT MAX(t.diff) AS diff, ROUND(LEAST(1.0, 2 * (1 + LEAST(COUNT(*) FILTER (WHERE d >= diff), COUNT(*) FILTER (WHERE d <= diff))) / {PERMUTED + 1}), 6) AS p FROM d, t"
 
 
 @query("m18_permutation_median_diff", M18_SQL)
 def m18(genes):
-    own = genes.where("chrom = 'chrX'").select((F.col("strand") == "+").alias("a"), (F.col("end1") - F.col("start0")).alias("v"), F.substring("name", 2, 20).cast("long").alias("k"))
+    own = genes.select((F.col("strand") == "+").alias("a"), (F.col("end1") - F.col("start0")).alias("v"), F.substring("name", 2, 20).cast("long").alias("k"))
     return rs.permutation_median_diff(own, "a", "v", "k", replicates=PERMUTED).withColumn("p", F.round("p", 6))
 
 

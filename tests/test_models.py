@@ -245,6 +245,27 @@ def test_components_and_clusters(spark):
     assert rows.groupBy("cluster").count().count() == 3 and cost <= 30
 
 
+def test_sample_components_equal_numpy(spark):
+    r = np.random.default_rng(6)
+    x = r.poisson(2.0, (6, 300)).astype(float) * r.choice([0, 1, 3], (6, 1)) + r.poisson(1.0, (6, 300))
+    x[:, 7] = 4.0
+    rows = [(f"s{i}", "c", j, float(v)) for i, line in enumerate(x) for j, v in enumerate(line) if v] + [("s0", "c", 900, float("nan")), ("s1", "c", 901, None)]
+    df = spark.createDataFrame(rows, "sample string, chrom string, bin long, n double")
+    for scale in (False, True):
+        z = x - x.mean(0)
+        if scale:
+            sd = x.std(0, ddof=1)
+            z = z[:, sd > 1e-6] / sd[sd > 1e-6]
+        got = {(q.a, q.b): q.g for q in mv.gram(df, "sample", ["chrom", "bin"], "n", scale).collect()}
+        assert np.allclose([[got[tuple(sorted((f"s{i}", f"s{j}")))] for j in range(6)] for i in range(6)], z @ z.T)
+        u, d, _ = np.linalg.svd(z, full_matrices=False)
+        found = {q["sample"]: q for q in mv.sample_pca(df, "sample", ["chrom", "bin"], "n", 3, scale).collect()}
+        scores = u[:, :3] * d[:3]
+        scores *= np.sign(scores[np.abs(scores).argmax(0), range(3)])
+        assert np.allclose([found[f"s{i}"].pc for i in range(6)], scores, atol=1e-6) and np.allclose(found["s0"].share, d[:3] ** 2 / (d**2).sum())
+    assert mv.sample_pca(df.where("false"), "sample", ["chrom", "bin"], "n").count() == 0
+
+
 def test_scores_by_name(spark):
     counts = spark.createDataFrame([("s", "c", 0, 3, 6.0), ("s", "c", 1000, 1, 1.0), ("t", "c", 0, 0, 0.0), ("t", "c", 1000, 5, 5.0)], "sample string, chrom string, start0 long, n_obs long, n_wgt double")
     got = {r.start0: r.value for r in score_types.aggregated(counts, "cpm", "sum").collect()}
