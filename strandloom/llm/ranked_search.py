@@ -8,8 +8,8 @@ are. What a pair can add to a document is at most the larger of its joint maximu
 less than their sum wherever the documents in which the terms are strongest differ; these bounds are combined over the
 item's pairs.
 
-Short intersections are stored whole. Their joint impacts, summed over an item's pairs, are scores that documents reach at
-least; the best of all blocks give each item a first threshold. A task then goes through its blocks: a block whose
+The joint impacts of short intersections, summed over an item's pairs, are scores that documents reach at least; each block
+keeps the best of them, and those of all blocks give each item a first threshold. A task then goes through its blocks: a block whose
 combined bound is below an item's threshold is skipped; else pairs whose bounds together stay below it are not essential,
 documents are gathered from the lists of the others alone, and the rest is added for those which can still reach the
 threshold. Tasks keep the best documents of each item over their blocks, and the best of all tasks are ranked.
@@ -35,7 +35,7 @@ TOP = 50
 BLOCK_DOCS, BLOCK_POSTINGS = 2048, 500_000
 #: Terms of items, repeats between items counted, that one turn looks for.
 BLOCK_TERMS = 200_000
-#: Documents of an intersection that is stored whole.
+#: Documents of an intersection that counts as short.
 SHORT = 64
 
 #: Bytes to bytes: A-Z to a-z, and what stands between words to spaces; bytes of longer characters stay.
@@ -224,8 +224,7 @@ def search_block(units, terms, ends, docs, value, joint, ids, named, best: Best,
         left, least = sum(x for x, _ in bounded), int(best.least[item])
         if left < least or not left:
             continue
-        bounded.sort(key=lambda x: (-x[0], x[1]))
-        # Units are essential until what follows cannot reach the threshold alone.
+        # Units, the rarest first, are essential until what follows cannot reach the threshold alone.
         k, seen = 0, []
         while k < len(bounded) and (left >= least or not seen):
             bound, lists = bounded[k]
