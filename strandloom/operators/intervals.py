@@ -30,26 +30,25 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keys: tuple = ("chrom",), bucket:
     return joined.where(hit & first).drop("_bucket", "_b_bucket").withColumn("overlap_bp", F.least("end1", "b_end1") - F.greatest("start0", "b_start0"))
 
 
-def overlap_semi(a: DataFrame, b: DataFrame, by: list[str], keys: tuple = ("chrom",)) -> DataFrame:
-    """The rows of a that overlap some row of b, once."""
-    return a.join(overlap_pairs(a.select(*dict.fromkeys([*by, *keys, "start0", "end1"])), b, keys).select(*by).distinct(), by, "left_semi")
+def overlap_semi(a: DataFrame, b: DataFrame, keys: tuple = ("chrom",)) -> DataFrame:
+    """The rows of a that overlap some row of b, each as often as a has it. No pair is made."""
+    return overlap_count(a, b, keys=keys, name="_overlaps").where("_overlaps > 0").drop("_overlaps")
 
 
-def overlap_anti(a: DataFrame, sets: list[DataFrame], by: list[str], keys: tuple = ("chrom",)) -> DataFrame:
-    """The rows of a that overlap no row of any of the sets."""
-    cols = [*keys, "start0", "end1"]
-    union = reduce(DataFrame.unionByName, [s.select(*cols) for s in sets])
-    return a.join(overlap_pairs(a.select(*dict.fromkeys([*by, *cols])), union, keys).select(*by).distinct(), by, "left_anti")
+def overlap_anti(a: DataFrame, sets: list[DataFrame], keys: tuple = ("chrom",)) -> DataFrame:
+    """The rows of a that overlap no row of any of the sets, each as often as a has it; a row with a null key overlaps none."""
+    union = reduce(DataFrame.unionByName, [s.select(*keys, "start0", "end1") for s in sets])
+    return overlap_count(a, union, keys=keys, name="_overlaps").where("_overlaps = 0").drop("_overlaps")
 
 
-def overlap_left(a: DataFrame, b: DataFrame, by: list[str], keys: tuple = ("chrom",)) -> DataFrame:
-    """Every row of a with each row of b that it overlaps, or with nulls and 0 bases."""
+def overlap_left(a: DataFrame, b: DataFrame, keys: tuple = ("chrom",)) -> DataFrame:
+    """Every row of a with each row of b that it overlaps, or with nulls and 0 bases. Rows of a need no key of their own."""
     pairs = overlap_pairs(a, b, keys)
-    extra = [c for c in pairs.columns if c not in a.columns]
-    return a.join(pairs.select(*by, *extra), by, "left").withColumn("overlap_bp", F.coalesce("overlap_bp", F.lit(0)))
+    alone = overlap_anti(a, [b], keys).withColumn("overlap_bp", F.lit(0).cast(pairs.schema["overlap_bp"].dataType))
+    return pairs.unionByName(alone, allowMissingColumns=True)
 
 
-def overlap_count(a: DataFrame, b: DataFrame, by: list[str] | None = None, keys: tuple = ("chrom",), name: str = "n") -> DataFrame:
+def overlap_count(a: DataFrame, b: DataFrame, keys: tuple = ("chrom",), name: str = "n") -> DataFrame:
     """A with the number of rows of b that each row overlaps; every row of a returns once, whatever repeats.
 
     No pair is made: the rows of b that start before a row's end, less those that end at its start or before, are what
@@ -59,7 +58,7 @@ def overlap_count(a: DataFrame, b: DataFrame, by: list[str] | None = None, keys:
     kinds = [*(F.col(k) for k in keys), F.col("_id")]
     event = lambda at, rank, sign: F.struct(F.col(at).cast("long").alias("at"), F.lit(rank).alias("rank"), F.lit(sign).alias("sign"))
     asked = rows.select(*kinds, F.struct(*(F.col(f"`{c}`") for c in a.columns)).alias("_row"), F.explode(F.array(event("start0", 1, -1), event("end1", 1, 1))).alias("_e"))
-    told = b.select(*keys, F.explode(F.array(event("end1", 0, -1), event("start0", 2, 1))).alias("_e"))
+    told = b.dropna(subset=list(keys)).select(*keys, F.explode(F.array(event("end1", 0, -1), event("start0", 2, 1))).alias("_e"))
     both = stretch(asked.unionByName(told, allowMissingColumns=True).select(*keys, "_id", "_row", "_e.*"), F.col("at"))
     of = lambda sign: F.when(F.col("_id").isNull() & (F.col("sign") == sign), 1).otherwise(0)
     sums = running(both, keys, ["at", "rank"], {"_starts": ("sum", of(1)), "_ends": ("sum", of(-1))})

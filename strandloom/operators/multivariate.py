@@ -104,3 +104,24 @@ def kmeans(rows: DataFrame, cols: list[str], k: int = 20, starts: int = 10, roun
     sizes = sorted(range(len(best.summary.clusterSizes)), key=lambda c: (-best.summary.clusterSizes[c], c))
     rank = F.element_at(F.create_map(*(x for i, c in enumerate(sizes) for x in (F.lit(c), F.lit(i + 1)))), F.col("_c"))
     return best.transform(own).withColumn("cluster", rank).drop("features", "z", "_c"), best.summary.trainingCost
+
+
+#: Groups that are clustered each on its own, one after the other.
+MOST_GROUPS = 100
+
+
+def kmeans_by(rows: DataFrame, group: str, cols: list[str], k: int = 20, starts: int = 10, rounds: int = 500, scale: bool = False) -> DataFrame:
+    """M10 by index stage: rows with `cluster`, each group's rows clustered on their own; null in a group with fewer than k distinct rows, and for rows with an unknown value or group."""
+    values = [r[0] for r in rows.where(F.col(group).isNotNull()).select(group).distinct().orderBy(group).limit(MOST_GROUPS + 1).collect()]
+    if len(values) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups in {group}")
+    fine = F.forall(F.array(*(F.col(c).cast("double") for c in cols)), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.coalesce(fine, F.lit(False)) & F.col(group).isNotNull()
+    out = rows.where(~fine).withColumn("cluster", F.lit(None).cast("int"))
+    for value in values:
+        own = rows.where(fine & (F.col(group) == value))
+        if own.select(*cols).distinct().limit(k).count() < k:
+            out = out.unionByName(own.withColumn("cluster", F.lit(None).cast("int")))
+        else:
+            out = out.unionByName(kmeans(own, cols, k, starts, rounds, scale)[0])
+    return out

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .quantiles import medians
 from .running import previous, running, stretch
 from .shared import sized_join, written
 
@@ -79,6 +80,48 @@ def run_blocks(df: DataFrame, flag: str, length: int, keys: tuple = ("chrom",),
     return told.join(first, [*keys, "run"]).withColumn("block", F.floor((F.col("_at") - F.col("_first")) / length)).drop("_prev", "_new", "_at", "_first", "_stretch")
 
 
+def nucleosome_bias(inserts: DataFrame, by: list[str], method: str = "centers_and_endpoints", window: int = 1000, step: int = 500, weight: Column | None = None, center: bool = False, scale: bool = False) -> DataFrame:
+    """(by, w, bias): (nuc - nfr) / (nuc + nfr) of each window from w on that has a signal, at multiples of step from 0.
+
+    centers_and_endpoints: centers of mononucleosomes against those of dinucleosomes, each twice, and both ends of every
+    insert. centers_only: centers of mononucleosomes against those of shorter inserts and of dinucleosomes, each as much
+    as weight says (without one, 1). A center between two bases belongs to windows that hold both. center takes a group's
+    median from its windows; scale then divides by the largest absolute value, if there is one above 0.
+    """
+    size = F.col("end1") - F.col("start0")
+    mono, di, sub = (size > 147) & (size <= 320), (size > 320) & (size <= 485), size < 147
+    at = F.col("start0") + size / 2
+    one = lambda p, sign, w: F.struct(p.cast("double").alias("p"), (F.lit(sign) * w).cast("double").alias("s"))
+    if method == "centers_and_endpoints":
+        two, single = F.lit(2.0), F.lit(1.0)
+        events = [F.when(mono, one(at, 1, two)).when(di, one(at, -1, two)), one(F.col("start0"), -1, single), one(F.col("end1") - 1, -1, single)]
+    elif method == "centers_only":
+        w = F.lit(1.0) if weight is None else weight
+        events = [F.when(mono, one(at, 1, w)).when(di | sub, one(at, -1, w))]
+    else:
+        raise ValueError(f"the method is centers_and_endpoints or centers_only, not {method!r}")
+    each = inserts.select(*by, F.explode(F.array_compact(F.array(*events))).alias("e")).select(*by, "e.*")
+    first, last = F.greatest(F.lit(0), F.ceil((F.col("p") - window + 1) / step)), F.floor(F.col("p") / step)
+    spots = each.where(first <= last).select(*by, "s", F.explode(F.sequence(first, last)).alias("k"))
+    told = spots.groupBy(*by, (F.col("k") * step).alias("w")).agg((F.sum("s") / F.sum(F.abs("s"))).alias("bias")).where("bias IS NOT NULL")
+    if center:
+        told = sized_join(told, medians(told, by, F.col("bias"), "_m"), by).withColumn("bias", F.col("bias") - F.col("_m")).drop("_m")
+    if scale:
+        most = told.groupBy(*by).agg(F.max(F.abs("bias")).alias("_most"))
+        told = sized_join(told, most, by).withColumn("bias", F.when(F.col("_most") > 0, F.col("bias") / F.when(F.col("_most") > 0, F.col("_most"))).otherwise(F.col("bias"))).drop("_most")
+    return told
+
+
+def weighted_median_index(rows: DataFrame, by: list[str], index: str, weight: str) -> DataFrame:
+    """(by, idx): the index at half of the weight, between the middles of the indices' shares of it; few indices a group."""
+    w = Window.partitionBy(*by)
+    q = (F.sum(weight).over(w.orderBy(index)) - F.col(weight) / 2) / F.sum(weight).over(w)
+    low, high = F.col("_q") <= 0.5, F.col("_q") > 0.5
+    b = rows.withColumn("_q", q).groupBy(*by).agg(F.max(F.when(low, F.col(index))).alias("k0"), F.max(F.when(low, F.col("_q"))).alias("q0"), F.min(F.when(high, F.col(index))).alias("k1"), F.min(F.when(high, F.col("_q"))).alias("q1"))
+    between = F.col("k0") + (F.col("k1") - F.col("k0")) * (0.5 - F.col("q0")) / (F.col("q1") - F.col("q0"))
+    return b.select(*by, F.when(F.col("k0").isNull(), F.col("k1")).when(F.col("k1").isNull(), F.col("k0")).otherwise(between).alias("idx"))
+
+
 LAG_SUMS = "lag long, n long, d2 double, d1 double, n_r long, r1 double, r2 double"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .counts_model import normal_quantile
+from .quantiles import ranked_values, value_counts
 from .scalars import hash_order
 from .shared import sized_join
 
@@ -118,10 +119,8 @@ def brown_combined(p_values: DataFrame, pairs: DataFrame) -> DataFrame:
 def qq_points(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, value, n, expected): each distinct value with its number and its normal quantile at the middle of its ranks.
 
-    Equal values are counted before the window, so that it is over values.
+    Ranks are running sums over slices of the counted values; null and NaN values have none.
     """
-    counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(by)
-    below = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    p = (below + F.col("n") / 2) / F.sum("n").over(w)
-    return counts.select(by, value, "n", p.alias("_p")).select(by, value, "n", normal_quantile(F.col("_p")).alias("expected"))
+    ranks = ranked_values(value_counts(rows, [by], F.col(value)), [by])
+    p = (F.col("_to") - F.col("_n") + F.col("_n") / 2) / F.col("_all")
+    return ranks.select(by, F.col("_v").cast(rows.schema[value].dataType).alias(value), F.col("_n").alias("n"), normal_quantile(p).alias("expected"))

@@ -93,11 +93,38 @@ def select_regions(regions: DataFrame, stage: Column, rpkm: str, include_unpasse
     return regions
 
 
+#: What a user's filter may hold: numbers, quoted text, names, comparisons, arithmetic, brackets; these words, and columns.
+FILTER_TOKEN = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?)|(?P<text>'[^'\\]*')|(?P<name>[A-Za-z_]\w*)|(?P<sign><=|>=|<>|!=|==|[<>=+\-*/%(),]))")
+FILTER_WORDS = {"and", "or", "not", "is", "null", "in", "between", "like", "true", "false"}
+
+
+def allowed_filter(text: str, columns: list[str]) -> bool:
+    """Whether the text is made of what a filter may hold alone: no function, no other name, no comment."""
+    at = 0
+    text = text.strip()
+    known = {c.lower() for c in columns}
+    while at < len(text):
+        token = FILTER_TOKEN.match(text, at)
+        if not token:
+            return False
+        at = token.end()
+        if name := token["name"]:
+            called = text[at:].lstrip().startswith("(") and name.lower() not in FILTER_WORDS
+            if called or name.lower() not in known | FILTER_WORDS:
+                return False
+        elif token["sign"] == "-" and text[at : at + 1] == "-":
+            return False
+    return bool(text)
+
+
 def user_filter(df: DataFrame, text: str, stages: tuple) -> DataFrame:
-    """P25: the rows for which an expression holds; a stage's bare name stands for its rpkm, and a faulty text gives no rows."""
+    """P25: the rows for which an expression over the columns holds; a stage's bare name stands for its rpkm, and a faulty text gives no rows."""
     names = "|".join(map(re.escape, stages))
+    named = re.sub(rf"\b({names})\b(?!_)", r"\1_rpkm", text) if stages else text
+    if not allowed_filter(named, df.columns):
+        return df.where(F.lit(False))
     try:
-        return df.where(F.expr(re.sub(rf"\b({names})\b(?!_)", r"\1_rpkm", text)))
+        return df.where(F.expr(named))
     except (AnalysisException, ParseException):
         return df.where(F.lit(False))
 

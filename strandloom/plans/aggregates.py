@@ -229,12 +229,12 @@ def g27(regions, genes, bins):
 
 @query("g29_interval_max_score", "SELECT g.name, MAX(g.strand) AS cluster, MAX(CAST(r.score AS DOUBLE)) AS top, COUNT(r.name) > 0 AS hit FROM f_genes g LEFT JOIN f_regions r ON g.chrom = r.chrom AND g.start0 < r.end1 AND r.start0 < g.end1 GROUP BY 1")
 def g29(genes, regions):
-    return iv.overlap_left(genes, regions, ["name"]).groupBy("name").agg(F.max("strand").alias("cluster"), F.max(F.col("b_score").cast("double")).alias("top"), (F.count("b_name") > 0).alias("hit"))
+    return iv.overlap_left(genes, regions).groupBy("name").agg(F.max("strand").alias("cluster"), F.max(F.col("b_score").cast("double")).alias("top"), (F.count("b_name") > 0).alias("hit"))
 
 
 @query("g30_in_out_summary", f"WITH {DENSE_SQL}, h AS (SELECT b.chrom, b.start0, EXISTS (SELECT 1 FROM f_genes g WHERE g.chrom = b.chrom AND g.start0 < b.end1 AND b.start0 < g.end1) AS inside FROM f_bins b) SELECT d.sample, h.inside, COUNT(*) AS n, CAST(MEDIAN(d.n_obs) AS DOUBLE) AS median, ROUND(QUANTILE_CONT(d.n_obs, 0.9), 6) AS p90 FROM d JOIN h ON h.chrom = d.chrom AND h.start0 = d.start0 GROUP BY 1, 2")
 def g30(inserts, bins, genes):
-    flags = iv.overlap_count(bins, genes, ["chrom", "start0"], name="k").select("chrom", "start0", (F.col("k") > 0).alias("inside"))
+    flags = iv.overlap_count(bins, genes, name="k").select("chrom", "start0", (F.col("k") > 0).alias("inside"))
     by = ["sample", "inside"]
     counts = dense(inserts, bins).join(flags, ["chrom", "start0"]).groupBy(*by, "n_obs").agg(F.count("*").alias("c"))
     q = quantiles(counts, by, F.col("n_obs"), {"median": 0.5, "p90": 0.9}, F.col("c"))
@@ -357,9 +357,10 @@ def g44(track):
     return track.groupBy("chrom").agg(F.round(F.corr((F.col("n") % 11 - 5).cast("double"), (F.col("bp") % 7 - 3).cast("double")), 6).alias("r"))
 
 
-@query("g46_peak_counts_by_chrom", "SELECT c.chrom, COUNT(r.name) AS n FROM (VALUES ('chr1'),('chr2'),('chr9')) AS c(chrom) LEFT JOIN f_regions r ON r.chrom = c.chrom GROUP BY 1")
-def g46(spark, regions):
-    grid = spark.createDataFrame([("chr1",), ("chr2",), ("chr9",)], "chrom string")
+@query("g46_peak_counts_by_chrom", "SELECT c.chrom, COUNT(r.name) AS n FROM (SELECT DISTINCT chrom FROM f_bins UNION SELECT 'chr9') AS c(chrom) LEFT JOIN f_regions r ON r.chrom = c.chrom GROUP BY 1")
+def g46(spark, bins, regions):
+    """Every chromosome of the genome, and one without any peak."""
+    grid = bins.select("chrom").distinct().union(spark.createDataFrame([("chr9",)], "chrom string"))
     return grid.join(regions.groupBy("chrom").agg(F.count("*").alias("n")), "chrom", "left").fillna(0, ["n"])
 
 

@@ -73,7 +73,7 @@ def i9(regions):
 def i10(inserts, genes):
     points = inserts.select("sample", "chrom", "start0", (F.col("start0") + 1).alias("end1"), F.col("end1").alias("stop"))
     wide = iv.merge_intervals(genes.select("chrom", (F.col("start0") - 50).alias("start0"), (F.col("end1") + 50).alias("end1")))
-    return iv.overlap_semi(points, wide, ["sample", "chrom", "start0", "stop"]).agg(F.count("*").alias("n"))
+    return iv.overlap_semi(points, wide).agg(F.count("*").alias("n"))
 
 
 @query("i11_tss_flanks", "SELECT name, side, CASE WHEN (strand = '+') = (side = 'up') THEN p - 1000 ELSE p END AS start0, CASE WHEN (strand = '+') = (side = 'up') THEN p ELSE p + 1000 END AS end1, CASE WHEN strand = '+' THEN start0 + 1 ELSE end1 END AS tss1 FROM (SELECT *, CASE WHEN strand = '+' THEN start0 ELSE end1 END AS p FROM f_genes) CROSS JOIN (VALUES ('up'), ('down')) AS s(side)")
@@ -96,7 +96,7 @@ def i13(inserts):
 @query("i14_overlap_set_sizes", "SELECT (SELECT COUNT(*) FROM f_regions) AS n_a, (SELECT COUNT(*) FROM f_genes) AS n_b, (SELECT COUNT(*) FROM f_regions a WHERE EXISTS (SELECT 1 FROM f_genes b WHERE a.chrom = b.chrom AND a.start0 < b.end1 AND b.start0 < a.end1)) AS n_both")
 def i14(regions, genes):
     a, b = regions.agg(F.count("*").alias("n_a")), genes.agg(F.count("*").alias("n_b"))
-    return a.crossJoin(b).crossJoin(iv.overlap_semi(regions, genes, ["name"]).agg(F.count("*").alias("n_both")))
+    return a.crossJoin(b).crossJoin(iv.overlap_semi(regions, genes).agg(F.count("*").alias("n_both")))
 
 
 @query("i15_region_coverage", f"WITH {merged('f_regions', 'm')} SELECT CAST(SUM(end1 - start0) AS BIGINT) AS bp, ROUND(SUM(end1 - start0) / 5000000, 9) AS fraction FROM m")

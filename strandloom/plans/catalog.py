@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .registry import ORACLES, QUERIES
-from . import aggregates, algebra, files, joins, models, profiles, scalars, scores  # noqa: F401  they register their queries
+from . import aggregates, algebra, files, joins, models, profiles, scalars, scores, workflow  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,22 +21,22 @@ def j1(regions, genes):
 
 @query("j2_overlap_left", f"WITH p AS (SELECT a.name, b.name AS b_name, {BP} AS bp FROM f_regions a JOIN f_genes b ON {HIT}) SELECT r.name, p.b_name, COALESCE(p.bp, 0) AS overlap_bp FROM f_regions r LEFT JOIN p ON p.name = r.name")
 def j2(regions, genes):
-    return iv.overlap_left(regions, genes, ["name"]).select("name", "b_name", "overlap_bp")
+    return iv.overlap_left(regions, genes).select("name", "b_name", "overlap_bp")
 
 
 @query("j3_overlap_semi", f"SELECT a.name, a.chrom, a.start0 FROM f_regions a WHERE EXISTS (SELECT 1 FROM f_genes b WHERE {HIT})")
 def j3(regions, genes):
-    return iv.overlap_semi(regions, genes, ["name"]).select("name", "chrom", "start0")
+    return iv.overlap_semi(regions, genes).select("name", "chrom", "start0")
 
 
 @query("j4_overlap_anti", f"SELECT a.name, a.chrom, a.start0 FROM f_regions a WHERE NOT EXISTS (SELECT 1 FROM (SELECT chrom, start0, end1 FROM f_genes UNION ALL SELECT chrom, start0, end1 FROM f_bins WHERE start0 % 9000 = 0) b WHERE {HIT})")
 def j4(regions, genes, bins):
-    return iv.overlap_anti(regions, [genes, bins.where("start0 % 9000 = 0")], ["name"]).select("name", "chrom", "start0")
+    return iv.overlap_anti(regions, [genes, bins.where("start0 % 9000 = 0")]).select("name", "chrom", "start0")
 
 
 @query("j5_overlap_count", f"SELECT a.name, COUNT(b.name) AS n FROM f_genes a LEFT JOIN f_regions b ON {HIT} GROUP BY 1")
 def j5(genes, regions):
-    return iv.overlap_count(genes, regions, ["name"]).select("name", "n")
+    return iv.overlap_count(genes, regions).select("name", "n")
 
 
 @query("j6_overlap_first", f"SELECT name, b_start0, b_name FROM (SELECT a.name, b.start0 AS b_start0, b.name AS b_name, ROW_NUMBER() OVER (PARTITION BY a.name ORDER BY b.start0, b.end1, b.name) AS k FROM f_regions a JOIN f_genes b ON {HIT}) WHERE k = 1")
@@ -86,12 +86,12 @@ def j14(inserts, samples):
     return inserts.join(F.broadcast(samples), "sample").groupBy("stage", "genome").agg(F.count("*").alias("n"), F.round(F.sum(F.col("wgt") * F.col("staging_order")), 4).alias("w"))
 
 
-WEIGHTS_SQL = f"WITH {SITES}, o AS (SELECT isl, nonamer, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY isl) AS f FROM t GROUP BY 1, 2), g AS (SELECT lang, nonamer, n FROM ({MERS_SQL})), k AS (SELECT nonamer, SUM(n) / (SELECT SUM(n) FROM g) AS f FROM g GROUP BY 1), b AS (SELECT o.isl, o.nonamer, k.f / o.f AS b FROM o JOIN k ON k.nonamer = o.nonamer) SELECT l.sample, l.genome, COUNT(*) AS n, ROUND(SUM(x.b * y.b), 3) AS w FROM t l JOIN t r ON l.side = 0 AND r.side = 1 AND l.sample = r.sample AND l.chrom = r.chrom AND l.start0 = r.start0 AND l.end1 = r.end1 JOIN b x ON x.nonamer = l.nonamer AND x.isl = l.isl JOIN b y ON y.nonamer = r.nonamer AND y.isl = r.isl GROUP BY 1, 2"
+#: i: each insert of the table with known 9-mers at both ends, and its weight.
+WEIGHTED = f"{SITES}, o AS (SELECT isl, nonamer, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY isl) AS f FROM t GROUP BY 1, 2), g AS (SELECT lang, nonamer, n FROM ({MERS_SQL})), k AS (SELECT nonamer, SUM(n) / (SELECT SUM(n) FROM g) AS f FROM g GROUP BY 1), b AS (SELECT o.isl, o.nonamer, k.f / o.f AS b FROM o JOIN k ON k.nonamer = o.nonamer), i AS (SELECT l.sample, l.genome, l.chrom, l.start0, l.end1, x.b * y.b AS w FROM t l JOIN t r ON l.side = 0 AND r.side = 1 AND l.sample = r.sample AND l.chrom = r.chrom AND l.start0 = r.start0 AND l.end1 = r.end1 JOIN b x ON x.nonamer = l.nonamer AND x.isl = l.isl JOIN b y ON y.nonamer = r.nonamer AND y.isl = r.isl)"
 
 
-@query("j14_site_weights", WEIGHTS_SQL)
-def j14_weights(inserts, seq):
-    """Weights of inserts: expected over observed frequency of the 9-mers at both ends, looked up by size level and 9-mer; without both there is none."""
+def insert_weights(inserts, seq):
+    """Inserts with `w`: expected over observed frequency of the 9-mers at both ends, looked up by size level and 9-mer; without both there is none."""
     sites = written(site_mers(inserts, seq), "sites")
     n = sites.groupBy("isl", "nonamer").agg(F.count("*").alias("n"))
     levels = n.groupBy("isl").agg(F.sum("n").alias("t"))
@@ -102,7 +102,12 @@ def j14_weights(inserts, seq):
     ends = looked_up(sites, table, ["isl", "nonamer"], "drop")
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("bias")))
     both = ends.groupBy("sample", "genome", "chrom", "start0", "end1").agg(of(0).alias("l"), of(1).alias("r")).where("l IS NOT NULL AND r IS NOT NULL")
-    return both.groupBy("sample", "genome").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l") * F.col("r")), 3).alias("w"))
+    return both.select("sample", "genome", "chrom", "start0", "end1", (F.col("l") * F.col("r")).alias("w"))
+
+
+@query("j14_site_weights", f"WITH {WEIGHTED} SELECT sample, genome, COUNT(*) AS n, ROUND(SUM(w), 3) AS w FROM i GROUP BY 1, 2")
+def j14_weights(inserts, seq):
+    return insert_weights(inserts, seq).groupBy("sample", "genome").agg(F.count("*").alias("n"), F.round(F.sum("w"), 3).alias("w"))
 
 
 @query("j14_bin_likelihoods", f"WITH {EMIT}, p AS (SELECT isl, MAX(ll) FILTER (WHERE stage = 'early_RS') AS a, MAX(ll) FILTER (WHERE stage = 'late_ES') AS b FROM e WHERE isl >= 100 GROUP BY 1) SELECT i.chrom, i.bin AS start0, SUM(i.n) AS n, ROUND(SUM(i.n * COALESCE(p.a, 0)), 4) AS ll_early, ROUND(SUM(i.n * COALESCE(p.b, 0)), 4) AS ll_late FROM (SELECT chrom, start0 // 1000 * 1000 AS bin, CAST({LEVEL_SQL} AS INTEGER) AS isl, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2, 3) i LEFT JOIN p ON p.isl = i.isl GROUP BY 1, 2")
@@ -151,7 +156,7 @@ def j17(track):
 def j18(inserts, regions):
     points = inserts.select("sample", "chrom", "start0", (F.col("start0") + 1).alias("end1"), F.col("end1").alias("stop"), (F.col("start0") % 5).alias("isl"))
     runs = regions.select("chrom", "start0", "end1", (F.col("start0") % 5).alias("isl"))
-    return iv.overlap_semi(points, runs, ["sample", "chrom", "start0", "stop"], ("chrom", "isl")).groupBy("sample").agg(F.count("*").alias("n"))
+    return iv.overlap_semi(points, runs, ("chrom", "isl")).groupBy("sample").agg(F.count("*").alias("n"))
 
 
 @query("j19_isl_weighted_bin_values", "WITH s AS (SELECT sample, end1 % 5 AS isl, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2), f AS (SELECT sample, isl, n / SUM(n) OVER (PARTITION BY sample) AS f FROM s) SELECT f.sample, b.chrom, b.start0, ROUND(SUM(f.f * ((b.start0 // 1000 + f.isl) % 10)), 6) AS mpp FROM f_bins b CROSS JOIN f GROUP BY 1, 2, 3")

@@ -5,7 +5,8 @@ from pyspark.sql import Window, functions as F
 from ..operators import intervals as iv, models, profiles as pr, scalars as sc
 from ..operators.lookup import looked_up
 from ..operators.quantiles import cut_points, interval_of, quantiles
-from ..operators.shared import sized_join
+from ..operators.running import running, stretch
+from ..operators.shared import sized_join, written
 from .aggregates import DENSE_SQL, dense, mers, size
 from .registry import query
 from .scalars import COUNTS, LEVEL_SQL, stage_counts
@@ -48,6 +49,14 @@ def g5(inserts, seq):
     return site_mers(inserts, seq).groupBy("genome", "isl", "nonamer", "sample").agg(F.count("*").alias("n"))
 
 
+@query("g7_site_frequencies", f"WITH {SITES}, n AS (SELECT genome, isl, nonamer, COUNT(*) AS n FROM t GROUP BY 1, 2, 3) SELECT genome, isl, nonamer, ROUND(n / SUM(n) OVER (PARTITION BY genome, isl), 9) AS f FROM n")
+def g7_sites(inserts, seq):
+    """Over the union of all samples, each size level's frequencies add up to 1; levels without sites have no row."""
+    n = written(site_mers(inserts, seq).groupBy("genome", "isl", "nonamer").agg(F.count("*").alias("n")), "sites")
+    total = n.groupBy("genome", "isl").agg(F.sum("n").alias("t"))
+    return sized_join(n, total, ["genome", "isl"]).select("genome", "isl", "nonamer", F.round(F.col("n") / F.col("t"), 9).alias("f"))
+
+
 G10_SQL = f"WITH {SITES}, o AS (SELECT nonamer, COUNT(*) / (SELECT COUNT(*) FROM t) AS f FROM t GROUP BY 1), g AS (SELECT SUBSTR(c, p, 3) || SUBSTR(c, p + 5, 3) || SUBSTR(c, p + 10, 3) AS nonamer FROM (SELECT c, UNNEST(range(1, LENGTH(c) - 11)) AS p FROM (SELECT SUBSTR(seq, o + 1, 212) AS c FROM (SELECT seq, UNNEST(range(0, LENGTH(seq) - 12, 200)) AS o FROM f_seq)))), k AS (SELECT nonamer, COUNT(*) AS n FROM g WHERE regexp_full_match(nonamer, '[ACGT]{{9}}') GROUP BY 1), b AS (SELECT o.nonamer, LEAST(ROUND(k.n / (SELECT SUM(n) FROM k) / o.f, 3), 10) AS b FROM o JOIN k ON k.nonamer = o.nonamer) SELECT l.sample, COUNT(*) AS n, ROUND(SUM(x.b * y.b), 3) AS w FROM t l JOIN t r ON l.side = 0 AND r.side = 1 AND l.sample = r.sample AND l.chrom = r.chrom AND l.start0 = r.start0 AND l.end1 = r.end1 JOIN b x ON x.nonamer = l.nonamer JOIN b y ON y.nonamer = r.nonamer GROUP BY 1"
 
 
@@ -64,7 +73,7 @@ def g10(inserts, seq):
 @query("p11_classify_tss", "WITH w AS (SELECT name, chrom, side, CASE WHEN (strand = '+') = (side = 'up') THEN p - 1000 ELSE p END AS start0, CASE WHEN (strand = '+') = (side = 'up') THEN p ELSE p + 1000 END AS end1 FROM (SELECT *, CASE WHEN strand = '+' THEN start0 ELSE end1 END AS p FROM f_genes) CROSS JOIN (VALUES ('up'), ('down')) AS s(side)), c AS (SELECT w.name, COUNT(i.start0) FILTER (WHERE side = 'up') * 1e6 / (SELECT COUNT(*) FROM f_inserts) AS up, COUNT(i.start0) FILTER (WHERE side = 'down') * 1e6 / (SELECT COUNT(*) FROM f_inserts) AS down FROM w LEFT JOIN f_inserts i ON i.chrom = w.chrom AND i.start0 < w.end1 AND w.start0 < i.end1 GROUP BY 1) SELECT name, CASE WHEN down >= 0.5 AND down >= 2 * up THEN 'active' WHEN up <= 100 AND down <= 100 AND down <= 0.9 * up THEN 'inactive' ELSE 'other' END AS class FROM c")
 def p11(genes, inserts):
     """With the thresholds of a user: fold 2 for active; both sides under 100 and increase at most 0.9 for inactive."""
-    windows = iv.overlap_count(iv.tss_flanks(genes), inserts.select("chrom", "start0", "end1"), ["name", "side"])
+    windows = iv.overlap_count(iv.tss_flanks(genes), inserts.select("chrom", "start0", "end1"))
     total = inserts.agg(F.count("*").alias("t"))
     rpkm = F.col("n") * 1e6 / F.col("t")
     sides = windows.crossJoin(F.broadcast(total)).groupBy("name").agg(*(F.max(F.when(F.col("side") == s, rpkm)).alias(s) for s in ("up", "down")))
@@ -114,7 +123,7 @@ def g28(regions, genes, inserts, samples):
 @query("g31_persistence", "SELECT chrom, start0 // 100000 AS w, COUNT(*) AS baseline, ROUND(100.0 * AVG(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 4) AS persisting FROM (SELECT a.*, EXISTS (SELECT 1 FROM f_regions b WHERE b.peak_set = '2-HIGH' AND a.chrom = b.chrom AND a.start0 < b.end1 AND b.start0 < a.end1) AS hit FROM f_regions a WHERE a.peak_set = '1-URGENT') GROUP BY 1, 2 HAVING COUNT(*) >= 5")
 def g31(regions):
     later = regions.where("peak_set = '2-HIGH'")
-    hit = iv.overlap_count(regions.where("peak_set = '1-URGENT'"), later, ["name"])
+    hit = iv.overlap_count(regions.where("peak_set = '1-URGENT'"), later)
     per = hit.groupBy("chrom", F.floor(F.col("start0") / 100000).alias("w")).agg(F.count("*").alias("baseline"), F.round(100.0 * F.avg((F.col("n") > 0).cast("double")), 4).alias("persisting"))
     return per.where("baseline >= 5")
 
@@ -138,6 +147,18 @@ def g36(inserts):
     return pr.sliding(centers.union(ends), "p", 1000, 500).groupBy("chrom", "w").agg(F.round(F.sum("s") / F.count("*"), 6).alias("bias"))
 
 
+CENTER = "start0 + (end1 - start0) / 2.0"
+BIAS_SQL = f"WITH e AS (SELECT 'endpoints' AS method, chrom, {CENTER} AS p, CASE WHEN end1 - start0 <= 320 THEN 2.0 ELSE -2.0 END AS s FROM f_inserts WHERE end1 - start0 > 147 AND end1 - start0 <= 485 UNION ALL SELECT 'endpoints', chrom, UNNEST([CAST(start0 AS DOUBLE), CAST(end1 - 1 AS DOUBLE)]), -1.0 FROM f_inserts UNION ALL SELECT m.m, chrom, {CENTER}, CASE WHEN end1 - start0 > 147 AND end1 - start0 <= 320 THEN 1.0 ELSE -1.0 END * CASE WHEN m.m = 'weights' THEN GREATEST(CAST(wgt AS DOUBLE), 1) ELSE 1 END FROM f_inserts CROSS JOIN (VALUES ('counts'), ('weights')) AS m(m) WHERE end1 - start0 <= 485 AND end1 - start0 <> 147), w AS (SELECT method, chrom, s, UNNEST(range(GREATEST(0, CAST(CEIL((p - 999) / 500) AS BIGINT)), CAST(FLOOR(p / 500) AS BIGINT) + 1)) * 500 AS w FROM e), b AS (SELECT method, chrom, w, SUM(s) / SUM(ABS(s)) AS bias FROM w GROUP BY 1, 2, 3), c AS (SELECT method, chrom, w, bias - MEDIAN(bias) OVER (PARTITION BY method, chrom) AS bias FROM b) SELECT method, chrom, w, ROUND(bias / MAX(ABS(bias)) OVER (PARTITION BY method, chrom), 11) AS bias FROM c"
+
+
+@query("g36_bias_methods", BIAS_SQL)
+def g36_methods(inserts):
+    """Three ways to weigh centers, with the median at 0 and the largest bias at 1."""
+    ways = (("endpoints", "centers_and_endpoints", None), ("counts", "centers_only", None), ("weights", "centers_only", F.greatest(F.col("wgt").cast("double"), F.lit(1.0))))
+    told = [pr.nucleosome_bias(inserts, ["chrom"], method, weight=weight, center=True, scale=True).select(F.lit(name).alias("method"), "chrom", "w", F.round("bias", 11).alias("bias")) for name, method, weight in ways]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
 @query("g38_endpoint_profile", "WITH g AS (SELECT chrom, CASE WHEN strand = '+' THEN start0 ELSE end1 END AS t FROM f_genes), e AS (SELECT chrom, UNNEST([0, 1]) AS side, UNNEST([start0, end1 - 1]) AS p, wgt FROM f_inserts), c AS (SELECT side, p - t AS x, COUNT(*) AS n, SUM(wgt) AS w FROM e JOIN g ON g.chrom = e.chrom AND p >= t - 100 AND p <= t + 100 GROUP BY 1, 2), d AS (SELECT s.side, x.x, COALESCE(c.n, 0) AS n, COALESCE(c.w, 0) AS w FROM range(-100, 101) AS x(x) CROSS JOIN (VALUES (0), (1)) AS s(side) LEFT JOIN c ON c.x = x.x AND c.side = s.side) SELECT side, x, ROUND(n / SUM(n) OVER (PARTITION BY side), 6) AS n, ROUND(w / SUM(w) OVER (PARTITION BY side), 6) AS w FROM d")
 def g38(spark, genes, inserts):
     start = F.when(F.col("strand") == "+", F.col("start0")).otherwise(F.col("end1"))
@@ -168,10 +189,12 @@ def g41(regions, bins):
     return at.join(signal, ["chrom", "bs0"], "left").groupBy("off").agg(F.round(F.avg(F.coalesce("v", F.lit(0))), 6).alias("mean"))
 
 
-@query("g45_melt_pivot", "SELECT chrom, sample AS stage, CAST(COUNT(*) AS DOUBLE) AS n, ROUND(SUM(CAST(wgt AS DOUBLE)), 4) AS w FROM f_inserts WHERE sample IN ('s1', 's2', 's3') GROUP BY 1, 2")
-def g45(inserts):
-    own = [F.when(F.col("sample") == s, 1.0).alias(s) for s in ("s1", "s2", "s3")]
-    wide = inserts.groupBy("chrom").agg(*(F.sum(c).alias(f"n_s{i}") for i, c in enumerate(own, 1)), *(F.sum(c * F.col("wgt").cast("double")).alias(f"w_s{i}") for i, c in enumerate(own, 1)))
+@query("g45_melt_pivot", "SELECT chrom, sample AS stage, CAST(COUNT(*) AS DOUBLE) AS n, ROUND(SUM(CAST(wgt AS DOUBLE)), 4) AS w FROM f_inserts GROUP BY 1, 2")
+def g45(inserts, samples):
+    # A column for each row of the sample sheet.
+    names = [r["sample"] for r in samples.select("sample").orderBy("sample").collect()]
+    own = [F.when(F.col("sample") == s, 1.0) for s in names]
+    wide = inserts.groupBy("chrom").agg(*(F.sum(c).alias(f"n_{s}") for s, c in zip(names, own)), *(F.sum(c * F.col("wgt").cast("double")).alias(f"w_{s}") for s, c in zip(names, own)))
     long = wide.unpivot(["chrom"], [c for c in wide.columns if c != "chrom"], "name", "value")
     named = long.select("chrom", F.regexp_extract("name", "^([a-z]+)_(.+)$", 1).alias("type"), F.regexp_extract("name", "^([a-z]+)_(.+)$", 2).alias("stage"), "value")
     return named.groupBy("chrom", "stage").pivot("type", ["n", "w"]).agg(F.first("value")).where("n IS NOT NULL").withColumn("w", F.round("w", 4))
@@ -218,6 +241,18 @@ def g52(regions, inserts, samples):
     return long_vectors(regions, inserts, samples).groupBy("peak_set", "k").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("n") > 0, F.log2("n"))), 6).alias("mean"))
 
 
+ORDER_SQL = f"WITH {VECTORS}, m AS (SELECT peak_set, k, AVG(n) AS n FROM v GROUP BY 1, 2), h AS (SELECT peak_set, k, (SUM(n) OVER (PARTITION BY peak_set ORDER BY k) - n / 2) / SUM(n) OVER (PARTITION BY peak_set) AS q FROM m), b AS (SELECT peak_set, MAX(k) FILTER (WHERE q <= 0.5) AS k0, MAX(q) FILTER (WHERE q <= 0.5) AS q0, MIN(k) FILTER (WHERE q > 0.5) AS k1, MIN(q) FILTER (WHERE q > 0.5) AS q1 FROM h GROUP BY 1), i AS (SELECT peak_set, CASE WHEN k0 IS NULL THEN k1 WHEN k1 IS NULL THEN k0 ELSE k0 + (k1 - k0) * (0.5 - q0) / (q1 - q0) END AS idx FROM b) SELECT peak_set, ROUND(idx, 6) AS stage_mean, CAST(ROW_NUMBER() OVER (ORDER BY idx, peak_set) AS INTEGER) AS place FROM i"
+
+
+@query("g52_cluster_order", ORDER_SQL)
+def g52_order(regions, inserts, samples):
+    """Sets in the order of the stage at which half of their mean signal lies."""
+    means = long_vectors(regions, inserts, samples).groupBy("peak_set", "k").agg(F.avg("n").alias("n"))
+    order = pr.weighted_median_index(means, ["peak_set"], "k", "n")
+    # As many rows as sets.
+    return order.select("peak_set", F.round("idx", 6).alias("stage_mean"), F.row_number().over(Window.orderBy("idx", "peak_set")).alias("place"))
+
+
 @query("w5_quantile_band", f"WITH {DENSE_SQL}, g AS (SELECT *, CAST(start0 // 1000 % 21 AS BIGINT) AS step FROM d), q AS (SELECT sample, step, QUANTILE_CONT(CAST(n_obs AS DOUBLE), 0.025) AS lo, QUANTILE_CONT(CAST(n_obs AS DOUBLE), 0.975) AS hi FROM g GROUP BY 1, 2) SELECT g.sample, g.step, COUNT(*) AS n, CAST(SUM(n_obs) AS BIGINT) AS total FROM g JOIN q ON q.sample = g.sample AND q.step = g.step WHERE n_obs BETWEEN lo AND hi GROUP BY 1, 2")
 def w5(inserts, bins):
     own = dense(inserts, bins).withColumn("step", F.floor(F.col("start0") / 1000) % 21)
@@ -229,7 +264,7 @@ def w5(inserts, bins):
 
 @query("w6_row_index", "SELECT name, ROW_NUMBER() OVER (PARTITION BY chrom, peak_set ORDER BY start0, name) AS i FROM f_regions")
 def w6(regions):
-    return regions.select("name", F.row_number().over(Window.partitionBy("chrom", "peak_set").orderBy("start0", "name")).cast("long").alias("i"))
+    return running(stretch(regions, F.col("start0")), ("chrom", "peak_set"), ["start0", "name"], {"i": ("sum", F.lit(1).cast("long"))}).select("name", "i")
 
 
 @query("w9_run_blocks", "WITH f AS (SELECT chrom, start0, n % 17 < 14 AS flag, bp % 11 / 10.0 AS v FROM f_track), c AS (SELECT *, CASE WHEN flag = LAG(flag) OVER (PARTITION BY chrom ORDER BY start0) THEN 0 ELSE 1 END AS new FROM f), r AS (SELECT *, SUM(new) OVER (PARTITION BY chrom ORDER BY start0) AS run FROM c), b AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY chrom, run ORDER BY start0) - 1) // 5 AS block FROM r) SELECT chrom, CAST(run AS BIGINT) AS run, CAST(block AS BIGINT) AS block, flag, ROUND(LOG10(AVG(POW(10, v))), 6) AS mean FROM b GROUP BY 1, 2, 3, 4 HAVING COUNT(*) = 5")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import counts_model as nb, multivariate as mv, resampling as rs, score_types
+from ..operators.shared import written
 from .aggregates import DENSE_SQL, dense
 from .profiles import STAGES, vectors
 from .registry import query
@@ -36,6 +37,27 @@ def m3(inserts, bins):
     return nb.nb_predict(binned(inserts, bins), table).select("sample", "chrom", "start0", "reads", F.round("predicted", 4).alias("predicted"))
 
 
+GIVEN_SQL = "g AS (SELECT sample, LN(COUNT(*) / 5000.0) AS b0, COUNT(*) % 7 / 10.0 AS b1, -(COUNT(*) % 5) / 20.0 AS b2, 2.0 + COUNT(*) % 9 AS theta FROM f_inserts GROUP BY 1), s AS (SELECT sample, UNNEST(range(60, 121)) AS step, b0, b1, b2, theta FROM g), m AS (SELECT sample, step, theta, EXP(b0 + b1 * (step / 200.0) + b2 * POW(step / 200.0, 2) + 0.05 * POW(step / 200.0, 3)) AS mu FROM s), t AS (SELECT sample, step, theta, mu, FLOOR(mu * (theta - 1) / theta) AS peak FROM m)"
+
+
+def given_models(inserts):
+    """A made model of each sample, so that what follows from a model can be checked."""
+    n = F.col("n")
+    beta = F.array(F.log(n / 5000.0), n % 7 / 10.0, -(n % 5) / 20.0, F.lit(0.05))
+    return inserts.groupBy("sample").agg(F.count("*").alias("n")).select("sample", beta.alias("beta"), (2.0 + n % 9).alias("theta"), F.lit(0.3).alias("gc_min"), F.lit(0.6).alias("gc_max"))
+
+
+@query("m2_table_of_given_models", f"WITH {GIVEN_SQL} SELECT sample, step, ROUND(mu, 6) AS mu, theta, peak FROM t")
+def m2_given(inserts):
+    return nb.nb_model_table(given_models(inserts)).select("sample", "step", F.round("mu", 6).alias("mu"), "theta", "peak")
+
+
+@query("m3_predictions_of_given_models", f"WITH {DENSE_SQL}, {GIVEN_SQL}, b AS (SELECT d.*, CAST(LEAST(120, GREATEST(60, FLOOR((0.3 + (start0 // 1000 * 37) % 300 / 1000.0) * 200 + 0.5))) AS BIGINT) AS step FROM d) SELECT b.sample, b.chrom, b.start0, ROUND(CASE WHEN t.peak < 10 THEN t.mu ELSE t.peak END, 6) AS predicted FROM b JOIN t ON t.sample = b.sample AND t.step = b.step")
+def m3_given(inserts, bins):
+    told = nb.nb_predict(binned(inserts, bins), nb.nb_model_table(given_models(inserts)))
+    return told.select("sample", "chrom", "start0", F.round("predicted", 6).alias("predicted"))
+
+
 @query("m4_nb_zscore")
 def m4(inserts, bins):
     rows = binned(inserts, bins).withColumn("reads", F.col("count").cast("double"))
@@ -95,6 +117,17 @@ def m10(regions, inserts, samples):
     return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("s1"), 3).alias("s1"))
 
 
+@query("m10_kmeans_by_stage")
+def m10_by(regions, inserts, samples):
+    """Each region with the others of its strongest stage; sizes of the clusters, in two scalings."""
+    own = wide(regions, inserts, samples)
+    top = F.array_max(F.array(*STAGE_COLS))
+    indexed = own.withColumn("index_stage", F.when(top > 0, F.array_position(F.array(*STAGE_COLS), top)))
+    indexed = written(indexed, "indexed")
+    told = [mv.kmeans_by(indexed, "index_stage", STAGE_COLS, k=3, starts=1, rounds=10, scale=scale).groupBy(F.lit("scaled" if scale else "unscaled").alias("scaling"), "index_stage", "cluster").agg(F.count("*").alias("n")) for scale in (False, True)]
+    return told[0].unionByName(told[1])
+
+
 BOOT = 200
 M13_SQL = f"WITH o AS (SELECT chrom, CAST(end1 - start0 AS DOUBLE) AS v, ROW_NUMBER() OVER (PARTITION BY chrom ORDER BY (CAST(SUBSTR(name, 2) AS BIGINT) * 2654435761 + 11) % 4294967296, CAST(SUBSTR(name, 2) AS BIGINT)) AS k FROM f_regions), s AS (SELECT chrom, v, k, COUNT(*) OVER (PARTITION BY chrom) AS n FROM o WHERE k <= {BOOT}), d AS (SELECT g.chrom, r.r AS r, ((r.r * 1000003 + j.j * 7919 + 11) * 2654435761 % 4294967296) // 65536 % g.n + 1 AS k FROM (SELECT DISTINCT chrom, n FROM s) g, range(0, {BOOT}) AS r(r), range(0, {BOOT}) AS j(j) WHERE j.j < g.n), m AS (SELECT d.chrom, d.r, MEDIAN(s.v) AS m FROM d JOIN s ON s.chrom = d.chrom AND s.k = d.k GROUP BY 1, 2), q AS (SELECT chrom, QUANTILE_CONT(m, 0.025) AS low, QUANTILE_CONT(m, 0.975) AS high FROM m GROUP BY 1) SELECT s.chrom, CAST(COUNT(*) AS INTEGER) AS n, MEDIAN(s.v) AS median, ROUND(MAX(q.low), 4) AS low, ROUND(MAX(q.high), 4) AS high FROM s JOIN q ON q.chrom = s.chrom GROUP BY 1"
 
@@ -106,14 +139,28 @@ def m13(regions):
     return ci.select("chrom", "n", "median", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-@query("m16_brown_combined")
-def m16(regions):
-    """The tests are the sets of regions, their correlation the share that two sets' counts have in common; no SQL: a chi-squared tail."""
+def brown(regions):
+    """The tests are the sets of regions, their correlation the share that two sets' counts have in common."""
     n = regions.groupBy("peak_set").agg(F.count("*").alias("n"))
     p = n.select(((F.col("n") % 97 + 1) / 98.0).alias("p"))
     other = n.select(F.col("peak_set").alias("b"), F.col("n").alias("m"))
     rho = n.join(other, F.col("peak_set") < F.col("b")).select((F.least("n", "m") / F.greatest("n", "m") / 2).alias("rho"))
-    return rs.brown_combined(p, rho).select(*(F.round(c, 6).alias(c) for c in ("statistic", "scale", "df", "p")))
+    return rs.brown_combined(p, rho)
+
+
+@query("m16_brown_combined")
+def m16(regions):
+    """No SQL for the chi-squared tail."""
+    return brown(regions).select(*(F.round(c, 6).alias(c) for c in ("statistic", "scale", "df", "p")))
+
+
+BROWN_SQL = "WITH n AS (SELECT peak_set, COUNT(*) AS n FROM f_regions GROUP BY 1), x AS (SELECT SUM(-2 * LN((n % 97 + 1) / 98.0)) AS x, COUNT(*) AS k FROM n), r AS (SELECT LEAST(a.n, b.n) / GREATEST(a.n, b.n) / 2 AS rho FROM n a JOIN n b ON a.peak_set < b.peak_set), v AS (SELECT 4.0 * (SELECT k FROM x) + 2 * SUM(3.263 * rho + 0.710 * rho * rho + 0.027 * rho * rho * rho) AS v FROM r) SELECT ROUND(x.x, 6) AS statistic, ROUND(v.v / (4 * x.k), 6) AS scale, ROUND(8.0 * x.k * x.k / v.v, 6) AS df FROM x, v"
+
+
+@query("m16_brown_parts", BROWN_SQL)
+def m16_parts(regions):
+    """What the tail is taken of: the statistic, its scale and degrees of freedom."""
+    return brown(regions).select(*(F.round(c, 6).alias(c) for c in ("statistic", "scale", "df")))
 
 
 PERMUTED = 200

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import intervals as iv, models, scalars as sc
+from strandloom.operators import intervals as iv, models, scalars as sc, viterbi
 from strandloom.sources import tables
 
 
@@ -26,9 +26,9 @@ def test_overlap_pairs_equal_the_naive_join(spark):
     got = sorted((r[0], r[1]) for r in iv.overlap_pairs(A, B, bucket=512).select("name", "b_name").collect())
     assert got == want
     hit = {x for x, _ in want}
-    assert {r[0] for r in iv.overlap_semi(A, B, ["name"]).collect()} | {r[0] for r in iv.overlap_anti(A, [B], ["name"]).collect()} == {x[0] for x in a}
-    assert {r[0] for r in iv.overlap_semi(A, B, ["name"]).collect()} == hit
-    assert iv.overlap_count(A, B, ["name"]).agg(F.sum("n")).first()[0] == len(want)
+    assert {r[0] for r in iv.overlap_semi(A, B).collect()} | {r[0] for r in iv.overlap_anti(A, [B]).collect()} == {x[0] for x in a}
+    assert {r[0] for r in iv.overlap_semi(A, B).collect()} == hit
+    assert iv.overlap_count(A, B).agg(F.sum("n")).first()[0] == len(want)
 
 
 def test_bookended_and_nested(spark):
@@ -74,7 +74,7 @@ def test_viterbi_stays_or_switches(spark):
 
     rows = [("c", i, [math.log(0.9), math.log(0.1)] if i < 2 else [math.log(0.1), math.log(0.9)]) for i in range(4)]
     df = spark.createDataFrame(rows, "chrom string, start0 long, emissions array<double>")
-    path = lambda p: [r.state for r in sorted(models.viterbi_by_key(df, ["chrom"], "start0", p).collect(), key=lambda r: r.start0)]
+    path = lambda p: [r.state for r in sorted(viterbi.viterbi_by_key(df, ["chrom"], "start0", p).collect(), key=lambda r: r.start0)]
     assert path(0.3) == [1, 1, 2, 2] and len(set(path(1e-6))) == 1
 
 
@@ -90,3 +90,15 @@ def test_sources(spark, tmp_path):
     df = tables.read_bed(spark, str(tmp_path / "a.bed"))
     tables.write_sorted_regions(df, str(tmp_path / "out"), 2)
     assert tables.read_region(spark, str(tmp_path / "out"), "c1", 0, 4).count() == 1
+
+
+def test_joins_of_rows_without_keys_of_their_own(spark):
+    """Repeated rows, null chromosomes and clashing values: each row returns as often as it is there."""
+    a = spark.createDataFrame([("x", "c", 0, 10), ("x", "c", 0, 10), ("x", "c", 50, 60), (None, "c", 5, 7), ("n", None, 0, 10)], "name string, chrom string, start0 long, end1 long")
+    b = spark.createDataFrame([("p", "c", 5, 20), ("q", "c", 9, 12), ("r", None, 0, 10)], "name string, chrom string, start0 long, end1 long")
+    count = lambda df, *cols: sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+    assert count(iv.overlap_semi(a, b), "name", "start0") == sorted([("x", 0), ("x", 0), (None, 5)], key=str)
+    assert count(iv.overlap_anti(a, [b]), "name", "start0") == sorted([("x", 50), ("n", 0)], key=str)
+    left = count(iv.overlap_left(a, b), "name", "start0", "b_name", "overlap_bp")
+    assert left == sorted([("x", 0, "p", 5), ("x", 0, "p", 5), ("x", 0, "q", 1), ("x", 0, "q", 1), (None, 5, "p", 2), ("x", 50, None, 0), ("n", 0, None, 0)], key=str)
+    assert iv.overlap_left(a, b.where("false")).count() == 5 and iv.overlap_left(a.where("false"), b).count() == 0

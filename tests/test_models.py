@@ -245,6 +245,19 @@ def test_components_and_clusters(spark):
     assert rows.groupBy("cluster").count().count() == 3 and cost <= 30
 
 
+def test_clusters_of_each_group(spark):
+    rows = [(i, "ab"[i % 2], float(i % 4 * 100 + i % 3), 1.0) for i in range(60)] + [(100, "c", 1.0, 1.0), (101, "c", 2.0, 1.0), (102, "c", 1.0, 1.0), (103, "a", float("nan"), 1.0), (104, None, 1.0, 1.0), (105, "b", None, 1.0)]
+    df = spark.createDataFrame(rows, "i long, g string, x double, y double")
+    got = {r.i: r.cluster for r in mv.kmeans_by(df, "g", ["x", "y"], k=2, starts=2, rounds=10).collect()}
+    # Group a holds x about 0 and 200, group b about 100 and 300; c has two distinct rows, the clusters themselves.
+    for start in (0, 1):
+        parts = [{got[i] for i in range(60) if i % 4 == k} for k in (start, start + 2)]
+        assert sorted(map(sorted, parts)) == [[1], [2]]
+    assert got[100] == got[102] != got[101] and all(got[i] is None for i in (103, 104, 105)) and len(got) == len(rows)
+    few = mv.kmeans_by(spark.createDataFrame(rows[60:63], "i long, g string, x double, y double"), "g", ["x", "y"], k=3)
+    assert {r.cluster for r in few.collect()} == {None}
+
+
 def test_sample_components_equal_numpy(spark):
     r = np.random.default_rng(6)
     x = r.poisson(2.0, (6, 300)).astype(float) * r.choice([0, 1, 3], (6, 1)) + r.poisson(1.0, (6, 300))
