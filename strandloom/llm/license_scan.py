@@ -83,7 +83,7 @@ openssl 0.95 openssl project | this product includes software developed by the o
 ofl-1.1 0.98 sil open font | licensed under the sil open font L version 1 1
 artistic-2 0.95 artistic license | under the (?:terms of the )?artistic L(?: version)? 2 0
 gfdl-V 0.98 free documentation | under the terms of the gnu free documentation L version (?P<v>1 [123])
-apache-V 0.95 apache | apache(?: software)? L(?: version| v)? (?P<v>1 0|1 1|2 0|2)
+apache-V 0.95 apache | apache(?: software)? L(?: version)?(?: v ?| )(?P<v>1 0|1 1|2 0|2)
 apache-V 0.93 apache license v | apache L v(?P<v>1|2)
 apache-V 0.85 apache | apache (?P<v>2 0|1 1)
 apache-V 0.85 asl | asl (?P<v>1 1|2 0)
@@ -106,21 +106,21 @@ bsd-3-clause 0.92 modified bsd | modified bsd L
 bsd-4-clause 0.92 original bsd | original bsd L
 bsd 0.88 bsd | bsd(?: style| like)? L
 bsd 0.85 bsd licensed | (?:is|are) bsd licensed
-lgpl-V 0.95 general public | (?:lesser|library) general public L(?: version| v)? (?P<v>2 0|2 1|3 0|2|3)
+lgpl-V 0.95 general public | (?:lesser|library) general public L(?: version)?(?: v ?| )(?P<v>2 0|2 1|3 0|2|3)
 lgpl-2.1 0.95 lgplv2 1 | lgplv2 1
 lgpl-2 0.94 lgplv2 | lgplv2
 lgpl-3 0.95 lgplv3 | lgplv3
-lgpl-V 0.93 lgpl | (?:gnu )?lgpl(?: version| v)? (?P<v>2 0|2 1|3 0|2|3)
+lgpl-V 0.93 lgpl | (?:gnu )?lgpl(?: version)?(?: v ?| )(?P<v>2 0|2 1|3 0|2|3)
 lgpl 0.88 lesser | (?:gnu )?lesser general public L
 lgpl 0.88 library general public | (?:gnu )?library general public L
 lgpl 0.85 lgpl | (?:gnu )?lgpl(?: L)?
-agpl-V 0.95 affero | affero general public L(?: version| v)? (?P<v>1 0|3 0|1|3)
+agpl-V 0.95 affero | affero general public L(?: version)?(?: v ?| )(?P<v>1 0|3 0|1|3)
 agpl-3 0.95 agplv3 | agplv3
 agpl-1 0.95 agplv1 | agplv1
-agpl-V 0.93 agpl | (?:gnu )?agpl(?: version| v)? (?P<v>3 0|3|1 0)
+agpl-V 0.93 agpl | (?:gnu )?agpl(?: version)?(?: v ?| )(?P<v>3 0|3|1 0)
 agpl 0.88 affero | (?:gnu )?affero general public L
 agpl 0.85 agpl | (?:gnu )?agpl(?: L)?
-gpl-V 0.95 general public license | gnu general public L(?: version| v)? (?P<v>1 0|2 0|3 0|1|2|3)
+gpl-V 0.95 general public license | gnu general public L(?: version)?(?: v ?| )(?P<v>1 0|2 0|3 0|1|2|3)
 gpl-V 0.94 gpl version | (?:gnu )?gpl version (?P<v>1|2|3)(?: or later| only)?
 gpl-1 0.95 gplv1 | gplv1
 gpl-2 0.95 gplv2 | gplv2
@@ -132,18 +132,20 @@ gpl 0.85 general public license | general public L
 gpl 0.82 gnu gpl | gnu gpl(?: L)?
 gpl 0.82 the gpl | (?:under|by|with) the gpl
 gpl 0.82 gpl license | gpl L
-mpl-V 0.95 mozilla public | mozilla public L(?: version| v)? (?P<v>1 0|1 1|2 0|2)
-mpl-V 0.93 mpl | mpl(?: version| v)? (?P<v>1 0|1 1|2 0|2)
+mpl-V 0.95 mozilla public | mozilla public L(?: version)?(?: v ?| )(?P<v>1 0|1 1|2 0|2)
+mpl-V 0.93 mpl | mpl(?: version)?(?: v ?| )(?P<v>1 0|1 1|2 0|2)
 mpl-2 0.93 mplv2 | mplv2
 mpl-1.1 0.93 mplv1 1 | mplv1 1
 mpl 0.88 mozilla public | mozilla public L
 mpl 0.8 mpl license | mpl L
-epl-V 0.95 eclipse public | eclipse public L(?: version| v)? (?P<v>1 0|2 0|1|2)
-epl-V 0.92 epl | epl(?: v)? (?P<v>1 0|2 0)
+epl-V 0.95 eclipse public | eclipse public L(?: version)?(?: v ?| )(?P<v>1 0|2 0|1|2)
+epl-V 0.92 epl | epl(?: version| v) ?(?P<v>1 0|2 0|1|2)
+epl-V 0.92 epl | (?:under|with|by)(?: the)? epl (?P<v>1 0|2 0)
+epl-V 0.92 epl | epl (?P<v>1 0|2 0) L
 epl 0.88 eclipse public | eclipse public L
 edl-1 0.9 eclipse distribution | eclipse distribution L(?: v)?(?: 1 0)?
-cddl-V 0.95 common development and distribution | common development and distribution L(?: version| v)? (?P<v>1 [01])
-cddl-V 0.92 cddl | cddl(?: version| v)? (?P<v>1 [01])
+cddl-V 0.95 common development and distribution | common development and distribution L(?: version)?(?: v ?| )(?P<v>1 [01])
+cddl-V 0.92 cddl | cddl(?: version)?(?: v ?| )(?P<v>1 [01])
 cddl 0.88 common development and distribution | common development and distribution L
 cddl 0.85 cddl | cddl(?: L)?
 cpl-1 0.92 common public license | common public L(?: version| v)? 1 0
@@ -159,7 +161,7 @@ bsl 0.82 boost license | boost L
 unlicense 0.9 the unlicense | the unlicense
 unlicense 0.85 unlicense | unlicense(?: license)?
 wtfpl 0.9 wtfpl | wtfpl(?: (?:version|v) ?2)?(?: L)?
-artistic-V 0.94 artistic license | (?:perl )?artistic L(?: version| v)? (?P<v>1 0|2 0|2)
+artistic-V 0.94 artistic license | (?:perl )?artistic L(?: version)?(?: v ?| )(?P<v>1 0|2 0|2)
 artistic 0.88 artistic license | (?:perl )?artistic L
 perl 0.86 same terms as perl | (?:under|on) the same terms as perl itself
 psf-2 0.94 python software foundation | python software foundation L(?: version)? 2
@@ -170,25 +172,26 @@ postgresql 0.9 postgresql license | postgresql L
 openssl 0.88 openssl license | openssl L
 ssleay 0.88 ssleay | ssleay L
 ruby 0.85 ruby license | ruby L
-php-V 0.93 php license | php L(?: version| v)? (?P<v>3 0|3 01)
+php-V 0.93 php license | php L(?: version)?(?: v ?| )(?P<v>3 0|3 01)
 php 0.85 php license | php L
 w3c 0.93 w3c software | w3c software(?: notice)?(?: and)?(?: document)? (?:notice and )?L
 w3c 0.85 w3c license | w3c L
-eupl-V 0.95 european union public | european union public L(?: version| v)? (?P<v>1 [012])
-eupl-V 0.93 eupl | eupl(?: version| v)? (?P<v>1 [012])
+eupl-V 0.95 european union public | european union public L(?: version)?(?: v ?| )(?P<v>1 [012])
+eupl-V 0.93 eupl | eupl(?: version)?(?: v ?| )(?P<v>1 [012])
 eupl 0.88 european union public | european union public L
 eupl 0.85 eupl | eupl(?: L)?
-cecill-V 0.93 cecill | cecill(?: L)?(?: version| v)? (?P<v>1 [01]|2 [01])
+cecill-V 0.93 cecill | cecill(?: L)?(?: version)?(?: v ?| )(?P<v>1 [01]|2 [01])
 cecill-b 0.9 cecill b | cecill b(?: L)?
 cecill-c 0.9 cecill c | cecill c(?: L)?
 cecill 0.86 cecill | cecill(?: L)?
 ms-pl 0.93 microsoft public license | microsoft public L
 ms-rl 0.93 microsoft reciprocal license | microsoft reciprocal L
-ms-pl 0.85 ms pl | ms pl
+ms-pl 0.85 ms pl | ms pl L
+ms-pl 0.85 ms pl | (?:under|with|by)(?: the)? ms pl
 ms-rl 0.85 ms rl | ms rl
-afl-V 0.94 academic free license | academic free L(?: version| v)? (?P<v>1 [12]|2 [01]|3 0)
+afl-V 0.94 academic free license | academic free L(?: version)?(?: v ?| )(?P<v>1 [12]|2 [01]|3 0)
 afl 0.88 academic free license | academic free L
-osl-V 0.94 open software license | open software L(?: version| v)? (?P<v>1 [01]|2 [01]|3 0)
+osl-V 0.94 open software license | open software L(?: version)?(?: v ?| )(?P<v>1 [01]|2 [01]|3 0)
 osl 0.86 open software license | open software L
 ecl-2 0.92 educational community license | educational community L(?: version)? 2 0
 ecl 0.88 educational community license | educational community L
@@ -199,11 +202,11 @@ vim 0.85 vim license | vim L
 sleepycat 0.88 sleepycat license | sleepycat L
 lppl-V 0.92 latex project public license | latex project public L(?: version)? (?P<v>1 [0-3])
 lppl 0.88 latex project public license | latex project public L
-ofl-V 0.95 open font license | (?:sil )?open font L(?: version| v)? (?P<v>1 [01])
+ofl-V 0.95 open font license | (?:sil )?open font L(?: version)?(?: v ?| )(?P<v>1 [01])
 ofl 0.88 open font license | (?:sil )?open font L
 bitstream-vera 0.88 bitstream vera | bitstream vera(?: fonts?)? L
-gfdl-V 0.95 free documentation license | (?:gnu )?free documentation L(?: version| v)? (?P<v>1 [123])
-gfdl-V 0.93 gfdl | gfdl(?: version| v)? (?P<v>1 [123])
+gfdl-V 0.95 free documentation license | (?:gnu )?free documentation L(?: version)?(?: v ?| )(?P<v>1 [123])
+gfdl-V 0.93 gfdl | gfdl(?: version)?(?: v ?| )(?P<v>1 [123])
 gfdl 0.88 free documentation license | (?:gnu )?free documentation L
 gfdl 0.85 gfdl | gfdl
 cc-by-nc-nd-V 0.95 creative commons | creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: L)?(?: version)? (?P<v>[1234] [05])
@@ -240,11 +243,11 @@ odbl 0.85 odbl | odbl(?: 1 0)?(?: L)?
 pddl 0.88 public domain dedication and | public domain dedication and L
 public-domain 0.9 dedicated to the public | dedicated to the public domain
 public-domain 0.88 in the public domain | (?:is|are|placed|released) in the public domain
-public-domain 0.88 into the public domain | into the public domain
+public-domain 0.88 into the public domain | (?:released|placed|put|given|donated|dedicated|contributed) into the public domain
 beerware 0.9 beerware | (?:the )?beerware(?: L)?
 beerware 0.9 beer ware | (?:the )?beer ware(?: L)?
 sspl-1 0.93 server side public license | server side public L(?: version| v)?(?: 1)?
-busl-V 0.93 business source license | business source L(?: version| v)? (?P<v>1 [01])
+busl-V 0.93 business source license | business source L(?: version)?(?: v ?| )(?P<v>1 [01])
 busl 0.88 business source license | business source L
 elastic-2 0.93 elastic license | elastic L(?: version| v)?(?: 2 0| 2)
 elastic 0.85 elastic license | elastic L
@@ -267,10 +270,10 @@ def rules() -> list[tuple[str, str, re.Pattern, int, float]]:
 
 
 def named(label: str, version: str | None) -> str:
-    """A rule's label with the version that it read: 2 0 is 2, 2 1 is 2.1 and 3 01 is 3.01."""
+    """A rule's label with the version that it read: 2 0 is 2, 2 1 is 2.1, 3 01 is 3.01 and 10 is 1 (1.0 in an address)."""
     if version is None:
         return label
-    parts = version.split(" ")
+    parts = version.split(" ") if version not in ("10", "20") else [version[0]]
     return label.replace("V", parts[0] if len(parts) == 1 or parts[1] == "0" else ".".join(parts))
 
 
@@ -319,11 +322,20 @@ def detections(line: str, known: list) -> list[tuple[int, int, str, float]]:
     return taken
 
 
+#: Words that most texts hold.
+ORDINARY = frozenset("the a of is in to and all new open what terms shall see no this by be for used under with general public software copyright copy zero above notice".split())
+
+
+def gate_words(known: list) -> set[str]:
+    """The longest word of each rule's keyword, ordinary words last, in either spelling: a text without any of them matches no rule."""
+    return {max(k.split(), key=lambda w: (w not in ORDINARY, len(w))) for r in known for k in (r[0], r[0].replace("license", "licence"))}
+
+
 def _scan(batches):
     import pyarrow as pa
 
     known = rules()
-    gate = {k.split()[0] for r in known for k in (r[0], r[0].replace("license", "licence"))}
+    gate = gate_words(known)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
     for batch in batches:
         names, rows = batch.column("doc_id"), batch.column("text")
