@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import intervals as iv, models, scalars as sc, viterbi
+from strandloom.operators import intervals as iv, scalars as sc, viterbi
 from strandloom.sources import tables
 
 
