@@ -116,8 +116,8 @@ def _sums(points: DataFrame, state: dict) -> dict:
     return {r["sample"]: r for r in x.groupBy("sample").agg(*normal, F.sum(one).alias("d1"), F.sum(two).alias("d2")).collect()}
 
 
-def fit_grouped(points: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-8) -> dict[str, tuple]:
-    """sample -> (coefficients, θ), the same optimum as fit_nb's, of all samples at once. points: sample, gc, y, n.
+def fit_grouped(points: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-8, start: dict[str, tuple] | None = None) -> dict[str, tuple]:
+    """sample -> (coefficients, θ), the same optimum as fit_nb's, of all samples at once. points: sample, gc, y, n; start: a fit to begin with.
 
     Each round is one aggregation over the points of all samples that have not settled; a few sums of each reach the
     driver, where four equations are solved and log θ takes one Newton step.
@@ -127,6 +127,11 @@ def fit_grouped(points: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-8
     state = {}
     for r in points.groupBy("sample").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("mean"), F.min("gc").alias("low"), F.max("gc").alias("high")).collect():
         state[r["sample"]] = {"beta": None, "theta": 10.0, "base": max(0.5 * r["mean"], 1e-9), "middle": (r["low"] + r["high"]) / 2, "half": max((r["high"] - r["low"]) / 2, 1e-6)}
+    for s, (beta, theta) in (start or {}).items():
+        if s in state:
+            # The polynomial in gc as one in (gc - middle) / half.
+            c = np.poly1d(beta[::-1])(np.poly1d([state[s]["half"], state[s]["middle"]])).coeffs[::-1]
+            state[s] |= {"beta": np.concatenate([c, np.zeros(4 - len(c))]), "theta": theta}
     open_ = dict(state)
     for _ in range(rounds):
         if not open_:
@@ -172,12 +177,13 @@ def nb_gc_fit(bins: DataFrame, sample: int = 200_000) -> DataFrame:
     cut = (F.col("_h").cast("double") / 2.0**64 + 0.5) <= F.lit(float(sample)) / F.col("_n")
     rough = written(sized_join(inside, total, "sample").where(cut).groupBy("sample", "gc", "y").agg(F.count("*").alias("n")), "rough")
     spark = bins.sparkSession
-    first = spark.createDataFrame([(s, b.tolist(), t) for s, (b, t) in fit_grouped(rough).items()], "sample string, beta array<double>, theta double")
+    roughly = fit_grouped(rough, tolerance=1e-4)
+    first = spark.createDataFrame([(s, b.tolist(), t) for s, (b, t) in roughly.items()], "sample string, beta array<double>, theta double")
     b, g = F.col("beta"), F.col("gc")
     mu = F.exp(F.least(F.greatest(b[0] + b[1] * g + b[2] * g * g + b[3] * g * g * g, F.lit(-30.0)), F.lit(30.0)))
     z = (F.col("y") - F.col("mu")) / F.sqrt(F.col("mu") + F.col("mu") * F.col("mu") / F.col("theta"))
     near = points.join(F.broadcast(first), "sample").withColumn("mu", mu).where(F.abs(z) <= 3).select("sample", "gc", "y", "n")
-    models = spark.createDataFrame([(s, b.tolist(), t) for s, (b, t) in fit_grouped(written(near, "near")).items()], "sample string, beta array<double>, theta double")
+    models = spark.createDataFrame([(s, b.tolist(), t) for s, (b, t) in fit_grouped(written(near, "near"), start=roughly).items()], "sample string, beta array<double>, theta double")
     ends = points.groupBy("sample").agg(F.min("gc").alias("gc_min"), F.max("gc").alias("gc_max"), F.sum("n").alias("rows"))
     return ends.join(F.broadcast(models), "sample").select("sample", "beta", "theta", "gc_min", "gc_max", "rows")
 

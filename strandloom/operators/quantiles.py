@@ -6,13 +6,15 @@ task holds a group. Only the values between whose ranks a quantile lies are look
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .running import running
-from .shared import sized_join
+from .shared import sized_join, written
 
 #: Slices of values that one group's counts are cut into; their borders set the work's division only.
 SLICES = 64
+#: So many counted values, of all groups together, are ranked without slices.
+FEW = 100_000
 
 
 def value_counts(df: DataFrame, by: list[str], value: Column, weight: Column | None = None) -> DataFrame:
@@ -23,7 +25,10 @@ def value_counts(df: DataFrame, by: list[str], value: Column, weight: Column | N
 
 
 def ranked_values(counts: DataFrame, by: list[str]) -> DataFrame:
-    """counts with _to, the number of rows of the group with at most that value, and _all, the group's rows."""
+    """counts with _to, the number of rows of the group with at most that value, and _all, the group's rows; counts is a written table."""
+    if counts.limit(FEW + 1).count() <= FEW:
+        w = Window.partitionBy(*by)
+        return counts.withColumns({"_to": F.sum("_n").over(w.orderBy("_v")), "_all": F.sum("_n").over(w)})
     cuts = counts.agg(F.percentile_approx("_v", [k / SLICES for k in range(1, SLICES)], 1000).alias("_cuts"))
     # One row with at most SLICES numbers.
     sliced = counts.join(F.broadcast(cuts)).withColumn("_stretch", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v")))).drop("_cuts")
@@ -39,7 +44,8 @@ def quantiles(df: DataFrame, by: list[str], value: Column, ps: dict[str, float],
     Rows with a null in `by` belong to no group.
     """
     keys = by or ["_g"]
-    counts = value_counts(df if by else df.withColumn("_g", F.lit(0)), keys, value, weight)
+    # Written: slices, ranks and totals all start from the counts, and what made them runs once.
+    counts = written(value_counts(df if by else df.withColumn("_g", F.lit(0)), keys, value, weight), "values")
     ranks = ranked_values(counts, keys)
     found, some = [], F.lit(False)
     for name, p in ps.items():

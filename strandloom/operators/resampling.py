@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .counts_model import normal_quantile
 from .quantiles import ranked_values, value_counts
 from .scalars import hash_order
-from .shared import sized_join
+from .shared import sized_join, written
 
 
 def drawn(rep, j, n):
@@ -121,6 +121,6 @@ def qq_points(rows: DataFrame, by: str, value: str) -> DataFrame:
 
     Ranks are running sums over slices of the counted values; null and NaN values have none.
     """
-    ranks = ranked_values(value_counts(rows, [by], F.col(value)), [by])
+    ranks = ranked_values(written(value_counts(rows, [by], F.col(value)), "values"), [by])
     p = (F.col("_to") - F.col("_n") + F.col("_n") / 2) / F.col("_all")
     return ranks.select(by, F.col("_v").cast(rows.schema[value].dataType).alias(value), F.col("_n").alias("n"), normal_quantile(p).alias("expected"))

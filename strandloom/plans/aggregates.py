@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 from ..operators import intervals as iv, scalars as sc
 from ..operators.quantiles import cut_points, interval_of, medians, quantiles
 from ..operators.resampling import equal_sample
-from ..operators.shared import sized_join
+from ..operators.shared import sized_join, written
 from .registry import query
 from .scalars import COUNTS, LEVEL_SQL, stage_counts
 
@@ -396,7 +396,7 @@ def w2(inserts, bins):
 @query("w3_robust_z", f"WITH {DENSE_SQL}, s AS (SELECT sample, MEDIAN(n_obs) AS m, STDDEV_SAMP(n_obs) AS sd FROM d WHERE chrom <> 'chrX' GROUP BY 1) SELECT d.sample, d.chrom, d.start0, ROUND((d.n_obs - s.m) / s.sd, 6) AS z FROM d JOIN s ON s.sample = d.sample")
 def w3(inserts, bins):
     d = dense(inserts, bins)
-    counts = d.where("chrom <> 'chrX'").groupBy("sample", "n_obs").agg(F.count("*").alias("c"))
+    counts = written(d.where("chrom <> 'chrX'").groupBy("sample", "n_obs").agg(F.count("*").alias("c")), "counts")
     n, s1, s2 = F.sum("c"), F.sum(F.col("c") * F.col("n_obs")), F.sum(F.col("c") * F.col("n_obs") * F.col("n_obs"))
     s = counts.groupBy("sample").agg(F.sqrt((n * s2 - s1 * s1) / (n * (n - 1))).alias("sd")).join(medians(counts, ["sample"], F.col("n_obs"), "m", F.col("c")), "sample")
     return sized_join(d, s, "sample").select("sample", "chrom", "start0", F.round((F.col("n_obs") - F.col("m")) / F.col("sd"), 6).alias("z"))

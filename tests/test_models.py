@@ -142,7 +142,9 @@ def test_viterbi_by_stretches_equals_the_loop(spark):
         vb.viterbi_by_key(df, ["chrom"], "start0", trans_logs=[[0.0]], states=3)
 
 
-def test_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_quantiles_equal_numpy(spark, monkeypatch, few):
+    monkeypatch.setattr(qt, "FEW", few)
     r = np.random.default_rng(8)
     # A hot group with a third of all rows and few values, skewed groups, ties, one row, and nothing but nulls.
     groups = {"hot": r.integers(0, 5, 3000).astype(float), "wide": np.exp(r.normal(0, 3, 3000)), "tied": np.full(50, 7.5), "one": np.array([3.0]), "two": np.array([1.0, 2.0])}
