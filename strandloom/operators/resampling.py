@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .counts_model import normal_quantile
 from .quantiles import ranked_values, value_counts
-from .scalars import hash_order
-from .shared import sized_join, written
+from .scalars import PRIME, hash_order, mixed
+from .shared import BROADCAST_ROWS, sized_join, written
 
 
-def drawn(rep, j, n):
-    """Which of n rows the j-th draw of a replicate takes; SQL repeats it exactly."""
-    return F.floor(hash_order(rep * 1000003 + j * 7919 + 11) / 65536) % n
+#: Replicates that are computed together.
+BATCH = 500
 
 
 #: Slots of the hash range in which an equal sample looks for its cut.
@@ -39,37 +38,96 @@ def equal_sample(rows: DataFrame, by: list[str], n: int, order: Column, ties: li
 def bootstrap_median_ci(rows: DataFrame, by: str, value: str, key: str, sample: int = 1000, replicates: int = 1000) -> DataFrame:
     """(by, n, median, low, high): the median of at most `sample` rows of each group, with its 95 % percentile interval.
 
-    The rows are those whose key comes first in hash order (a bounded sample is the feature); a replicate is computed
-    where the group's array lies, so nothing is shuffled but the sample.
+    The rows are those whose key comes first in hash order (a bounded sample is the feature). The j-th draw of a
+    replicate takes the row at the mixed hash of both, modulo the rows; all replicates are computed where the group's
+    array lies, so nothing is shuffled but the sample. Rows without a value are left out.
     """
     first = Window.partitionBy(by).orderBy(hash_order(F.col(key), 11), key)
-    own = rows.select(by, F.col(value).cast("double").alias("v"), F.row_number().over(first).alias("k")).where(F.col("k") <= sample)
+    own = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"), F.row_number().over(first).alias("k")).where(F.col("k") <= sample)
     groups = own.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("vs"))
 
-    def median(vs):
-        s, n = F.sort_array(vs), F.size(vs)
-        return (s[F.floor((n - 1) / 2).cast("int")] + s[F.floor(n / 2).cast("int")]) / 2
-
-    reps = groups.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
-    taken = F.transform(F.sequence(F.lit(0).cast("long"), F.size("vs").cast("long") - 1), lambda j: F.col("vs")[drawn(F.col("r"), j, F.size("vs")).cast("int")])
-    medians = reps.select(by, median(taken).alias("m")).groupBy(by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return groups.select(by, F.size("vs").alias("n"), median(F.col("vs")).alias("median")).join(medians, by).select(by, "n", "median", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    @F.pandas_udf("array<double>")
+    def interval(groups):
+        import numpy as np
+
+        out = []
+        for vs in groups:
+            v, found = np.asarray(vs), []
+            j = np.arange(len(v), dtype=np.int64)
+            for at in range(0, replicates, BATCH):
+                r = np.arange(at, min(at + BATCH, replicates), dtype=np.int64)[:, None]
+                x = (j * 48271 + r * 69621) % PRIME
+                h = x * x % PRIME
+                found.append(np.median(v[h * h % PRIME * x % PRIME % len(v)], axis=1))
+            out.append(np.quantile(np.concatenate(found), [0.025, 0.975]))
+        return groups.__class__(out, dtype=object)
+
+    size = F.size("vs")
+    s = F.sort_array("vs")
+    median = (s[F.floor((size - 1) / 2).cast("int")] + s[F.floor(size / 2).cast("int")]) / 2
+    return groups.withColumn("q", interval("vs")).select(by, size.alias("n"), median.alias("median"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def _differences(replicates: int):
+    """(d) of each relabelling of a batch. Rows: batch, and rows, an array of (v, k, a) sorted by v."""
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in frames:
+            for batch, rows in zip(pdf["batch"], pdf["rows"]):
+                v = np.array([r["v"] for r in rows], dtype=float)
+                k = np.array([r["k"] % PRIME for r in rows], dtype=np.int64)
+                na = sum(r["a"] for r in rows)
+                order = np.lexsort((v, [r["k"] for r in rows]))
+                middle = lambda x: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
+                out = []
+                for r in range(batch * BATCH + 1, min((batch + 1) * BATCH, replicates) + 1):
+                    x = (k * 48271 + r * 69621) % PRIME
+                    h = x * x % PRIME
+                    h = h * h % PRIME * x % PRIME
+                    cut = np.partition(h, na - 1)[na - 1]
+                    own = h < cut
+                    level = order[h[order] == cut]
+                    own[level[: na - int(own.sum())]] = True
+                    out.append(middle(v[own]) - middle(v[~own]))
+                yield pd.DataFrame({"d": out}, dtype=float)
+
+    return run
+
+
+def relabelled(own: DataFrame, na: int, n: int, replicates: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(d): the difference of medians under each relabelling. own: a, v, k without nulls, n rows, na of them with the label.
+
+    Up to `limit` rows travel as one array to the tasks, each of which computes BATCH relabellings; nothing is sorted or
+    shuffled for a replicate. More rows are ordered for each replicate in a window.
+    """
+    if n <= limit:
+        whole = own.agg(F.sort_array(F.collect_list(F.struct("v", "k", "a"))).alias("rows"))
+        batches = own.sparkSession.range(-(-replicates // BATCH)).withColumnRenamed("id", "batch")
+        spread = batches.repartition(min(-(-replicates // BATCH), 4 * own.sparkSession.sparkContext.defaultParallelism), "batch")
+        return spread.crossJoin(F.broadcast(whole)).mapInPandas(_differences(replicates), "d double")
+    gap = lambda a: F.median(F.when(a, F.col("v"))) - F.median(F.when(~a, F.col("v")))
+    order = Window.partitionBy("r").orderBy(mixed(F.col("r"), F.col("k")), "k", "v")
+    reps = own.withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long")))).withColumn("place", F.row_number().over(order))
+    return reps.groupBy("r").agg(gap(F.col("place") <= na).alias("d")).select("d")
 
 
-def permutation_median_diff(rows: DataFrame, first: str, value: str, key: str, replicates: int = 99_999) -> DataFrame:
+def permutation_median_diff(rows: DataFrame, first: str, value: str, key: str, replicates: int = 99_999, limit: int = BROADCAST_ROWS) -> DataFrame:
     """(diff, p): the difference of two groups' medians and its two-sided p-value, 2 min of the one-sided (1 + #) / (1 + R).
 
-    A relabelling orders the rows by a hash of its number and their key and gives the first n the label.
+    A relabelling orders the rows by a hash of its number and their key (ties: by key, then value) and gives the first n
+    the label. Rows with a null label, value or key are left out; where a group has no rows, both results are null.
     """
-    own = rows.select(F.col(first).alias("a"), F.col(value).cast("double").alias("v"), F.col(key).alias("k"))
-    size = own.agg(F.count_if("a").alias("na"))
-    gap = lambda a: F.median(F.when(a, F.col("v"))) - F.median(F.when(~a, F.col("v")))
-    seen = own.agg(gap(F.col("a")).alias("diff"))
-    order = Window.partitionBy("r").orderBy(hash_order(F.col("r") * 1000003 + F.col("k"), 11), "k")
-    reps = own.join(F.broadcast(size)).withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long")))).withColumn("place", F.row_number().over(order))
-    null = reps.groupBy("r").agg(gap(F.col("place") <= F.col("na")).alias("d"))
-    tails = null.join(F.broadcast(seen)).groupBy("diff").agg(F.count_if(F.col("d") >= F.col("diff")).alias("up"), F.count_if(F.col("d") <= F.col("diff")).alias("down"))
-    return tails.select("diff", F.least(F.lit(1.0), 2 * (1 + F.least("up", "down")) / (1 + replicates)).alias("p"))
+    own = rows.select(F.col(first).alias("a"), F.col(value).cast("double").alias("v"), F.col(key).cast("long").alias("k")).dropna()
+    own = written(own, "labelled")
+    seen = own.agg(F.count_if("a").alias("na"), F.count("*").alias("n"), (F.median(F.when(F.col("a"), F.col("v"))) - F.median(F.when(~F.col("a"), F.col("v")))).alias("diff")).first()
+    if not 0 < seen.na < seen.n:
+        return own.sparkSession.createDataFrame([(None, None)], "diff double, p double")
+    d = F.col("d")
+    tails = relabelled(own, seen.na, seen.n, replicates, limit).agg(F.count_if(d >= seen.diff).alias("up"), F.count_if(d <= seen.diff).alias("down"))
+    return tails.select(F.lit(seen.diff).alias("diff"), F.least(F.lit(1.0), 2 * (1 + F.least("up", "down")) / (1 + replicates)).alias("p"))
 
 
 def upper_gamma(a: float, x: float) -> float:

@@ -81,8 +81,28 @@ def gc_fraction(seq: Column) -> Column:
 
 
 def hash_order(key: Column, seed: int = 0) -> Column:
-    """T5: an order that SQL repeats exactly."""
-    return (key * 2654435761 + seed) % 4294967296
+    """T5: an order that SQL repeats exactly; keys beyond 2^31 are taken modulo it, so that no product overflows."""
+    return (F.pmod(key.cast("long"), F.lit(2147483648)) * 2654435761 + seed) % 4294967296
+
+
+#: A prime whose group of units has no fifth root of one but 1, so that fifth powers are a permutation.
+PRIME = 2_147_483_647
+
+
+def mixed(rep: Column, key: Column) -> Column:
+    """A hash below PRIME of a replicate's number and a key, repeated exactly by SQL; distinct keys below PRIME never tie.
+
+    Orders by a product alone are turns of one ring for all replicates; the fifth power breaks the ring up.
+    """
+    x = (F.pmod(key, F.lit(PRIME)) * 48271 + F.pmod(rep, F.lit(PRIME)) * 69621) % PRIME
+    fourth = ((x * x % PRIME) * (x * x % PRIME)) % PRIME
+    return fourth * x % PRIME
+
+
+def mixed_sql(rep: str, key: str) -> str:
+    """The same as SQL over keys from 0 on."""
+    x = f"(({key} % {PRIME} * 48271 + {rep} % {PRIME} * 69621) % {PRIME})"
+    return f"(((({x} * {x} % {PRIME}) * ({x} * {x} % {PRIME})) % {PRIME}) * {x} % {PRIME})"
 
 
 def select_regions(regions: DataFrame, stage: Column, rpkm: str, include_unpassed: bool = False, low: float | None = None, high: float | None = None, chrom: str | None = None) -> DataFrame:

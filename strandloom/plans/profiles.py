@@ -295,13 +295,13 @@ def m8(inserts, bins):
 P_SQL = sc.two_sided_p_sql("(o.observed - m.mean) / m.sd")
 
 
-@query("m14_permutation_null", f"WITH c AS (SELECT chrom, peak_set, COUNT(*) AS n, DENSE_RANK() OVER (ORDER BY chrom) AS i, DENSE_RANK() OVER (ORDER BY peak_set) - 1 AS k FROM f_regions GROUP BY 1, 2), p AS (SELECT r.r AS r, SUM(c.n) AS s FROM range(0, 1000) AS r(r) JOIN c ON c.k = ((r.r * 1000003 + c.i * 7919 + 11) * 2654435761 % 4294967296) // 65536 % 5 GROUP BY 1), m AS (SELECT AVG(s) AS mean, STDDEV_POP(s) AS sd FROM p), o AS (SELECT peak_set, SUM(n) AS observed FROM c GROUP BY 1) SELECT o.peak_set, CAST(o.observed AS BIGINT) AS observed, ROUND(m.mean, 5) AS mean, ROUND((o.observed - m.mean) / m.sd, 5) AS z, ROUND(LOG10({P_SQL}), 4) AS log10_p FROM o, m")
+@query("m14_permutation_null", f"WITH c AS (SELECT chrom, peak_set, COUNT(*) AS n, DENSE_RANK() OVER (ORDER BY chrom) AS i, DENSE_RANK() OVER (ORDER BY peak_set) - 1 AS k FROM f_regions GROUP BY 1, 2), p AS (SELECT r.r AS r, SUM(c.n) AS s FROM range(0, 1000) AS r(r) JOIN c ON c.k = {sc.mixed_sql('r.r', 'c.i')} % 5 GROUP BY 1), m AS (SELECT AVG(s) AS mean, STDDEV_POP(s) AS sd FROM p), o AS (SELECT peak_set, SUM(n) AS observed FROM c GROUP BY 1) SELECT o.peak_set, CAST(o.observed AS BIGINT) AS observed, ROUND(m.mean, 5) AS mean, ROUND((o.observed - m.mean) / m.sd, 5) AS z, ROUND(LOG10({P_SQL}), 4) AS log10_p FROM o, m")
 def m14(spark, regions):
     """The null draws one of the five sets for each chromosome, 1000 times."""
     n = regions.groupBy("chrom", "peak_set").agg(F.count("*").alias("n"))
     # As many rows as chromosomes times sets.
     ranked = n.withColumn("i", F.dense_rank().over(Window.orderBy("chrom"))).withColumn("k", F.dense_rank().over(Window.orderBy("peak_set")) - 1)
-    drawn = F.floor(sc.hash_order(F.col("r") * 1000003 + F.col("i") * 7919 + 11) / 65536) % 5
+    drawn = sc.mixed(F.col("r"), F.col("i")) % 5
     sums = ranked.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long")))).where(F.col("k") == drawn).groupBy("r").agg(F.sum("n").alias("s"))
     null = sums.agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("sd"))
     seen = n.groupBy("peak_set").agg(F.sum("n").alias("observed"))

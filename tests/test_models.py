@@ -233,6 +233,35 @@ def test_resampled_medians(spark):
     assert math.isclose(far.diff, median(v for g, v, _ in rows if g == "a") - median(v for g, v, _ in rows if g == "b")) and math.isclose(far.p, 0.02)
 
 
+def test_replicates_spread_like_independent_ones(spark):
+    """Widths and levels of the resampled statistics against NumPy's generator, which orders by products alone miss."""
+    r = np.random.default_rng(3)
+    v = np.round(r.gamma(2.0, 10.0, 400), 1)
+    df = spark.createDataFrame([("g", float(x), k, k % 3 == 0) for k, x in enumerate(v)], "g string, v double, k long, a boolean")
+    q = rs.bootstrap_median_ci(df, "g", "v", "k", sample=400, replicates=1000).first()
+    low, high = np.quantile(np.median(r.choice(v, (4000, 400)), axis=1), [0.025, 0.975])
+    assert abs((q.high - q.low) / (high - low) - 1) < 0.25 and abs(q.low - low) < 0.25 * (high - low)
+    na = 134
+    found = np.array([x.d for x in rs.relabelled(df.select("a", "v", "k"), na, 400, 3000).collect()])
+    null = []
+    for _ in range(3000):
+        w = r.permutation(v)
+        null.append(np.median(w[:na]) - np.median(w[na:]))
+    assert len(found) == 3000 and abs(found.mean()) < 0.2 * np.std(null) and abs(found.std() / np.std(null) - 1) < 0.08
+
+
+def test_relabelling_by_batches_equals_the_window(spark):
+    rows = [(k % 4 == 0, float((k * 7) % 23), k // 2) for k in range(90)] + [(None, 1.0, 1), (True, None, 2), (False, 3.0, None)]
+    df = spark.createDataFrame(rows, "a boolean, v double, k long")
+    one, two = (rs.permutation_median_diff(df, "a", "v", "k", replicates=1100, limit=x).first() for x in (1000, 10))
+    assert one == two and 0 < one.p <= 1
+    clean = df.dropna()
+    own = [sorted(x.d for x in rs.relabelled(clean, 23, 90, 700, x).collect()) for x in (1000, 10)]
+    assert own[0] == own[1] and len(own[0]) == 700
+    assert rs.permutation_median_diff(df.where("a"), "a", "v", "k", replicates=9).first() == (None, None)
+    assert rs.permutation_median_diff(df.limit(0), "a", "v", "k", replicates=9).first() == (None, None)
+
+
 def test_components_and_clusters(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(200, 3)) @ np.diag([5, 1, 0.2]) @ np.array([[1, 1, 0], [0, 1, 1], [1, 0, 1]])
