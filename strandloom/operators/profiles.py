@@ -36,6 +36,32 @@ def end_bias(observed: DataFrame, expected: DataFrame, most: float = 10.0) -> Da
     return both.crossJoin(F.broadcast(o_total)).crossJoin(F.broadcast(e_total)).select("nonamer", F.least(F.round(ratio, 3), F.lit(most)).alias("bias"))
 
 
+def set_enrichment(observed: DataFrame, expected: DataFrame) -> DataFrame:
+    """(set, nonamer, f, e): frequency of a 9-mer among a set's sites, and its fold enrichment over what is expected.
+
+    observed: set, isl, nonamer, n; expected: isl, nonamer, n. The enrichment is the mean over size levels of observed
+    over expected frequency, weighted by the set's sites of each level, so a level's weight cancels against its
+    frequency's denominator. It is null where a 9-mer isn't expected at one of the levels that the set has sites of, and
+    zero where it is expected but has no site.
+    """
+    levels = observed.groupBy("set", "isl").agg(F.sum("n").alias("w"))
+    sums = levels.groupBy("set").agg(F.sum("w").alias("all"), F.count("*").alias("levels"))
+    totals = expected.groupBy("isl").agg(F.sum("n").alias("t"))
+    # As many rows as sets times levels.
+    wanted = sized_join(expected, sized_join(levels.select("set", "isl"), totals, "isl"), "isl")
+    both = wanted.select("set", "isl", "nonamer", F.lit(0).cast("long").alias("o"), (F.col("t") / F.col("n")).alias("x"))
+    both = both.unionByName(observed.select("set", "isl", "nonamer", F.col("n").alias("o"), F.lit(None).cast("double").alias("x")))
+    cells = both.groupBy("set", "nonamer", "isl").agg(F.sum("o").alias("o"), F.max("x").alias("x"))
+    per = cells.groupBy("set", "nonamer").agg(F.sum("o").alias("o"), F.sum(F.col("o") * F.col("x")).alias("e"), F.count("x").alias("k"))
+    return sized_join(per, sums, "set").select("set", "nonamer", (F.col("o") / F.col("all")).alias("f"), F.when(F.col("k") == F.col("levels"), F.col("e") / F.col("all")).alias("e"))
+
+
+def has_dinucleotide(nonamer: Column, dinucleotide: str, n: int = 2) -> Column:
+    """Whether a site holds a dinucleotide n times; its three triplets lie apart, so none reaches from one to the next."""
+    spread = F.concat_ws("nn", *(F.substring(nonamer, k, 3) for k in (1, 4, 7)))
+    return F.regexp_count(spread, F.lit(dinucleotide)) >= n
+
+
 def tss_class(up: Column, down: Column, active: tuple = (0.5, 10), inactive: tuple = (0.05, 0.01)) -> Column:
     """Active from (rpkm in the gene, fold); inactive up to (rpkm of both sides, increase)."""
     on = (down >= active[0]) & (down >= active[1] * up)

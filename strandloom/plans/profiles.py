@@ -57,6 +57,29 @@ def g7_sites(inserts, seq):
     return sized_join(n, total, ["genome", "isl"]).select("genome", "isl", "nonamer", F.round(F.col("n") / F.col("t"), 9).alias("f"))
 
 
+DINUC_SQL = lambda d: f"len(regexp_extract_all(SUBSTR(nonamer, 1, 3) || 'nn' || SUBSTR(nonamer, 4, 3) || 'nn' || SUBSTR(nonamer, 7, 3), '{d}')) >= 2"
+G9_SQL = f"WITH {SITES}, o AS (SELECT p.stage_type AS g, t.isl, t.nonamer, COUNT(*) AS n FROM t JOIN f_samples p ON p.sample = t.sample WHERE p.stage_type IS NOT NULL AND t.genome = 'prm' GROUP BY 1, 2, 3), c AS (SELECT {LEVEL_SQL.replace('end1-start0', 'LENGTH(seq)')} AS room, SUBSTR(seq, o + 1, 212) AS c FROM (SELECT seq, UNNEST(range(0, LENGTH(seq) - 12, 200)) AS o FROM f_seq)), k AS (SELECT room, SUBSTR(c, p, 3) || SUBSTR(c, p + 5, 3) || SUBSTR(c, p + 10, 3) AS nonamer FROM (SELECT room, c, UNNEST(range(1, LENGTH(c) - 11)) AS p FROM c)), h AS (SELECT room, nonamer, COUNT(*) AS n FROM k WHERE regexp_full_match(nonamer, '[ACGT]{{9}}') GROUP BY 1, 2), w AS (SELECT g, isl, SUM(n) AS w FROM o GROUP BY 1, 2), v AS (SELECT DISTINCT isl FROM o), x AS (SELECT v.isl, h.nonamer, SUM(h.n) AS n FROM h JOIN v ON h.room >= v.isl GROUP BY 1, 2), y AS (SELECT isl, SUM(n) AS t FROM x GROUP BY 1), m AS (SELECT nonamer FROM x UNION SELECT nonamer FROM o), z AS (SELECT w.g, m.nonamer, SUM(COALESCE(o.n, 0)) / SUM(w.w) AS f, CASE WHEN COUNT(x.n) = COUNT(*) THEN SUM(w.w * ((COALESCE(o.n, 0) / w.w) / (x.n / y.t))) / SUM(w.w) END AS e FROM w CROSS JOIN m JOIN y ON y.isl = w.isl LEFT JOIN x ON x.isl = w.isl AND x.nonamer = m.nonamer LEFT JOIN o ON o.g = w.g AND o.isl = w.isl AND o.nonamer = m.nonamer GROUP BY 1, 2), q AS (SELECT nonamer, MAX(f) FILTER (WHERE g = 'round') AS f1, MAX(f) FILTER (WHERE g = 'elong') AS f2, MAX(e) FILTER (WHERE g = 'round') AS e1, MAX(e) FILTER (WHERE g = 'elong') AS e2 FROM z GROUP BY 1), r AS (SELECT nonamer, CASE WHEN f1 > 0 THEN LOG10(f1) END AS f_round, CASE WHEN f2 > 0 THEN LOG10(f2) END AS f_elong, CASE WHEN e1 > 0 THEN LOG10(e1) END AS e_round, CASE WHEN e2 > 0 THEN LOG10(e2) END AS e_elong FROM q WHERE f1 > 0 OR f2 > 0) SELECT nonamer, ROUND(f_round, 6) AS f_round, ROUND(f_elong, 6) AS f_elong, ROUND(e_round, 6) AS e_round, ROUND(e_elong, 6) AS e_elong, ROUND(e_elong - e_round, 6) AS m, ROUND((e_elong + e_round) / 2, 6) AS a, {DINUC_SQL('CG')} AS has_cg, {DINUC_SQL('GC')} AS has_gc FROM r"
+
+
+@query("g9_set_enrichment", G9_SQL)
+def g9_sets(inserts, seq, samples):
+    """Two sets of samples: log10 frequencies and enrichments over size levels, their difference and mean, flags of sites.
+
+    At a size level a document's 9-mers are expected if an insert of that level has room on it. What has no sites, or no
+    expectation at some level, has no logarithm; sites that neither set has give no row.
+    """
+    sets = samples.where("stage_type IS NOT NULL").select("sample", F.col("stage_type").alias("set"))
+    own = site_mers(inserts.where("genome = 'prm'"), seq).groupBy("sample", "isl", "nonamer").agg(F.count("*").alias("n"))
+    observed = written(sized_join(own, sets, "sample").groupBy("set", "isl", "nonamer").agg(F.sum("n").alias("n")), "observed")
+    rooms = sc.kmer_sites(seq.withColumn("room", sc.insert_size_level(F.length("seq"))), by=["room"]).groupBy("room", "nonamer").agg(F.count("*").alias("n"))
+    levels = observed.select("isl").distinct()
+    expected = written(rooms.join(F.broadcast(levels), F.col("room") >= F.col("isl")).groupBy("isl", "nonamer").agg(F.sum("n").alias("n")), "expected")
+    logs = [F.max(F.when((F.col("set") == s) & (F.col(c) > 0), F.log10(c))).alias(f"{c}_{s}") for c in "fe" for s in ("round", "elong")]
+    wide = pr.set_enrichment(observed, expected).groupBy("nonamer").agg(*logs).where("f_round IS NOT NULL OR f_elong IS NOT NULL")
+    values = {c: F.col(c) for c in ("f_round", "f_elong", "e_round", "e_elong")} | {"m": F.col("e_elong") - F.col("e_round"), "a": (F.col("e_elong") + F.col("e_round")) / 2}
+    return wide.select("nonamer", *(F.round(v, 6).alias(c) for c, v in values.items()), *(pr.has_dinucleotide(F.col("nonamer"), d).alias(f"has_{d.lower()}") for d in ("CG", "GC")))
+
+
 G10_SQL = f"WITH {SITES}, o AS (SELECT nonamer, COUNT(*) / (SELECT COUNT(*) FROM t) AS f FROM t GROUP BY 1), g AS (SELECT SUBSTR(c, p, 3) || SUBSTR(c, p + 5, 3) || SUBSTR(c, p + 10, 3) AS nonamer FROM (SELECT c, UNNEST(range(1, LENGTH(c) - 11)) AS p FROM (SELECT SUBSTR(seq, o + 1, 212) AS c FROM (SELECT seq, UNNEST(range(0, LENGTH(seq) - 12, 200)) AS o FROM f_seq)))), k AS (SELECT nonamer, COUNT(*) AS n FROM g WHERE regexp_full_match(nonamer, '[ACGT]{{9}}') GROUP BY 1), b AS (SELECT o.nonamer, LEAST(ROUND(k.n / (SELECT SUM(n) FROM k) / o.f, 3), 10) AS b FROM o JOIN k ON k.nonamer = o.nonamer) SELECT l.sample, COUNT(*) AS n, ROUND(SUM(x.b * y.b), 3) AS w FROM t l JOIN t r ON l.side = 0 AND r.side = 1 AND l.sample = r.sample AND l.chrom = r.chrom AND l.start0 = r.start0 AND l.end1 = r.end1 JOIN b x ON x.nonamer = l.nonamer JOIN b y ON y.nonamer = r.nonamer GROUP BY 1"
 
 
