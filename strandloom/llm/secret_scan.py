@@ -1,24 +1,27 @@
 """Secret scan: base patterns, and probabilistic automata inferred from the credentials that they label.
 
 The base patterns find labelled credentials: their values with their kind. From a bounded sample of the distinct
-values of each kind a prefix tree of character classes is built in a task of its own, and its states are merged where
-their outgoing frequencies are statistically compatible (Hoeffding bounds, blue states against red ones). A contrast
-automaton is fitted in the same way on a bounded sample of the other candidates, less those that a credential automaton
-likes as well as its own values. Every candidate token of every text, whole, is then scored by its mean log-likelihood
-under the best credential automaton less that under the contrast; a token that scores at least THRESHOLD is a span of
-kind `format`. A token with = or / in it that does not is scored part by part.
+values of each kind a prefix tree of character classes is built in a task of its own; rare prefixes of one length share a
+state. States are merged where they end and move on alike and all that follows does (tests of two shares, blue states
+against red ones), never where too few words pass to tell. A contrast automaton is fitted in the same way on a bounded
+sample of the other candidates, less those that a credential automaton likes as well as its own values; further ones on
+made numbers, times and unique identifiers. Every candidate token of every text, whole, is then scored by its mean
+log-likelihood under the best credential automaton less that under the likeliest contrast; a token that scores at least
+THRESHOLD, and is at most SLACK less likely than all values learnt but the ODD share, is a span of kind `format`. A token
+with = or / in it that does not is scored part by part.
 
 Both passes read the texts and keep no more than their batch; nothing but the samples is shuffled.
 
 Cases: null and empty texts have no spans; a very long text is read whole, in time linear in its length and hits; of
-spans that tie at one start the order of KINDS decides; repeated rows return as often as they occur; a table without
-credentials trains nothing and adds nothing; an empty table gives no row; other columns are ignored.
+spans that tie at one start the order of KINDS decides; repeated rows return as often as they occur; a kind with fewer
+than LEAST distinct values trains nothing and adds nothing; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,9 +40,15 @@ PART = re.compile(r"[^=/]{12,}")
 SAMPLE, FIT_LENGTH = 400, 256
 #: Of a kind's own values, the share that fit it less well than what the contrast may not learn from.
 DOUBT = 0.1
-ALPHA = 0.05
+#: Visits that a state needs for a test, and distinct values that a kind needs to be learnt.
+LEAST = 20
+#: Two shares that differ by more standard deviations keep two states apart.
+DEVIATIONS = 3.0
 #: Mean log-likelihood ratio for each symbol.
 THRESHOLD = 0.5
+#: Of the values that an automaton was fitted on, the share that is taken for odd ones, and how far below all others a
+#: token may lie in mean log-likelihood.
+ODD, SLACK = 0.05, 0.1
 
 
 def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, str]]]:
@@ -83,32 +92,59 @@ def candidates(text: str, found: list[tuple[str, int, int]]) -> list[tuple[int,
 
 
 class Automaton:
-    """State i: visits[i], ends[i], and moves[i] from a symbol to (state, count)."""
-
-    def __init__(self, words: list[str]):
-        self.visits, self.ends, self.moves = [0], [0], [{}]
+    """State i: visits[i], ends[i], and moves[i] from a symbol to [state, count].
+
+    A prefix that fewer than `least` words begin with has no state of its own: such prefixes of one length share a state,
+    so that every state has enough visits for a test, as far as the words are many, and lengths are kept.
+    """
+
+    def __init__(self, words: list[str], least: int = LEAST):
+        self.visits, self.ends, self.moves, self.least = [0], [0], [{}], least
+        prefixes = Counter(w[:k] for w in words for k in range(1, len(w) + 1))
+        longer = Counter(k for w in words for k in range(1, len(w) + 1) if prefixes[w[:k]] < least)
+        #: The length from which on even the shared states have too few visits and are one.
+        last = max((k for k, n in longer.items() if n >= least), default=0) + 1
+        known: dict[object, int] = {}
         for w in words:
             s = 0
             self.visits[0] += 1
-            for c in w:
-                if c not in self.moves[s]:
-                    self.moves[s][c] = [len(self.visits), 0]
+            for k, c in enumerate(w, 1):
+                key = w[:k] if prefixes[w[:k]] >= least else min(k, last)
+                if key not in known:
+                    known[key] = len(self.visits)
                     self.visits.append(0)
                     self.ends.append(0)
                     self.moves.append({})
-                move = self.moves[s][c]
-                move[1] += 1
-                s = move[0]
+                self.moves[s].setdefault(c, [known[key], 0])[1] += 1
+                s = known[key]
                 self.visits[s] += 1
             self.ends[s] += 1
+        self.into = list(range(len(self.visits)))
+
+    def root(self, s: int) -> int:
+        """The state that s has been merged into."""
+        while self.into[s] != s:
+            self.into[s] = self.into[self.into[s]]
+            s = self.into[s]
+        return s
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
-        return n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
+        """Whether two shares differ by more than DEVIATIONS standard deviations of their difference were they one."""
+        if n1 == 0 or n2 == 0:
+            return False
+        both = (f1 + f2) / (n1 + n2)
+        return abs(f1 / n1 - f2 / n2) > DEVIATIONS * math.sqrt(both * (1 - both) * (1 / n1 + 1 / n2))
 
     def compatible(self, a: int, b: int) -> bool:
-        todo = [(a, b)]
+        """Whether a and b, and the states that follow both by the same symbols, end and move on alike; b has enough visits."""
+        if self.visits[b] < self.least or self.visits[a] < self.least:
+            return False
+        todo, seen = [(a, b)], set()
         while todo:
-            p, q = todo.pop()
+            p, q = (self.root(x) for x in todo.pop())
+            if p == q or (p, q) in seen:
+                continue
+            seen.add((p, q))
             n1, n2 = self.visits[p], self.visits[q]
             if self._differ(self.ends[p], n1, self.ends[q], n2):
                 return False
@@ -121,11 +157,14 @@ class Automaton:
                     todo.append((x[0], y[0]))
         return True
 
-    def fold(self, into: int, tree: int) -> None:
-        """Add the tree below state `tree` to state `into`."""
-        todo = [(into, tree)]
+    def fold(self, a: int, b: int) -> None:
+        """Make a and b one state, and with them what follows both by the same symbols."""
+        todo = [(a, b)]
         while todo:
-            p, q = todo.pop()
+            p, q = (self.root(x) for x in todo.pop())
+            if p == q:
+                continue
+            self.into[q] = p
             self.visits[p] += self.visits[q]
             self.ends[p] += self.ends[q]
             for c, (s, n) in self.moves[q].items():
@@ -138,52 +177,80 @@ class Automaton:
     def merge(self) -> "Automaton":
         """Red states are settled; each blue state next to them joins the first compatible red one or turns red."""
         red = [0]
-        settled = {0}
-        while True:
-            blue = next(((r, c, m[0]) for r in red for c, m in sorted(self.moves[r].items()) if m[0] not in settled), None)
+        at = 0
+        while at < len(red):
+            r = red[at]
+            blue = next((b for _, m in sorted(self.moves[r].items()) if (b := self.root(m[0])) not in red), None) if self.root(r) == r else None
             if blue is None:
-                return self
-            r, c, b = blue
+                at += 1
+                continue
             for other in red:
-                if self.compatible(other, b):
-                    self.moves[r][c][0] = other
-                    self.fold(other, b)
+                if self.root(other) == other and self.compatible(other, blue):
+                    self.fold(other, blue)
+                    at = 0
                     break
             else:
-                red.append(b)
-                settled.add(b)
+                red.append(blue)
+        return self
 
     def table(self) -> dict:
-        """symbol -> (next, log-probability) for each state that is reached, and the log-probability of ending."""
+        """For each state that is reached: symbol -> (next, log-probability), the log-probability of ending, and what an unseen symbol costs and leads to."""
         new, order = {0: 0}, [0]
         for s in order:
             for _, (t, _) in sorted(self.moves[s].items()):
-                if t not in new:
-                    new[t] = len(order)
-                    order.append(t)
-        out = {"moves": [], "ends": [], "other": []}
+                if self.root(t) not in new:
+                    new[self.root(t)] = len(order)
+                    order.append(self.root(t))
+        out = {"moves": [], "ends": [], "other": [], "usual": []}
         for s in order:
             n = self.visits[s] + 1
-            out["moves"].append({c: (new[t], math.log(k / n)) for c, (t, k) in self.moves[s].items()})
+            out["moves"].append({c: (new[self.root(t)], math.log(k / n)) for c, (t, k) in self.moves[s].items()})
             out["ends"].append(math.log((self.ends[s] + 0.1) / n))
             out["other"].append(math.log(0.01 / n))
+            _, t = max(((k, -new[self.root(t)]) for t, k in self.moves[s].values()), default=(0, -new[s]))
+            out["usual"].append(-t)
         return out
 
 
+def fitted(words: list[str]) -> dict:
+    """The table of the automaton merged from words of symbols, and `floor`, the least log-likelihood that fits it."""
+    table = Automaton(words).merge().table()
+    return table | {"floor": sorted(log_likelihood(table, w) for w in words)[int(ODD * len(words))] - SLACK}
+
+
+def ratio(good: list[dict], contrast: list[dict], word: str) -> float:
+    """The best log-likelihood among the formats that the word fits at all, less the best contrast; without any, minus infinity."""
+    best = max((x for a in good if (x := log_likelihood(a, word)) >= a["floor"]), default=-math.inf)
+    return best - max((log_likelihood(a, word) for a in contrast), default=-2.0) if best > -math.inf else best
+
+
 def log_likelihood(table: dict, word: str) -> float:
-    """Mean for each symbol; an unseen symbol costs its state's floor and starts anew."""
+    """Mean for each symbol; an unseen symbol costs its state's floor and leads where most words go from there."""
     s, total = 0, 0.0
     for c in word:
         move = table["moves"][s].get(c)
         if move is None:
             total += table["other"][s]
-            s = 0
+            s = table["usual"][s]
         else:
             s = move[0]
             total += move[1]
     return (total + table["ends"][s]) / (len(word) + 1)
 
 
+def ordinary(n: int = 100) -> dict[str, list[str]]:
+    """Made words of formats that are no secrets: whole numbers, times, and universally unique identifiers, n of each form."""
+    import hashlib
+
+    digest = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(n)]
+    number = [str(int(d, 16)) for d in digest]
+    day = [f"20{int(d[:4], 16) % 100:02}-{int(d[4:8], 16) % 12 + 1:02}-{int(d[8:12], 16) % 28 + 1:02}" for d in digest]
+    clock = [[f"{int(d[k : k + 4], 16) % m:02}" for k, m in ((12, 24), (16, 60), (20, 60))] for d in digest]
+    times = [d + t for d, c in zip(day, clock) for t in ("T" + "-".join(c), "T" + "".join(c) + "Z", "_" + "-".join(c), "-" + "-".join(c))] + [d.replace("-", "") + "T" + "".join(c) for d, c in zip(day, clock)]
+    unique = ["-".join((d[:8], d[8:12], d[12:16], d[16:20], d[20:32])) for d in digest]
+    return {"number": [x[:k] for x in number for k in range(12, 33)], "time": times, "unique": unique + [u.upper() for u in unique]}
+
+
 def _samples(sample: int):
     """(kind, token, h) of the `sample` distinct values of each kind with the smallest hashes in a task."""
 
@@ -216,7 +283,9 @@ def _fit(pdf):
     import pandas as pd
 
     words = sorted(symbols(t) for t in pdf["token"])
-    table = Automaton(words).merge().table()
+    if len(words) < LEAST and pdf["kind"].iloc[0] in KINDS:
+        return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "automaton": [None], "doubt": [None]})
+    table = fitted(words)
     own = sorted(log_likelihood(table, w) for w in words)
     return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "automaton": [json.dumps(table)], "doubt": [own[int(DOUBT * len(own))]]})
 
@@ -233,7 +302,7 @@ FITTED = "kind string, automaton string, doubt double"
 
 
 def automata(docs: DataFrame, sample: int = SAMPLE) -> dict[str, dict]:
-    """One automaton for each kind with labelled values, and `plain` for the other candidates. docs: text."""
+    """One automaton for each kind with labelled values, `plain` for the other candidates, and those of `ordinary`. docs: text."""
     import json
 
     # At most `sample` values of a kind and task, and of those as many of a kind in all.
@@ -243,9 +312,10 @@ def automata(docs: DataFrame, sample: int = SAMPLE) -> dict[str, dict]:
         own = drawn.where(F.col("kind") == kind).orderBy("h", "token").limit(sample).select("kind", "token")
         first = own if first is None else first.union(own)
     first = common.stash(first, "sample")
-    good = {r[0]: (json.loads(r[1]), r[2]) for r in first.where("kind <> 'plain'").groupBy("kind").applyInPandas(_fit, FITTED).collect()}
+    good = {r[0]: (json.loads(r[1]), r[2]) for r in first.where("kind <> 'plain'").groupBy("kind").applyInPandas(_fit, FITTED).where("automaton IS NOT NULL").collect()}
     plain = first.where("kind = 'plain'").groupBy("kind").applyInPandas(_fit_plain(good), FITTED).collect() if good else []
-    return {k: a for k, (a, _) in good.items()} | {r[0]: json.loads(r[1]) for r in plain}
+    made = {k: fitted(sorted(map(symbols, words))) for k, words in ordinary().items()} if good else {}
+    return {k: a for k, (a, _) in good.items()} | {r[0]: json.loads(r[1]) for r in plain} | made
 
 
 def formats(text: str, found: list[tuple[str, int, int]], score, threshold: float) -> list[tuple[str, int, int]]:
@@ -263,7 +333,7 @@ def _score(known: dict[str, dict], threshold: float, keep: list[str]):
     def run(batches):
         import pyarrow as pa
 
-        good, plain = [t for k, t in known.items() if k != "plain"], known.get("plain")
+        good, plain = [t for k, t in known.items() if k in KINDS], [t for k, t in known.items() if k not in KINDS]
         seen: dict[str, float] = {}
 
         def score(token: str) -> float:
@@ -271,7 +341,7 @@ def _score(known: dict[str, dict], threshold: float, keep: list[str]):
             if w not in seen:
                 if len(seen) > 100_000:
                     seen.clear()
-                seen[w] = max(log_likelihood(a, w) for a in good) - (log_likelihood(plain, w) if plain else -2.0)
+                seen[w] = ratio(good, plain, w)
             return seen[w]
 
         for whole in batches:
