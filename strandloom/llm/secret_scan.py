@@ -305,8 +305,8 @@ def automata(docs: DataFrame, sample: int = SAMPLE) -> dict[str, dict]:
     """One automaton for each kind with labelled values, `plain` for the other candidates, and those of `ordinary`. docs: text."""
     import json
 
-    # At most `sample` values of a kind and task, and of those as many of a kind in all.
-    drawn = docs.select("text").mapInArrow(_samples(sample), "kind string, token string, h long").distinct()
+    # At most `sample` values of a kind and task, written so that the texts are read once for all kinds, and of those as many of a kind in all.
+    drawn = common.stash(docs.select("text").mapInArrow(_samples(sample), "kind string, token string, h long").distinct(), "drawn")
     first = None
     for kind in (*KINDS[:3], "plain"):
         own = drawn.where(F.col("kind") == kind).orderBy("h", "token").limit(sample).select("kind", "token")
