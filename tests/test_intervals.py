@@ -102,3 +102,17 @@ def test_joins_of_rows_without_keys_of_their_own(spark):
     left = count(iv.overlap_left(a, b), "name", "start0", "b_name", "overlap_bp")
     assert left == sorted([("x", 0, "p", 5), ("x", 0, "p", 5), ("x", 0, "q", 1), ("x", 0, "q", 1), (None, 5, "p", 2), ("x", 50, None, 0), ("n", 0, None, 0)], key=str)
     assert iv.overlap_left(a, b.where("false")).count() == 5 and iv.overlap_left(a.where("false"), b).count() == 0
+
+
+def test_counts_by_kind_make_no_pairs(spark):
+    a, b = made(150, 5), made(200, 6)
+    A, B = frame(spark, a), frame(spark, b)
+    kinds = {"short": F.col("end1") - F.col("start0") <= 5, "long": F.col("end1") - F.col("start0") > 5}
+    got = {r["name"]: (r["short"], r["long"]) for r in iv.overlap_sums(A, B, kinds).collect()}
+    hits = lambda x, of: sum(x[1] == y[1] and x[2] < y[3] and y[2] < x[3] and of(y[3] - y[2]) for y in b)
+    assert got == {x[0]: (hits(x, lambda z: z <= 5), hits(x, lambda z: z > 5)) for x in a}
+    # An unknown start overlaps nothing; 25 million pairs at one place are counted, not made.
+    assert iv.overlap_count(frame(spark, [("n", "c1", None, 90_000)]), B).first()["n"] == 0
+    many = spark.range(5000).selectExpr("CAST(id AS STRING) AS name", "'c' AS chrom", "0L AS start0", "10 + id AS end1")
+    assert "Join" not in iv.overlap_count(many, many)._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "")
+    assert [tuple(r) for r in iv.overlap_count(many, many).agg(F.min("n"), F.max("n")).collect()] == [(5000, 5000)]
