@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import intervals as iv, scalars as sc
+from ..operators import intervals as iv, profiles as pr, scalars as sc
 from ..operators.quantiles import cut_points, interval_of, medians, quantiles
 from ..operators.resampling import equal_sample
 from ..operators.shared import sized_join, written
@@ -229,7 +229,9 @@ def g27(regions, genes, bins):
 
 @query("g29_interval_max_score", "SELECT g.name, MAX(g.strand) AS cluster, MAX(CAST(r.score AS DOUBLE)) AS top, COUNT(r.name) > 0 AS hit FROM f_genes g LEFT JOIN f_regions r ON g.chrom = r.chrom AND g.start0 < r.end1 AND r.start0 < g.end1 GROUP BY 1")
 def g29(genes, regions):
-    return iv.overlap_left(genes, regions).groupBy("name").agg(F.max("strand").alias("cluster"), F.max(F.col("b_score").cast("double")).alias("top"), (F.count("b_name") > 0).alias("hit"))
+    top = iv.overlap_max(genes, regions, ["name"], {"top": F.col("score"), "_any": F.lit(0)})
+    own = genes.groupBy("name").agg(F.max("strand").alias("cluster"))
+    return own.join(top, "name", "left").select("name", "cluster", "top", F.col("_any").isNotNull().alias("hit"))
 
 
 @query("g30_in_out_summary", f"WITH {DENSE_SQL}, h AS (SELECT b.chrom, b.start0, EXISTS (SELECT 1 FROM f_genes g WHERE g.chrom = b.chrom AND g.start0 < b.end1 AND b.start0 < g.end1) AS inside FROM f_bins b) SELECT d.sample, h.inside, COUNT(*) AS n, CAST(MEDIAN(d.n_obs) AS DOUBLE) AS median, ROUND(QUANTILE_CONT(d.n_obs, 0.9), 6) AS p90 FROM d JOIN h ON h.chrom = d.chrom AND h.start0 = d.start0 GROUP BY 1, 2")
@@ -283,10 +285,7 @@ def g35_gc(inserts):
 
 @query("g37_v_plot_histogram", "SELECT CAST(FLOOR(FLOOR((i.start0 + i.end1) / 2.0 - (g.start0 + 500)) / 50) * 50 AS BIGINT) AS x, (i.end1 - i.start0) // 10 * 10 AS y, COUNT(*) AS n FROM f_inserts i JOIN (SELECT chrom, start0, start0 + 1000 AS end1 FROM f_genes) g ON i.chrom = g.chrom AND i.start0 < g.end1 AND g.start0 < i.end1 GROUP BY 1, 2")
 def g37(inserts, genes):
-    anchors = genes.select("chrom", "start0", (F.col("start0") + 1000).alias("end1"))
-    pairs = iv.overlap_pairs(inserts.select("chrom", "start0", "end1"), anchors)
-    x = F.floor(F.floor((F.col("start0") + F.col("end1")) / 2 - (F.col("b_start0") + 500)) / 50) * 50
-    return pairs.groupBy(x.alias("x"), (F.floor(size() / 10) * 10).alias("y")).agg(F.count("*").alias("n"))
+    return pr.v_plot(inserts, genes.select("chrom", "start0"), []).select("x", "y", "n")
 
 
 ANCHORED = "p AS (SELECT i.sample, i.stage_type, CAST(FLOOR(FLOOR((i.start0 + i.end1) / 2.0 - (g.start0 + 500)) / 50) * 50 AS BIGINT) AS x, (i.end1 - i.start0) // 10 * 10 AS y FROM e i JOIN (SELECT chrom, start0, start0 + 1000 AS end1 FROM f_genes) g ON i.chrom = g.chrom AND i.start0 < g.end1 AND g.start0 < i.end1)"
@@ -300,9 +299,7 @@ def g37_difference(inserts, genes, samples):
     sizes = own.groupBy("sample").agg(F.count("*").alias("n"))
     n = sizes.agg(F.floor(F.min("n") / 2)).first()[0] or 0
     taken = equal_sample(own, ["sample"], n, sc.hash_order(F.col("start0") * 640 + size(), 11), ["chrom", "start0", "end1"])
-    anchors = genes.select("chrom", "start0", (F.col("start0") + 1000).alias("end1"))
-    x = F.floor(F.floor((F.col("start0") + F.col("end1")) / 2 - (F.col("b_start0") + 500)) / 50) * 50
-    h = iv.overlap_pairs(taken, anchors).groupBy("stage_type", x.alias("x"), (F.floor(size() / 10) * 10).alias("y")).agg(F.count("*").alias("n"))
+    h = written(pr.v_plot(taken, genes.select("chrom", "start0"), ["stage_type"]), "v_plot")
     shares = sized_join(h, h.groupBy("stage_type").agg(F.sum("n").alias("t")), "stage_type").withColumn("f", F.col("n") / F.col("t"))
     of = lambda c, t: F.sum(F.when(F.col("stage_type") == t, F.col(c)))
     difference = F.coalesce(of("f", "elong"), F.lit(0.0)) - F.coalesce(of("f", "round"), F.lit(0.0))

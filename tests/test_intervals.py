@@ -116,3 +116,14 @@ def test_counts_by_kind_make_no_pairs(spark):
     many = spark.range(5000).selectExpr("CAST(id AS STRING) AS name", "'c' AS chrom", "0L AS start0", "10 + id AS end1")
     assert "Join" not in iv.overlap_count(many, many)._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "")
     assert [tuple(r) for r in iv.overlap_count(many, many).agg(F.min("n"), F.max("n")).collect()] == [(5000, 5000)]
+
+
+def test_first_and_largest_without_pairs(spark):
+    a, b = made(150, 7, far=150_000), [x + (None if k % 9 == 0 else float(k * 37 % 101),) for k, x in enumerate(made(200, 8, far=150_000))]
+    A, B = frame(spark, a), spark.createDataFrame(b, "name string, chrom string, start0 long, end1 long, v double")
+    hits = {x[0]: [y for y in b if x[1] == y[1] and x[2] < y[3] and y[2] < x[3]] for x in a}
+    first = iv.overlap_first(A, B, ["name"], ["start0", "end1", "name"])
+    assert {r["name"]: (r["b_start0"], r["b_end1"], r["b_name"]) for r in first.collect()} == {k: min((y[2], y[3], y[0]) for y in ys) for k, ys in hits.items() if ys}
+    most = iv.overlap_max(A, B, ["name"], {"v": F.col("v"), "one": F.lit(1)})
+    assert {r["name"]: (r["v"], r["one"]) for r in most.collect()} == {k: (max((y[4] for y in ys if y[4] is not None), default=None), 1.0) for k, ys in hits.items() if ys}
+    assert "BroadcastNestedLoopJoin" not in most._jdf.queryExecution().toString()
