@@ -75,6 +75,78 @@ def kmer_sites(sequences: DataFrame, seq: str = "seq", by: list[str] = ("doc_id"
     return at.select(*by, (F.col("offset") + F.col("at")).alias("pos"), mer.alias("nonamer")).where(F.col("nonamer").rlike("^[ACGT]{9}$"))
 
 
+#: Letters of texts that are coded at once, and groups whose counts a task holds.
+CODED, HELD = 1 << 20, 16
+
+
+def mer_codes(texts: list[str]):
+    """The code, below 4^9, of the 9-mer at each position of the joined texts (-1: other letters or too close to an end), and where each text begins."""
+    import numpy as np
+
+    gap = "." * 13
+    letters = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le"), dtype="<u4")
+    known = np.full(128, -64, dtype=np.int32)
+    known[[ord(c) for c in "ACGT"]] = range(4)
+    one = known[np.minimum(letters, 127)]
+    three = one[:-2] * 16 + one[1:-1] * 4 + one[2:]
+    a, b, c = three[:-10], three[5:-5], three[10:]
+    first = np.cumsum([0] + [len(t) + len(gap) for t in texts])[:-1]
+    return np.where((a >= 0) & (b >= 0) & (c >= 0), a * 4096 + b * 64 + c, -1), first
+
+
+def mer_text(code: Column) -> Column:
+    """The letters of a code."""
+    return F.concat(*(F.substring(F.lit("ACGT"), F.shiftright(code, 2 * k).bitwiseAND(3).cast("int") + 1, F.lit(1)) for k in range(8, -1, -1)))
+
+
+def _counted_mers(by: list[str], seq: str, schema):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held: dict = {}
+
+        def told():
+            for key, n in held.items():
+                at = np.flatnonzero(n)
+                values = [pa.array([v] * len(at), t) for v, t in zip(key, schema)]
+                yield pa.RecordBatch.from_arrays([*values, pa.array(at.astype(np.int32)), pa.array(n[at])], names=[*by, "code", "n"])
+
+        for batch in batches:
+            texts: dict = {}
+            for text, *key in zip(batch[seq].to_pylist(), *(batch[c].to_pylist() for c in by)):
+                texts.setdefault(tuple(key), []).append(text)
+            for key, of in texts.items():
+                if key not in held and len(held) == HELD:
+                    yield from told()
+                    held.clear()
+                n = held.setdefault(key, np.zeros(4**9, dtype=np.int64))
+                while of:
+                    size, some = 0, []
+                    while of and size < CODED:
+                        some.append(of.pop())
+                        size += len(some[-1])
+                    codes, _ = mer_codes(some)
+                    n += np.bincount(codes[codes >= 0], minlength=4**9)
+        yield from told()
+
+    return run
+
+
+def kmer_counts(sequences: DataFrame, seq: str = "seq", by: list[str] = ("lang",)) -> DataFrame:
+    """(by, nonamer, n): how often each discontiguous 9-mer of A, C, G and T occurs in the sequences of a group.
+
+    A task codes texts as arrays and hands on one row for each 9-mer and group that it has seen, so no position is a row.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    own = sequences.where(F.length(seq) >= 13).select(*by, F.col(seq).alias("_seq"))
+    kinds = [own.schema[c].dataType for c in by]
+    kind = ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in zip(by, kinds)), "code int, n long"])
+    counts = own.mapInArrow(_counted_mers(list(by), "_seq", [to_arrow_type(t) for t in kinds]), kind)
+    return counts.groupBy(*by, "code").agg(F.sum("n").alias("n")).select(*by, mer_text(F.col("code")).alias("nonamer"), "n")
+
+
 def gc_fraction(seq: Column) -> Column:
     """G49."""
     return F.when(F.length(seq) > 0, F.round((F.length(seq) - F.length(F.regexp_replace(seq, "[GCgc]", ""))) / F.length(seq), 4))

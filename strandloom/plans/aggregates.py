@@ -53,7 +53,7 @@ MERS = f"k AS ({MERS_SQL})"
 
 
 def mers(seq):
-    return sc.kmer_sites(seq, by=["lang"]).groupBy("lang", "nonamer").agg(F.count("*").alias("n"))
+    return sc.kmer_counts(seq, by=["lang"])
 
 
 @query("g6_kmer_genome_counts", f"WITH {MERS} SELECT lang, nonamer, n FROM k")

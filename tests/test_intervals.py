@@ -63,6 +63,20 @@ def test_scalars(spark):
     assert [x.nonamer for x in sc.kmer_sites(mers).collect()] == ["AACGTTCCG"]
 
 
+def test_counted_mers_are_the_sites_of_each_group(spark):
+    """Counts come from coded texts; a place for every letter (kmer_sites) gives the same."""
+    import random
+
+    r = random.Random(5)
+    texts = ["".join(r.choice("ACGTACGTN\U0001d538é") for _ in range(n)) for n in (0, 12, 13, 14, 700, 5000)] + [None, "ACGT" * 600]
+    rows = [(None if g == 3 else f"g{g}", t) for g in range(20) for t in texts]
+    df = spark.createDataFrame(rows, "lang string, seq string").repartition(2)
+    want = sc.kmer_sites(df, by=["lang"]).groupBy("lang", "nonamer").agg(F.count("*").alias("n"))
+    counts = sc.kmer_counts(df)
+    assert sorted(map(str, counts.collect())) == sorted(map(str, want.collect()))
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_flanks_of_a_minus_gene(spark):
     g = spark.createDataFrame([("g", "c", 5000, 9000, "-")], "name string, chrom string, start0 long, end1 long, strand string")
     got = {r.side: (r.start0, r.end1, r.tss1) for r in iv.tss_flanks(g).collect()}
