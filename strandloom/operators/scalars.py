@@ -99,6 +99,11 @@ def mer_text(code: Column) -> Column:
     return F.concat(*(F.substring(F.lit("ACGT"), F.shiftright(code, 2 * k).bitwiseAND(3).cast("int") + 1, F.lit(1)) for k in range(8, -1, -1)))
 
 
+def mer_code(text: Column) -> Column:
+    """The code of a 9-mer."""
+    return F.conv(F.translate(text, "ACGT", "0123"), 4, 10).cast("int")
+
+
 def _counted_mers(by: list[str], seq: str, schema):
     def run(batches):
         import numpy as np
