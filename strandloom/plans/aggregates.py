@@ -308,10 +308,15 @@ def g37_difference(inserts, genes, samples):
 
 @query("g40_positioned_median", "SELECT name, COUNT(*) AS n, CAST(MEDIAN(i.start0 - g.start0) AS DOUBLE) AS median FROM f_genes g JOIN f_inserts i ON i.chrom = g.chrom AND i.start0 < g.end1 AND g.start0 < i.end1 WHERE i.end1 - i.start0 <= 400 GROUP BY 1 HAVING COUNT(*) >= 25")
 def g40(genes, inserts):
-    pairs = iv.overlap_pairs(inserts.where(size() <= 400).select("chrom", "start0", "end1"), genes)
+    own = inserts.where(size() <= 400).select("chrom", "start0", "end1")
+    named = written(genes.groupBy("name").agg(F.count("*").alias("rows"), F.min(F.struct("chrom", "start0", "end1")).alias("g")), "named")
+    one = iv.overlap_median(named.where("rows = 1").select("name", "g.*"), own).where("n >= 25").select("name", "n", "median")
+    # Genes that share a name share a median: only they make pairs.
+    again = sized_join(genes, named.where("rows > 1").select("name"), "name", "left_semi")
+    pairs = iv.overlap_pairs(own, again)
     offsets = pairs.groupBy(F.col("b_name").alias("name"), (F.col("start0") - F.col("b_start0")).alias("at")).agg(F.count("*").alias("c"))
     n = offsets.groupBy("name").agg(F.sum("c").alias("n")).where("n >= 25")
-    return n.join(medians(offsets, ["name"], F.col("at"), weight=F.col("c")), "name")
+    return one.unionByName(n.join(medians(offsets, ["name"], F.col("at"), weight=F.col("c")), "name"))
 
 
 WINDOWS_SQL = "w AS (SELECT sample, chrom, start0 // 10000 * 10000 AS w, COUNT(*) AS n FROM f_inserts GROUP BY 1, 2, 3)"

@@ -77,6 +77,27 @@ def test_counted_mers_are_the_sites_of_each_group(spark):
     assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
 
 
+def test_overlap_median_by_ranks(spark):
+    """Medians of starts among overlapping rows without pairs, against a plain loop; short rows have theirs before their start."""
+    import random
+    import statistics
+
+    r = random.Random(4)
+    span = lambda top, most: (lambda s: (r.choice("cd"), s, s + r.randint(1, most)))(r.randrange(top))
+    a = [*(span(70_000, 900) for _ in range(150)), *(span(70_000, 8) for _ in range(150)), ("c", 4096, 4100), ("e", 5, 9)]
+    b = [span(70_000, 400) for _ in range(4000)] + [("c", 4000, 4399)] * 9 + [("c", 4095, 4097)] * 4
+    schema = "chrom string, start0 long, end1 long"
+    pairs_of = iv.overlap_pairs
+    iv.overlap_pairs = None
+    try:
+        got = {(x.chrom, x.start0, x.end1): (x.n, x.median) for x in iv.overlap_median(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()}
+    finally:
+        iv.overlap_pairs = pairs_of
+    for c, s, e in a:
+        hit = [y - s for d, y, z in b if d == c and y < e and s < z]
+        assert got[c, s, e] == (len(hit), statistics.median(hit) if hit else None), (c, s, e)
+
+
 def test_flanks_of_a_minus_gene(spark):
     g = spark.createDataFrame([("g", "c", 5000, 9000, "-")], "name string, chrom string, start0 long, end1 long, strand string")
     got = {r.side: (r.start0, r.end1, r.tss1) for r in iv.tss_flanks(g).collect()}
