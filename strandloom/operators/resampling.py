@@ -97,17 +97,164 @@ def _differences(replicates: int):
     return run
 
 
+#: Rows of a part, relabellings that a task draws for it, slots around the cut, relabellings that are finished together.
+PART, DRAWN, CUT_SLOTS, FINISHED = 65_536, 12_500, 64, 50
+#: Distinct values, and rows beside one cut, up to which relabellings are counted.
+LEVELS, BESIDE = 1024, 10_000
+
+
+def _hashes(k):
+    """r -> mixed(r, k) for each of k, in arithmetic modulo PRIME = 2^31 - 1 by folding high bits onto low ones."""
+    import numpy as np
+
+    p, bits = np.uint64(PRIME), np.uint64(31)
+    own = (k % PRIME * 48271 % PRIME).astype(np.uint64)
+    x, y, high = np.empty_like(own), np.empty_like(own), np.empty_like(own)
+
+    def fold():
+        np.right_shift(y, bits, out=high)
+        np.bitwise_and(y, p, out=y)
+        np.add(y, high, out=y)
+
+    def draw(r: int):
+        np.add(own, np.uint64(r % PRIME * 69621 % PRIME), out=x)
+        # Below the prime the difference wraps to a large number.
+        np.minimum(x, np.subtract(x, p, out=high), out=x)
+        np.multiply(x, x, out=y)
+        fold()
+        np.multiply(y, y, out=y)
+        fold()
+        fold()
+        np.multiply(y, x, out=y)
+        fold()
+        fold()
+        return np.minimum(y, np.subtract(y, p, out=high), out=y)
+
+    return draw
+
+
+def _near_cut(low: int, width: int, replicates: int):
+    """(r, n): how many hashes lie below the window [low, low + width), and in each of its slots. Rows: a part, for some relabellings."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        draw, out = _hashes(pdf["k"].to_numpy()), []
+        drawn = range(int(pdf["draw"].iloc[0]) * DRAWN + 1, min((int(pdf["draw"].iloc[0]) + 1) * DRAWN, replicates) + 1)
+        for r in drawn:
+            h = draw(r)
+            inside = (h - np.uint64(low))[h - np.uint64(low) < np.uint64(width)].astype(np.int64)
+            out.append([int(np.count_nonzero(h < np.uint64(low))), *np.bincount(inside * CUT_SLOTS // width, minlength=CUT_SLOTS)])
+        return pd.DataFrame({"r": drawn, "n": out})
+
+    return run
+
+
+def _cut_slot(na: int, low: int, width: int):
+    """(r, cut_low, cut_high, need, beside): the slot in which each relabelling's cut lies, how many of its rows have the label, and its rows."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        for r, of in pdf.groupby("r")["n"]:
+            n = np.sum([np.asarray(x) for x in of], axis=0)
+            upto = n.cumsum()
+            s = int(np.searchsorted(upto, na))
+            # The cut is below the window or behind it: no slot.
+            found = 0 < s <= CUT_SLOTS
+            ends = [low + -(-k * width // CUT_SLOTS) for k in (s - 1, s)]
+            out.append((r, *ends, na - upto[s - 1] if found else 0, n[s] if found else BESIDE + 1))
+        return pd.DataFrame(out, columns=["r", "cut_low", "cut_high", "need", "beside"])
+
+    return run
+
+
+def _labelled(levels: int):
+    """(r, n, h, k, level): rows of each level that have the label for sure, and the rows beside the cut. Rows: a part, and its relabellings' cuts."""
+
+    def run(pdf, cuts):
+        import numpy as np
+        import pandas as pd
+
+        if pdf.empty:
+            return pd.DataFrame({"r": [], "n": [], "h": [], "k": [], "level": []})
+        pdf = pdf.sort_values("level", kind="stable")
+        k, level = pdf["k"].to_numpy(), pdf["level"].to_numpy()
+        first, out = np.searchsorted(level, np.arange(levels)), []
+        some = np.flatnonzero(np.bincount(level, minlength=levels))
+        draw = _hashes(k)
+        for r, low, high in zip(cuts["r"], cuts["cut_low"], cuts["cut_high"]):
+            h, n = draw(r), np.zeros(levels, dtype=np.int32)
+            n[some] = np.add.reduceat((h < np.uint64(low)).view(np.uint8), first[some], dtype=np.int32)
+            at = np.flatnonzero(h - np.uint64(low) < np.uint64(high - low))
+            out.append((r, n, h[at].astype(np.int64), k[at], level[at]))
+        return pd.DataFrame(out, columns=["r", "n", "h", "k", "level"])
+
+    return run
+
+
+def _medians_of_levels(values: list[float], totals: list[int]):
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        v, every, out = np.array(values), np.array(totals), []
+        middle = lambda n: (v[np.searchsorted(n.cumsum(), (n.sum() - 1) // 2, side="right")] + v[np.searchsorted(n.cumsum(), n.sum() // 2, side="right")]) / 2
+        for _, of in pdf.groupby("r"):
+            n = np.sum([np.asarray(x, dtype=np.int64) for x in of["n"]], axis=0)
+            h, k, level = (np.concatenate([np.asarray(x, dtype=np.int64) for x in of[c]]) for c in ("h", "k", "level"))
+            n = n + np.bincount(level[np.lexsort((level, k, h))[: int(of["need"].iloc[0])]], minlength=len(v))
+            out.append(middle(n) - middle(every - n))
+        return pd.DataFrame({"d": out}, dtype=float)
+
+    return run
+
+
+def counted_relabellings(own: DataFrame, na: int, n: int, replicates: int) -> DataFrame | None:
+    """(d) as relabelled returns it, from counts; None if the values or the rows beside a cut are too many for that.
+
+    Rows are dealt to parts and a task hashes a part for some relabellings, twice: to count hashes around the cut, and to
+    count the labelled rows of each value. Only the few rows in the cut's slot travel, so no row is ever shuffled for a
+    relabelling, and a task holds a part however many rows there are.
+    """
+    counts = own.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").limit(LEVELS + 1).collect()
+    if len(counts) > LEVELS:
+        return None
+    # At most LEVELS numbers.
+    codes = F.broadcast(own.sparkSession.createDataFrame([(c.v, i) for i, c in enumerate(counts)], "v double, level long"))
+    parts = -(-n // PART)
+    dealt = own.join(codes, "v").select("k", "level", F.pmod(F.xxhash64("k", "v"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit((replicates - 1) // DRAWN).cast("long"))).alias("draw"))
+    share = na / n
+    reach = 8 * (share * (1 - share) / n) ** 0.5
+    low, high = max(0, int((share - reach) * PRIME)), min(PRIME, int((share + reach) * PRIME) + 1)
+    near = dealt.groupBy("part", "draw").applyInPandas(_near_cut(low, high - low, replicates), "r long, n array<long>")
+    batch = F.floor(F.col("r") / FINISHED)
+    cuts = near.groupBy(batch.alias("_batch")).applyInPandas(_cut_slot(na, low, high - low), "r long, cut_low long, cut_high long, need long, beside long")
+    cuts = written(cuts, "cuts")
+    if cuts.where(F.col("beside") > BESIDE).limit(1).count():
+        return None
+    told = cuts.select("r", "cut_low", "cut_high", F.floor((F.col("r") - 1) / DRAWN).alias("draw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    found = dealt.groupBy("part", "draw").cogroup(told.groupBy("part", "draw")).applyInPandas(_labelled(len(counts)), "r long, n array<int>, h array<long>, k array<long>, level array<long>")
+    return found.join(cuts.select("r", "need"), "r").groupBy(batch.alias("_batch")).applyInPandas(_medians_of_levels([c.v for c in counts], [c.n for c in counts]), "d double")
+
+
 def relabelled(own: DataFrame, na: int, n: int, replicates: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """(d): the difference of medians under each relabelling. own: a, v, k without nulls, n rows, na of them with the label.
 
     Up to `limit` rows travel as one array to the tasks, each of which computes BATCH relabellings; nothing is sorted or
-    shuffled for a replicate. More rows are ordered for each replicate in a window.
+    shuffled for a replicate. More rows are counted by part and value; only where values or equal hashes are too many for
+    that, rows are ordered for each replicate in a window.
     """
     if n <= limit:
         whole = own.agg(F.sort_array(F.collect_list(F.struct("v", "k", "a"))).alias("rows"))
         batches = own.sparkSession.range(-(-replicates // BATCH)).withColumnRenamed("id", "batch")
         spread = batches.repartition(min(-(-replicates // BATCH), 4 * own.sparkSession.sparkContext.defaultParallelism), "batch")
         return spread.crossJoin(F.broadcast(whole)).mapInPandas(_differences(replicates), "d double")
+    if (counted := counted_relabellings(own, na, n, replicates)) is not None:
+        return counted
     gap = lambda a: F.median(F.when(a, F.col("v"))) - F.median(F.when(~a, F.col("v")))
     order = Window.partitionBy("r").orderBy(mixed(F.col("r"), F.col("k")), "k", "v")
     reps = own.withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long")))).withColumn("place", F.row_number().over(order))

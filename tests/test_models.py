@@ -317,3 +317,22 @@ def test_scores_by_name(spark):
     assert {r.start0: r.value for r in score_types.aggregated(counts, "mean_weight").collect()} == {0: 1.0, 1000: 1.0}
     with pytest.raises(KeyError, match="cpm"):
         score_types.get("unknown")
+
+
+def test_counted_relabellings_equal_ordered_ones(spark, monkeypatch):
+    """Beyond the array's limit relabellings are counted by part and value: the same differences, and no row for each relabelling."""
+    import numpy as np
+
+    from strandloom.operators.scalars import PRIME
+
+    r = np.random.default_rng(3)
+    k = [*r.permutation(900).tolist(), 5, 5, 5, 7 + PRIME, PRIME, 2**40 + 3]
+    rows = [(bool(x % 3 == 0), float(v), int(x)) for x, v in zip(k, r.integers(0, 40, len(k)))]
+    own = spark.createDataFrame(rows, "a boolean, v double, k long")
+    monkeypatch.setattr(rs, "PART", 100)
+    monkeypatch.setattr(rs, "DRAWN", 60)
+    na = sum(a for a, _, _ in rows)
+    got = rs.counted_relabellings(own, na, len(rows), 150)
+    want = rs.relabelled(own, na, len(rows), 150)
+    assert sorted(x.d for x in got.collect()) == sorted(x.d for x in want.collect())
+    assert rs.counted_relabellings(spark.range(2000).selectExpr("id % 2 = 0 AS a", "cast(id AS double) AS v", "id AS k"), 1000, 2000, 9) is None
