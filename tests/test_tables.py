@@ -82,6 +82,24 @@ def test_lags_equal_all_pairs(spark):
     assert pr.lag_profiles(df.where("false")).count() == 0
 
 
+def test_lags_without_pairs(spark):
+    """A tile of 100,000 rows, all of whose pairs fill no task: rows at each place from 0 on, values that grow with them."""
+    n = 100_000
+    df = spark.range(n).select(F.lit("a").alias("chrom"), F.col("id").cast("double").alias("at"), (F.col("id") / 10).alias("x"), F.array((F.col("id") % 2).cast("double"), F.lit(0.5)).alias("vector"))
+    got = {q.lag: q for q in pr.lag_profiles(df, part=n).collect()}
+    d = np.arange(1, n)
+    lags = np.rint(np.log10(d) * 10).astype(int)
+    assert set(got) == set(lags[n - d >= 100].tolist())
+    for lag, g in got.items():
+        own = d[lags == lag]
+        pairs = n - own
+        mean, corr = (own * pairs).sum() / 10 / pairs.sum(), (np.where(own % 2, -1, 1) * pairs).sum() / pairs.sum()
+        assert g.n == pairs.sum() and np.allclose([g.mean_abs, g.mean_corr, g.semivariance], [mean, corr, (own * own / 100 * pairs).sum() / pairs.sum() / 2])
+    odd = spark.createDataFrame([("a", float(k), math.nan if k == 0 else 1.0, [1.0, 2.0]) for k in range(12)] + [("a", math.inf, 1.0, [1.0, 2.0])], "chrom string, at double, x double, vector array<double>")
+    got = {q.lag: q for q in pr.lag_profiles(odd, least=1).collect()}
+    assert sum(q.n for q in got.values()) == 66 and all(math.isnan(q.mean_abs) for q in got.values())
+
+
 def test_sequences_by_lines(spark, tmp_path):
     r = random.Random(3)
     base = lambda n: "".join(r.choice("ACGTN") for _ in range(n))
