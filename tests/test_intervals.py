@@ -162,3 +162,13 @@ def test_first_and_largest_without_pairs(spark):
     most = iv.overlap_max(A, B, ["name"], {"v": F.col("v"), "one": F.lit(1)})
     assert {r["name"]: (r["v"], r["one"]) for r in most.collect()} == {k: (max((y[4] for y in ys if y[4] is not None), default=None), 1.0) for k, ys in hits.items() if ys}
     assert "BroadcastNestedLoopJoin" not in most._jdf.queryExecution().toString()
+
+
+def test_pairs_are_dealt_by_place(spark):
+    """Few rows with many pairs are spread by their places, not sent whole to the tasks that read the other side."""
+    rows = [("a", s, s + n, f"{s}/{n}") for s in (0, 5, 2047, 2048, 4095, 4100) for n in (0, 1, 3, 2048, 5000, -2)]
+    df = spark.createDataFrame(rows * 2, "chrom string, start0 long, end1 long, name string")
+    hit = [(x[3], y[3], x[1] >= y[1] and x[2] <= y[2]) for x in rows * 2 for y in rows * 2 if x[1] < y[2] and y[1] < x[2]]
+    for pairs, want in ((iv.overlap_pairs(df, df), [h[:2] for h in hit]), (iv.overlap_within(df, df), [h[:2] for h in hit if h[2]])):
+        assert sorted(map(tuple, pairs.select("name", "b_name").collect())) == sorted(want)
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
