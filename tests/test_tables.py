@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import lookup, profiles as pr, resampling as rs, scalars as sc
+from strandloom.operators import intervals as iv, lookup, profiles as pr, resampling as rs, scalars as sc
 from strandloom.sources import tables
 
 
@@ -118,3 +118,15 @@ def test_sequences_by_lines(spark, tmp_path):
             assert max(len(s) for _, _, s in got) <= chunk + overlap
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_correlations_of_near_rows(spark):
+    """Pairs are dealt by place, and the parts of their correlations are made once for a row; a constant row has none."""
+    r = random.Random(5)
+    rows = [(f"r{k}", r.choice("ab"), r.randrange(2000), [r.randrange(9) for _ in range(5)]) for k in range(60)] + [("flat", "a", 1000, [3] * 5)]
+    df = spark.createDataFrame(rows, "name string, chrom string, start0 long, counts array<long>")
+    pairs = iv.pairs_within_distance(pr.pearson_parts(df, "counts", 5), "start0", 300).select("name", "b_name", pr.pair_pearson(5).alias("r"))
+    want = {(x[0], y[0]): None if "flat" in (x[0], y[0]) else np.corrcoef(x[3], y[3])[0, 1] for x in rows for y in rows if x[1] == y[1] and 0 < y[2] - x[2] < 300}
+    got = {(q[0], q[1]): q[2] for q in pairs.collect()}
+    assert got.keys() == want.keys() and all(got[k] is None if v is None else abs(got[k] - v) < 1e-12 for k, v in want.items())
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
