@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators.running import running
 from ..operators.shared import sized_join, written
 
 BED = ("chrom", "start0", "end1", "name", "score", "strand")
@@ -41,37 +41,97 @@ def chunked(sequences: DataFrame, chunk: int, overlap: int, name: str = "chrom",
     return sequences.select(name, seq, F.explode(F.sequence(F.lit(0), last, F.lit(chunk))).alias("offset")).select(name, "offset", F.substr(seq, F.col("offset") + 1, F.lit(chunk + overlap)).alias("seq"))
 
 
-#: Lines of a text that one stretch of running sums holds.
-STRETCH_LINES = 8192
+def _cut(lines: Iterable[tuple], chunk: int, overlap: int) -> Iterator[tuple]:
+    """The chunks of lines (file, block, line) that stand in their splits' order, as rows of CUT.
+
+    A chunk is done if its split holds all of it. What a split has before its first header (record 0) comes in segments
+    of `chunk` bases, and what its last record holds since the last chunk is left open: another split may go on with it.
+    """
+    split, record, chrom, at, held, size = None, 0, None, 0, [], 0
+    row = lambda text, done: (*split, record, chrom, at, at + len(text), text, done)
+    for file, block, line in lines:
+        if split != (file, block):
+            if split and (record or size):
+                yield row("".join(held), False)
+            split, record, chrom, at, held, size = (file, block), 0, None, 0, [], 0
+        if line.startswith(">"):
+            # A chunk that holds no more than the overlap of the one before it is none, but for the first.
+            if (at == 0 or size > overlap) if record else size:
+                yield row("".join(held), bool(record))
+            record, chrom, at, held, size = record + 1, re.split(r"[ \t\n\x0b\f\r]", line[1:], maxsplit=1)[0], 0, [], 0
+            continue
+        held.append(line)
+        size += len(line)
+        most = chunk + overlap if record else chunk
+        if size >= most:
+            text, begin = "".join(held), 0
+            while size >= most:
+                yield row(text[begin : begin + most], bool(record))
+                at, begin, size = at + chunk, begin + chunk, size - chunk
+            held = [text[begin:]]
+    if split and (record or size):
+        yield row("".join(held), False)
+
+
+#: What _cut makes: the split and the number of the record's header in it, its name, and its bases from `at` to `to`.
+CUT = "file string, block long, record int, chrom string, at long, to long, seq string, done boolean"
+
+#: Bases of a batch of rows of CUT.
+BATCH_BASES = 1 << 22
+
+
+def _cut_batches(chunk: int, overlap: int) -> Callable:
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        schema = pa.schema([(n, kinds[k]) for n, k in (f.split() for f in CUT.split(", "))])
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        lines = (line for b in batches for line in zip(*(c.to_pylist() for c in b.columns)))
+        rows, room = [], 0
+        for row in _cut(lines, chunk, overlap):
+            rows.append(row)
+            room += len(row[6])
+            if room >= BATCH_BASES:
+                yield batch(rows)
+                rows, room = [], 0
+        if rows:
+            yield batch(rows)
+
+    return run
 
 
 def read_sequence(spark: SparkSession, path: str, chunk: int = 1_000_000, overlap: int = 12) -> DataFrame:
     """FASTA records as overlapping chunks (chrom, offset, seq), read line by line: no record is one value.
 
-    Lines are ordered by their file, the split they come from and their place in it. Running sums over them number the
-    records and give each line the bases before it; a line then gives its pieces to the one or two chunks that hold them.
+    A task goes through the lines of its splits and cuts chunks as it goes, without an order or a shuffle of lines. Only
+    what reaches over a split's ends is told its record and the bases before it, by a row for each split, and meets there.
     Names end at white space; a record without bases is one empty chunk; text before the first record is left out.
     """
-    value = F.rtrim(F.col("value"), F.lit("\r"))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), value.alias("value"))
-    # Written once, so that ids are the same for every use of them.
-    lines = written(lines.where("value <> ''"), "lines")
-    head = F.startswith(F.col("value"), F.lit(">"))
-    dealt = lines.withColumn("_stretch", F.struct("block", F.floor(F.col("id") / STRETCH_LINES).alias("part"))).withColumn("bases", F.when(head, 0).otherwise(F.length("value")))
-    sums = running(dealt, ("file",), ["id"], {"record": ("sum", head.cast("long")), "to": ("sum", F.col("bases"))})
-    heads = sums.where(head).select("file", "record", F.split(F.substr("value", F.lit(2)), r"\s")[0].alias("chrom"), F.col("to").alias("first"))
-    rows = sized_join(sums.where(~head), heads, ["file", "record"]).withColumn("at", F.col("to") - F.col("bases") - F.col("first"))
-    length = rows.groupBy("file", "record").agg(F.max(F.col("at") + F.col("bases")).alias("length"))
-    first, last = F.greatest(F.lit(0), F.floor((F.col("at") - overlap) / chunk)), F.floor((F.col("at") + F.col("bases") - 1) / chunk)
-    pieces = rows.select("file", "record", "at", "value", F.explode(F.sequence(first, last)).alias("chunk"))
+    value = F.make_valid_utf8(F.rtrim(F.col("value"), F.lit("\r")))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), value.alias("value"))
+    cut = written(lines.where("value <> ''").mapInArrow(_cut_batches(chunk, overlap), CUT), "chunks")
+    rest = cut.where("NOT done").drop("done")
+    # The last record of each split, and the bases that splits add to their last records up to there.
+    ends = rest.groupBy("file", "block").agg(F.max(F.struct("record", "to", "chrom")).alias("end"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("sum", F.coalesce(F.sum("end.to").over(before), F.lit(0)))
+    begun = F.last(F.when(F.col("end.record") > 0, F.struct("block", "end.record", "end.chrom", "sum")), ignorenulls=True).over(before)
+    ends = ends.select("file", "block", "sum", begun.alias("begun"))
+    own = F.col("record") > 0
+    owner = F.when(own, F.struct("block", "record", "chrom", "at")).when(F.col("begun").isNotNull(), F.struct("begun.block", "begun.record", "begun.chrom", (F.col("at") + F.col("sum") - F.col("begun.sum")).alias("at")))
+    known = sized_join(rest, ends, ["file", "block"]).select("file", "seq", own.alias("own"), owner.alias("o")).where("o IS NOT NULL").select("file", "own", "seq", "o.*")
+    # The chunks before a record's own open one are done.
+    first = F.when(F.col("own"), F.floor(F.col("at") / chunk)).otherwise(F.greatest(F.lit(0), F.floor((F.col("at") - overlap) / chunk)))
+    last = F.greatest(first, F.floor((F.col("at") + F.length("seq") - 1) / chunk))
+    by = ("file", "block", "record", "chrom", "chunk")
+    pieces = known.select("*", F.explode(F.sequence(first, last)).alias("chunk"))
     low = F.greatest("at", F.col("chunk") * chunk)
-    pieces = pieces.select("file", "record", "chunk", low.alias("from"), F.substr("value", low - F.col("at") + 1, F.greatest(F.lit(0), (F.col("chunk") + 1) * chunk + overlap - low)).alias("piece")).where("piece <> ''")
+    pieces = pieces.select(*by, low.alias("from"), F.substr("seq", low - F.col("at") + 1, F.greatest(F.lit(0), (F.col("chunk") + 1) * chunk + overlap - low)).alias("piece"))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("from", "piece"))), lambda p: p["piece"])
-    made = pieces.groupBy("file", "record", "chunk").agg(F.concat_ws("", parts).alias("seq"))
-    # A chunk that holds no more than the overlap of the one before it is none, but for the first.
-    kept = sized_join(made, length, ["file", "record"]).where((F.col("chunk") == 0) | (F.col("chunk") * chunk <= F.col("length") - overlap - 1))
-    full = heads.select("file", "record", "chrom").join(kept, ["file", "record"], "left")
-    return full.select("chrom", F.coalesce(F.col("chunk") * chunk, F.lit(0)).cast("int").alias("offset"), F.coalesce("seq", F.lit("")).alias("seq"))
+    made = pieces.groupBy(*by).agg(F.concat_ws("", parts).alias("seq")).where((F.col("chunk") == 0) | (F.length("seq") > overlap))
+    made = made.select("chrom", (F.col("chunk") * chunk).cast("int").alias("offset"), "seq")
+    return cut.where("done").select("chrom", F.col("at").cast("int").alias("offset"), "seq").unionByName(made)
 
 
 def read_gtf_genes(spark: SparkSession, path: str) -> DataFrame:

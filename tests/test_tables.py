@@ -120,6 +120,30 @@ def test_sequences_by_lines(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for shuffles."""
+    own, jvm = spark.sparkContext, spark.sparkContext._jvm
+    own._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = own._jsc.sc().statusStore().stageList(None, False, False, own._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_lines_of_sequences_are_not_shuffled(spark, tmp_path):
+    """Chunks are cut where a split's lines are; only what its ends leave open is dealt and ordered."""
+    r = random.Random(8)
+    seqs = [("one", "".join(r.choice("ACGT") for _ in range(300_000))), ("empty", ""), ("two", "".join(r.choice("ACGT") for _ in range(90_013)))]
+    (tmp_path / "g.fa").write_text("".join(f">{n}\n" + "".join(s[k : k + 60] + "\n" for k in range(0, len(s), 60)) for n, s in seqs))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        so_far = shuffled_rows(spark)
+        got = sorted(map(tuple, tables.read_sequence(spark, str(tmp_path), 1000, 12).collect()))
+        moved = shuffled_rows(spark) - so_far
+        assert got == sorted(map(tuple, tables.chunked(spark.createDataFrame(seqs, "chrom string, seq string"), 1000, 12).collect()))
+        assert moved < 6502 / 2  # lines
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_correlations_of_near_rows(spark):
     """Pairs are dealt by place, and the parts of their correlations are made once for a row; a constant row has none."""
     r = random.Random(5)
