@@ -172,3 +172,25 @@ def test_pairs_are_dealt_by_place(spark):
     for pairs, want in ((iv.overlap_pairs(df, df), [h[:2] for h in hit]), (iv.overlap_within(df, df), [h[:2] for h in hit if h[2]])):
         assert sorted(map(tuple, pairs.select("name", "b_name").collect())) == sorted(want)
         assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_do_not_sort_rows(spark):
+    """Rows that look up many positions pass by them unsorted, in parts that grow with the tables; a count is exact wherever its positions lie."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = spark.range(150_000).select(F.lit("c").alias("chrom"), (F.col("id") * 7).alias("start0"), (F.col("id") * 7 + 9).alias("end1"))
+        got = iv.overlap_count(many, many)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2
+        assert {r[0]: r[1] for r in got.groupBy("n").count().collect()} == {2: 2, 3: 149_998}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    draw = lambda n, most: [(random.choice("ab"), at := random.randrange(-200, 200), at + 1 + random.randrange(most)) for _ in range(n)]
+    random.seed(4)
+    a, b = draw(80, 90), draw(60, 70)
+    a += a[:5] + [(None, 1, 5), ("a", None, 5), ("a", 1, None)]
+    kind = "chrom string, start0 long, end1 long"
+    got = iv.overlap_sums(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), {"n": F.lit(True), "odd": F.col("start0") % 2 != 0})
+    hits = lambda x: [y for y in b if None not in x and x[0] == y[0] and y[1] < x[2] and x[1] < y[2]]
+    want = [(*x, len(hits(x)), sum(y[1] % 2 != 0 for y in hits(x))) for x in a]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
