@@ -336,3 +336,30 @@ def test_counted_relabellings_equal_ordered_ones(spark, monkeypatch):
     want = rs.relabelled(own, na, len(rows), 150)
     assert sorted(x.d for x in got.collect()) == sorted(x.d for x in want.collect())
     assert rs.counted_relabellings(spark.range(2000).selectExpr("id % 2 = 0 AS a", "cast(id AS double) AS v", "id AS k"), 1000, 2000, 9) is None
+
+
+def test_clusters_by_stage_are_whole(spark):
+    """All starts and rounds of each group and scaling: no worse than Spark's k-means, rows at their nearest mean, largest first; the query has 20 clusters."""
+    from strandloom.plans import catalog
+
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=(240, 3)) * [1, 4, 0.5] + r.integers(0, 4, (240, 1)) * 6, r.normal(size=(150, 3))]).round(2)
+    rows = [(i, "ab"[i >= 240], *map(float, v)) for i, v in enumerate(x)] + [(900, "c", 1.0, 1.0, 1.0), (901, "a", math.nan, 1.0, 1.0), (902, None, 1.0, 1.0, 1.0), *((1000 + i, "a", *map(float, x[0])) for i in range(5))]
+    df = spark.createDataFrame(rows, "i long, g string, x double, y double, z double")
+    got = mv.clusters_by(df, "g", ["x", "y", "z"], {"plain": False, "scaled": True}, k=6).collect()
+    assert len(got) == len(rows) and all(q.plain is None and q.scaled is None for q in got if q.i in (900, 901, 902))
+    for g in "ab":
+        own = [q for q in got if q.g == g and q.i != 901]
+        z = np.array([[q.x, q.y, q.z] for q in own])
+        for name in ("plain", "scaled"):
+            label = np.array([q[name] for q in own])
+            w = z / z.std(0, ddof=1) if name == "scaled" else z
+            sizes = [int((label == c).sum()) for c in range(1, 7)]
+            assert sizes == sorted(sizes, reverse=True) and min(sizes) > 0
+            means = np.array([w[label == c].mean(0) for c in range(1, 7)])
+            far = ((w[:, None] - means) ** 2).sum(2)
+            assert (far[np.arange(len(w)), label - 1] <= far.min(1) + 1e-2).all()
+            _, cost = mv.kmeans(df.where(F.col("g") == g).toDF("i", "g", "a", "b", "c"), ["a", "b", "c"], k=6, starts=3, rounds=100, scale=name == "scaled")
+            assert far.min(1).sum() <= 1.02 * cost
+    told = catalog.queries()["m10_kmeans_by_stage"](spark, "/root/testdata/sf0.001").collect()
+    assert {q.scaling for q in told} == {"scaled", "unscaled"} and max(q.cluster or 0 for q in told) == 20
