@@ -99,40 +99,58 @@ def _differences(replicates: int):
 
 #: Rows of a part, relabellings that a task draws for it, slots around the cut, relabellings that are finished together.
 PART, DRAWN, CUT_SLOTS, FINISHED = 65_536, 12_500, 64, 50
+#: Rows that are hashed for one relabelling after the other, and levels of those that are counted one by one.
+CHUNK, FEW_LEVELS = 131_072, 128
 #: Distinct values, and rows beside one cut, up to which relabellings are counted.
 LEVELS, BESIDE = 1024, 10_000
 
 
 def _hashes(k):
-    """r -> mixed(r, k) for each of k, in arithmetic modulo PRIME = 2^31 - 1 by folding high bits onto low ones."""
+    """r -> mixed(r, k) for each of k, in an array that the next call changes.
+
+    The hash is a polynomial of the fifth degree in r, modulo PRIME = 2^31 - 1: the next r takes five additions of its
+    differences, the last of which is one number for all k. Any other r starts anew.
+    """
     import numpy as np
 
-    p, bits = np.uint64(PRIME), np.uint64(31)
-    own = (k % PRIME * 48271 % PRIME).astype(np.uint64)
-    x, y, high = np.empty_like(own), np.empty_like(own), np.empty_like(own)
+    own, p, last = k % PRIME * 48271 % PRIME, np.uint32(PRIME), [None]
+    high = np.empty(len(own), dtype=np.uint32)
+    d: list = []
 
-    def fold():
-        np.right_shift(y, bits, out=high)
-        np.bitwise_and(y, p, out=y)
-        np.add(y, high, out=y)
+    def whole(r: int):
+        x = (own + r % PRIME * 69621) % PRIME
+        h = x * x % PRIME
+        return h * h % PRIME * x % PRIME
 
     def draw(r: int):
-        np.add(own, np.uint64(r % PRIME * 69621 % PRIME), out=x)
-        # Below the prime the difference wraps to a large number.
-        np.minimum(x, np.subtract(x, p, out=high), out=x)
-        np.multiply(x, x, out=y)
-        fold()
-        np.multiply(y, y, out=y)
-        fold()
-        fold()
-        np.multiply(y, x, out=y)
-        fold()
-        fold()
-        return np.minimum(y, np.subtract(y, p, out=high), out=y)
+        if r - 1 != last[0]:
+            at, d[:] = [whole(r + i) for i in range(6)], []
+            while at:
+                d.append(at[0].astype(np.uint32))
+                at = [(y - x) % PRIME for x, y in zip(at, at[1:])]
+            d[5] = d[5][0] if len(own) else p
+        else:
+            for i in range(5):
+                np.add(d[i], d[i + 1], out=d[i])
+                # Below the prime the difference wraps to a large number.
+                np.minimum(d[i], np.subtract(d[i], p, out=high), out=d[i])
+        last[0] = r
+        return d[0]
 
     return draw
 
 
+def _rare(mask):
+    """Where a mask is true; for few places, eight are looked at together."""
+    import numpy as np
+
+    if len(mask) % 8:
+        return np.flatnonzero(mask)
+    words = np.flatnonzero(mask.view(np.uint64) != 0)
+    at = np.flatnonzero(mask.reshape(-1, 8)[words].ravel())
+    return words[at >> 3] * 8 + (at & 7)
+
+
 def _near_cut(low: int, width: int, replicates: int):
     """(r, n): how many hashes lie below the window [low, low + width), and in each of its slots. Rows: a part, for some relabellings."""
 
@@ -140,13 +158,17 @@ def _near_cut(low: int, width: int, replicates: int):
         import numpy as np
         import pandas as pd
 
-        draw, out = _hashes(pdf["k"].to_numpy()), []
         drawn = range(int(pdf["draw"].iloc[0]) * DRAWN + 1, min((int(pdf["draw"].iloc[0]) + 1) * DRAWN, replicates) + 1)
-        for r in drawn:
-            h = draw(r)
-            inside = (h - np.uint64(low))[h - np.uint64(low) < np.uint64(width)].astype(np.int64)
-            out.append([int(np.count_nonzero(h < np.uint64(low))), *np.bincount(inside * CUT_SLOTS // width, minlength=CUT_SLOTS)])
-        return pd.DataFrame({"r": drawn, "n": out})
+        k, out = pdf["k"].to_numpy(), np.zeros((len(drawn), 1 + CUT_SLOTS), dtype=np.int32)
+        first, reach = np.uint32(low), np.uint32(width)
+        for at in range(0, len(k), CHUNK):
+            draw = _hashes(k[at : at + CHUNK])
+            for i, r in enumerate(drawn):
+                h = draw(r)
+                inside = h[_rare(h - first < reach)].astype(np.int64) - low
+                out[i, 0] += np.count_nonzero(h < first)
+                out[i, 1:] += np.bincount(inside * CUT_SLOTS // width, minlength=CUT_SLOTS)
+        return pd.DataFrame({"r": drawn, "n": list(out)})
 
     return run
 
@@ -160,7 +182,7 @@ def _cut_slot(na: int, low: int, width: int):
 
         out = []
         for r, of in pdf.groupby("r")["n"]:
-            n = np.sum([np.asarray(x) for x in of], axis=0)
+            n = np.sum([np.asarray(x, dtype=np.int64) for x in of], axis=0)
             upto = n.cumsum()
             s = int(np.searchsorted(upto, na))
             # The cut is below the window or behind it: no slot.
@@ -181,17 +203,28 @@ def _labelled(levels: int):
 
         if pdf.empty:
             return pd.DataFrame({"r": [], "n": [], "h": [], "k": [], "level": []})
-        pdf = pdf.sort_values("level", kind="stable")
-        k, level = pdf["k"].to_numpy(), pdf["level"].to_numpy()
-        first, out = np.searchsorted(level, np.arange(levels)), []
-        some = np.flatnonzero(np.bincount(level, minlength=levels))
-        draw = _hashes(k)
-        for r, low, high in zip(cuts["r"], cuts["cut_low"], cuts["cut_high"]):
-            h, n = draw(r), np.zeros(levels, dtype=np.int32)
-            n[some] = np.add.reduceat((h < np.uint64(low)).view(np.uint8), first[some], dtype=np.int32)
-            at = np.flatnonzero(h - np.uint64(low) < np.uint64(high - low))
-            out.append((r, n, h[at].astype(np.int64), k[at], level[at]))
-        return pd.DataFrame(out, columns=["r", "n", "h", "k", "level"])
+        pdf, cuts = pdf.sort_values("level", kind="stable"), cuts.sort_values("r")
+        every, level = pdf["k"].to_numpy(), pdf["level"].to_numpy()
+        n, beside = np.zeros((len(cuts), levels), dtype=np.int32), [[] for _ in range(len(cuts))]
+        cut = list(zip(cuts["r"], cuts["cut_low"].to_numpy(dtype=np.uint32), (cuts["cut_high"] - cuts["cut_low"]).to_numpy(dtype=np.uint32)))
+        for at in range(0, len(every), CHUNK):
+            k, own = every[at : at + CHUNK], level[at : at + CHUNK]
+            some, first = np.unique(own, return_index=True)
+            spans = list(zip(some.tolist(), first.tolist(), [*first[1:].tolist(), len(own)]))
+            draw = _hashes(k)
+            for i, (r, low, width) in enumerate(cut):
+                h = draw(r)
+                sure = h < low
+                if len(spans) <= FEW_LEVELS:
+                    for x, start, end in spans:
+                        n[i, x] += np.count_nonzero(sure[start:end])
+                else:
+                    n[i, some] += np.add.reduceat(sure.view(np.uint8), first, dtype=np.int32)
+                here = _rare(h - low < width)
+                if len(here):
+                    beside[i].append((h[here].astype(np.int64), k[here], own[here]))
+        joined = [[np.concatenate([x[c] for x in of]) if of else np.zeros(0, dtype=np.int64) for of in beside] for c in range(3)]
+        return pd.DataFrame({"r": cuts["r"].to_numpy(), "n": list(n), "h": joined[0], "k": joined[1], "level": joined[2]})
 
     return run
 
@@ -230,7 +263,7 @@ def counted_relabellings(own: DataFrame, na: int, n: int, replicates: int) -> Da
     share = na / n
     reach = 8 * (share * (1 - share) / n) ** 0.5
     low, high = max(0, int((share - reach) * PRIME)), min(PRIME, int((share + reach) * PRIME) + 1)
-    near = dealt.groupBy("part", "draw").applyInPandas(_near_cut(low, high - low, replicates), "r long, n array<long>")
+    near = dealt.groupBy("part", "draw").applyInPandas(_near_cut(low, high - low, replicates), "r long, n array<int>")
     batch = F.floor(F.col("r") / FINISHED)
     cuts = near.groupBy(batch.alias("_batch")).applyInPandas(_cut_slot(na, low, high - low), "r long, cut_low long, cut_high long, need long, beside long")
     cuts = written(cuts, "cuts")

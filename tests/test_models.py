@@ -363,3 +363,19 @@ def test_clusters_by_stage_are_whole(spark):
             assert far.min(1).sum() <= 1.02 * cost
     told = catalog.queries()["m10_kmeans_by_stage"](spark, "/root/testdata/sf0.001").collect()
     assert {q.scaling for q in told} == {"scaled", "unscaled"} and max(q.cluster or 0 for q in told) == 20
+
+
+def test_hashes_by_differences_equal_the_sql(spark):
+    """A relabelling's hashes follow from the last one's by additions: the same as mixed() for any order of relabellings, and no product is taken for the next one."""
+    from strandloom.operators.scalars import PRIME, mixed
+
+    keys = [0, 1, 2, 77, PRIME - 1, PRIME, PRIME + 5, 2**40 + 3, 2**62]
+    reps = [1, 2, 3, 4, 900, 901, 3, PRIME - 1, PRIME, PRIME + 1]
+    got = spark.createDataFrame([(r, k) for r in set(reps) for k in keys], "r long, k long").select("r", "k", mixed(F.col("r"), F.col("k")).alias("h")).collect()
+    want = {(q.r, q.k): q.h for q in got}
+    draw = rs._hashes(np.array(keys, dtype=np.int64))
+    for r in reps:
+        assert draw(r).tolist() == [want[r, k] for k in keys] and draw(r + 1).dtype == np.uint32
+        draw(r)
+    mask = np.random.default_rng(1).random(4099) < 0.01
+    assert all((rs._rare(m) == np.flatnonzero(m)).all() for m in (mask, mask[:4096], mask[:0], mask[:8]))
