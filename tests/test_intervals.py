@@ -211,3 +211,15 @@ def test_sums_over_overlaps_and_distances_make_no_pairs(spark):
 
     for name in ("j8_overlap_stranded", "j13_pairs_within_distance"):
         assert "bucket" not in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_points_are_lifted_from_one_bucket_each(spark):
+    """A point is dealt once; both strands, places at a block's ends and in several blocks."""
+    r = random.Random(16)
+    points = [(f"p{k}", r.choice(["c1", "c2"]), r.randrange(30_000)) for k in range(80)] + [("s", "c1", 4096), ("e", "c1", 8191), ("x", "c1", 8192), ("n", None, 5)]
+    blocks = [(c, s, s + r.choice([1, 700, 9000]), f"{c}n", s + 50, r.choice("+-")) for c in ("c1", "c2") for s in (r.randrange(30_000) for _ in range(25))] + [("c1", 4096, 8192, "c1m", 7, "-")]
+    lifted = iv.liftover_points(spark.createDataFrame(points, "name string, chrom string, pos long"), spark.createDataFrame(blocks, "chrom string, start0 long, end1 long, t_chrom string, t_start0 long, t_strand string"))
+    want = sorted((n, t, t0 + (e - s - 1 - (p - s) if d == "-" else p - s)) for n, c, p in points for b, s, e, t, t0, d in blocks if b == c and s <= p < e)
+    assert sorted((q.name, q.t_chrom, q.t_pos) for q in lifted.collect()) == want
+    plan = lifted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") == 1
