@@ -154,3 +154,26 @@ def test_correlations_of_near_rows(spark):
     got = {(q[0], q[1]): q[2] for q in pairs.collect()}
     assert got.keys() == want.keys() and all(got[k] is None if v is None else abs(got[k] - v) < 1e-12 for k, v in want.items())
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_of_a_place_are_folded_before_tiles_meet(spark, monkeypatch):
+    """Many rows at few places meet as one row for each place, in any cut; tiles meet with a row's place and x only."""
+    r = np.random.default_rng(25)
+    rows = [("a", float(r.integers(0, 30)) * 400, float(r.normal()), r.poisson(4, 5).astype(float).tolist()) for _ in range(600)]
+    df = spark.createDataFrame(rows, "chrom string, at double, x double, vector array<double>")
+    want = {q.lag: q for q in pr.lag_profiles(df, 30_000, 20).collect()}
+    at, x, v = (np.array([q[k] for q in rows]) for k in (1, 2, 3))
+    i, j = np.triu_indices(len(rows), 1)
+    i, j = i[at[i] != at[j]], j[at[i] != at[j]]
+    lags, c = np.rint(np.log10(np.abs(at[i] - at[j])) * 10).astype(int), np.corrcoef(v)[i, j]
+    for lag, q in want.items():
+        own = c[lags == lag]
+        assert q.n == len(own) and np.allclose([q.mean_corr, q.sd_corr, q.mean_abs], [own.mean(), own.std(ddof=1), np.abs(x[i] - x[j])[lags == lag].mean()])
+    assert set(want) == {k for k in set(lags.tolist()) if (lags == k).sum() >= 20}
+    monkeypatch.setattr(pr, "PLACE_SUMS", 3)
+    cut = {q.lag: q for q in pr.lag_profiles(df, 30_000, 20, 4000, 40).collect()}
+    assert set(cut) == set(want) and all(np.allclose(list(cut[k]), list(want[k])) for k in want)
+    so_far = shuffled_rows(spark)
+    pr.lag_profiles(df, 30_000, 20, 12_000, 40).count()
+    # 600 rows in 15 tiles at least: as two units they would be dealt 32 times each.
+    assert shuffled_rows(spark) - so_far < 600 * 20
